@@ -95,3 +95,29 @@ FAV_EVENTS_SQL = """fav_events AS (
          'a-' || CAST(CAST(json_extract(props, '$.k') AS INTEGER) AS VARCHAR) AS answer_slug,
          CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS action
   FROM events WHERE event_type <> 'signup')"""
+
+# --- query log: events as shard queries ------------------------------------
+# shard = event_id % 3, latency = value, error when event_type = 'error';
+# a connection error when additionally event_id % 500 = 0.
+LOG_MESSAGES = ("Request failed with status code 401", "Request failed with status code 404",
+                "Model is currently loading (503)", "Too many requests: 429 rate limit",
+                "duplicate key value violates unique constraint",
+                "canceling statement due to statement timeout")
+
+
+def query_log(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events", "event_id", "ts", "event_type", "value")
+    msgs = F.array(*[F.lit(m) for m in LOG_MESSAGES])
+    err = F.col("event_type") == "error"
+    msg = (F.when(err & (F.col("event_id") % 500 == 0), F.lit("connect ECONNREFUSED 10.0.0.7:5432"))
+           .when(err, F.element_at(msgs, (F.col("event_id") % len(LOG_MESSAGES)).cast("int") + 1)))
+    return e.select("event_id", "ts", (F.col("event_id") % 3).cast("int").alias("shard_id"),
+                    F.col("value").alias("latency_ms"), msg.alias("error"))
+
+
+QUERY_LOG_SQL = """query_log AS (
+  SELECT event_id, ts, CAST(event_id % 3 AS INTEGER) AS shard_id, value AS latency_ms,
+    CASE WHEN event_type = 'error' AND event_id % 500 = 0 THEN 'connect ECONNREFUSED 10.0.0.7:5432'
+         WHEN event_type = 'error' THEN [""" + ", ".join("'" + m + "'" for m in LOG_MESSAGES) + """][event_id % """ + str(len(LOG_MESSAGES)) + """ + 1]
+    END AS error
+  FROM events)"""
