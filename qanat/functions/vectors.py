@@ -62,24 +62,26 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
     bucket = (first 8 hex digits of md5(token)) mod dim; sign = +1 when the
     9th hex digit is even, else -1; vector = signed bucket counts, L2-normalised.
 
-    Plan: explode tokens (codegen'd Generate) -> one hash aggregate on the
-    document key with ``dim`` conditional sums (partial aggregation map-side,
-    so at most one row per document per partition crosses the shuffle).
+    Plan: explode tokens (codegen'd Generate) -> partial/final sum per
+    (document, bucket) -> one small map per document (<= dim entries) ->
+    dense array. Only <= dim rows per document and partition cross the
+    shuffles; no per-token higher-order function runs.
     """
     # explode_outer + the length guard keep documents without any token
     toks = (df.select(F.col(id_col).alias("__id"),
                       F.explode_outer(F.split(F.lower(clean_text(F.col(text_col))), " ", -1))
                       .alias("__t"))
+            .select("__id", F.md5(F.coalesce("__t", F.lit(""))).alias("__h"), F.length("__t").alias("__n"))
             .select("__id",
-                    F.pmod(F.conv(F.substring(F.md5("__t"), 1, 8), 16, 10).cast("long"),
-                           F.lit(dim)).alias("__b"),
-                    F.when(F.length("__t") == 0, F.lit(0))
-                    .when(F.conv(F.substring(F.md5("__t"), 9, 1), 16, 10).cast("int") % 2 == 0,
-                          F.lit(1)).otherwise(F.lit(-1)).alias("__s")))
-    sums = toks.groupBy("__id").agg(
-        *[F.sum(F.when(F.col("__b") == b, F.col("__s")).otherwise(F.lit(0))).alias(f"__v{b}")
-          for b in range(dim)])
-    norm = F.sqrt(sum((F.col(f"__v{b}") * F.col(f"__v{b}") for b in range(dim)), F.lit(0)))
-    vec = F.array(*[F.when(norm == 0, F.col(f"__v{b}").cast("double"))
-                    .otherwise(F.col(f"__v{b}") / norm) for b in range(dim)])
-    return sums.select(F.col("__id").alias(id_col), vec.alias(out_col))
+                    F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+                    .alias("__b"),
+                    F.when(F.coalesce(F.col("__n"), F.lit(0)) == 0, F.lit(0))
+                    .when(F.conv(F.substring("__h", 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1))
+                    .otherwise(F.lit(-1)).alias("__s")))
+    per_bucket = toks.groupBy("__id", "__b").agg(F.sum("__s").alias("__v"))
+    per_doc = per_bucket.groupBy("__id").agg(
+        F.map_from_entries(F.collect_list(F.struct("__b", "__v"))).alias("__m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("__m"), i), F.lit(0)).cast("double"))
+    return (per_doc.select(F.col("__id").alias(id_col), dense.alias("__raw"))
+            .select(id_col, l2_normalize(F.col("__raw")).alias(out_col)))

@@ -51,3 +51,19 @@ def map_lookup(e: str, mapping: dict[str, str]) -> str:
 def shard_route(e: str, shards=(1, 2)) -> str:
     arr = "[" + ", ".join(str(s) for s in shards) + "]"
     return f"{arr}[abs({e}) % {len(shards)} + 1]"
+
+
+def hash_embed_ctes(src: str, id_col: str, text_expr: str, name: str, dim: int = 64) -> str:
+    """CTEs ``{name}_tok``, ``{name}_sum``, ``{name}`` (id, embedding) -- the
+    DuckDB twin of ``qanat.functions.vectors.hash_embed``."""
+    sums = ", ".join(f"sum(CASE WHEN b = {i} THEN s ELSE 0 END) AS v{i}" for i in range(dim))
+    sq = " + ".join(f"v{i} * v{i}" for i in range(dim))
+    arr = ", ".join(f"CASE WHEN nrm = 0 THEN CAST(v{i} AS DOUBLE) ELSE v{i} / nrm END" for i in range(dim))
+    return f"""{name}_tok AS (
+  SELECT {id_col} AS id, unnest(string_split(lower({clean_text(text_expr)}), ' ')) AS t FROM {src}),
+{name}_code AS (
+  SELECT id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS INTEGER) AS b,
+         CASE WHEN length(t) = 0 THEN 0 WHEN ('0x' || substr(md5(t), 9, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS s
+  FROM {name}_tok),
+{name}_sum AS (SELECT id, {sums} FROM {name}_code GROUP BY id),
+{name} AS (SELECT id, [{arr}] AS embedding FROM (SELECT *, sqrt({sq}) AS nrm FROM {name}_sum))"""
