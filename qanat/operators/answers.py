@@ -49,11 +49,18 @@ def embed_questions(questions: DataFrame, id_col: str = "question_id", text_col:
     return V.hash_embed(q, id_col, "__q")
 
 
-def retrieve(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def index_vectors(corpus: DataFrame) -> DataFrame:
+    """Document side of the index: (id, embedding)."""
+    return V.hash_embed(corpus.select("id", "text"), "id", "text")
+
+
+def retrieve(questions: DataFrame, corpus: DataFrame, k: int, doc_vectors: DataFrame | None = None
+             ) -> DataFrame:
     """(question_id, rank, id, score, source, text, type) -- top-k documents
-    per question; hits without a document row are dropped after the cut."""
+    per question; hits without a document row are dropped after the cut.
+    ``doc_vectors`` is a prebuilt (materialised) index; built when absent."""
     qv = embed_questions(questions)
-    dv = V.hash_embed(corpus.select("id", "text"), "id", "text")
+    dv = doc_vectors if doc_vectors is not None else index_vectors(corpus)
     hits = K.cosine_topk(qv, dv, k, q_id="question_id", q_vec="embedding", d_id="id", d_vec="embedding")
     meta = corpus.select("id", "source", "text", "type")
     return (hits.join(meta, hits.did == meta.id, "inner")
@@ -96,8 +103,8 @@ def build_prompt(question, contexts, stream: bool = False):
     return F.concat(system, F.lit("\n\nHere are the sources:\n\n"), numbered, F.lit("\n\n\nQuestion: "), question)
 
 
-def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | None = None, k: int = 3
-              ) -> DataFrame:
+def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | None = None, k: int = 3,
+              doc_vectors: DataFrame | None = None) -> DataFrame:
     """Answer records for a table of questions.
 
     ``generated`` is an optional input table (slug, answer) of model output;
@@ -106,7 +113,7 @@ def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | No
     category 'Uncategorized' and an empty sources array.
     """
     q = questions.select("question_id", "question", T.slugify(F.col("question")).alias("slug"))
-    hits = retrieve(q.select("question_id", "question"), corpus, k)
+    hits = retrieve(q.select("question_id", "question"), corpus, k, doc_vectors)
     per = per_question(hits).join(majority_category(hits), "question_id")
     j = q.join(per, "question_id", "left")
     if generated is not None:

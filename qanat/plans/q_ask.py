@@ -14,14 +14,15 @@ from .registry import register
 
 K_BATCH = 3
 
-_RETRIEVE_SQL = f"""{X.QUESTIONS_SQL.strip()}, {X.DOC_CORPUS_SQL.strip()},
+def retrieve_sql(k):
+    return f"""{X.QUESTIONS_SQL.strip()}, {X.DOC_CORPUS_SQL.strip()},
 qsrc AS (SELECT question_id, {S.lit(T.QUERY_INSTRUCTION)} || {S.clean_text('question')} AS q FROM questions),
 {S.hash_embed_ctes('qsrc', 'question_id', 'q', 'qe')},
 {S.hash_embed_ctes('doc_corpus', 'id', 'text', 'de')},
 scored AS (SELECT qe.id AS qid, de.id AS did, list_cosine_similarity(qe.embedding, de.embedding) AS c FROM qe, de),
 ranked AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, did) AS rank FROM scored),
 hits AS (SELECT r.qid AS question_id, r.rank, c.source, c.text
-         FROM ranked r JOIN doc_corpus c ON r.did = c.id WHERE r.rank <= {K_BATCH}),
+         FROM ranked r JOIN doc_corpus c ON r.did = c.id WHERE r.rank <= {k}),
 cnt AS (SELECT question_id, split_part(source, ' ', 1) AS name, count(*) AS n, min(rank) AS first_rank
         FROM hits GROUP BY 1, 2),
 cat AS (SELECT question_id, arg_max(name, (n, first_rank)) AS category FROM cnt GROUP BY 1),
@@ -35,6 +36,9 @@ asked AS (
   FROM questions q LEFT JOIN per p ON q.question_id = p.question_id LEFT JOIN cat c ON q.question_id = c.question_id)"""
 
 
+_RETRIEVE_SQL = retrieve_sql(K_BATCH)
+
+
 def _asked(spark, sf):
     return A.batch_ask(X.questions(spark, sf), X.doc_corpus(spark, sf), k=K_BATCH)
 
