@@ -15,6 +15,9 @@ JS_WHITESPACE = (
     r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
+# The same set as plain characters (for translate / btrim).
+JS_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                       + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 # Query instruction prefix of the local embedding provider.
 QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 # Placeholders written into every formatted source item.
@@ -30,14 +33,23 @@ SLUG_FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 # -----------------------------------------------------------------------------
 
 
+_WS_NOT_SPACE = JS_WHITESPACE_CHARS.replace(" ", "")
+
+
 def js_trim(c: Column) -> Column:
     """String.prototype.trim: strips JS whitespace at both ends."""
-    return F.regexp_replace(c, f"^{JS_WHITESPACE}+|{JS_WHITESPACE}+$", "")
+    return F.btrim(c, F.lit(JS_WHITESPACE_CHARS))
+
+
+def ws_to_space(c: Column) -> Column:
+    """Every JS whitespace character -> ' ' (a char map, no regex)."""
+    return F.translate(c, _WS_NOT_SPACE, " " * len(_WS_NOT_SPACE))
 
 
 def clean_text(c: Column) -> Column:
-    """trim, then every run of whitespace -> one space."""
-    return F.regexp_replace(js_trim(c), f"{JS_WHITESPACE}+", " ")
+    """trim, then every run of whitespace -> one space (same result as
+    mapping whitespace to ' ', collapsing spaces, trimming spaces)."""
+    return F.btrim(F.regexp_replace(ws_to_space(c), " {2,}", " "), F.lit(" "))
 
 
 def instruct_query(c: Column) -> Column:

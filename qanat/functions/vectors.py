@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import clean_text
+from .text import ws_to_space
 
 # --- fixed values -----------------------------------------------------------
 # Default embedding dimension per model id (local provider); unknown -> 384.
@@ -67,10 +67,10 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
     dense array. Only <= dim rows per document and partition cross the
     shuffles; no per-token higher-order function runs.
     """
-    # explode_outer + the length guard keep documents without any token
-    toks = (df.select(F.col(id_col).alias("__id"),
-                      F.explode_outer(F.split(F.lower(clean_text(F.col(text_col))), " ", -1))
-                      .alias("__t"))
+    # whitespace -> ' ' by a char map, split on the single space (no regex),
+    # drop empty pieces; explode_outer keeps documents without any token
+    words = F.array_remove(F.split(F.lower(ws_to_space(F.col(text_col))), " ", -1), "")
+    toks = (df.select(F.col(id_col).alias("__id"), F.explode_outer(words).alias("__t"))
             .select("__id", F.md5(F.coalesce("__t", F.lit(""))).alias("__h"), F.length("__t").alias("__n"))
             .select("__id",
                     F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")

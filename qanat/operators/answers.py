@@ -86,13 +86,21 @@ def per_question(hits: DataFrame, key: str = "question_id") -> DataFrame:
     context lines, primary source, best text."""
     ranked = F.array_sort(F.collect_list(F.struct(
         "rank", source_item(F.col("source"), F.col("text")).alias("item"),
-        T.context_line(F.col("source"), F.col("text")).alias("line"))))
+        T.context_line(F.col("source"), F.col("text")).alias("line"),
+        T.first_token(F.col("source")).alias("name"))))
+    # majority category from the (k-bounded) ranked list in the same pass:
+    # max of (count, first position, name) -- ties go to the later first
+    # appearance, like the strict '>' reduce of the reference
+    names = F.transform("__r", lambda x: x["name"])
+    votes = F.transform(names, lambda n: F.struct(
+        F.size(F.filter(names, lambda m: m == n)).alias("n"),
+        F.array_position(names, n).alias("first"), n.alias("name")))
     return (hits.groupBy(key).agg(ranked.alias("__r"),
                                   F.min_by("source", "rank").alias("primary_source"),
                                   F.min_by("text", "rank").alias("best_text"))
             .select(key, F.transform("__r", lambda x: x["item"]).alias("sources"),
                     F.transform("__r", lambda x: x["line"]).alias("contexts"),
-                    "primary_source", "best_text"))
+                    "primary_source", "best_text", F.array_max(votes)["name"].alias("category")))
 
 
 def build_prompt(question, contexts, stream: bool = False):
@@ -114,7 +122,7 @@ def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | No
     """
     q = questions.select("question_id", "question", T.slugify(F.col("question")).alias("slug"))
     hits = retrieve(q.select("question_id", "question"), corpus, k, doc_vectors)
-    per = per_question(hits).join(majority_category(hits), "question_id")
+    per = per_question(hits)
     j = q.join(per, "question_id", "left")
     if generated is not None:
         j = j.join(generated.select("slug", F.col("answer").alias("__gen")), "slug", "left")

@@ -14,6 +14,18 @@ from .registry import register
 
 K_BATCH = 3
 
+
+def _tag(sf: str) -> str:
+    import hashlib
+    return hashlib.md5(sf.encode()).hexdigest()[:10]
+
+
+def doc_index(spark, sf):
+    """Document vectors of the index: built once per input and written to the
+    shared folder (load once, reuse), then read by every ask job."""
+    from ..sources import nested as N
+    return N.materialize(spark, f"doc-index-{_tag(sf)}", lambda: A.index_vectors(X.doc_corpus(spark, sf)))
+
 def retrieve_sql(k):
     return f"""{X.QUESTIONS_SQL.strip()}, {X.DOC_CORPUS_SQL.strip()},
 qsrc AS (SELECT question_id, {S.lit(T.QUERY_INSTRUCTION)} || {S.clean_text('question')} AS q FROM questions),
@@ -40,7 +52,8 @@ _RETRIEVE_SQL = retrieve_sql(K_BATCH)
 
 
 def _asked(spark, sf):
-    return A.batch_ask(X.questions(spark, sf), X.doc_corpus(spark, sf), k=K_BATCH)
+    return A.batch_ask(X.questions(spark, sf), X.doc_corpus(spark, sf), k=K_BATCH,
+                       doc_vectors=doc_index(spark, sf))
 
 
 @register("batch_ask", f"""
@@ -61,7 +74,7 @@ SELECT question_id, to_json(list(struct_pack(citation := source, type := {S.clas
          url := '#', arabic := '', transliteration := '', audioUrl := '#') ORDER BY rank))::VARCHAR AS sources_json
 FROM hits GROUP BY question_id""")
 def q_sources_array(spark, sf):
-    hits = A.retrieve(X.questions(spark, sf), X.doc_corpus(spark, sf), K_BATCH)
+    hits = A.retrieve(X.questions(spark, sf), X.doc_corpus(spark, sf), K_BATCH, doc_index(spark, sf))
     return A.per_question(hits).select("question_id", F.to_json("sources").alias("sources_json"))
 
 
@@ -78,7 +91,7 @@ SELECT q.question_id,
 FROM questions q JOIN ctx c ON q.question_id = c.question_id""")
 def q_build_prompt(spark, sf):
     q = X.questions(spark, sf)
-    hits = A.retrieve(q, X.doc_corpus(spark, sf), K_BATCH)
+    hits = A.retrieve(q, X.doc_corpus(spark, sf), K_BATCH, doc_index(spark, sf))
     per = A.per_question(hits)
     return q.join(per, "question_id").select(
         "question_id", A.build_prompt(F.col("question"), F.col("contexts")).alias("prompt"))

@@ -28,10 +28,7 @@ def _tag(sf: str) -> str:
     return hashlib.md5(sf.encode()).hexdigest()[:10]
 
 
-def doc_index(spark, sf):
-    """Document vectors of the index, materialised once per input."""
-    return N.materialize(spark, f"doc-index-{_tag(sf)}",
-                         lambda: A.index_vectors(X.doc_corpus(spark, sf)))
+doc_index = QA.doc_index
 
 
 def _questions_by_arrival(spark, sf):
