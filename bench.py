@@ -33,8 +33,10 @@ def main() -> None:
     from qanat.sources.tables import table
 
     keys = list(QUERIES) if "--all" in sys.argv else (keys_arg or HEADLINE)
-    # warm-up: JVM + Python workers (not timed)
+    # warm-up: JVM and Python workers (not timed)
     spark.range(1000).selectExpr("sum(id)").collect()
+    w = spark.range(0, 64, 1, cpus).selectExpr("id", "cast(id as string) AS t")
+    w.mapInPandas(lambda it: (p for p in it), w.schema).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     failed: dict[str, str] = {}

@@ -54,8 +54,8 @@ def unwrap_vector(nested: Column) -> Column:
     return F.element_at(nested, 1)
 
 
-def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
-               out_col: str = "embedding") -> DataFrame:
+def hash_embed_expr(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
+                    out_col: str = "embedding") -> DataFrame:
     """Deterministic feature-hash embedding of whole texts.
 
     token = whitespace-separated word of lower(clean_text(text));
@@ -85,3 +85,45 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
                         lambda i: F.coalesce(F.element_at(F.col("__m"), i), F.lit(0)).cast("double"))
     return (per_doc.select(F.col("__id").alias(id_col), dense.alias("__raw"))
             .select(id_col, l2_normalize(F.col("__raw")).alias(out_col)))
+
+
+def _hash_embed_batches(id_col: str, text_col: str, out_col: str, dim: int):
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    from .text import JS_WHITESPACE_CHARS
+    table = {ord(ch): " " for ch in JS_WHITESPACE_CHARS}
+
+    def fn(batches):
+        cache: dict[str, tuple[int, int]] = {}
+        for pdf in batches:
+            out = []
+            for text in pdf[text_col]:
+                vec = np.zeros(dim, dtype=np.float64)
+                if text is not None:
+                    for tok in text.lower().translate(table).split(" "):
+                        if not tok:
+                            continue
+                        bs = cache.get(tok)
+                        if bs is None:
+                            h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+                            bs = (int(h[:8], 16) % dim, 1 if int(h[8], 16) % 2 == 0 else -1)
+                            cache[tok] = bs
+                        vec[bs[0]] += bs[1]
+                n = float(np.sqrt((vec * vec).sum()))
+                out.append(vec / n if n != 0 else vec)
+            yield pd.DataFrame({id_col: pdf[id_col], out_col: out})
+    return fn
+
+
+def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
+               out_col: str = "embedding") -> DataFrame:
+    """Same embedding as ``hash_embed_expr`` computed row-locally in Arrow
+    batches (``mapInPandas``): each document is embedded where it lies, so
+    no token rows are shuffled; md5 runs once per distinct token per task."""
+    from ..session import spread
+    id_type = df.schema[id_col].dataType.simpleString()
+    return spread(df.select(id_col, text_col)).mapInPandas(
+        _hash_embed_batches(id_col, text_col, out_col, dim), f"{id_col} {id_type}, {out_col} array<double>")

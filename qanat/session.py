@@ -29,6 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.driver.memory", os.environ.get("QANAT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.parquet.compression.codec", "zstd")
     )
@@ -67,3 +68,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame that arrives in fewer partitions than the
+    cluster has cores (e.g. one large single-row-group file) before CPU-heavy
+    row-local work; inputs that are already split are left alone (no shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df

@@ -20,42 +20,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import answers as A
-from ..operators import merge as M
 from ..session import shared_root
 
 STREAM_K = 10
 CHUNK_CHARS = 500
 
 
-# ------------------------------------------------------------ snapshots --
+# ------------------------------------------------------- merge-on-read --
 
-class SnapshotTable:
-    """A table as a sequence of committed snapshot directories v=<batch>.
+class LogTable:
+    """A keyed table kept as a base snapshot plus one delta directory per
+    micro-batch (``batch=<id>``); readers fold base and deltas by key.
 
-    ``commit`` is idempotent per batch id; ``latest`` reads the highest
-    committed snapshot (a directory with _SUCCESS)."""
+    A micro-batch writes only its own rows (cost O(batch), not O(table)),
+    a re-run of the same batch id overwrites its own directory (idempotent),
+    and compaction is simply writing ``read()`` as the next base."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        if not os.path.isdir(self.root):
-            return []
-        out = []
-        for d in os.listdir(self.root):
-            if d.startswith("v=") and os.path.exists(f"{self.root}/{d}/_SUCCESS"):
-                out.append(int(d[2:]))
-        return sorted(out)
+    def write_base(self, df: DataFrame) -> None:
+        if not os.path.exists(f"{self.root}/batch=0/_SUCCESS"):
+            df.write.mode("overwrite").parquet(f"{self.root}/batch=0")
 
-    def latest(self) -> DataFrame | None:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.root}/v={v[-1]:012d}") if v else None
+    def append(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id + 1}")
 
-    def commit(self, df: DataFrame, batch_id: int) -> None:
-        path = f"{self.root}/v={batch_id:012d}"
-        if os.path.exists(f"{path}/_SUCCESS"):
-            return                      # this batch was already committed
-        df.write.mode("overwrite").parquet(path)
+    def scan(self) -> DataFrame:
+        """All versions, with the ``batch`` partition column (0 = base)."""
+        return self.spark.read.parquet(self.root)
+
+    def fold(self, keys: list[str], order: list[str], first_cols: list[str] = ()) -> DataFrame:
+        """Latest version per key by (batch, *order); ``first_cols`` are taken
+        from the earliest version (e.g. created_at)."""
+        v = self.scan()
+        rest = [c for c in v.columns if c not in keys and c != "batch" and c not in first_cols]
+        aggs = [F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("__w")]
+        aggs += [F.min_by(c, F.struct("batch", *order)).alias(c) for c in first_cols]
+        return v.groupBy(*keys).agg(*aggs).select(*keys, "__w.*", *first_cols)
 
 
 def _run_available_now(stream_df: DataFrame, fn, checkpoint: str) -> None:
@@ -166,65 +168,73 @@ def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpo
 def stream_upsert_answers(spark: SparkSession, questions_dir: str, questions_schema: str,
                           corpus: DataFrame, doc_vectors: DataFrame, existing: DataFrame,
                           table_root: str, checkpoint: str, as_of, k: int = 3) -> DataFrame:
-    table = SnapshotTable(spark, table_root)
-    if table.latest() is None:
-        table.commit(existing, 0)
+    """Each micro-batch answers its questions and appends them as a delta;
+    the answers table is the fold: last (batch, question id) per slug wins,
+    timestamps come from the first version (never touched by updates)."""
+    table = LogTable(spark, table_root)
+    table.write_base(existing.withColumn("seq", F.lit(-1).cast("long")))
     src = spark.readStream.schema(questions_schema).option("maxFilesPerTrigger", 1).parquet(questions_dir)
+    ts = F.lit(as_of).cast("timestamp_ntz")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         asked = A.batch_ask(batch, corpus, k=k, doc_vectors=doc_vectors)
-        table.commit(A.save_answers(table.latest(), asked, as_of), batch_id + 1)
+        table.append(asked.select("slug", "question", "answer", "answer_snippet", "source", "category",
+                                  F.to_json("sources").alias("sources_json"), ts.alias("created_at"),
+                                  ts.alias("updated_at"), F.col("question_id").alias("seq")), batch_id)
 
     _run_available_now(src, sink, checkpoint)
-    return table.latest()
+    return table.fold(["slug"], ["seq"], first_cols=["created_at", "updated_at"]).drop("seq")
 
 
 # -------------------------------------------- T5: favorites from events --
 
 def stream_favorites(spark: SparkSession, events_dir: str, events_schema: str, table_root: str,
                      checkpoint: str) -> DataFrame:
-    """Add/remove events -> per key the latest event (tombstones kept, so
-    late and out-of-order events fold correctly) -> current favorites."""
-    table = SnapshotTable(spark, table_root)
+    """Add/remove events: each micro-batch appends its latest event per key;
+    the current favorites are the fold by (ts, event_id) over all deltas, so
+    late and out-of-order events land correctly and removals are kept as
+    tombstones until folded."""
+    table = LogTable(spark, table_root)
     src = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", 1).parquet(events_dir)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        cur = table.latest()
-        inc = batch.select("user_id", "answer_slug", "action", "ts", "event_id")
-        both = inc if cur is None else cur.unionByName(inc)
-        last = both.groupBy("user_id", "answer_slug").agg(
+        last = batch.groupBy("user_id", "answer_slug").agg(
             F.max_by(F.struct("action", "ts", "event_id"), F.struct("ts", "event_id")).alias("l"))
-        table.commit(last.select("user_id", "answer_slug", "l.action", "l.ts", "l.event_id"), batch_id)
+        table.append(last.select("user_id", "answer_slug", "l.action", "l.ts", "l.event_id"), batch_id)
 
     _run_available_now(src, sink, checkpoint)
-    st = table.latest()
-    return st.where(F.col("action") == "add").select("user_id", "answer_slug", F.col("ts").alias("created_at"))
+    v = table.scan()
+    cur = v.groupBy("user_id", "answer_slug").agg(
+        F.max_by(F.struct("action", "ts"), F.struct("ts", "event_id")).alias("l"))
+    return cur.where(F.col("l.action") == "add").select("user_id", "answer_slug", F.col("l.ts").alias("created_at"))
 
 
 # ------------------------------------------------ T6: incremental index --
 
 def stream_index(spark: SparkSession, docs_dir: str, docs_schema: str, existing: DataFrame,
                  table_root: str, checkpoint: str, as_of, payload: list[str], route) -> DataFrame:
-    """New document files -> skip ids already stored -> embed -> normalise ->
-    route -> upsert into the embedding table snapshot."""
+    """New document files -> skip ids already stored (reads the id column of
+    base + deltas only) -> embed -> normalise -> route -> append as a delta;
+    the table is the fold of base and deltas by id."""
     from ..functions import vectors as V
     from ..operators import joins as J
 
-    table = SnapshotTable(spark, table_root)
-    if table.latest() is None:
-        table.commit(existing, 0)
+    table = LogTable(spark, table_root)
+    table.write_base(existing.select("id", *payload, "created_at", "updated_at"))
     src = spark.readStream.schema(docs_schema).option("maxFilesPerTrigger", 1).parquet(docs_dir)
+    ts = F.lit(as_of).cast("timestamp_ntz")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        cur = table.latest()
-        todo = J.incremental_anti(batch, cur, ["id"])
+        known = table.scan().select("id")
+        todo = J.incremental_anti(batch, known, ["id"])
         emb = V.hash_embed(todo.select("id", "text"), "id", "text")
         rows = todo.join(emb, "id").select("id", route(F.col("id")).alias("shard_id"), "type", "source", "text",
-                                           V.l2_normalize(F.col("embedding")).alias("embedding"))
-        table.commit(M.upsert(cur, rows, ["id"], payload, as_of), batch_id + 1)
+                                           V.l2_normalize(F.col("embedding")).alias("embedding"),
+                                           ts.alias("created_at"), ts.alias("updated_at"))
+        table.append(rows, batch_id)
 
     _run_available_now(src, sink, checkpoint)
-    return table.latest()
+    return table.fold(["id"], [], first_cols=["created_at"])
 
 
 def land_files(df: DataFrame, root: str, part_col: str, parts: int) -> str:
