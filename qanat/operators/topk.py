@@ -66,26 +66,33 @@ def _block_topk(k: int):
     return kernel
 
 
-def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 2048
-                 ) -> DataFrame:
-    """queries(qid, qvec, cell), corpus(did, dvec, cell) -> (qid, did, score)
-    with at most k rows per qid (exact within the shared cells)."""
-    qc = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
-    dc = corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("nd"))
-    # one row per cell: bounded by the number of cells (1, or nlist for IVF)
-    cells = (qc.join(dc, "cell")
-             .select("cell",
-                     F.ceil(F.col("nq") / F.lit(block_rows)).cast("int").alias("sq"),
-                     F.ceil(F.col("nd") / F.lit(block_rows)).cast("int").alias("sd")))
-    cells = F.broadcast(cells)
-    q = (queries.join(cells, "cell")
-         .withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("sq")).cast("int"))
-         .withColumn("ds", F.explode(F.sequence(F.lit(0), F.col("sd") - 1)))
+def _salt(queries: DataFrame, corpus: DataFrame, sq, sd) -> tuple[DataFrame, DataFrame]:
+    q = (queries.withColumn("qs", F.pmod(F.xxhash64("qid"), sq).cast("int"))
+         .withColumn("ds", F.explode(F.sequence(F.lit(0), sd - 1)))
          .select("cell", "qs", "ds", "qid", "qvec"))
-    d = (corpus.join(cells, "cell")
-         .withColumn("ds", F.pmod(F.xxhash64("did"), F.col("sd")).cast("int"))
-         .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("sq") - 1)))
+    d = (corpus.withColumn("ds", F.pmod(F.xxhash64("did"), sd).cast("int"))
+         .withColumn("qs", F.explode(F.sequence(F.lit(0), sq - 1)))
          .select("cell", "qs", "ds", "did", "dvec"))
+    return q, d
+
+
+def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 2048,
+                 single_cell: bool = False) -> DataFrame:
+    """queries(qid, qvec, cell), corpus(did, dvec, cell) -> (qid, did, score)
+    with at most k rows per qid (exact within the shared cells)."""
+    if single_cell:
+        # block counts from two scalar counts: no join at all
+        sq = max(1, math.ceil(queries.count() / block_rows))
+        sd = max(1, math.ceil(corpus.count() / block_rows))
+        q, d = _salt(queries, corpus, F.lit(sq), F.lit(sd))
+    else:
+        qc = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
+        dc = corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("nd"))
+        # one row per cell: bounded by the number of cells (the nlist parameter)
+        cells = F.broadcast(qc.join(dc, "cell").select(
+            "cell", F.ceil(F.col("nq") / F.lit(block_rows)).cast("int").alias("sq"),
+            F.ceil(F.col("nd") / F.lit(block_rows)).cast("int").alias("sd")))
+        q, d = _salt(queries.join(cells, "cell"), corpus.join(cells, "cell"), F.col("sq"), F.col("sd"))
     return (q.groupBy("cell", "qs", "ds")
             .cogroup(d.groupBy("cell", "qs", "ds"))
             .applyInPandas(_block_topk(k), "qid long, did long, score double"))
@@ -110,7 +117,8 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
                        F.col(q_vec).cast("array<double>").alias("qvec"), F.lit(0).alias("cell"))
     d = corpus.select(F.col(d_id).cast("long").alias("did"),
                       F.col(d_vec).cast("array<double>").alias("dvec"), F.lit(0).alias("cell"))
-    return final_topk(blocked_topk(q, d, k, block_rows), k).select("qid", "rank", "did", "score")
+    return final_topk(blocked_topk(q, d, k, block_rows, single_cell=True), k).select(
+        "qid", "rank", "did", "score")
 
 
 # --- approximate search: IVF ------------------------------------------------
@@ -126,12 +134,16 @@ def train_centroids(corpus: DataFrame, d_vec: str, nlist: int, seed: int = 7,
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if nlist <= 1:
+        # a single cell: every vector belongs to it (exact search)
+        dim = corpus.select(F.size(d_vec)).first()[0]
+        return np.ones((1, dim), dtype=np.float64) / np.sqrt(dim)
     n = corpus.count()
     frac = min(1.0, max_train / max(n, 1))
     train = corpus.select(array_to_vector(F.col(d_vec).cast("array<double>")).alias("features"))
     if frac < 1.0:
         train = train.sample(False, frac, seed)
-    model = KMeans(k=min(nlist, max(n, 1)), seed=seed, maxIter=max_iter,
+    model = KMeans(k=max(2, min(nlist, n)), seed=seed, maxIter=max_iter,
                    initMode="k-means||").fit(train)
     c = np.vstack([np.asarray(x, dtype=np.float64) for x in model.clusterCenters()])
     nrm = np.sqrt((c * c).sum(axis=1))

@@ -12,6 +12,9 @@ from . import fixtures as X
 from .registry import register
 
 TOPK = 5
+# IVF knobs: the fixture vectors are weakly clustered, so 12 of 16 cells are
+# probed for recall@5 >= 0.9 (measured 0.95 at sf0.01 and sf0.1)
+ANN_NLIST, ANN_NPROBE = 16, 12
 
 _ALL_PAIRS_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 scored AS (
@@ -84,7 +87,7 @@ def q_context_preview(spark, sf):
 @register("ann_topk")
 def q_ann_topk(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    return K.ann_topk(e, e, TOPK, nlist=16, nprobe=6, q_id="vec_id", q_vec="embedding",
+    return K.ann_topk(e, e, TOPK, nlist=ANN_NLIST, nprobe=ANN_NPROBE, q_id="vec_id", q_vec="embedding",
                       d_id="vec_id", d_vec="embedding").select(
         "qid", "rank", "did", F.round("score", 6).alias("cos"))
 
@@ -92,7 +95,7 @@ def q_ann_topk(spark, sf):
 @register("ann_recall_at_k")
 def q_ann_recall(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    approx = K.ann_topk(e, e, TOPK, nlist=16, nprobe=6, q_id="vec_id", q_vec="embedding",
+    approx = K.ann_topk(e, e, TOPK, nlist=ANN_NLIST, nprobe=ANN_NPROBE, q_id="vec_id", q_vec="embedding",
                         d_id="vec_id", d_vec="embedding")
     return K.recall_at_k(approx, embedding_topk(spark, sf), TOPK)
 
