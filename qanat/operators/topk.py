@@ -98,6 +98,83 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int
             .applyInPandas(_block_topk(k), "qid long, did long, score double"))
 
 
+# Query matrices up to this many bytes are broadcast (size checked with a
+# count before anything is collected); larger query sets use the salted
+# block join, which never materialises either side in one place.
+BROADCAST_QUERY_BYTES = 256 << 20
+QUERY_CHUNK = 2048
+
+
+def _merge_topk(best_r, best_s, best_id, r, s, ids, k):
+    """Merge two (nq, k) candidate sets per query row: order by rounded
+    score desc, then id asc; keep k."""
+    R = np.concatenate([best_r, r], axis=1)
+    Sv = np.concatenate([best_s, s], axis=1)
+    I = np.concatenate([best_id, ids], axis=1)
+    order = np.lexsort((I, -R), axis=-1)[:, :k]
+    return (np.take_along_axis(R, order, 1), np.take_along_axis(Sv, order, 1),
+            np.take_along_axis(I, order, 1))
+
+
+def _scan_topk(bq, k: int):
+    """mapInPandas over corpus partitions against broadcast queries: one
+    matrix product per (Arrow batch, query chunk), running top-k per query,
+    emitted once per task (nq * k rows at most)."""
+    def fn(it):
+        qids, qm = bq.value
+        nq = len(qids)
+        best_r = np.full((nq, k), -np.inf)
+        best_s = np.full((nq, k), -np.inf)
+        best_id = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
+        seen = 0
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            dids = pdf["did"].to_numpy(dtype=np.int64)
+            dm = _unit_rows(pdf["dvec"].to_numpy())
+            seen += len(dids)
+            nd = len(dids)
+            kk = min(k, nd)
+            for q0 in range(0, nq, QUERY_CHUNK):
+                q1 = min(nq, q0 + QUERY_CHUNK)
+                sc = qm[q0:q1] @ dm.T                      # (qc, nd)
+                rc = np.round(sc, SCORE_DIGITS)
+                if nd > kk:
+                    kth = np.partition(rc, nd - kk, axis=1)[:, nd - kk]
+                    rows, cols = np.nonzero(rc >= kth[:, None])   # ties kept
+                else:
+                    rows, cols = np.nonzero(np.ones_like(rc, dtype=bool))
+                order = np.lexsort((dids[cols], -rc[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                starts = np.searchsorted(rows, np.arange(q1 - q0))
+                keep = (np.arange(len(rows)) - starts[rows]) < kk
+                rows, cols = rows[keep], cols[keep]
+                shape = (q1 - q0, kk)
+                cand_r = rc[rows, cols].reshape(shape)
+                cand_s = sc[rows, cols].reshape(shape)
+                cand_i = dids[cols].reshape(shape)
+                br, bs, bi = _merge_topk(best_r[q0:q1], best_s[q0:q1], best_id[q0:q1],
+                                         cand_r, cand_s, cand_i, k)
+                best_r[q0:q1], best_s[q0:q1], best_id[q0:q1] = br, bs, bi
+        if seen == 0:
+            return
+        valid = np.isfinite(best_r)
+        qq = np.repeat(qids[:, None], k, axis=1)
+        yield pd.DataFrame({"qid": qq[valid], "did": best_id[valid], "score": best_s[valid]})
+    return fn
+
+
+def broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Exact top-k with the (size-checked) query matrix broadcast: the corpus
+    is scanned in place and never shuffled; only k candidates per query and
+    task reach the final merge."""
+    rows = queries.select("qid", "qvec").collect()
+    qids = np.array([r[0] for r in rows], dtype=np.int64)
+    qm = _unit_rows([r[1] for r in rows]) if rows else np.zeros((0, 1))
+    bq = queries.sparkSession.sparkContext.broadcast((qids, qm))
+    return corpus.select("did", "dvec").mapInPandas(_scan_topk(bq, k), "qid long, did long, score double")
+
+
 def final_topk(cands: DataFrame, k: int) -> DataFrame:
     """Merge block candidates: rank on round(score, 9) desc, then did."""
     w = Window.partitionBy("qid").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("did"))
@@ -107,9 +184,12 @@ def final_topk(cands: DataFrame, k: int) -> DataFrame:
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
                 q_id: str = "qid", q_vec: str = "qvec", d_id: str = "did", d_vec: str = "dvec",
-                block_rows: int = 2048) -> DataFrame:
+                block_rows: int = 2048, strategy: str = "auto") -> DataFrame:
     """Exact cosine top-k of every query against the whole corpus.
 
+    strategy: ``broadcast`` (query matrix broadcast, corpus scanned in
+    place), ``blocked`` (salted block cogroup, both sides shuffled), or
+    ``auto`` = broadcast when nq * dim * 8 <= BROADCAST_QUERY_BYTES.
     Returns (qid, rank, did, score); fewer than k rows only when the corpus
     has fewer than k vectors.
     """
@@ -117,8 +197,16 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
                        F.col(q_vec).cast("array<double>").alias("qvec"), F.lit(0).alias("cell"))
     d = corpus.select(F.col(d_id).cast("long").alias("did"),
                       F.col(d_vec).cast("array<double>").alias("dvec"), F.lit(0).alias("cell"))
-    return final_topk(blocked_topk(q, d, k, block_rows, single_cell=True), k).select(
-        "qid", "rank", "did", "score")
+    if strategy == "auto":
+        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim")).first()
+        need = (stats["n"] or 0) * (stats["dim"] or 0) * 8
+        strategy = "broadcast" if need <= BROADCAST_QUERY_BYTES else "blocked"
+    if strategy == "broadcast":
+        from ..session import spread
+        cands = broadcast_topk(q, spread(d), k)
+    else:
+        cands = blocked_topk(q, d, k, block_rows, single_cell=True)
+    return final_topk(cands, k).select("qid", "rank", "did", "score")
 
 
 # --- approximate search: IVF ------------------------------------------------

@@ -32,7 +32,8 @@ def test_blocked_topk_exact_under_salting(spark):
     mat = np.array([r[1] for r in rows], dtype=np.float64)
     want = brute_topk(ids, mat, 4)
     # block_rows=64 splits the single cell into 8 x 8 salted groups
-    got = K.cosine_topk(e, e, 4, "vec_id", "embedding", "vec_id", "embedding", block_rows=64)
+    got = K.cosine_topk(e, e, 4, "vec_id", "embedding", "vec_id", "embedding", block_rows=64,
+                        strategy="blocked")
     assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == want
 
 
@@ -92,3 +93,12 @@ def test_upsert_idempotent(spark):
     twice = M.upsert(once, inc, ["id"], ["v"], "2024-02-01")
     key = lambda df: sorted(tuple(r) for r in df.select("id", "v", "created_at").collect())
     assert key(once) == key(twice)
+
+
+def test_broadcast_and_blocked_strategies_agree(spark):
+    e = table(spark, SF_SMALL, "embeddings", "vec_id", "embedding")
+    rows = e.orderBy("vec_id").collect()
+    want = brute_topk(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64), 3)
+    for strategy in ("broadcast", "blocked"):
+        got = K.cosine_topk(e, e, 3, "vec_id", "embedding", "vec_id", "embedding", strategy=strategy)
+        assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == want, strategy
