@@ -57,17 +57,23 @@ def proportional_quota(counts: DataFrame, max_documents: int | None, key: str =
     return counts.withColumn("quota", quota.cast("long"))
 
 
-def stride_keep(pos: Column, n: Column, m: Column) -> Column:
-    """True when position ``pos`` (0-based of n) is one of floor(i * (n/m)),
-    i in [0, m). A per-row test instead of generating m indices: step > 1
-    when m < n, so the candidate i is ceil(pos/step) (+-1 for rounding)."""
+def stride_index(pos: Column, n: Column, m: Column) -> Column:
+    """The sample index i when position ``pos`` (0-based of n) is one of
+    floor(i * (n/m)), i in [0, m); null otherwise. A per-row test instead of
+    generating m indices: step > 1 when m < n, so the candidate i is
+    ceil(pos/step) (+-1 for rounding). m >= n keeps everything (i = pos)."""
     step = n.cast("double") / m.cast("double")
     c = F.ceil(pos / step)
-    hit = F.lit(False)
-    for d in (-1, 0, 1):
+    hit = F.lit(None).cast("long")
+    for d in (1, 0, -1):
         i = c + d
-        hit = hit | ((i >= 0) & (i < m) & (F.floor(i * step) == pos))
-    return F.when(m >= n, F.lit(True)).when(m <= 0, F.lit(False)).otherwise(hit)
+        hit = F.when((i >= 0) & (i < m) & (F.floor(i * step) == pos), i).otherwise(hit)
+    return (F.when(m >= n, pos.cast("long")).when(m <= 0, F.lit(None).cast("long"))
+            .otherwise(hit))
+
+
+def stride_keep(pos: Column, n: Column, m: Column) -> Column:
+    return stride_index(pos, n, m).isNotNull()
 
 
 def recent_n(df: DataFrame, ts_col: str, n: int, tie: str) -> DataFrame:

@@ -164,11 +164,12 @@ def _scan_topk(bq, k: int):
     return fn
 
 
-def broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int, rows=None) -> DataFrame:
     """Exact top-k with the (size-checked) query matrix broadcast: the corpus
     is scanned in place and never shuffled; only k candidates per query and
     task reach the final merge."""
-    rows = queries.select("qid", "qvec").collect()
+    if rows is None:
+        rows = queries.select("qid", "qvec").collect()
     qids = np.array([r[0] for r in rows], dtype=np.int64)
     qm = _unit_rows([r[1] for r in rows]) if rows else np.zeros((0, 1))
     bq = queries.sparkSession.sparkContext.broadcast((qids, qm))
@@ -197,13 +198,18 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
                        F.col(q_vec).cast("array<double>").alias("qvec"), F.lit(0).alias("cell"))
     d = corpus.select(F.col(d_id).cast("long").alias("did"),
                       F.col(d_vec).cast("array<double>").alias("dvec"), F.lit(0).alias("cell"))
+    rows = None
     if strategy == "auto":
-        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim")).first()
-        need = (stats["n"] or 0) * (stats["dim"] or 0) * 8
-        strategy = "broadcast" if need <= BROADCAST_QUERY_BYTES else "blocked"
+        # a bounded collect: at most budget/(dim*8) + 1 query rows ever reach
+        # the driver; one row more than the budget switches to the block join
+        first = d.select(F.size("dvec")).first()
+        dim = max(1, first[0] if first and first[0] else 1)
+        cap = max(1, BROADCAST_QUERY_BYTES // (dim * 8))
+        rows = q.select("qid", "qvec").limit(cap + 1).collect()
+        strategy = "broadcast" if len(rows) <= cap else "blocked"
     if strategy == "broadcast":
         from ..session import spread
-        cands = broadcast_topk(q, spread(d), k)
+        cands = broadcast_topk(q, spread(d), k, rows)
     else:
         cands = blocked_topk(q, d, k, block_rows, single_cell=True)
     return final_topk(cands, k).select("qid", "rank", "did", "score")

@@ -381,7 +381,8 @@ def stride_sample(spark, sf, max_documents=MAX_DOCUMENTS):
     # per-type tables have one row per corpus: broadcast is bounded by that
     meta = F.broadcast(q.join(start, "type"))
     x = ids.join(meta, "type").withColumn("pos", F.col("id") - F.col("start"))
-    return x.where(W.stride_keep(F.col("pos"), F.col("available"), F.col("quota")))
+    return (x.withColumn("i", W.stride_index(F.col("pos"), F.col("available"), F.col("quota")))
+            .where(F.col("i").isNotNull()))
 
 
 _STRIDE_SQL = f"""ranked AS (SELECT type, okey, row_number() OVER (PARTITION BY type ORDER BY okey) - 1 AS pos FROM corpus),

@@ -339,9 +339,20 @@ def build_index(spark, sf, max_documents=C.MAX_DOCUMENTS):
     """Quota -> strided sample -> union -> dense ids over the sample ->
     skip stored ids -> clean + embed -> normalise -> typed metadata -> route
     -> upsert into the stored table."""
-    sample = C.stride_sample(spark, sf, max_documents).select("type", "ord", "okey")
+    sample = C.stride_sample(spark, sf, max_documents).select("type", "ord", "okey", "i")
+    # ids are positions in the sampled concatenation: the rows kept by earlier
+    # corpora (a per-corpus table, bounded by the number of corpora) plus the
+    # sample index i -- no second global sort
+    kept = C.quotas(spark, sf, max_documents).select(
+        "type", F.least("quota", "available").alias("kept"))
+    order = {"quran": 0, "hadith": 1, "tafsir": 2, "dua": 3, "seerah": 4}
+    ordc = F.element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("type"))
+    offs = kept.withColumn("ord", ordc).withColumn(
+        "off", F.sum("kept").over(W.Window.orderBy("ord").rowsBetween(W.Window.unboundedPreceding, -1)))
+    offs = F.broadcast(offs.select("ord", F.coalesce("off", F.lit(0)).alias("off")))
     texts = C.corpus_union(spark, sf).select("ord", "okey", "text", "source")
-    docs = W.global_index(sample.join(texts, ["ord", "okey"]), ["ord", "okey"], "id")
+    docs = (sample.join(offs, "ord").join(texts, ["ord", "okey"])
+            .withColumn("id", (F.col("off") + F.col("i")).cast("long")).drop("off", "i"))
     stored = existing_rows(spark, sf).drop("label", "metadata")
     todo = J.incremental_anti(docs, stored, ["id"])
     emb = V.hash_embed(todo.select("id", "text"), "id", "text")

@@ -70,9 +70,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHUFFLING = ("Join ", "Aggregate ", "Window", "Repartition", "Sort ", "Deduplicate", "Expand ")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame that arrives in fewer partitions than the
-    cluster has cores (e.g. one large single-row-group file) before CPU-heavy
-    row-local work; inputs that are already split are left alone (no shuffle)."""
+    """Round-robin a scan-only DataFrame that arrives in fewer partitions than
+    the cluster has cores (e.g. one large single-row-group file) before
+    CPU-heavy row-local work. Anything downstream of a shuffle already has
+    shuffle-sized partitions and is returned unchanged (and is not planned
+    eagerly)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(tok in plan for tok in _SHUFFLING):
+        return df
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
