@@ -46,7 +46,7 @@ def verses_files(spark, sf):
             "ayahs")).alias("surahs")).alias("data"))
         return s
     N.materialize(spark, f"fx-verses-{_tag(sf)}", build, fmt="json")
-    return spark.read.schema(N.VERSES_FILE).json(f"{N.shared_root(spark)}/materialized/fx-verses-{_tag(sf)}")
+    return spark.read.schema(N.VERSES_FILE).json(N.materialized_path(spark, f"fx-verses-{_tag(sf)}"))
 
 
 def duas_files(spark, sf):
@@ -62,7 +62,7 @@ def duas_files(spark, sf):
         return g.select(F.array(F.struct("TITLE", "TEXT")).alias("English"))
     name = f"fx-duas-{_tag(sf)}"
     N.materialize(spark, name, build, fmt="json")
-    return spark.read.schema(N.DUAS_FILE).json(f"{N.shared_root(spark)}/materialized/{name}")
+    return spark.read.schema(N.DUAS_FILE).json(N.materialized_path(spark, name))
 
 
 def editions_root(spark, sf):
@@ -74,7 +74,7 @@ def editions_root(spark, sf):
                         "text", eid.alias("editionId"))
     name = f"fx-editions-{_tag(sf)}"
     N.materialize(spark, name, build, fmt="json", partition_by=["editionId"])
-    return f"{N.shared_root(spark)}/materialized/{name}"
+    return N.materialized_path(spark, name)
 
 
 def hadith_pages(spark, sf):
@@ -96,7 +96,7 @@ def hadith_pages(spark, sf):
                                  ).alias("hadiths"))
     name = f"fx-hadith-pages-{_tag(sf)}"
     N.materialize(spark, name, build, fmt="json")
-    return spark.read.schema(N.HADITH_PAGE).json(f"{N.shared_root(spark)}/materialized/{name}")
+    return spark.read.schema(N.HADITH_PAGE).json(N.materialized_path(spark, name))
 
 
 def tafsir_grid_root(spark, sf):
@@ -110,7 +110,7 @@ def tafsir_grid_root(spark, sf):
                         F.col("c_name").alias("text"), F.col("e").alias("edition"),
                         F.col("c_nationkey").alias("surah_dir"))
     name = f"fx-tafsir-grid-{_tag(sf)}"
-    path = f"{N.shared_root(spark)}/materialized/{name}"
+    path = N.materialized_path(spark, name)
     if not N.committed(path):
         (build().withColumnRenamed("surah_dir", "surah_part").write.mode("overwrite")
          .partitionBy("edition", "surah_part").json(path))

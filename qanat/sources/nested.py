@@ -61,11 +61,32 @@ def committed(path: str) -> bool:
     return os.path.exists(os.path.join(path, "_SUCCESS"))
 
 
+def _code_fingerprint() -> str:
+    """Digest of this package's source: snapshots written by other code
+    versions are never read back as current."""
+    import hashlib
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.md5()
+    for dirpath, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(fh.read())
+    return h.hexdigest()[:8]
+
+
+CODE_VERSION = _code_fingerprint()
+
+
+def materialized_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/materialized/{CODE_VERSION}/{name}"
+
+
 def materialize(spark: SparkSession, name: str, builder, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> DataFrame:
     """Read-through snapshot (S9): read ``name`` from the shared folder when a
     committed copy exists, else build, write, and read it back."""
-    path = f"{shared_root(spark)}/materialized/{name}"
+    path = materialized_path(spark, name)
     if not committed(path):
         w = builder().write.mode("overwrite")
         if partition_by:
