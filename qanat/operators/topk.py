@@ -262,21 +262,36 @@ def _assign(centroids: np.ndarray, id_col: str, vec_col: str, nprobe: int):
     return fn
 
 
-def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, nlist: int = 16,
-             nprobe: int = 4, q_id: str = "qid", q_vec: str = "qvec", d_id: str = "did",
-             d_vec: str = "dvec", block_rows: int = 2048, seed: int = 7) -> DataFrame:
-    """IVF search: each corpus vector lives in its nearest cell, each query
-    probes its ``nprobe`` nearest cells, candidates are re-ranked exactly."""
-    q = queries.select(F.col(q_id).cast("long").alias("qid"),
-                       F.col(q_vec).cast("array<double>").alias("qvec"))
+def build_ivf(corpus: DataFrame, nlist: int = 16, d_id: str = "did", d_vec: str = "dvec",
+              seed: int = 7) -> tuple[np.ndarray, DataFrame]:
+    """IVF index: (unit centroids, corpus rows tagged with their nearest
+    cell). Callers write the tagged table once (see ``plans``) and search it
+    many times, like the reference builds its index once and loads it."""
     d = corpus.select(F.col(d_id).cast("long").alias("did"),
                       F.col(d_vec).cast("array<double>").alias("dvec"))
     cent = train_centroids(d, "dvec", nlist, seed=seed)
-    qa = q.mapInPandas(_assign(cent, "qid", "qvec", nprobe),
-                       "qid long, qvec array<double>, cell int")
-    da = d.mapInPandas(_assign(cent, "did", "dvec", 1),
-                       "did long, dvec array<double>, cell int")
-    return final_topk(blocked_topk(qa, da, k, block_rows), k).select("qid", "rank", "did", "score")
+    tagged = d.mapInPandas(_assign(cent, "did", "dvec", 1), "did long, dvec array<double>, cell int")
+    return cent, tagged
+
+
+def ann_search(queries: DataFrame, centroids: np.ndarray, index: DataFrame, k: int = 5, nprobe: int = 4,
+               q_id: str = "qid", q_vec: str = "qvec", block_rows: int = 2048) -> DataFrame:
+    """Each query probes its ``nprobe`` nearest cells; candidates in those
+    cells are scored exactly by the salted block kernel (a hot cell is split
+    into bounded block pairs) and merged to the top k."""
+    q = queries.select(F.col(q_id).cast("long").alias("qid"),
+                       F.col(q_vec).cast("array<double>").alias("qvec"))
+    qa = q.mapInPandas(_assign(centroids, "qid", "qvec", nprobe), "qid long, qvec array<double>, cell int")
+    return final_topk(blocked_topk(qa, index.select("did", "dvec", "cell"), k, block_rows), k).select(
+        "qid", "rank", "did", "score")
+
+
+def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, nlist: int = 16,
+             nprobe: int = 4, q_id: str = "qid", q_vec: str = "qvec", d_id: str = "did",
+             d_vec: str = "dvec", block_rows: int = 2048, seed: int = 7) -> DataFrame:
+    """IVF search in one call (index built on the fly)."""
+    cent, tagged = build_ivf(corpus, nlist, d_id, d_vec, seed)
+    return ann_search(queries, cent, tagged, k, nprobe, q_id, q_vec, block_rows)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

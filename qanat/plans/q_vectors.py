@@ -84,20 +84,48 @@ def q_context_preview(spark, sf):
                              F.substring("text", 1, 80), F.lit("...")).alias("preview")))
 
 
+def ivf_index(spark, sf):
+    """IVF index over the embeddings: centroids (nlist x dim, bounded by the
+    parameter) and the cell-tagged vectors, written once to the shared folder."""
+    import hashlib
+
+    import numpy as np
+
+    from ..sources import nested as N
+    tag = hashlib.md5(sf.encode()).hexdigest()[:10]
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    holder = {}
+
+    def build():
+        cent, tagged = K.build_ivf(e, ANN_NLIST, "vec_id", "embedding")
+        holder["c"] = cent
+        return tagged.withColumn("centroids", F.lit(None).cast("array<double>"))
+    idx = N.materialize(spark, f"ivf-{tag}", build)
+    cpath = N.materialized_path(spark, f"ivf-{tag}-centroids")
+    if not N.committed(cpath):
+        cent = holder.get("c")
+        if cent is None:                      # index exists but centroids were lost: retrain
+            cent, _ = K.build_ivf(e, ANN_NLIST, "vec_id", "embedding")
+        spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(cent)],
+                              "cell int, centroid array<double>").write.mode("overwrite").parquet(cpath)
+    rows = spark.read.parquet(cpath).orderBy("cell").collect()     # nlist rows
+    return np.array([r["centroid"] for r in rows], dtype=np.float64), idx.drop("centroids")
+
+
+def ann_hits(spark, sf):
+    e = table(spark, sf, "embeddings", "vec_id", "embedding")
+    cent, idx = ivf_index(spark, sf)
+    return K.ann_search(e, cent, idx, TOPK, ANN_NPROBE, q_id="vec_id", q_vec="embedding")
+
+
 @register("ann_topk")
 def q_ann_topk(spark, sf):
-    e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    return K.ann_topk(e, e, TOPK, nlist=ANN_NLIST, nprobe=ANN_NPROBE, q_id="vec_id", q_vec="embedding",
-                      d_id="vec_id", d_vec="embedding").select(
-        "qid", "rank", "did", F.round("score", 6).alias("cos"))
+    return ann_hits(spark, sf).select("qid", "rank", "did", F.round("score", 6).alias("cos"))
 
 
 @register("ann_recall_at_k")
 def q_ann_recall(spark, sf):
-    e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    approx = K.ann_topk(e, e, TOPK, nlist=ANN_NLIST, nprobe=ANN_NPROBE, q_id="vec_id", q_vec="embedding",
-                        d_id="vec_id", d_vec="embedding")
-    return K.recall_at_k(approx, embedding_topk(spark, sf), TOPK)
+    return K.recall_at_k(ann_hits(spark, sf), embedding_topk(spark, sf), TOPK)
 
 
 @register("unwrap_vector", """
