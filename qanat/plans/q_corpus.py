@@ -111,7 +111,7 @@ def tafsir_grid_root(spark, sf):
                         F.col("c_nationkey").alias("surah_dir"))
     name = f"fx-tafsir-grid-{_tag(sf)}"
     path = N.materialized_path(spark, name)
-    if not N.committed(path):
+    if not N.committed(path, spark):
         (build().withColumnRenamed("surah_dir", "surah_part").write.mode("overwrite")
          .partitionBy("edition", "surah_part").json(path))
     return path

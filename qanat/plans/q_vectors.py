@@ -102,7 +102,7 @@ def ivf_index(spark, sf):
         return tagged.withColumn("centroids", F.lit(None).cast("array<double>"))
     idx = N.materialize(spark, f"ivf-{tag}", build)
     cpath = N.materialized_path(spark, f"ivf-{tag}-centroids")
-    if not N.committed(cpath):
+    if not N.committed(cpath, spark):
         cent = holder.get("c")
         if cent is None:                      # index exists but centroids were lost: retrain
             cent, _ = K.build_ivf(e, ANN_NLIST, "vec_id", "embedding")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import routing as R
 from ..functions import text as X
-from ..session import shared_root
+from ..session import fs_exists, fs_list_dirs, shared_root
 
 # ---------------------------------------------------------------- schemas --
 
@@ -57,8 +57,10 @@ TAFSIR_AYAH = T.StructType([T.StructField("ayah", T.LongType()),
 
 # ---------------------------------------------------------------- helpers --
 
-def committed(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+def committed(path: str, spark: SparkSession | None = None) -> bool:
+    """A directory written completely by Spark (it has ``_SUCCESS``)."""
+    spark = spark or SparkSession.getActiveSession()
+    return fs_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def _code_fingerprint() -> str:
@@ -87,7 +89,7 @@ def materialize(spark: SparkSession, name: str, builder, fmt: str = "parquet",
     """Read-through snapshot (S9): read ``name`` from the shared folder when a
     committed copy exists, else build, write, and read it back."""
     path = materialized_path(spark, name)
-    if not committed(path):
+    if not committed(path, spark):
         w = builder().write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
@@ -138,8 +140,8 @@ def edition_union(spark: SparkSession, root: str, editions=R.EDITIONS) -> DataFr
     """All edition files in one scan; the edition id comes from the file
     path, name from the (constant) edition list; missing editions are
     skipped."""
-    present = [eid for eid, _ in editions if committed(f"{root}/editionId={eid}")
-               or os.path.isdir(f"{root}/editionId={eid}")]
+    dirs = set(fs_list_dirs(spark, root))
+    present = [eid for eid, _ in editions if f"editionId={eid}" in dirs]
     if not present:
         return spark.createDataFrame([], "surah long, ayah long, text string, edition string, "
                                          "editionId string, language string")

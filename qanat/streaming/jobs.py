@@ -10,7 +10,6 @@ live in the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import answers as A
-from ..session import shared_root
+from ..session import fs_exists, shared_root
 
 STREAM_K = 10
 CHUNK_CHARS = 500
@@ -40,7 +39,7 @@ class LogTable:
         self.spark, self.root = spark, root.rstrip("/")
 
     def write_base(self, df: DataFrame) -> None:
-        if not os.path.exists(f"{self.root}/batch=0/_SUCCESS"):
+        if not fs_exists(self.spark, f"{self.root}/batch=0/_SUCCESS"):
             df.write.mode("overwrite").parquet(f"{self.root}/batch=0")
 
     def append(self, df: DataFrame, batch_id: int) -> None:
