@@ -217,8 +217,9 @@ def shard_health(spark, sf):
 WITH {_HEALTH_SQL}
 SELECT * FROM health""")
 def q_shard_health(spark, sf):
+    # ordered by shard id like the reference's health report (3 rows)
     return shard_health(spark, sf).select("shard_id", "total_queries", "avg_query_ms", "last_query_at",
-                                          "last_error", "active")
+                                          "last_error", "active").orderBy("shard_id")
 
 
 @register("overall_status", f"""
