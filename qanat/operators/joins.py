@@ -55,7 +55,7 @@ def favorite_answers_page(favorites: DataFrame, answers: DataFrame, user_col: st
     join answers: missing answers shrink the page; ``rank`` keeps the order."""
     skip = (page - 1) * limit
     w = Window.partitionBy(user_col).orderBy(F.col("created_at").desc(), F.col("answer_slug"))
-    pg = (favorites.withColumn("rank", F.row_number().over(w))
+    pg = (favorites.withColumn("rank", F.row_number().over(w).cast("long"))
           .where((F.col("rank") > skip) & (F.col("rank") <= skip + limit)))
     a = answers.withColumnRenamed("created_at", "answer_created_at")
     return pg.join(a, pg.answer_slug == a.slug, "inner").drop("answer_slug")

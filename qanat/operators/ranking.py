@@ -85,7 +85,7 @@ def recent_n_per_key(df: DataFrame, key: str, ts_col: str, n: int, tie: str) ->
     """Top-n most recent per key; planned as WindowGroupLimit (partial top-n
     before the shuffle, so a hot key ships at most n rows per partition)."""
     w = Window.partitionBy(key).orderBy(F.col(ts_col).desc(), F.col(tie))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
 def page_per_key(df: DataFrame, key: str, ts_col: str, tie: str, page: int, limit: int
@@ -93,7 +93,7 @@ def page_per_key(df: DataFrame, key: str, ts_col: str, tie: str, page: int, limi
     """Page ``page`` (1-based) of ``limit`` rows per key, newest first."""
     skip = (page - 1) * limit
     w = Window.partitionBy(key).orderBy(F.col(ts_col).desc(), F.col(tie))
-    return (df.withColumn("rank", F.row_number().over(w))
+    return (df.withColumn("rank", F.row_number().over(w).cast("long"))
             .where((F.col("rank") > skip) & (F.col("rank") <= skip + limit)))
 
 

@@ -179,7 +179,7 @@ def broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int, rows=None) ->
 def final_topk(cands: DataFrame, k: int) -> DataFrame:
     """Merge block candidates: rank on round(score, 9) desc, then did."""
     w = Window.partitionBy("qid").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("did"))
-    return (cands.withColumn("rank", F.row_number().over(w))
+    return (cands.withColumn("rank", F.row_number().over(w).cast("long"))
             .where(F.col("rank") <= k))
 
 

@@ -65,7 +65,7 @@ FROM asked""")
 def q_batch_ask(spark, sf):
     a = _asked(spark, sf)
     return a.select("question_id", "slug", "answer", "answer_snippet", "source", "category",
-                    F.size("sources").alias("n_sources"))
+                    F.size("sources").cast("long").alias("n_sources"))
 
 
 @register("sources_array", f"""

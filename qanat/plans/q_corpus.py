@@ -403,7 +403,7 @@ def q_stride_sample(spark, sf):
 WITH {CORPUS_SQL}, {_QUOTA_SQL}, {_STRIDE_SQL},
 per AS (SELECT q.type, q.available, (SELECT count(*) FROM sample s WHERE s.type = q.type) AS sampled FROM quota q)
 SELECT type, available, sampled FROM per
-UNION ALL SELECT 'TOTAL', sum(available), sum(sampled) FROM per""")
+UNION ALL SELECT 'TOTAL', CAST(sum(available) AS BIGINT), CAST(sum(sampled) AS BIGINT) FROM per""")
 def q_corpus_summary(spark, sf):
     sampled = stride_sample(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("sampled"))
     per = quotas(spark, sf).join(sampled, "type", "left").select(

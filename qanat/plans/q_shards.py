@@ -131,7 +131,7 @@ def q_max_id(spark, sf):
 WITH {C.CORPUS_SQL}, {EMB_SQL},
 ids AS (SELECT row_number() OVER (ORDER BY ord, okey) - 1 AS id FROM corpus)
 SELECT CAST(floor(i.id / 100) AS BIGINT) AS batch, count(*) AS docs,
-       sum(CASE WHEN x.id IS NULL THEN 1 ELSE 0 END) AS to_embed,
+       CAST(sum(CASE WHEN x.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS to_embed,
        sum(CASE WHEN x.id IS NULL THEN 1 ELSE 0 END) = 0 AS skipped
 FROM ids i LEFT JOIN existing x ON i.id = x.id GROUP BY 1""")
 def q_batch_plan(spark, sf):
@@ -169,7 +169,7 @@ def _payload_bytes():
 
 @register("shard_storage_alert", f"""
 WITH {EMB_SQL},
-s AS (SELECT shard_id, sum(strlen(text) + strlen(source) + strlen(type) + len(embedding) * 8 + 12) AS size_bytes
+s AS (SELECT shard_id, CAST(sum(strlen(text) + strlen(source) + strlen(type) + len(embedding) * 8 + 12) AS BIGINT) AS size_bytes
       FROM merged GROUP BY shard_id),
 c AS (SELECT s.*, CASE {' '.join(f'WHEN shard_id = {k} THEN {v}' for k, v in SHARD_MAX_BYTES.items())}
                    ELSE {DEFAULT_MAX_BYTES} END AS max_bytes FROM s)
@@ -224,7 +224,7 @@ def q_shard_health(spark, sf):
 
 @register("overall_status", f"""
 WITH {EMB_SQL}, {_HEALTH_SQL.replace('query_log AS', 'query_log AS', 1)},
-s AS (SELECT shard_id, sum(strlen(text) + strlen(source) + strlen(type) + len(embedding) * 8 + 12) AS size_bytes
+s AS (SELECT shard_id, CAST(sum(strlen(text) + strlen(source) + strlen(type) + len(embedding) * 8 + 12) AS BIGINT) AS size_bytes
       FROM merged GROUP BY shard_id),
 a AS (SELECT count(*) FILTER (WHERE size_bytes / CASE {' '.join(f'WHEN shard_id = {k} THEN {v}' for k, v in SHARD_MAX_BYTES.items())}
                    ELSE {DEFAULT_MAX_BYTES} END >= {USAGE_THRESHOLD}) AS alerts FROM s),

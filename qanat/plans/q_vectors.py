@@ -139,7 +139,7 @@ def q_unwrap_vector(spark, sf):
     flat = V.as_double_vector(F.col("embedding"))
     v = F.when(nested.isNotNull(), V.unwrap_vector(nested)).otherwise(flat)
     return e.select("vec_id", F.transform(v, lambda x: F.round(x, 6)).alias("vector"),
-                    F.size(v).alias("dims"))
+                    F.size(v).cast("long").alias("dims"))
 
 
 @register("dimension_audit", """
@@ -147,7 +147,7 @@ WITH m(model, expected) AS (VALUES ('Xenova/all-MiniLM-L6-v2', 384), ('Xenova/al
                                    ('Xenova/bge-small-en-v1.5', 384), ('Xenova/bge-m3', 1024),
                                    ('hash-64', 64))
 SELECT m.model, m.expected, count(*) AS vectors,
-       sum(CASE WHEN len(e.embedding) <> m.expected THEN 1 ELSE 0 END) AS mismatched
+       CAST(sum(CASE WHEN len(e.embedding) <> m.expected THEN 1 ELSE 0 END) AS BIGINT) AS mismatched
 FROM embeddings e, m GROUP BY m.model, m.expected""")
 def q_dimension_audit(spark, sf):
     e = table(spark, sf, "embeddings", "embedding")

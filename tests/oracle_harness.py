@@ -7,6 +7,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -14,6 +15,9 @@ import duckdb
 from qanat.sources.tables import TABLES
 
 
+EXACT = os.environ.get("QANAT_EXACT_FLOATS") == "1"
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -29,7 +33,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5)
+        return v if EXACT else round(v, 5)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 5)
     if isinstance(v, dt.datetime):
