@@ -87,6 +87,9 @@ def hash_embed_expr(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_D
             .select(id_col, l2_normalize(F.col("__raw")).alias(out_col)))
 
 
+_TOKEN_CACHE_MAX = 1_000_000
+
+
 def _hash_embed_batches(id_col: str, text_col: str, out_col: str, dim: int):
     import hashlib
 
@@ -108,6 +111,8 @@ def _hash_embed_batches(id_col: str, text_col: str, out_col: str, dim: int):
                             continue
                         bs = cache.get(tok)
                         if bs is None:
+                            if len(cache) >= _TOKEN_CACHE_MAX:
+                                cache.clear()             # bounded memory per task
                             h = hashlib.md5(tok.encode("utf-8")).hexdigest()
                             bs = (int(h[:8], 16) % dim, 1 if int(h[8], 16) % 2 == 0 else -1)
                             cache[tok] = bs

@@ -112,17 +112,23 @@ def build_prompt(question, contexts, stream: bool = False):
 
 
 def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | None = None, k: int = 3,
-              doc_vectors: DataFrame | None = None) -> DataFrame:
+              doc_vectors: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
     """Answer records for a table of questions.
 
     ``generated`` is an optional input table (slug, answer) of model output;
     without it the extractive default is the best-ranked context in <p>.
     Questions with no context get the fixed answer, source 'System',
-    category 'Uncategorized' and an empty sources array.
+    category 'Uncategorized' and an empty sources array. With a
+    ``categories`` table (slug, name) the category goes through
+    find-or-create: an existing slug keeps its stored name.
     """
     q = questions.select("question_id", "question", T.slugify(F.col("question")).alias("slug"))
     hits = retrieve(q.select("question_id", "question"), corpus, k, doc_vectors)
     per = per_question(hits)
+    if categories is not None:
+        cats = categories.select(F.col("slug").alias("__cs"), F.col("name").alias("__cn"))
+        per = (per.withColumn("__cs", T.slugify(F.col("category"))).join(cats, "__cs", "left")
+               .withColumn("category", F.coalesce("__cn", "category")).drop("__cs", "__cn"))
     j = q.join(per, "question_id", "left")
     if generated is not None:
         j = j.join(generated.select("slug", F.col("answer").alias("__gen")), "slug", "left")

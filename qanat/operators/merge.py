@@ -105,3 +105,27 @@ def write_snapshot(df: DataFrame, table: str, partition_by: list[str] | None = N
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
+
+
+# Declared schema of the sharded embedding table (S14); shard_id last, as
+# the partition column.
+EMBEDDING_TABLE_COLUMNS = (
+    ("id", "BIGINT"), ("type", "STRING"), ("source", "STRING"), ("text", "STRING"),
+    ("metadata", "STRING"), ("embedding", "ARRAY<DOUBLE>"), ("created_at", "TIMESTAMP_NTZ"),
+    ("updated_at", "TIMESTAMP_NTZ"), ("shard_id", "INT"))
+
+
+def ensure_embedding_table(spark, name: str, location: str) -> None:
+    """CREATE TABLE IF NOT EXISTS, partitioned by shard (idempotent)."""
+    cols = ", ".join(f"{c} {t}" for c, t in EMBEDDING_TABLE_COLUMNS)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet "
+              f"PARTITIONED BY (shard_id) LOCATION '{location}'")
+
+
+def write_shards(df: DataFrame, name: str, salts: int = 16) -> None:
+    """Rows grouped by shard and written in parallel; dynamic partition
+    overwrite replaces only the shards present in ``df``. A salt keeps the
+    write from collapsing to one task per shard."""
+    cols = [c for c, _ in EMBEDDING_TABLE_COLUMNS]
+    out = df.select(*cols).repartition(F.col("shard_id"), F.pmod(F.xxhash64("id"), F.lit(salts)))
+    out.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)

@@ -101,7 +101,7 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int
 # Query matrices up to this many bytes are broadcast (size checked with a
 # count before anything is collected); larger query sets use the salted
 # block join, which never materialises either side in one place.
-BROADCAST_QUERY_BYTES = 256 << 20
+BROADCAST_QUERY_BYTES = 64 << 20      # one copy per Python worker
 QUERY_CHUNK = 2048
 
 

@@ -148,8 +148,16 @@ def q_batch_plan(spark, sf):
 WITH {EMB_SQL}
 SELECT shard_id, count(*) AS n_rows FROM merged GROUP BY shard_id""")
 def q_sharded_write(spark, sf):
-    path = M.write_snapshot(merged(spark, sf), "document_embeddings", partition_by=["shard_id"], salt_col="id")
-    return spark.read.parquet(path).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    import uuid
+
+    from ..session import scratch_path
+    name = f"document_embeddings_{uuid.uuid4().hex[:8]}"
+    loc = scratch_path(spark, name)
+    M.ensure_embedding_table(spark, name, loc)
+    M.ensure_embedding_table(spark, name, loc)      # create-if-absent is idempotent
+    rows = merged(spark, sf).withColumn("metadata", F.to_json(F.struct("id", "type", "source")))
+    M.write_shards(rows, name)
+    return spark.table(name).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("shard_scan", f"""

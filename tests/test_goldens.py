@@ -159,3 +159,13 @@ def test_prompt_layout(spark):
     assert p.startswith("You are a knowledgeable Islamic Scholar Assistant.\n    \n    YOUR KNOWLEDGE BASE:")
     assert "CONTEXT provided for this question:\n    c1\n\nc2\n\n    Question: Q?" in p
     assert p.endswith("Here are the sources:\n\nSource 1: c1\n\nSource 2: c2\n\n\nQuestion: Q?")
+
+
+def test_batch_ask_category_goes_through_find_or_create(spark):
+    q = spark.createDataFrame([(1, "what is prayer")], "question_id long, question string")
+    corpus = spark.createDataFrame([(1, "prayer text", "Hadith (a)", "hadith"), (2, "other words", "Hadith (b)", "hadith")],
+                                   "id long, text string, source string, type string")
+    cats = spark.createDataFrame([("hadith", "HADITH")], "slug string, name string")
+    r = A.batch_ask(q, corpus, k=2, categories=cats).first()
+    assert r["category"] == "HADITH" and r["source"] == "Hadith (a)"
+    assert r["answer"] == "<p>prayer text</p>" and r["answer_snippet"] == "prayer text"
