@@ -90,7 +90,7 @@ def hash_embed_expr(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_D
 _TOKEN_CACHE_MAX = 1_000_000
 
 
-def _hash_embed_batches(id_col: str, text_col: str, out_col: str, dim: int):
+def _hash_embed_batches(id_col: str, text_col: str, out_col: str, dim: int, keep: tuple = ()):
     import hashlib
 
     import numpy as np
@@ -119,16 +119,23 @@ def _hash_embed_batches(id_col: str, text_col: str, out_col: str, dim: int):
                         vec[bs[0]] += bs[1]
                 n = float(np.sqrt((vec * vec).sum()))
                 out.append(vec / n if n != 0 else vec)
-            yield pd.DataFrame({id_col: pdf[id_col], out_col: out})
+            res = pd.DataFrame({id_col: pdf[id_col], out_col: out})
+            for c in keep:
+                res[c] = pdf[c].values
+            yield res
     return fn
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
-               out_col: str = "embedding") -> DataFrame:
+               out_col: str = "embedding", keep: list[str] | tuple = ()) -> DataFrame:
     """Same embedding as ``hash_embed_expr`` computed row-locally in Arrow
     batches (``mapInPandas``): each document is embedded where it lies, so
-    no token rows are shuffled; md5 runs once per distinct token per task."""
+    no token rows are shuffled; md5 runs once per distinct token per task.
+    ``keep`` columns ride along (no join back to the input)."""
     from ..session import spread
-    id_type = df.schema[id_col].dataType.simpleString()
-    return spread(df.select(id_col, text_col)).mapInPandas(
-        _hash_embed_batches(id_col, text_col, out_col, dim), f"{id_col} {id_type}, {out_col} array<double>")
+    keep = tuple(c for c in keep if c not in (id_col, out_col))
+    fields = [f"{id_col} {df.schema[id_col].dataType.simpleString()}", f"{out_col} array<double>"]
+    fields += [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
+    cols = list(dict.fromkeys([id_col, text_col, *keep]))
+    return spread(df.select(*cols)).mapInPandas(
+        _hash_embed_batches(id_col, text_col, out_col, dim, keep), ", ".join(fields))

@@ -364,8 +364,8 @@ def build_index(spark, sf, max_documents=C.MAX_DOCUMENTS):
             .withColumn("id", (F.col("off") + F.col("i")).cast("long")).drop("off", "i"))
     stored = existing_rows(spark, sf).drop("label", "metadata")
     todo = J.incremental_anti(docs, stored, ["id"])
-    emb = V.hash_embed(todo.select("id", "text"), "id", "text")
-    rows = todo.join(emb, "id").select(
+    emb = V.hash_embed(todo, "id", "text", keep=["text", "type", "source"])
+    rows = emb.select(
         "id", R.shard_route(F.col("id")).alias("shard_id"), "type", "source", "text",
         V.l2_normalize(F.col("embedding")).alias("embedding"))
     return M.upsert(stored, rows, ["id"], PAYLOAD, AS_OF)

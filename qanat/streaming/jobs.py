@@ -226,10 +226,10 @@ def stream_index(spark: SparkSession, docs_dir: str, docs_schema: str, existing:
     def sink(batch: DataFrame, batch_id: int) -> None:
         known = table.scan().select("id")
         todo = J.incremental_anti(batch, known, ["id"])
-        emb = V.hash_embed(todo.select("id", "text"), "id", "text")
-        rows = todo.join(emb, "id").select("id", route(F.col("id")).alias("shard_id"), "type", "source", "text",
-                                           V.l2_normalize(F.col("embedding")).alias("embedding"),
-                                           ts.alias("created_at"), ts.alias("updated_at"))
+        emb = V.hash_embed(todo, "id", "text", keep=["text", "type", "source"])
+        rows = emb.select("id", route(F.col("id")).alias("shard_id"), "type", "source", "text",
+                          V.l2_normalize(F.col("embedding")).alias("embedding"),
+                          ts.alias("created_at"), ts.alias("updated_at"))
         table.append(rows, batch_id)
 
     _run_available_now(src, sink, checkpoint)
