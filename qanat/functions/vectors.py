@@ -40,18 +40,38 @@ def dot(a: Column, b: Column) -> Column:
                        lambda acc, x: acc + x)
 
 
+# leading-number grammar of JavaScript's parseFloat
+_PARSE_FLOAT = r"^\s*([+-]?(?:Infinity|[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?))"
+
+
+def parse_float(c: Column) -> Column:
+    """parseFloat: the longest leading number, NaN when there is none."""
+    num = F.regexp_extract(c, _PARSE_FLOAT, 1)
+    return F.when(num == "", F.lit(float("nan"))).otherwise(num.cast("double"))
+
+
 def decode_vector_text(c: Column) -> Column:
     """JSON array text -> array<double>; if it is not JSON, drop the first
-    '[' and first ']' and parse the comma-separated numbers."""
+    '[' and first ']' and parseFloat every comma-separated piece."""
     as_json = F.from_json(c, "array<double>")
     stripped = F.regexp_replace(F.regexp_replace(c, r"^([^\[]*)\[", "$1"), r"^([^\]]*)\]", "$1")
-    parsed = F.transform(F.split(stripped, ","), lambda x: F.trim(x).try_cast("double"))
-    return F.coalesce(as_json, parsed)
+    parsed = F.transform(F.split(stripped, ","), parse_float)
+    return F.when(c.isNull(), F.lit(None).cast("array<double>")).otherwise(F.coalesce(as_json, parsed))
 
 
 def unwrap_vector(nested: Column) -> Column:
-    """[[...]] -> first inner vector; [...] stays."""
-    return F.element_at(nested, 1)
+    """[[...]] -> first inner vector; an empty answer gives null (reject)."""
+    return F.when(F.size(nested) > 0, F.element_at(nested, 1))
+
+
+def unwrap_or_reject(df: DataFrame, col: str, out: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """Provider answers as nested vectors -> (rows with a vector, rejected
+    rows with a reason) instead of failing the job."""
+    v = df.withColumn(out, unwrap_vector(F.col(col)))
+    ok = v.where(F.col(out).isNotNull() & (F.size(out) > 0))
+    bad = v.where(F.col(out).isNull() | (F.size(out) <= 0)).withColumn(
+        "reason", F.lit("Invalid embedding format: empty result"))
+    return ok, bad
 
 
 def hash_embed_expr(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,

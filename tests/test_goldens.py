@@ -169,3 +169,15 @@ def test_batch_ask_category_goes_through_find_or_create(spark):
     r = A.batch_ask(q, corpus, k=2, categories=cats).first()
     assert r["category"] == "HADITH" and r["source"] == "Hadith (a)"
     assert r["answer"] == "<p>prayer text</p>" and r["answer_snippet"] == "prayer text"
+
+
+def test_decode_vector_text_parsefloat_rules(spark):
+    got = one(spark, V.decode_vector_text(F.col("x")), "[1.5abc, x, -2e1 ]")
+    assert got[0] == 1.5 and got[1] != got[1] and got[2] == -20.0     # NaN for 'x'
+
+
+def test_unwrap_or_reject(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, [])], "id long, v array<array<double>>")
+    ok, bad = V.unwrap_or_reject(df, "v")
+    assert [(r["id"], r["vector"]) for r in ok.collect()] == [(1, [1.0, 2.0])]
+    assert [r["id"] for r in bad.collect()] == [2]
