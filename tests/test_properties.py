@@ -102,3 +102,31 @@ def test_broadcast_and_blocked_strategies_agree(spark):
     for strategy in ("broadcast", "blocked"):
         got = K.cosine_topk(e, e, 3, "vec_id", "embedding", "vec_id", "embedding", strategy=strategy)
         assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == want, strategy
+
+
+def test_pages_partition_the_full_list(spark):
+    fav = spark.createDataFrame([(f"u{u}", f"s{i}", i) for u in range(3) for i in range(u * 7 + 3)],
+                                "user_id string, answer_slug string, t long")
+    whole = {(r["user_id"], r["answer_slug"]) for r in fav.collect()}
+    got = []
+    for page in range(1, 6):
+        got += [(r["user_id"], r["answer_slug"]) for r in
+                W.page_per_key(fav, "user_id", "t", "answer_slug", page, 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == whole
+
+
+def test_hot_cell_is_split_into_bounded_groups(spark):
+    # one cell holds a third of all corpus rows: the salted layout spreads it
+    # over sq x sd groups of at most ~block_rows rows per side
+    n, block = 3000, 256
+    corpus = spark.range(n).select(F.col("id").alias("did"), F.array(F.lit(1.0)).alias("dvec"),
+                                   F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50 + 1).alias("cell"))
+    queries = spark.range(600).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("qvec"),
+                                      F.lit(0).alias("cell"))
+    hot_d = corpus.where("cell = 0").count()
+    sq, sd = -(-600 // block), -(-hot_d // block)
+    q, d = K._salt(queries, corpus.where("cell = 0"), F.lit(sq), F.lit(sd))
+    sizes = d.groupBy("qs", "ds").count().collect()
+    assert len(sizes) == sq * sd
+    assert max(r["count"] for r in sizes) <= 1.5 * block
+    assert q.count() == 600 * sd and d.count() == hot_d * sq
