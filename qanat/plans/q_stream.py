@@ -66,7 +66,8 @@ def q_stream_ask_events(spark, sf):
 
 
 @register("stream_assemble", """
-SELECT conv_id AS question_id, string_agg(text, '' ORDER BY turn) AS answer, count(*) AS chunks
+SELECT conv_id AS question_id, string_agg(text, '' ORDER BY turn) AS answer, count(*) AS chunks,
+       true AS complete
 FROM conversations GROUP BY conv_id""")
 def q_stream_assemble(spark, sf):
     from ..sources.tables import table

@@ -129,7 +129,26 @@ def stream_ask_events(spark: SparkSession, questions_dir: str, questions_schema:
 
 # ------------------------------------------- T2: stateful chunk assembly --
 
-def _assemble(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _emit(key, seqs, chunks, complete: bool) -> pd.DataFrame:
+    order = sorted(range(len(seqs)), key=seqs.__getitem__)
+    return pd.DataFrame({"question_id": [key[0]], "answer": ["".join(chunks[i] for i in order)],
+                         "chunks": [len(order)], "complete": [complete]})
+
+
+def _assembler(abandon_after_ms: int | None):
+    def fn(key, pdfs, state):
+        return _assemble(key, pdfs, state, abandon_after_ms)
+    return fn
+
+
+def _assemble(key, pdfs: Iterator[pd.DataFrame], state: GroupState, abandon_after_ms: int | None
+              ) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        # abandoned answer: no event for abandon_after_ms -> emit what arrived
+        seqs, chunks = list(state.get[0]), list(state.get[1])
+        state.remove()
+        yield _emit(key, seqs, chunks, False)
+        return
     seqs, chunks = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
     done = False
     for pdf in pdfs:
@@ -140,22 +159,26 @@ def _assemble(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
                 seqs.append(int(s))
                 chunks.append("" if c is None else c)
     if done:
-        order = sorted(range(len(seqs)), key=seqs.__getitem__)
         state.remove()
-        yield pd.DataFrame({"question_id": [key[0]], "answer": ["".join(chunks[i] for i in order)],
-                            "chunks": [len(order)]})
+        yield _emit(key, seqs, chunks, True)
     else:
         state.update((seqs, chunks))
+        if abandon_after_ms:
+            state.setTimeoutDuration(abandon_after_ms)
 
 
-def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpoint: str) -> DataFrame:
+def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpoint: str,
+                    abandon_after_ms: int | None = None) -> DataFrame:
     """Chunk events keyed by question are kept in state until 'done' arrives,
-    then the answer is emitted once and the state dropped."""
+    then the answer is emitted once (complete) and the state dropped. With
+    ``abandon_after_ms`` (continuous triggers) a question silent that long is
+    emitted as incomplete; run-to-completion triggers use no timeout."""
     src = (spark.readStream.schema("question_id long, seq long, type string, chunk string")
            .option("maxFilesPerTrigger", 1).parquet(events_dir))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if abandon_after_ms else GroupStateTimeout.NoTimeout
     out = src.groupBy("question_id").applyInPandasWithState(
-        _assemble, "question_id long, answer string, chunks long",
-        "seqs array<long>, chunks array<string>", "append", GroupStateTimeout.NoTimeout)
+        _assembler(abandon_after_ms), "question_id long, answer string, chunks long, complete boolean",
+        "seqs array<long>, chunks array<string>", "append", timeout)
     q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
