@@ -41,6 +41,29 @@ def crc_fold(id_expr: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_expr.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 hashed bits that name a row by its id and text (also where the id is null)."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), text, doc_id)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k1, k2) of ``id_text`` rows."""
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    return docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` does not have (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; without that
     setting (tests) the folder must have been set by ``setCheckpointDir``."""

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, written
+from .common import id_text, keyed, row_key, written
 
 #: what separates words, after A-Z were lower-cased
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,11 +41,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, NO_WORD), "")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, k1, k2)."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
-
-
 def windows_of(items: DataFrame, width: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(window_id, phrase, n) of the distinct windows and (window_id, item_id as string)."""
     w = items.select(F.col(item_col).cast("string").alias("item_id"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).where(F.size("w") > 0)
@@ -160,6 +155,5 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     inner = id_text(docs, id_col, text_col)
     _, exact, _ = matches(inner, items)
     hit = exact.select(*KEY).distinct()
-    text = F.coalesce(docs[text_col], F.lit(""))
-    a, b = F.xxhash64(docs[id_col].cast("long"), text), F.xxhash64(F.lit(1), text, docs[id_col].cast("long"))
+    a, b = row_key(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
     return docs.join(hit, (a == hit.k1) & (b == hit.k2), "left_anti")

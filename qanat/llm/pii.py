@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, id_text, written
+from .common import crc_fold, free_names, id_text, written
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns, written so that no start or end is tried twice: a look-behind
@@ -247,13 +247,14 @@ def redact(docs: DataFrame, precision: float = 0.97, id_col: str = "doc_id", tex
     inner = find(id_text(docs, id_col, text_col)).select("doc_id", "base", "candidates")
     model = fit(written(inner, "pii-found"), precision)
     text = F.col(text_col)
-    found = docs.withColumn("__base", base_spans(text)).withColumn("__cand", candidates(text, F.col("__base")))
-    spans = F.concat("__base", model.additions(F.col("__cand"), F.col("__base")))
-    found = found.withColumn("__spans", F.sort_array(F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind_no"]))))
+    base, cand, span = free_names(docs, "base", "candidates", "spans")
+    found = find(docs, text_col, base, cand)
+    spans = F.concat(base, model.additions(F.col(cand), F.col(base)))
+    found = found.withColumn(span, F.sort_array(F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind_no"]))))
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     label = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.lit(KINDS), x["kind_no"] + 1)), F.lit("]"))
     step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(
         F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), label(x)).alias("out"),
         x["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["end"]).alias("at")))
-    done = F.aggregate("__spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__base", "__cand", "__spans")
+    done = F.aggregate(span, zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(span) > 0, done).otherwise(text)).drop(base, cand, span)
