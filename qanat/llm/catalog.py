@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, flat_ids, pii, quality_model, quality_rules, simhash, token_count
+from . import bloom_lm, byte_bpe, decontaminate, flat_ids, language, pii, quality_model, quality_rules, simhash, token_count
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.contract(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.lm_scores(read(spark, sf_dir, "documents"))

@@ -242,6 +242,22 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
         run, "doc_id long, k1 long, k2 long, score double, weak_score double, kept boolean")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the scorer keeps (row-local, no shuffle)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value.weights
+        for b in slices(batches, place):
+            texts = [t or "" for t in b.column(place).to_pylist()]
+            m = np.array([measure(t) for t in texts]).reshape(-1, len(MEASURES))
+            s = 1 / (1 + np.exp(-np.clip(features(texts, m) @ w[:-1] + w[-1], -40, 40)))
+            yield b.filter(pa.array((m[:, 0] > 0) & (s >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, train: int = TRAIN, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, weak_score, kept) of every row; repeated rows stay repeated."""
     return score(docs, fit(docs, train, id_col, text_col), threshold, id_col, text_col).select("doc_id", "score", "weak_score", "kept")
