@@ -64,6 +64,11 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; without that
     setting (tests) the folder must have been set by ``setCheckpointDir``."""

@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, free_names, id_text, written
+from .common import crc_fold, free_names, id_text, let, written
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns, written so that no start or end is tried twice: a look-behind
@@ -74,11 +74,6 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _matches(text: Column, pattern: str, gate: str, row) -> Column:
     """``row(match, start, end, left, right)`` of every match, in order; positions are
     code points. The text between two matches is the context on their sides."""
@@ -89,11 +84,11 @@ def _matches(text: Column, pattern: str, gate: str, row) -> Column:
             (a["at"] + F.length(F.get(p, i)) + F.length(F.get(m, i))).alias("at"),
             F.concat(a["starts"], F.array(a["at"] + F.length(F.get(p, i)))).alias("starts"))
         starts = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step, lambda a: a["starts"])
-        return _let(starts, lambda s: F.transform(m, lambda x, i: row(
+        return let(starts, lambda s: F.transform(m, lambda x, i: row(
             x, F.get(s, i), F.get(s, i) + F.length(x), F.right(F.get(p, i), F.lit(CONTEXT)), F.left(F.get(p, i + 1), F.lit(CONTEXT)))))
 
-    found = _let(F.regexp_extract_all(text, F.lit(pattern), 0),
-                 lambda m: F.when(F.size(m) > 0, _let(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("p")), walk)))
+    found = let(F.regexp_extract_all(text, F.lit(pattern), 0),
+                 lambda m: F.when(F.size(m) > 0, let(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("p")), walk)))
     return F.when(text.rlike(gate), found)
 
 
@@ -131,7 +126,7 @@ def candidates(text: Column, base: Column) -> Column:
                 (F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).otherwise(4)).alias("digits"),
                 (F.size(F.array_distinct(F.regexp_extract_all(digits, F.lit("[0-9]"), 0))) > 3).cast("int").alias("varied"))
         out.append(F.coalesce(_matches(text, CANDIDATES[kind], CANDIDATE_GATE[kind], row), F.array()))
-    both = _let(F.concat(*out), lambda c: F.transform(c, lambda x: F.struct(
+    both = let(F.concat(*out), lambda c: F.transform(c, lambda x: F.struct(
         x.getField("kind_no").alias("kind_no"), x["start"].alias("start"), x["end"].alias("end"),
         *[x[f].alias(f) for f in FEATURES if f not in ("kind_no", "overlaps")],
         (_overlap(x, base, False) & ~_overlap(x, base, True)).cast("int").alias("overlaps"),
@@ -142,7 +137,7 @@ def candidates(text: Column, base: Column) -> Column:
 def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", cand_col: str = "candidates") -> DataFrame:
     """``docs`` with base spans and candidates appended (names must be free)."""
     return (docs.withColumn(base_col, base_spans(F.col(text_col)))
-            .withColumn(cand_col, candidates(F.col(text_col), F.col(base_col))))
+            .withColumn(cand_col, let(F.col(base_col), lambda b: candidates(F.col(text_col), b))))
 
 
 @dataclass
@@ -173,7 +168,6 @@ class Model:
         touch each other the first by start, then the longest."""
         if not self.thresholds:
             return F.array().cast(SPAN)
-        cut = F.element_at(F.lit([self.thresholds.get(k, 2.0) for k in range(len(KINDS))]), F.lit(1))
         cut = lambda x: F.element_at(F.lit([self.thresholds.get(k, 2.0) for k in range(len(KINDS))]), x["kind_no"] + 1)
         chosen = F.filter(cands, lambda x: (self.score(x) >= cut(x)) & ~_overlap(x, base, False))
         ordered = F.sort_array(F.transform(chosen, lambda x: F.struct(x["start"], (-x["end"]).alias("neg_end"), x["kind_no"])))
@@ -249,7 +243,7 @@ def redact(docs: DataFrame, precision: float = 0.97, id_col: str = "doc_id", tex
     text = F.col(text_col)
     base, cand, span = free_names(docs, "base", "candidates", "spans")
     found = find(docs, text_col, base, cand)
-    spans = F.concat(base, model.additions(F.col(cand), F.col(base)))
+    spans = let(F.struct(F.col(base).alias("b"), F.col(cand).alias("c")), lambda s: F.concat(s["b"], model.additions(s["c"], s["b"])))
     found = found.withColumn(span, F.sort_array(F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind_no"]))))
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     label = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.lit(KINDS), x["kind_no"] + 1)), F.lit("]"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, let
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -50,46 +50,52 @@ RULES = (
 )
 
 
-def _repeat_words(words: Column, grams: Column, order: Column) -> Column:
+def _repeat_words(order: Column) -> Column:
     """Words in windows that come twice or more; ``order`` holds (hash, place) sorted."""
     same = lambda i, x: F.coalesce(F.get(order, i)["h"] == x["h"], F.lit(False))
     places = F.sort_array(F.transform(F.filter(order, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["i"]))
     gaps = lambda p: F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
-    # the one-element array binds ``places`` so that it is evaluated once
-    total = F.get(F.transform(F.array(places), lambda p: F.aggregate(gaps(p), F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+    total = let(places, lambda p: F.aggregate(gaps(p), F.lit(0).cast("long"), lambda a, x: a + x))
     return F.when(F.size(order) > 0, total).otherwise(F.lit(0).cast("long"))
 
 
+def _gram_hashes(hashes: Column) -> Column:
+    gram = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
+    return F.when(F.size(hashes) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), gram)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _counts(words: Column, lines: Column, order: Column, n_symbols: Column) -> Column:
+    upper = lambda w: F.length(F.regexp_replace(w, r"[^\p{Lu}]+", ""))
+    lower = lambda w: F.length(F.regexp_replace(w, r"[^\p{Ll}]+", ""))
+    bare = lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]++$", ""))
+    size = lambda x: F.size(x).cast("long")
+    return F.struct(
+        size(words).alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), n_symbols.alias("n_symbols"),
+        size(lines).alias("n_lines"), (size(lines) - size(F.array_distinct(lines))).alias("n_dup_lines"),
+        size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*+[-*•]"))).alias("n_bullets"),
+        size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).alias("n_ellipses"),
+        size(F.filter(words, lambda w: (upper(w) >= 2) & (lower(w) == 0))).alias("n_upper"),
+        size(F.filter(words, lambda w: bare(w).isin(STOP_WORDS))).alias("n_stop"), _repeat_words(order).alias("n_repeat_words"))
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts and ratios of each row's whole text (null: no words)."""
+    """Base counts and ratios of each row's whole text (null: no words).
+
+    All counts are one expression whose intermediate arrays are bound by ``let``:
+    a filter on a result that the optimizer moves below the projection then still
+    costs one evaluation a row, not one for every word.
+    """
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    cut = id_text(docs, id_col, text_col).select(
-        "doc_id", F.array_remove(F.split("text", SPACE), "").alias("words"), lines.alias("lines"),
-        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"))
-    words = F.col("words")
-    hashed = cut.select(
-        "doc_id", "words", "n_symbols", F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).alias("n_bullets"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("n_ellipses"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-        F.size(F.filter("words", lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$"))).alias("n_upper"),
-        F.size(F.filter(F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", ""))),
-                        lambda w: w.isin(STOP_WORDS))).alias("n_stop"))
-    gram = lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(WINDOW)])
-    grams = hashed.withColumn("grams", F.when(
-        F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int")), gram)
-    ).otherwise(F.array().cast("array<bigint>"))).drop("words", "hashes")
-    order = F.when(F.size(F.array_distinct("grams")) < F.size("grams"),
-                   F.sort_array(F.transform("grams", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-                   ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    repeated = grams.withColumn("order", order).withColumn("n_repeat_words", _repeat_words(words, F.col("grams"), F.col("order")))
+    symbols = (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long")
+    parts = F.struct(F.array_remove(F.split("text", SPACE), "").alias("words"), lines.alias("lines"), symbols.alias("n_symbols"))
+    order = lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(
+        F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    counts = let(parts, lambda p: let(F.transform(p["words"], lambda w: F.xxhash64(w)), lambda h: let(_gram_hashes(h), lambda g: let(
+        order(g), lambda o: _counts(p["words"], p["lines"], o, p["n_symbols"])))))
+    got = id_text(docs, id_col, text_col).select("doc_id", counts.alias("m")).select("doc_id", "m.*")
     per_word = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("n_words"), F.lit(0)), F.lit(0.0))
     per_line = lambda c: F.coalesce(F.col(c) / F.nullif(F.col("n_lines"), F.lit(0)), F.lit(0.0))
-    return repeated.select(
+    return got.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         per_word("word_chars").alias("mean_word_chars"), per_word("n_symbols").alias("symbol_ratio"),
         per_word("n_stop").alias("stop_ratio"), per_word("n_upper").alias("upper_ratio"),
