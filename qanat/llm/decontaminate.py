@@ -112,9 +112,10 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 4, i
     second = rare.where("rank = 2").select("window_id").distinct()
     a = lists.where("rank = 1")
     alone = a.join(second, "window_id", "left_anti")
-    a = a.join(second, "window_id", "left_semi").withColumn("cell", F.floor(F.col("start") / (slop + 1)))
+    a = a.join(second, "window_id", "left_semi").withColumn(
+        "cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / (slop + 1)) + d)))
     b = lists.where("rank = 2").select(*KEY, "window_id", F.col("start").alias("other"))
-    b = b.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("other") / (slop + 1)) + d)))
+    b = b.withColumn("cell", F.floor(F.col("other") / (slop + 1)))
     near = a.join(b, [*KEY, "window_id", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
     columns = [*KEY, "window_id", "n", "start"]
     near = written(near.select(*columns, (F.col("start") == F.col("other")).alias("exact"))
