@@ -73,11 +73,11 @@ def q_stream_assemble(spark, sf):
     from ..sources.tables import table
     c = table(spark, sf, "conversations", "conv_id", "turn", "text")
     chunks = c.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("seq"),
-                      F.lit("answer-chunk").alias("type"), F.col("text").alias("chunk"),
+                      F.lit("answer-chunk").alias("type"), F.col("text").alias("chunk"), F.lit(None).cast("long").alias("total"),
                       (F.col("turn") % (PARTS - 1)).cast("int").alias("part"))
-    done = c.groupBy("conv_id").agg(F.max("turn").alias("m")).select(
+    done = c.groupBy("conv_id").agg(F.max("turn").alias("m"), F.count("*").alias("total")).select(
         F.col("conv_id").alias("question_id"), (F.col("m") + 1).alias("seq"), F.lit("done").alias("type"),
-        F.lit(None).cast("string").alias("chunk"), F.lit(PARTS - 1).alias("part"))
+        F.lit(None).cast("string").alias("chunk"), "total", F.lit(PARTS - 1).alias("part"))
     run = scratch_path(spark, "stream-assemble")
     edir = SJ.land_files(chunks.unionByName(done), f"{run}/in", "part", PARTS)
     return SJ.stream_assemble(spark, edir, f"{run}/out", f"{run}/ckpt")

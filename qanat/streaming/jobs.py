@@ -33,7 +33,7 @@ class LogTable:
 
     A micro-batch writes only its own rows (cost O(batch), not O(table)),
     a re-run of the same batch id overwrites its own directory (idempotent),
-    and compaction is simply writing ``read()`` as the next base."""
+    and compaction is writing a fold as the base of a new root."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -49,6 +49,11 @@ class LogTable:
         """All versions, with the ``batch`` partition column (0 = base)."""
         return self.spark.read.parquet(self.root)
 
+    def before(self, batch_id: int) -> DataFrame:
+        """What was stored ahead of a micro-batch: the base and earlier deltas, never
+        the batch's own directory, so a replayed batch sees what it saw at first."""
+        return self.scan().where(F.col("batch") < batch_id + 1)
+
     def fold(self, keys: list[str], order: list[str], first_cols: list[str] = ()) -> DataFrame:
         """Latest version per key by (batch, *order); ``first_cols`` are taken
         from the earliest version (e.g. created_at)."""
@@ -59,6 +64,14 @@ class LogTable:
         return v.groupBy(*keys).agg(*aggs).select(*keys, "__w.*", *first_cols)
 
 
+def _files(spark: SparkSession, path: str, schema: str, per_trigger: int | None):
+    """File source; ``per_trigger`` bounds the files of one micro-batch (None: all that are there)."""
+    src = spark.readStream.schema(schema)
+    if per_trigger is not None:
+        src = src.option("maxFilesPerTrigger", per_trigger)
+    return src.parquet(path)
+
+
 def _run_available_now(stream_df: DataFrame, fn, checkpoint: str) -> None:
     q = (stream_df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -74,8 +87,9 @@ def question_events(questions: DataFrame, corpus: DataFrame, doc_vectors: DataFr
     there is no context; a question that fails validation yields an error
     event and the stream goes on."""
     q = questions.select("question_id", "question", T.slugify(F.col("question")).alias("slug"))
-    valid = q.where(T.js_trim(F.col("question")) != "")
-    bad = q.where(T.js_trim(F.col("question")) == "")
+    ok = F.coalesce(T.js_trim(F.col("question")) != "", F.lit(False))  # null is blank too
+    valid = q.where(ok)
+    bad = q.where(~ok)
     hits = A.retrieve(valid.select("question_id", "question"), corpus, k, doc_vectors)
     per = A.per_question(hits)
     j = valid.join(per, "question_id", "left")
@@ -86,8 +100,10 @@ def question_events(questions: DataFrame, corpus: DataFrame, doc_vectors: DataFr
         gen = F.lit(None).cast("string")
     answer = F.coalesce(gen, F.concat(F.lit("<p>"), F.col("best_text"), F.lit("</p>")))
     n = F.length(answer)
-    chunks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK_CHARS)),
-                         lambda off: answer.substr(off + 1, F.lit(CHUNK_CHARS)))
+    # an empty answer has no chunks
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK_CHARS)),
+                                       lambda off: answer.substr(off + 1, F.lit(CHUNK_CHARS)))
+                    ).otherwise(F.array().cast("array<string>"))
     ev = F.struct
     thinking = ev(F.lit("thinking").alias("type"),
                   F.to_json(F.struct(F.lit(A.THINKING_MESSAGE).alias("message"))).alias("data"))
@@ -114,10 +130,11 @@ def question_events(questions: DataFrame, corpus: DataFrame, doc_vectors: DataFr
 
 
 def stream_ask_events(spark: SparkSession, questions_dir: str, questions_schema: str, corpus: DataFrame,
-                      doc_vectors: DataFrame, sink_dir: str, checkpoint: str, k: int = STREAM_K) -> DataFrame:
+                      doc_vectors: DataFrame, sink_dir: str, checkpoint: str, k: int = STREAM_K,
+                      files_per_trigger: int | None = None) -> DataFrame:
     """readStream questions -> per micro-batch retrieval against the stored
     index (a stream-static join) -> event rows appended per batch."""
-    src = spark.readStream.schema(questions_schema).option("maxFilesPerTrigger", 1).parquet(questions_dir)
+    src = _files(spark, questions_dir, questions_schema, files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         question_events(batch, corpus, doc_vectors, k).write.mode("overwrite").parquet(
@@ -129,10 +146,9 @@ def stream_ask_events(spark: SparkSession, questions_dir: str, questions_schema:
 
 # ------------------------------------------- T2: stateful chunk assembly --
 
-def _emit(key, seqs, chunks, complete: bool) -> pd.DataFrame:
-    order = sorted(range(len(seqs)), key=seqs.__getitem__)
-    return pd.DataFrame({"question_id": [key[0]], "answer": ["".join(chunks[i] for i in order)],
-                         "chunks": [len(order)], "complete": [complete]})
+def _emit(key, held: dict[int, str], complete: bool) -> pd.DataFrame:
+    return pd.DataFrame({"question_id": [key[0]], "answer": ["".join(held[s] for s in sorted(held))],
+                         "chunks": [len(held)], "complete": [complete]})
 
 
 def _assembler(abandon_after_ms: int | None):
@@ -143,42 +159,41 @@ def _assembler(abandon_after_ms: int | None):
 
 def _assemble(key, pdfs: Iterator[pd.DataFrame], state: GroupState, abandon_after_ms: int | None
               ) -> Iterator[pd.DataFrame]:
+    seqs, chunks, total = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], None)
+    held = dict(zip(seqs, chunks))  # a chunk that arrives twice counts once
     if state.hasTimedOut:
         # abandoned answer: no event for abandon_after_ms -> emit what arrived
-        seqs, chunks = list(state.get[0]), list(state.get[1])
         state.remove()
-        yield _emit(key, seqs, chunks, False)
+        yield _emit(key, held, False)
         return
-    seqs, chunks = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-    done = False
     for pdf in pdfs:
-        for s, t, c in zip(pdf["seq"], pdf["type"], pdf["chunk"]):
+        for s, t, c, n in zip(pdf["seq"], pdf["type"], pdf["chunk"], pdf["total"]):
             if t == "done":
-                done = True
+                total = 0 if pd.isna(n) else int(n)
             elif t == "answer-chunk":
-                seqs.append(int(s))
-                chunks.append("" if c is None else c)
-    if done:
+                held[int(s)] = "" if c is None else c
+    if total is not None and len(held) >= total:
         state.remove()
-        yield _emit(key, seqs, chunks, True)
+        yield _emit(key, held, True)
     else:
-        state.update((seqs, chunks))
+        state.update((list(held), list(held.values()), total))
         if abandon_after_ms:
             state.setTimeoutDuration(abandon_after_ms)
 
 
 def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpoint: str,
-                    abandon_after_ms: int | None = None) -> DataFrame:
-    """Chunk events keyed by question are kept in state until 'done' arrives,
-    then the answer is emitted once (complete) and the state dropped. With
-    ``abandon_after_ms`` (continuous triggers) a question silent that long is
-    emitted as incomplete; run-to-completion triggers use no timeout."""
-    src = (spark.readStream.schema("question_id long, seq long, type string, chunk string")
-           .option("maxFilesPerTrigger", 1).parquet(events_dir))
+                    abandon_after_ms: int | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """Chunk events keyed by question are kept in state until 'done' has told how
+    many there are (``total``) and all have arrived, in whatever order; then the
+    answer is emitted once (complete) and the state dropped. A 'done' without a
+    total closes what is there. With ``abandon_after_ms`` (continuous triggers) a
+    question silent that long is emitted as incomplete; run-to-completion
+    triggers use no timeout."""
+    src = _files(spark, events_dir, "question_id long, seq long, type string, chunk string, total long", files_per_trigger)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if abandon_after_ms else GroupStateTimeout.NoTimeout
     out = src.groupBy("question_id").applyInPandasWithState(
         _assembler(abandon_after_ms), "question_id long, answer string, chunks long, complete boolean",
-        "seqs array<long>, chunks array<string>", "append", timeout)
+        "seqs array<long>, chunks array<string>, total long", "append", timeout)
     q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -189,13 +204,14 @@ def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpo
 
 def stream_upsert_answers(spark: SparkSession, questions_dir: str, questions_schema: str,
                           corpus: DataFrame, doc_vectors: DataFrame, existing: DataFrame,
-                          table_root: str, checkpoint: str, as_of, k: int = 3) -> DataFrame:
+                          table_root: str, checkpoint: str, as_of, k: int = 3,
+                          files_per_trigger: int | None = None) -> DataFrame:
     """Each micro-batch answers its questions and appends them as a delta;
     the answers table is the fold: last (batch, question id) per slug wins,
     timestamps come from the first version (never touched by updates)."""
     table = LogTable(spark, table_root)
     table.write_base(existing.withColumn("seq", F.lit(-1).cast("long")))
-    src = spark.readStream.schema(questions_schema).option("maxFilesPerTrigger", 1).parquet(questions_dir)
+    src = _files(spark, questions_dir, questions_schema, files_per_trigger)
     ts = F.lit(as_of).cast("timestamp_ntz")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -211,13 +227,13 @@ def stream_upsert_answers(spark: SparkSession, questions_dir: str, questions_sch
 # -------------------------------------------- T5: favorites from events --
 
 def stream_favorites(spark: SparkSession, events_dir: str, events_schema: str, table_root: str,
-                     checkpoint: str) -> DataFrame:
+                     checkpoint: str, files_per_trigger: int | None = None) -> DataFrame:
     """Add/remove events: each micro-batch appends its latest event per key;
     the current favorites are the fold by (ts, event_id) over all deltas, so
     late and out-of-order events land correctly and removals are kept as
     tombstones until folded."""
     table = LogTable(spark, table_root)
-    src = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", 1).parquet(events_dir)
+    src = _files(spark, events_dir, events_schema, files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("user_id", "answer_slug").agg(
@@ -234,7 +250,8 @@ def stream_favorites(spark: SparkSession, events_dir: str, events_schema: str, t
 # ------------------------------------------------ T6: incremental index --
 
 def stream_index(spark: SparkSession, docs_dir: str, docs_schema: str, existing: DataFrame,
-                 table_root: str, checkpoint: str, as_of, payload: list[str], route) -> DataFrame:
+                 table_root: str, checkpoint: str, as_of, payload: list[str], route,
+                 files_per_trigger: int | None = None) -> DataFrame:
     """New document files -> skip ids already stored (reads the id column of
     base + deltas only) -> embed -> normalise -> route -> append as a delta;
     the table is the fold of base and deltas by id."""
@@ -243,11 +260,11 @@ def stream_index(spark: SparkSession, docs_dir: str, docs_schema: str, existing:
 
     table = LogTable(spark, table_root)
     table.write_base(existing.select("id", *payload, "created_at", "updated_at"))
-    src = spark.readStream.schema(docs_schema).option("maxFilesPerTrigger", 1).parquet(docs_dir)
+    src = _files(spark, docs_dir, docs_schema, files_per_trigger)
     ts = F.lit(as_of).cast("timestamp_ntz")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        known = table.scan().select("id")
+        known = table.before(batch_id).select("id")
         todo = J.incremental_anti(batch, known, ["id"])
         emb = V.hash_embed(todo, "id", "text", keep=["text", "type", "source"])
         rows = emb.select("id", route(F.col("id")).alias("shard_id"), "type", "source", "text",

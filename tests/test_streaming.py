@@ -30,3 +30,50 @@ def test_log_table_batch_rerun_is_idempotent(spark):
     t.append(df, 0)
     t.append(df, 0)                               # a retried batch overwrites itself
     assert t.scan().count() == 1
+
+
+def test_index_stream_replay_keeps_its_rows(spark):
+    """A micro-batch that runs again (its commit was lost) stores the same rows."""
+    import glob
+    import os
+
+    from qanat.functions import routing as R
+
+    run = scratch_path(spark, "t-stream-index")
+    local = run.removeprefix("file://").removeprefix("file:")
+    docs = spark.createDataFrame([(i, f"text {i}", "s", "t") for i in range(5)], "id long, text string, source string, type string")
+    docs.coalesce(1).write.parquet(f"{run}/in")
+    payload = ["shard_id", "type", "source", "text", "embedding"]
+    existing = spark.createDataFrame([], "id long, shard_id int, type string, source string, text string, embedding array<double>, "
+                                         "created_at timestamp_ntz, updated_at timestamp_ntz")
+    go = lambda: SJ.stream_index(spark, f"{run}/in", "id long, text string, source string, type string", existing, f"{run}/t",
+                                 f"{run}/ck", "2024-01-01 00:00:00", payload, R.shard_route).select("id").collect()
+    assert sorted(r["id"] for r in go()) == list(range(5))
+    for f in glob.glob(f"{local}/ck/commits/*") + glob.glob(f"{local}/ck/commits/.*"):
+        os.remove(f)
+    assert sorted(r["id"] for r in go()) == list(range(5))
+
+
+def test_late_chunk_completes_the_answer(spark):
+    run = scratch_path(spark, "t-stream-late")
+    schema = "question_id long, seq long, type string, chunk string, total long"
+    for part in ([(1, 2, "answer-chunk", "A", None), (1, 4, "done", None, 2), (2, 0, "answer-chunk", "x", None)],
+                 [(1, 3, "answer-chunk", "B", None), (1, 2, "answer-chunk", "A", None)], [(2, 1, "done", None, 1)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{run}/in")
+    for per in (1, None):
+        out = SJ.stream_assemble(spark, f"{run}/in", f"{run}/out{per}", f"{run}/ck{per}", files_per_trigger=per)
+        assert sorted(tuple(r) for r in out.collect()) == [(1, "AB", 2, True), (2, "x", 1, True)]
+
+
+def test_null_blank_and_empty_answers_have_events(spark):
+    from qanat.plans import q_ask as QA
+
+    q = spark.createDataFrame([(1, None), (2, "  "), (3, "What is this"), (4, "Another one")], "question_id long, question string")
+    gen = spark.createDataFrame([("what-is-this", "")], "slug string, answer string")
+    ev = SJ.question_events(q, X.doc_corpus(spark, SF_SMALL), QA.doc_index(spark, SF_SMALL), 2, gen)
+    got = {}
+    for r in ev.orderBy("question_id", "seq").collect():
+        got.setdefault(r["question_id"], []).append(r["type"])
+    assert got[1] == got[2] == ["thinking", "error"]
+    assert got[3] == ["thinking", "sources", "done"]
+    assert "answer-chunk" in got[4]
