@@ -38,6 +38,20 @@ def _unit_rows(vals) -> np.ndarray:
     return m / n[:, None]
 
 
+def vector_problem(vec, dim: int):
+    """Reason why a vector cannot be searched (null: it can): 'null', 'length', or
+    'value' (a null, NaN or infinite component)."""
+    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(vec.isNull(), "null").when(F.size(vec) != dim, "length").when(bad, "value")
+
+
+def usual_length(vectors: DataFrame, vec: str) -> int:
+    """The most frequent vector length (of equally frequent ones the smallest); 1 without vectors."""
+    row = (vectors.where(F.size(vec) > 0).groupBy(F.size(vec).alias("dim")).count()
+           .orderBy(F.desc("count"), "dim").first())
+    return row["dim"] if row else 1
+
+
 def _block_topk(k: int):
     def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(dpdf) == 0:
@@ -192,18 +206,21 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
     place), ``blocked`` (salted block cogroup, both sides shuffled), or
     ``auto`` = broadcast when nq * dim * 8 <= BROADCAST_QUERY_BYTES.
     Returns (qid, rank, did, score); fewer than k rows only when the corpus
-    has fewer than k vectors.
+    has fewer than k vectors. Vectors with a ``vector_problem`` (null, another
+    length than the corpus usually has, NaN or infinite components) are neither
+    asked nor found; ``rejected_vectors`` lists them.
     """
     q = queries.select(F.col(q_id).cast("long").alias("qid"),
                        F.col(q_vec).cast("array<double>").alias("qvec"), F.lit(0).alias("cell"))
     d = corpus.select(F.col(d_id).cast("long").alias("did"),
                       F.col(d_vec).cast("array<double>").alias("dvec"), F.lit(0).alias("cell"))
     rows = None
+    dim = usual_length(d, "dvec")
+    q = q.where(vector_problem(F.col("qvec"), dim).isNull())
+    d = d.where(vector_problem(F.col("dvec"), dim).isNull())
     if strategy == "auto":
         # a bounded collect: at most budget/(dim*8) + 1 query rows ever reach
         # the driver; one row more than the budget switches to the block join
-        first = d.select(F.size("dvec")).first()
-        dim = max(1, first[0] if first and first[0] else 1)
         cap = max(1, BROADCAST_QUERY_BYTES // (dim * 8))
         rows = q.select("qid", "qvec").limit(cap + 1).collect()
         strategy = "broadcast" if len(rows) <= cap else "blocked"
@@ -215,14 +232,20 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
     return final_topk(cands, k).select("qid", "rank", "did", "score")
 
 
+def rejected_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
+    """(id, reason) of the vectors that a search leaves out."""
+    dim = usual_length(vectors, vec_col) if dim is None else dim
+    v = vectors.select(F.col(id_col).alias("id"), vector_problem(F.col(vec_col).cast("array<double>"), dim).alias("reason"))
+    return v.where(F.col("reason").isNotNull())
+
+
 # --- approximate search: IVF ------------------------------------------------
 
 def train_centroids(corpus: DataFrame, d_vec: str, nlist: int, seed: int = 7,
-                    max_train: int = 200_000, max_iter: int = 20) -> np.ndarray:
+                    max_iter: int = 20) -> np.ndarray:
     """Coarse quantiser: pyspark.ml KMeans on unit vectors.
 
-    Trained on at most ~max_train rows (a training sample only; every corpus
-    row is still indexed and searched). Returns an (nlist, dim) array of unit
+    Trained on all rows. Returns an (nlist, dim) array of unit
     centroids -- size bounded by the nlist parameter, not by the data.
     """
     from pyspark.ml.clustering import KMeans
@@ -233,10 +256,7 @@ def train_centroids(corpus: DataFrame, d_vec: str, nlist: int, seed: int = 7,
         dim = corpus.select(F.size(d_vec)).first()[0]
         return np.ones((1, dim), dtype=np.float64) / np.sqrt(dim)
     n = corpus.count()
-    frac = min(1.0, max_train / max(n, 1))
     train = corpus.select(array_to_vector(F.col(d_vec).cast("array<double>")).alias("features"))
-    if frac < 1.0:
-        train = train.sample(False, frac, seed)
     model = KMeans(k=max(2, min(nlist, n)), seed=seed, maxIter=max_iter,
                    initMode="k-means||").fit(train)
     c = np.vstack([np.asarray(x, dtype=np.float64) for x in model.clusterCenters()])
@@ -253,7 +273,7 @@ def _assign(centroids: np.ndarray, id_col: str, vec_col: str, nprobe: int):
             m = _unit_rows(pdf[vec_col].to_numpy())
             s = m @ centroids.T
             p = min(nprobe, centroids.shape[0])
-            top = np.argsort(-s, axis=1, kind="stable")[:, :p]
+            top = np.argpartition(-s, p - 1, axis=1)[:, :p]
             yield pd.DataFrame({
                 id_col: np.repeat(pdf[id_col].to_numpy(dtype=np.int64), p),
                 vec_col: np.repeat(pdf[vec_col].to_numpy(), p),
@@ -269,6 +289,7 @@ def build_ivf(corpus: DataFrame, nlist: int = 16, d_id: str = "did", d_vec: str
     many times, like the reference builds its index once and loads it."""
     d = corpus.select(F.col(d_id).cast("long").alias("did"),
                       F.col(d_vec).cast("array<double>").alias("dvec"))
+    d = d.where(vector_problem(F.col("dvec"), usual_length(d, "dvec")).isNull())
     cent = train_centroids(d, "dvec", nlist, seed=seed)
     tagged = d.mapInPandas(_assign(cent, "did", "dvec", 1), "did long, dvec array<double>, cell int")
     return cent, tagged
@@ -281,6 +302,7 @@ def ann_search(queries: DataFrame, centroids: np.ndarray, index: DataFrame, k: i
     into bounded block pairs) and merged to the top k."""
     q = queries.select(F.col(q_id).cast("long").alias("qid"),
                        F.col(q_vec).cast("array<double>").alias("qvec"))
+    q = q.where(vector_problem(F.col("qvec"), centroids.shape[1]).isNull())
     qa = q.mapInPandas(_assign(centroids, "qid", "qvec", nprobe), "qid long, qvec array<double>, cell int")
     return final_topk(blocked_topk(qa, index.select("did", "dvec", "cell"), k, block_rows), k).select(
         "qid", "rank", "did", "score")

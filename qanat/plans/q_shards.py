@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import routing as R
@@ -344,10 +345,7 @@ def q_load_index(spark, sf):
                        F.round(V.l2_norm(unit), 6).alias("norm_out"))
 
 
-def build_index(spark, sf, max_documents=C.MAX_DOCUMENTS):
-    """Quota -> strided sample -> union -> dense ids over the sample ->
-    skip stored ids -> clean + embed -> normalise -> typed metadata -> route
-    -> upsert into the stored table."""
+def _sampled_documents(spark, sf, max_documents):
     sample = C.stride_sample(spark, sf, max_documents).select("type", "ord", "okey", "i")
     # ids are positions in the sampled concatenation: the rows kept by earlier
     # corpora (a per-corpus table, bounded by the number of corpora) plus the
@@ -357,11 +355,22 @@ def build_index(spark, sf, max_documents=C.MAX_DOCUMENTS):
     order = {"quran": 0, "hadith": 1, "tafsir": 2, "dua": 3, "seerah": 4}
     ordc = F.element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("type"))
     offs = kept.withColumn("ord", ordc).withColumn(
-        "off", F.sum("kept").over(W.Window.orderBy("ord").rowsBetween(W.Window.unboundedPreceding, -1)))
+        "off", F.sum("kept").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)))
     offs = F.broadcast(offs.select("ord", F.coalesce("off", F.lit(0)).alias("off")))
     texts = C.corpus_union(spark, sf).select("ord", "okey", "text", "source")
-    docs = (sample.join(offs, "ord").join(texts, ["ord", "okey"])
+    return (sample.join(offs, "ord").join(texts, ["ord", "okey"])
             .withColumn("id", (F.col("off") + F.col("i")).cast("long")).drop("off", "i"))
+
+
+def build_index(spark, sf, max_documents=None):
+    """(quota -> strided sample, only when ``max_documents`` is given) ->
+    union -> dense ids -> skip stored ids -> clean + embed -> normalise -> route
+    -> upsert into the stored table."""
+    if max_documents is None:
+        texts = C.corpus_union(spark, sf).select("ord", "okey", "type", "text", "source")
+        docs = W.global_index(texts, ["ord", "okey"], "id")
+    else:
+        docs = _sampled_documents(spark, sf, max_documents)
     stored = existing_rows(spark, sf).drop("label", "metadata")
     todo = J.incremental_anti(docs, stored, ["id"])
     emb = V.hash_embed(todo, "id", "text", keep=["text", "type", "source"])
@@ -372,9 +381,8 @@ def build_index(spark, sf, max_documents=C.MAX_DOCUMENTS):
 
 
 @register("build_index", f"""
-WITH {C.CORPUS_SQL}, {C._QUOTA_SQL}, {C._STRIDE_SQL}, {EMB_SQL},
-sdocs AS (SELECT row_number() OVER (ORDER BY c.ord, c.okey) - 1 AS id, c.type, c.source, c.text
-          FROM sample s JOIN corpus c ON s.type = c.type AND s.okey = c.okey),
+WITH {C.CORPUS_SQL}, {EMB_SQL},
+sdocs AS (SELECT row_number() OVER (ORDER BY ord, okey) - 1 AS id, type, source, text FROM corpus),
 todo AS (SELECT * FROM sdocs WHERE id NOT IN (SELECT id FROM existing)),
 {S.hash_embed_ctes('todo', 'id', 'text', 'he')},
 rows AS (SELECT t.id, {S.shard_route('t.id')} AS shard_id, t.type, t.source, h.embedding

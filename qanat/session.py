@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,12 +54,32 @@ def shared_root(spark: SparkSession) -> str:
         # setCheckpointDir(root) registers root/<uuid>; tables go next to it
         conf_dir = os.path.dirname(sc.getCheckpointDir().rstrip("/"))
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="qanat-ckpt-")
+        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        conf_dir = tempfile.mkdtemp(prefix="qanat-ckpt-")  # one machine: tests and bench
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(conf_dir)
     return conf_dir.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors' Python workers (once a session),
+    so that a session started anywhere can run its Arrow functions."""
+    sc = spark.sparkContext
+    if getattr(sc, "_qanat_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    kept = os.path.join(tempfile.mkdtemp(prefix="qanat-zip-"), "qanat-src.zip")  # served while the session lives
+    with zipfile.ZipFile(kept, "w") as z:
+        for top, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.join("qanat", os.path.relpath(full, package)))
+    sc.addPyFile(kept)
+    sc._qanat_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one written table."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

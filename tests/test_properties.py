@@ -130,3 +130,15 @@ def test_hot_cell_is_split_into_bounded_groups(spark):
     assert len(sizes) == sq * sd
     assert max(r["count"] for r in sizes) <= 1.5 * block
     assert q.count() == 600 * sd and d.count() == hot_d * sq
+
+
+def test_bad_vectors_do_not_fail_a_search(spark):
+    from qanat.operators import topk as K
+
+    nan = float("nan")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [nan, 1.0]), (5, [1.0]), (6, [1.0, None]), (7, [0.6, 0.8])],
+                              "id long, v array<double>")
+    for strategy in ("auto", "broadcast", "blocked"):
+        got = K.cosine_topk(v, v, 1, "id", "v", "id", "v", strategy=strategy).collect()
+        assert sorted((r["qid"], r["did"]) for r in got) == [(1, 1), (2, 2), (7, 7)]
+    assert sorted(tuple(r) for r in K.rejected_vectors(v, "id", "v").collect()) == [(3, "null"), (4, "value"), (5, "length"), (6, "value")]
