@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import topk as K
+from ..session import input_tag
 from ..sources.tables import table
 from . import fixtures as X
 from . import sqlfrag as S
@@ -15,9 +16,7 @@ from .registry import register
 K_BATCH = 3
 
 
-def _tag(sf: str) -> str:
-    import hashlib
-    return hashlib.md5(sf.encode()).hexdigest()[:10]
+_tag = input_tag
 
 
 def doc_index(spark, sf):

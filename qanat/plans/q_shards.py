@@ -3,8 +3,6 @@ A3, A7-A9, A11, W8, M1, M9, M10, V5, V10, V11, A1)."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ..operators import joins as J
 from ..operators import merge as M
 from ..operators import ranking as W
 from ..operators import topk as K
+from ..session import input_tag
 from ..sources import nested as N
 from ..sources.tables import TABLES, table
 from . import fixtures as X
@@ -30,8 +29,7 @@ DEFAULT_MAX_BYTES = 50_000_000
 USAGE_THRESHOLD = 0.8
 
 
-def _tag(sf: str) -> str:
-    return hashlib.md5(sf.encode()).hexdigest()[:10]
+_tag = input_tag
 
 
 # ------------------------------------------------------------ the table --

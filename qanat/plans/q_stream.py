@@ -4,14 +4,12 @@ of the same operator (T1-T6)."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from ..functions import routing as R
 from ..functions import text as T
 from ..operators import answers as A
-from ..session import scratch_path
+from ..session import input_tag, scratch_path
 from ..sources import nested as N
 from ..streaming import jobs as SJ
 from . import fixtures as X
@@ -24,8 +22,7 @@ from .registry import register
 PARTS = 4
 
 
-def _tag(sf: str) -> str:
-    return hashlib.md5(sf.encode()).hexdigest()[:10]
+_tag = input_tag
 
 
 doc_index = QA.doc_index

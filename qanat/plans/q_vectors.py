@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import topk as K
+from ..session import input_tag
 from ..sources.tables import table
 from . import fixtures as X
 from .registry import register
@@ -87,12 +88,11 @@ def q_context_preview(spark, sf):
 def ivf_index(spark, sf):
     """IVF index over the embeddings: centroids (nlist x dim, bounded by the
     parameter) and the cell-tagged vectors, written once to the shared folder."""
-    import hashlib
 
     import numpy as np
 
     from ..sources import nested as N
-    tag = hashlib.md5(sf.encode()).hexdigest()[:10]
+    tag = input_tag(sf)
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
     holder = {}
 

@@ -3,6 +3,7 @@ shared folder (``spark.checkpoint.dir``) used for written tables."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -126,3 +127,16 @@ def fs_list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
+
+def input_tag(sf_dir: str) -> str:
+    """Short digest of a folder of tables: its path and, for every table in it, bytes,
+    number of files and time of change. Snapshots named by it are built anew when
+    their input has changed."""
+    spark = SparkSession.getActiveSession()
+    fs, p = _fs(spark, sf_dir)
+    h = hashlib.md5(sf_dir.encode())
+    for st in sorted(fs.listStatus(p), key=lambda x: x.getPath().getName()):
+        total = fs.getContentSummary(st.getPath())
+        h.update(f"|{st.getPath().getName()}:{total.getLength()}:{total.getFileCount()}:{st.getModificationTime()}".encode())
+    return h.hexdigest()[:10]

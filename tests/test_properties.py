@@ -142,3 +142,14 @@ def test_bad_vectors_do_not_fail_a_search(spark):
         got = K.cosine_topk(v, v, 1, "id", "v", "id", "v", strategy=strategy).collect()
         assert sorted((r["qid"], r["did"]) for r in got) == [(1, 1), (2, 2), (7, 7)]
     assert sorted(tuple(r) for r in K.rejected_vectors(v, "id", "v").collect()) == [(3, "null"), (4, "value"), (5, "length"), (6, "value")]
+
+
+def test_snapshot_key_follows_its_input(spark, tmp_path):
+    from qanat.session import input_tag
+
+    df = spark.range(3)
+    df.write.parquet(f"{tmp_path}/t.parquet")
+    first = input_tag(str(tmp_path))
+    assert input_tag(str(tmp_path)) == first
+    df.write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert input_tag(str(tmp_path)) != first
