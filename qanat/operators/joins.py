@@ -1,22 +1,16 @@
-"""Joins (J1-J5, P3, P4): size-checked broadcast, keyed lookups, semi/anti."""
+"""Joins (J1-J5, P3, P4): lookup joins, keyed lookups, semi/anti."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is at most this many rows
-# (checked with a count job); beyond it the join is left to a shuffle.
-BROADCAST_MAX_ROWS = 1_000_000
 
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only behind a size check; otherwise a
-    regular (shuffle / AQE-chosen) join."""
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join with a side that is usually small. Whether it is broadcast is left to
+    the bytes Spark measures against spark.sql.autoBroadcastJoinThreshold, again
+    at run time with AQE; no count job, no row-count limit."""
+    return big.join(small, on, how)
 
 
 def dedup_last_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:

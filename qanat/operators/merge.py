@@ -1,10 +1,10 @@
 """Keyed mutations as folds.
 
-Plain Parquet has no MERGE; every mutation is ``existing ∪ incoming`` ->
-``groupBy(key)`` with ``max_by`` on ``(is_incoming, seq)`` -> a new snapshot.
-The aggregate is partial/final (map-side combine), so a hot key costs one
-row per partition in the shuffle. Snapshots are written to a new directory
-under the shared folder and never over the directory being read.
+Plain Parquet has no MERGE; an upsert folds the incoming batch to one row per
+key (a partial/final aggregate, so a hot key costs one row per partition in the
+shuffle) and puts it beside the stored rows that the batch does not name.
+Snapshots are written to a new directory under the shared folder and never over
+the directory being read.
 """
 
 from __future__ import annotations
@@ -23,32 +23,36 @@ def _ts(as_of) -> Column:
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], payload: list[str],
            as_of, created: str = "created_at", updated: str = "updated_at",
-           seq: str | None = None, touch_updated: bool = True) -> DataFrame:
-    """Keyed upsert.
+           seq: str | None = None, touch_updated: bool = True,
+           incoming_keys: DataFrame | None = None) -> DataFrame:
+    """Keyed upsert into a table that is unique by ``keys``.
 
     insert: created = updated = as_of. update: payload replaced by the
-    incoming row (last ``seq`` wins within one batch), created kept; updated
-    = as_of when ``touch_updated`` else kept.
+    incoming row, created kept; updated = as_of when ``touch_updated`` else
+    kept. Of several incoming rows of one key the last ``seq`` wins, equal or
+    absent ``seq`` are told apart by a hash of the payload.
+
+    Stored rows whose key is not incoming pass an anti join and nothing else:
+    a batch small enough for a broadcast leaves them unshuffled and unsorted.
+    ``incoming_keys`` names the incoming keys where they are cheaper to get
+    than ``incoming`` itself (an embedder would otherwise run twice).
     """
     t = _ts(as_of)
-    e = existing.select(*keys, *payload, F.col(created).alias("__c"), F.col(updated).alias("__u"),
-                        F.lit(0).alias("__src"), F.lit(0).cast("long").alias("__seq"))
-    i = incoming.select(*keys, *payload, F.lit(None).cast("timestamp_ntz").alias("__c"),
-                        F.lit(None).cast("timestamp_ntz").alias("__u"), F.lit(1).alias("__src"),
-                        (F.col(seq).cast("long") if seq else F.lit(0).cast("long")).alias("__seq"))
-    win = [F.max_by(F.struct(*payload), F.struct("__src", "__seq")).alias("__w")] if payload else []
-    g = e.unionByName(i).groupBy(*keys).agg(
-        *win,
-        F.max("__src").alias("__inc"), F.min("__src").alias("__old0"),
-        F.max("__c").alias("__c"), F.max("__u").alias("__u"))
-    old = F.col("__old0") == 0
-    created_col = F.when(old, F.col("__c")).otherwise(t)
-    if touch_updated:
-        updated_col = F.when(F.col("__inc") == 1, t).otherwise(F.col("__u"))
-    else:
-        updated_col = F.when(old, F.col("__u")).otherwise(t)
-    body = ["__w.*"] if payload else []
-    return g.select(*keys, *body, created_col.alias(created), updated_col.alias(updated))
+    order = F.struct(F.col(seq).cast("long") if seq else F.lit(0).cast("long"),
+                     F.xxhash64(*payload) if payload else F.lit(0).cast("long"))
+    last = [F.max_by(F.struct(*payload), order).alias("__w")] if payload else [F.count(F.lit(1)).alias("__n")]
+    i = incoming.groupBy(*keys).agg(*last).select(*keys, *(["__w.*"] if payload else []))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    named = [F.col(k).alias(f"__k_{k}") for k in keys]
+    stored = existing.select(*named, F.col(created).alias("__c"), F.col(updated).alias("__u"), F.lit(True).alias("__old"))
+    old = F.coalesce(F.col("__old"), F.lit(False))
+    fresh = i.join(stored, same, "left").select(
+        *keys, *payload, F.when(old, F.col("__c")).otherwise(t).alias(created),
+        (t if touch_updated else F.when(old, F.col("__u")).otherwise(t)).alias(updated))
+    kept = existing.join((incoming if incoming_keys is None else incoming_keys).select(*named), same, "left_anti")
+    return kept.select(*keys, *payload, created, updated).unionByName(fresh)
 
 
 def delete_keys(existing: DataFrame, requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

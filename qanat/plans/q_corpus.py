@@ -44,7 +44,7 @@ def verses_files(spark, sf):
             "ayahs")).alias("surahs")).alias("data"))
         return s
     N.materialize(spark, f"fx-verses-{_tag(sf)}", build, fmt="json")
-    return spark.read.schema(N.VERSES_FILE).json(N.materialized_path(spark, f"fx-verses-{_tag(sf)}"))
+    return N.json_lines(spark, N.VERSES_FILE, N.materialized_path(spark, f"fx-verses-{_tag(sf)}"))[0]
 
 
 def duas_files(spark, sf):
@@ -60,7 +60,7 @@ def duas_files(spark, sf):
         return g.select(F.array(F.struct("TITLE", "TEXT")).alias("English"))
     name = f"fx-duas-{_tag(sf)}"
     N.materialize(spark, name, build, fmt="json")
-    return spark.read.schema(N.DUAS_FILE).json(N.materialized_path(spark, name))
+    return N.json_lines(spark, N.DUAS_FILE, N.materialized_path(spark, name))[0]
 
 
 def editions_root(spark, sf):
@@ -95,7 +95,7 @@ def hadith_pages(spark, sf):
                                  ).alias("hadiths"))
     name = f"fx-hadith-pages-{_tag(sf)}"
     N.materialize(spark, name, build, fmt="json")
-    return spark.read.schema(N.HADITH_PAGE).json(N.materialized_path(spark, name))
+    return N.json_lines(spark, N.HADITH_PAGE, N.materialized_path(spark, name))[0]
 
 
 def tafsir_grid_root(spark, sf):
@@ -142,9 +142,16 @@ def q_category_flatten(spark, sf):
     return N.flatten_duas(duas_files(spark, sf))
 
 
-FALLBACK_DUA = {"category": "Morning & Evening", "arabic": "",
-                "transliteration": "", "english": "I seek refuge in Allah from Satan the accursed.",
-                "reference": "Al-Baqarah 2:255", "note": "Ayat al-Kursi - Recite morning and evening"}
+# fixed values: the row that stands in for an unreachable source
+FALLBACK_DUA = {
+    "category": "Morning & Evening",
+    "arabic": "أَعُوذُ بِاللَّهِ مِنَ الشَّيطَانِ الرَّجِيمِ ﴿اللَّهُ لاَ إِلَهَ إِلاَّ هُوَ الْحَيُّ الْقَيُّومُ﴾...",
+    "transliteration": "A'udhu billahi min ash-shaytan ir-rajim. Allahu la ilaha illa huwa al-hayyu al-qayyum...",
+    "english": "I seek refuge in Allah from Satan the accursed. Allah - there is no deity except Him, "
+               "the Ever-Living, the Sustainer of existence...",
+    "reference": "Al-Baqarah 2:255",
+    "note": "Ayat al-Kursi - Recite morning and evening",
+}
 
 
 @register("fallback_rows", _DUAS_SQL)

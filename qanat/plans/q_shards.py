@@ -375,7 +375,7 @@ def build_index(spark, sf, max_documents=None):
     rows = emb.select(
         "id", R.shard_route(F.col("id")).alias("shard_id"), "type", "source", "text",
         V.l2_normalize(F.col("embedding")).alias("embedding"))
-    return M.upsert(stored, rows, ["id"], PAYLOAD, AS_OF)
+    return M.upsert(stored, rows, ["id"], PAYLOAD, AS_OF, incoming_keys=todo)
 
 
 @register("build_index", f"""

@@ -99,6 +99,24 @@ def materialize(spark: SparkSession, name: str, builder, fmt: str = "parquet",
 
 # ---------------------------------------------------------------- sources --
 
+CORRUPT = "_corrupt_record"
+
+
+def json_lines(spark: SparkSession, schema: T.StructType, paths) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON-lines files. Rows carry the schema's columns and
+    ``file_path``; a line that is no JSON of the schema goes whole to rejects
+    (file_path, line) and never into the rows; blank lines are neither."""
+    typed = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    # the mode is the default; naming it keeps the optimizer from narrowing the parsed schema
+    raw = spark.read.text(paths).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+        F.from_json("value", typed, {"mode": "PERMISSIVE"}).alias("r"))
+    parsed = raw.where(F.col("r").isNotNull())
+    bad = F.col(f"r.{CORRUPT}").isNotNull()
+    return (parsed.where(~bad).select(*[F.col(f"r.{f.name}") for f in schema.fields], "file_path"),
+            parsed.where(bad).select("file_path", "line"))
+
+
 def flatten_verses(raw: DataFrame) -> DataFrame:
     """surahs[].ayahs[] -> one row per verse carrying its surah struct."""
     s = raw.select(F.explode("data.surahs").alias("s"))
@@ -139,14 +157,14 @@ def fallback_rows(primary: DataFrame, fallback_row: dict) -> DataFrame:
 def edition_union(spark: SparkSession, root: str, editions=R.EDITIONS) -> DataFrame:
     """All edition files in one scan; the edition id comes from the file
     path, name from the (constant) edition list; missing editions are
-    skipped."""
+    skipped, malformed lines left out (``json_lines`` returns them)."""
     dirs = set(fs_list_dirs(spark, root))
     present = [eid for eid, _ in editions if f"editionId={eid}" in dirs]
     if not present:
         return spark.createDataFrame([], "surah long, ayah long, text string, edition string, "
                                          "editionId string, language string")
-    raw = (spark.read.schema(EDITION_VERSE).json([f"{root}/editionId={e}" for e in present])
-           .withColumn("editionId", F.regexp_extract(F.col("_metadata.file_path"), r"editionId=([^/]+)", 1)))
+    rows, _ = json_lines(spark, EDITION_VERSE, [f"{root}/editionId={e}" for e in present])
+    raw = rows.withColumn("editionId", F.regexp_extract("file_path", r"editionId=([^/]+)", 1))
     names = F.create_map(*[x for eid, name in editions for x in (F.lit(eid), F.lit(name))])
     return raw.select("surah", "ayah", "text", F.element_at(names, F.col("editionId")).alias("edition"),
                       "editionId", R.edition_language(F.col("editionId")).alias("language"))
@@ -175,9 +193,9 @@ def grid_ingest(spark: SparkSession, root: str, surahs: DataFrame, editions=R.SU
     """One scan over the (edition, surah) grid of files; the cell comes
     from the path. Returns (documents, missing cells); the expected grid is
     surahs x editions, the missing report is a left-anti join."""
-    raw = (spark.read.schema(TAFSIR_AYAH).json(root)
-           .withColumn("tafsirType", F.regexp_extract(F.col("_metadata.file_path"), r"edition=([^/]+)", 1))
-           .withColumn("cell_surah", F.regexp_extract(F.col("_metadata.file_path"), r"surah_part=(\d+)", 1)
+    rows, _ = json_lines(spark, TAFSIR_AYAH, root)
+    raw = (rows.withColumn("tafsirType", F.regexp_extract("file_path", r"edition=([^/]+)", 1))
+           .withColumn("cell_surah", F.regexp_extract("file_path", r"surah_part=(\d+)", 1)
                        .cast("long")))
     name = X.map_lookup(F.col("tafsirType"), R.TAFSIR_NAMES)
     docs = raw.select(

@@ -181,3 +181,33 @@ def test_unwrap_or_reject(spark):
     ok, bad = V.unwrap_or_reject(df, "v")
     assert [(r["id"], r["vector"]) for r in ok.collect()] == [(1, [1.0, 2.0])]
     assert [r["id"] for r in bad.collect()] == [2]
+
+
+def test_upsert_of_equal_seq_is_deterministic_and_null_keys_meet(spark):
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    ex = spark.createDataFrame([(None, "a", t0, t0), (1, "b", t0, t0)],
+                               "id long, v string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    rows = [(None, "c"), (2, "x"), (2, "y"), (2, "z")]
+    got = [sorted(map(tuple, M.upsert(ex, spark.createDataFrame(r, "id long, v string").repartition(n), ["id"], ["v"], t1)
+                      .collect()), key=str) for r in (rows, rows[::-1]) for n in (1, 3)]
+    assert all(g == got[0] for g in got) and len(got[0]) == 3
+    assert (None, "c", t0, t1) in got[0] and (1, "b", t0, t0) in got[0]
+
+
+def test_fixed_fallback_row_stands_in_for_an_empty_source(spark):
+    from qanat.plans.q_corpus import FALLBACK_DUA
+
+    empty = N.flatten_duas(spark.createDataFrame([], N.DUAS_FILE))
+    row, = N.fallback_rows(empty, FALLBACK_DUA).collect()
+    assert row.asDict() == FALLBACK_DUA and row["english"].endswith("the Sustainer of existence...")
+
+
+def test_malformed_json_lines_are_rejected_whole(spark, tmp_path):
+    d = tmp_path / "editionId=eng-sahih"
+    d.mkdir()
+    bad = ['{"surah": 1, "ayah": ', '{"surah": "one", "ayah": 3, "text": "t"}']
+    (d / "part.json").write_text("\n".join(['{"surah": 1, "ayah": 2, "text": "ok"}', "", *bad]) + "\n")
+    rows, rejects = N.json_lines(spark, N.EDITION_VERSE, str(d))
+    assert [tuple(r)[:3] for r in rows.collect()] == [(1, 2, "ok")] and rows.count() == 1
+    assert sorted(r["line"] for r in rejects.collect()) == sorted(bad)
+    assert [r["text"] for r in N.edition_union(spark, str(tmp_path)).collect()] == ["ok"]

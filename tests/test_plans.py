@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from qanat.operators import merge as M
 from qanat.operators import ranking as W
 from qanat.operators import topk as K
 from qanat.plans import q_corpus as C
@@ -46,3 +47,14 @@ def test_filter_pushed_to_parquet(spark):
 def test_shard_scan_prunes_partitions(spark):
     p = plan(QUERIES["shard_scan"](spark, SF_SMALL))
     assert "PartitionFilters: [" in p and "shard_id" in p
+
+
+def test_small_upsert_leaves_the_stored_payload_unshuffled(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    t = "timestamp_ntz'2024-01-01 00:00:00'"
+    spark.range(1000).selectExpr("id", "cast(id as string) v", f"{t} created_at", f"{t} updated_at").write.parquet(path)
+    inc = spark.range(990, 1010).selectExpr("id", "'new' v")
+    out = M.upsert(spark.read.parquet(path), inc, ["id"], ["v"], "2024-02-01")
+    kept = plan(out).split("Union")[1].split("FileScan parquet")[0]
+    assert "LeftAnti" in kept and "hashpartitioning" not in kept and "Sort" not in kept
+    assert out.count() == 1010 and out.where("v = 'new'").count() == 20
