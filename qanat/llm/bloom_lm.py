@@ -6,12 +6,15 @@ hash space, packed arrays of hashes and counts; a bucket's reducer adds them up.
 It then writes, for words, the exact counts, and for both a segment of a Bloom
 filter that holds an n-gram of quantised count q under the keys (n-gram, 1) ...
 (n-gram, q). A segment has a fixed number of bits: where its n-grams would
-overfill it, it holds those of the highest counts. The filters, of a fixed size,
-are broadcast; a count comes back by probing level after level until one is
-missing, and smoothed probabilities interpolate pair and word estimates.
-
-The base score needs exact counts: the most frequent words' (a table of at most
-FREQUENT) are broadcast, all other tokens meet the exact counts in their bucket.
+overfill it, it holds those of the highest counts, and the bucket keeps all others
+in a filter of its own, whose size follows their number. The segments, together
+of a fixed size, are broadcast; a count comes back by probing level after level
+until one is missing, and smoothed probabilities interpolate pair and word estimates.
+
+The most frequent words' exact counts (a table of at most FREQUENT) are broadcast.
+Texts are worked on in batches: a batch sends each word outside that table, and
+each pair that its bucket may hold outside the broadcast segment, once to their
+buckets; the answers meet the batch again. So no n-gram is lost at any size.
 Words are named by 64-bit hashes.
 """
 
@@ -34,6 +37,8 @@ PROBES, BITS_PER_KEY = 4, 8
 FREQUENT = 1 << 18
 #: tokens a task counts before it sends what it has
 FLUSH = 4_000_000
+#: text bytes of one batch that asks the buckets (one longer text is its own batch)
+BATCH_BYTES = 8 << 20
 #: weight of the pair estimate where the first word is known
 LAMBDA = 0.4
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -109,21 +114,36 @@ def _places(h: np.ndarray, q: int, mask: int) -> Iterator[np.ndarray]:
         yield ((a + U(i) * b) & U(mask)).astype(np.int64)
 
 
-def segment(h: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """One segment of ``bits`` (a power of two) bits with the n-grams of the highest levels that fit."""
+def _least(counts: np.ndarray, bits: int) -> int:
+    """The lowest level from which all n-grams fit into ``bits`` bits."""
     q = level(counts)
     keys = np.bincount(q, minlength=2) * np.arange(max(2, q.max(initial=0) + 1))
     upwards = np.cumsum(keys[::-1])[::-1]  # keys of all n-grams of a level and above
     fits = np.flatnonzero(upwards <= bits // BITS_PER_KEY)
-    least = max(int(fits[0]), 1) if len(fits) else len(keys)
+    return max(int(fits[0]), 1) if len(fits) else len(keys)
+
+
+def _filled(h: np.ndarray, q: np.ndarray, bits: int) -> bytes:
     out = np.zeros(bits, bool)
     for j in range(1, int(q.max(initial=0)) + 1):
-        some = h[(q >= least) & (q >= j)]
-        for place in _places(some, j, bits - 1):
+        for place in _places(h[q >= j], j, bits - 1):
             out[place] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def segment(h: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
+    """One segment of ``bits`` (a power of two) bits with the n-grams of the highest levels that fit."""
+    on = level(counts) >= _least(counts, bits)
+    return _filled(h[on], level(counts[on]), bits)
+
+
+def remainder(h: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
+    """A filter of the n-grams that ``segment`` leaves out, as large as their keys need; empty if there are none."""
+    on = level(counts) < _least(counts, bits)
+    q = level(counts[on])
+    return _filled(h[on], q, 1 << max(int(q.sum()) * BITS_PER_KEY - 1, 63).bit_length()) if on.any() else b""
+
+
 @dataclass
 class Filter:
     data: np.ndarray  # bytes of all segments, in bucket order
@@ -132,6 +152,8 @@ class Filter:
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts by repeated membership probes."""
         size = len(self.data) * 8 >> self.bucket_bits
+        if not size:
+            return np.zeros(len(h), np.int64)
         base = (h >> U(64 - self.bucket_bits)).astype(np.int64) * size if self.bucket_bits else np.zeros(len(h), np.int64)
         out = np.zeros(len(h), np.int64)
         on = np.arange(len(h))
@@ -157,6 +179,7 @@ class Model:
     v: int  # distinct ones
     texts: int
     bucket_bits: int
+    more: np.ndarray  # per bucket: whether it holds pairs that the broadcast segment has not
 
 
 def _sums(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +204,8 @@ def _packed(kind: int, h: np.ndarray, n: np.ndarray, bucket_bits: int) -> pa.Rec
 
 def count(texts: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_bits: int = WORD_BITS) -> DataFrame:
     """(kind 1 word or 2 pair, bucket, hashes, counts, levels: n-grams by quantised count,
-    bits: filter segment); hashes and counts are kept for words only."""
+    bits: filter segment, rest: filter of all that the segment has not); hashes and
+    counts are kept for words only, which need no rest."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
         size = 0
@@ -206,18 +230,19 @@ def count(texts: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_b
         read = lambda c, t: np.frombuffer(b"".join(group.column(c).to_pylist()), t)
         once, more = read("once", U), read("more", U)
         h, n = _sums(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), read("n", "<u4").astype(np.int64)]))
-        bits = segment(h, n, (1 << (word_bits if kind == 1 else pair_bits)) >> bucket_bits)
+        size = (1 << (word_bits if kind == 1 else pair_bits)) >> bucket_bits
+        bits = segment(h, n, size)
         if kind == 1:
-            h, exact = h.tobytes(), n.astype("<i8").tobytes()
+            h, exact, rest = h.tobytes(), n.astype("<i8").tobytes(), b""
         else:
-            h, exact = b"", b""
+            h, exact, rest = b"", b"", remainder(h, n, size)
         return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "hashes": pa.array([h], pa.binary()),
                          "counts": pa.array([exact], pa.binary()), "levels": pa.array([np.bincount(level(n), minlength=2).tolist()], pa.list_(pa.int64())),
-                         "total": pa.array([int(n.sum())], pa.int64()), "bits": pa.array([bits], pa.binary())})
+                         "total": pa.array([int(n.sum())], pa.int64()), "bits": pa.array([bits], pa.binary()), "rest": pa.array([rest], pa.binary())})
 
     sent = texts.select("text").mapInArrow(send, "kind int, bucket int, once binary, more binary, n binary")
     return sent.groupBy("kind", "bucket").applyInArrow(
-        add, "kind int, bucket int, hashes binary, counts binary, levels array<long>, total long, bits binary")
+        add, "kind int, bucket int, hashes binary, counts binary, levels array<long>, total long, bits binary, rest binary")
 
 
 def bucket_bits_for(spark: SparkSession) -> int:
@@ -261,88 +286,145 @@ def fit(table: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_bit
     if row is not None:
         at = np.searchsorted(np.frombuffer(row["hashes"], U), ends)[0]
         texts = int(np.frombuffer(row["counts"], "<i8")[at])
-    return Model(filled(2, pair_bits), filled(1, word_bits), h[order], n[order], int(total), int(by_level.sum()), texts, bucket_bits)
+    more = np.zeros(1 << bucket_bits, bool)
+    more[[r["bucket"] for r in table.where("kind = 2 and length(rest) > 0").select("bucket").collect()]] = True
+    return Model(filled(2, pair_bits), filled(1, word_bits), h[order], n[order], int(total), int(by_level.sum()), texts, bucket_bits, more)
 
 
 def _grouped(b: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, b, n)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(rid, doc_id, n_tokens, known, base, score, rare, times) per row of ``id_text`` rows:
-    known and base cover the frequent words; ``rare`` and ``times`` pack the others."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+def batched(docs: DataFrame) -> DataFrame:
+    """(batch, packed: a compressed Arrow stream of its ``id_text`` rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = shared.value, TaskContext.get().partitionId() << 40
-        z = m.n + 0.5 * (m.v + 1)
+        number, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for x in held:
+                    w.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "packed"])
+
         for b in slices(batches):
-            k = b.num_rows
-            tok, before, owner = tokens(b.column(1).to_pylist())
-            distinct, back = np.unique(tok, return_inverse=True)
-            at = np.minimum(np.searchsorted(m.frequent, distinct), max(len(m.frequent) - 1, 0))
-            c = np.where(m.frequent[at] == distinct, m.counts[at], 0) if len(m.frequent) else np.zeros(len(distinct), np.int64)
-            often = (c > 0)[back]
-            base = np.where(often, np.log10((c + 0.5) / z)[back], 0.0)
-            words = value(m.words.levels(distinct))
-            one, again = words[back], np.full(len(tok), float(m.texts))
-            inner = before != BEGIN
-            again[inner] = one[np.flatnonzero(inner) - 1]
-            both, where = np.unique(pairs(before, tok), return_inverse=True)
-            two = np.minimum(value(m.pairs.levels(both))[where], np.minimum(again, np.maximum(one, 1)))
-            weight = np.where(again > 0, LAMBDA, 0.0)
-            p = weight * two / np.maximum(again, 1) + (1 - weight) * (one + 0.5) / z
-            rare = ~often
-            ask, times = np.unique(np.stack([owner[rare].astype(U), tok[rare]]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), U), np.zeros(0, int))
-            cuts = np.searchsorted(ask[0], np.arange(1, k, dtype=U))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(k)), b.column(0), pa.array(np.bincount(owner, minlength=k)),
-                 pa.array(_grouped(often.astype(float), owner, k).astype(np.int64)), pa.array(_grouped(base, owner, k)), pa.array(_grouped(np.log10(p), owner, k)),
-                 pa.array([x.tobytes() for x in np.split(ask[1], cuts)], pa.binary()),
-                 pa.array([x.astype("<u4").tobytes() for x in np.split(times, cuts)], pa.binary())],
-                ["rid", "doc_id", "n_tokens", "known", "base", "score", "rare", "times"])
-            row += k
-
-    return docs.mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, base double, score double, rare binary, times binary")
-
-
-def settle(scored: DataFrame, table: DataFrame, model: Model) -> DataFrame:
-    """(rid, base, known) that the tokens outside the frequent table add: requests go
-    to the bucket of their hash, where the exact counts are."""
-    bits, z = model.bucket_bits, model.n + 0.5 * (model.v + 1)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.frombuffer(b"".join(b.column(1).to_pylist()), U)
-            times = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4")
-            rid = np.repeat(b.column(0).to_numpy(), [len(x.as_buffer()) >> 3 for x in b.column(1)])
-            order = np.argsort(h, kind="stable")
-            h, times, rid = h[order], times[order], rid[order]
-            cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=U) << U(64 - bits)) if bits else []
-            rows = [(k, x.tobytes(), y.astype("<i8").tobytes(), r.tobytes()) for k, (x, y, r) in enumerate(zip(np.split(h, cuts), np.split(times, cuts), np.split(rid, cuts))) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                                             ["bucket", "hashes", "counts", "rids"])
-
-    def answer(group: pa.Table) -> pa.Table:
-        known_h, known_n, out = np.zeros(0, U), np.zeros(0, np.int64), []
-        rows = list(zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist(), group.column("rids").to_pylist()))
-        for h, n, rid in rows:
-            if rid is None:
-                known_h, known_n = np.frombuffer(h, U), np.frombuffer(n, "<i8")
-        asked = [x for x in rows if x[2] is not None]
-        h = np.frombuffer(b"".join(x[0] for x in asked), U)
-        times = np.frombuffer(b"".join(x[1] for x in asked), "<i8")
-        rid = np.frombuffer(b"".join(x[2] for x in asked), "<i8")
-        at = np.minimum(np.searchsorted(known_h, h), max(len(known_h) - 1, 0))
-        c = np.where(known_h[at] == h, known_n[at], 0) if len(known_h) else np.zeros(len(h), np.int64)
-        rows_, where = np.unique(rid, return_inverse=True)
-        return pa.table({"rid": pa.array(rows_, pa.int64()), "base": pa.array(np.bincount(where, times * np.log10((c + 0.5) / z), len(rows_)), pa.float64()),
-                         "known": pa.array(np.bincount(where, times * (c > 0), len(rows_)).astype(np.int64), pa.int64())})
-
-    requests = scored.select("rid", "rare", "times").where(F.length("rare") > 0).mapInArrow(ask, "bucket int, hashes binary, counts binary, rids binary")
-    counts = table.where("kind = 1").select("bucket", "hashes", "counts", F.lit(None).cast("binary").alias("rids"))
-    got = requests.unionAll(counts).groupBy("bucket").applyInArrow(answer, "rid long, base double, known long")
-    return got.groupBy("rid").agg(F.sum("base").alias("more_base"), F.sum("known").alias("more_known"))
+            n = b.column(1).nbytes
+            if held and size + n > BATCH_BYTES:
+                yield out()
+                number, held, size = number + 1, [], 0
+            held.append(b)
+            size += n
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, "batch long, packed binary")
+
+
+@dataclass
+class Batch:
+    """What a batch knows without the buckets. Words and pairs are distinct and
+    ascending; ``word`` and ``pair`` are each token's place among them."""
+
+    ids: pa.Array
+    owner: np.ndarray
+    first: np.ndarray  # whether a token begins a text
+    words: np.ndarray
+    word: np.ndarray
+    counts: np.ndarray  # exact, -1: ask
+    pairs: np.ndarray
+    pair: np.ndarray
+    levels: np.ndarray  # -1: ask
+
+
+def _batch(packed: bytes, m: Model) -> Batch:
+    rows = pa.ipc.open_stream(packed).read_all()
+    tok, before, owner, at = [], [], [], 0
+    for b in rows.to_batches():
+        t, p, o = tokens(b.column(1).to_pylist())
+        tok.append(t), before.append(p), owner.append(o + at)
+        at += b.num_rows
+    tok, before = np.concatenate(tok), np.concatenate(before)
+    words, word = np.unique(tok, return_inverse=True)
+    at = np.minimum(np.searchsorted(m.frequent, words), max(len(m.frequent) - 1, 0))
+    counts = np.where(m.frequent[at] == words, m.counts[at], -1) if len(m.frequent) else np.full(len(words), -1)
+    both, pair = np.unique(pairs(before, tok), return_inverse=True)
+    levels = m.pairs.levels(both)
+    bucket = (both >> U(64 - m.bucket_bits)).astype(np.int64) if m.bucket_bits else np.zeros(len(both), np.int64)
+    levels[(levels == 0) & m.more[bucket]] = -1
+    return Batch(rows.column(0).combine_chunks(), np.concatenate(owner), before == BEGIN, words, word, counts, both, pair, levels)
+
+
+def requests(batches: DataFrame, shared) -> DataFrame:
+    """(kind, bucket, batch, hashes) of the words and pairs that a batch has to ask for, ascending."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        cut = np.arange(1, 1 << m.bucket_bits, dtype=U) << U(64 - m.bucket_bits) if m.bucket_bits else np.zeros(0, U)
+        for b in rows:
+            for number, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                x = _batch(packed.as_buffer(), m)
+                out = [(kind, k, number, some.tobytes()) for kind, h in ((1, x.words[x.counts < 0]), (2, x.pairs[x.levels < 0]))
+                       for k, some in enumerate(np.split(h, np.searchsorted(h, cut))) if len(some)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+                                                 ["kind", "bucket", "batch", "hashes"])
+
+    return batches.mapInArrow(run, "kind int, bucket int, batch long, hashes binary")
+
+
+def settle(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(batch, kind, bucket, found): for every hash asked for, in order, a word's exact
+    count (8 bytes) or a pair's level (1 byte), from the bucket that has them."""
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        kind, bucket = (k.as_py() for k in key)
+        known_h, known_n, rest, out = np.zeros(0, U), np.zeros(0, np.int64), Filter(np.zeros(0, np.uint8), 0), []
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("batch", "hashes", "counts", "rest"))))
+        for batch, h, n, bits in rows:
+            if batch is None:
+                known_h, known_n, rest = np.frombuffer(h, U), np.frombuffer(n, "<i8"), Filter(np.frombuffer(bits, np.uint8), 0)
+        for batch, h, _, _ in rows:
+            if batch is not None:
+                h = np.frombuffer(h, U)
+                if kind == 2:
+                    found = rest.levels(h).astype(np.uint8)
+                else:
+                    at = np.minimum(np.searchsorted(known_h, h), max(len(known_h) - 1, 0))
+                    found = (np.where(known_h[at] == h, known_n[at], 0) if len(known_h) else np.zeros(len(h), np.int64)).astype("<i8")
+                out.append((batch, kind, bucket, found.tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                        ["batch", "kind", "bucket", "found"])
+
+    none = F.lit(None).cast("binary")
+    held = table.select("kind", "bucket", F.lit(None).cast("long").alias("batch"), "hashes", "counts", "rest").where("kind = 1 or length(rest) > 0")
+    both = asked.withColumns({"counts": none, "rest": none}).unionAll(held)
+    return both.groupBy("kind", "bucket").applyInArrow(answer, "batch long, kind int, bucket int, found binary")
+
+
+def score(batches: DataFrame, answers: DataFrame, shared) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) per row of the batches."""
+    def run(key: tuple, got: pa.Table, rows: pa.Table) -> pa.Table:
+        m = shared.value
+        z = m.n + 0.5 * (m.v + 1)
+        found = sorted(zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "found"))))
+        x = _batch(rows.column("packed")[0].as_buffer(), m)
+        asked = x.counts < 0
+        x.counts[asked] = np.frombuffer(b"".join(f for kind, _, f in found if kind == 1), "<i8")
+        x.levels[x.levels < 0] = np.frombuffer(b"".join(f for kind, _, f in found if kind == 2), np.uint8)
+        # the broadcast filter speaks for the frequent words that it holds, the exact count for all others
+        q = np.where(asked, 0, m.words.levels(x.words))
+        one = value(np.where(q > 0, q, level(x.counts)))[x.word]
+        again = np.full(len(one), float(m.texts))
+        inner = ~x.first
+        again[inner] = one[np.flatnonzero(inner) - 1]
+        two = np.minimum(value(x.levels)[x.pair], np.minimum(again, np.maximum(one, 1)))
+        weight = np.where(again > 0, LAMBDA, 0.0)
+        p = weight * two / np.maximum(again, 1) + (1 - weight) * (one + 0.5) / z
+        k = len(x.ids)
+        sums = lambda v: np.bincount(x.owner, v, k)
+        return pa.table({"doc_id": x.ids, "n_tokens": pa.array(np.bincount(x.owner, minlength=k)),
+                         "n_known": pa.array(sums((x.counts > 0)[x.word].astype(float)).astype(np.int64)),
+                         "base_score": pa.array(sums(np.log10((x.counts + 0.5) / z)[x.word])), "score": pa.array(sums(np.log10(p)))})
+
+    return answers.groupBy("batch").cogroup(batches.groupBy("batch")).applyInArrow(
+        run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, bucket_bits: int | None = None, pair_bits: int = PAIR_BITS,
@@ -358,10 +440,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, bucket_bits: int |
     bits = bucket_bits_for(spark) if bucket_bits is None else bucket_bits
     table = written(count(rows.where(crc_fold(F.col("doc_id"), folds) != held), bits, pair_bits, word_bits), "lm-counts")
     model = fit(table, bits, pair_bits, word_bits, frequent)
-    scored = written(score(rows, model), "lm-scored")
-    more = settle(scored, table, model)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare", "times").join(more, "rid", "left").select(
-        "doc_id", (crc_fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens",
-        (F.col("known") + zero("more_known")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"), "score")
+    batches = written(batched(rows), "lm-batches")
+    shared = spark.sparkContext.broadcast(model)
+    scored = score(batches, settle(requests(batches, shared), table), shared)
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -188,6 +188,21 @@ def test_op6_filter_counts():
     assert (tight.levels(h)[n == 37] >= 6).all() and (tight.levels(h)[n == 1] == 0).mean() > 0.8
 
 
+def test_op6_full_filters_lose_nothing(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: x for (d, _), x in zip(rows, brute.lm(rows))}
+    roomy = {r["doc_id"]: r for r in bloom_lm.lm_scores(df).collect()}
+    for some in (64, bloom_lm.FREQUENT):
+        # 2^14 and 2^9 bits are too few for these texts' pairs and words
+        got = {r["doc_id"]: r for r in bloom_lm.lm_scores(df, pair_bits=14, word_bits=9, frequent=some).collect()}
+        assert got.keys() == want.keys()
+        for d, r in got.items():
+            assert tuple(r)[1:5] == want[d][:4] and r["base_score"] == pytest.approx(want[d][4])
+            assert r["score"] == pytest.approx(roomy[d]["score"], rel=0.03) and r["score"] == pytest.approx(want[d][5], rel=0.15)
+
+
 BENCHMARK = [(1, PASSAGE), (2, PASSAGE), (3, None), (4, " ,;"), (5, "seven eight"), (6, "the " * 12), (7, "never seen words here at all in any of these texts"), (1, PASSAGE)]
 
 
