@@ -46,7 +46,8 @@ CANDIDATES = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20./-][0-9]{4}){3}|[0-9]{4}[\x20./-][0-9]{6}[\x20./-][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9])\+?(?:[0-9]{1,3}[\x20./-]?)?\(?[0-9]{3}\)?[\x20./-][0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
 }
-CANDIDATE_GATE = {"email": "@|(?i)[(\\[]at[)\\]]|(?i) at .{1,70}? dot ", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{4}", "phone": "[0-9]{3}[\x20./-][0-9]{4}"}
+#: a text without these has no candidate of the kind; each is a part of every match, or wider
+CANDIDATE_GATE = {"email": r"@|(?i)[(\[]at[)\]]|(?i)\x20at\x20\x20?[a-z0-9-]{1,63}+\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{4}", "phone": "[0-9]{3}[\x20./-][0-9]{4}"}
 CUES = {"email": "mail|contact|write|@", "ip": r"\bip\b|host|address|server|login", "card": "card|visa|master|credit|payment|pay", "phone": "tel|phone|call|mobile|fax|contact|whatsapp"}
 #: characters of context a feature may look at on either side
 CONTEXT = 32

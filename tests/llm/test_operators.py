@@ -82,6 +82,16 @@ def test_op2_adds_what_the_base_cannot_see(spark):
     assert all(got[1000 + i]["n_card"] == 0 and got[1000 + i]["spans"] == "card:6:22,card:23:39" for i in range(40))
 
 
+@pytest.mark.parametrize("kind, forms", [
+    ("email", [f"jane{at}example{dot}org" for at in ("@", " @ ", "[at]", "(AT)", " [at] ", " at ", " At  ") for dot in (".", " . ", "[dot]", "(dot)", " (DOT) ", " dot ")]),
+])
+def test_op2_gates_let_every_generated_form_through(spark, kind, forms):
+    df = spark.createDataFrame([(f"so {x} it is",) for x in forms], "text string")
+    rows = df.select("text", F.regexp_extract("text", pii.CANDIDATES[kind], 0).alias("m"), F.col("text").rlike(pii.CANDIDATE_GATE[kind]).alias("gate")).collect()
+    assert all(r["gate"] and r["m"] in r["text"] and r["m"].strip() for r in rows), [r for r in rows if not (r["gate"] and r["m"])]
+    assert [r["m"] for r in rows] == forms
+
+
 def test_op2_redaction(docs, rows):
     got = bag(pii.redact(docs), "doc_id", "text")
     want = Counter()
