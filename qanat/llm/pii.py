@@ -3,7 +3,7 @@
 1. Base spans: four fixed patterns with their checks (always reported).
 2. High-recall generators propose further, overlapping spans (spelled-out mail
    addresses, cards glued to other numbers, telephone numbers without a plus
-   sign, IPv6 addresses) with format and context features.
+   sign in the usual groupings, IPv6 addresses, also compressed) with format and context features.
 3. Weak labels come from all rows: a candidate that overlaps a base span of its
    kind is personal data; one that fails its kind's check, or is glued to
    letters, is not; the rest is unlabelled. All candidates are aggregated to
@@ -42,17 +42,21 @@ GATE = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]
 CANDIDATES = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:@|[\[(]at[\])]|\x20at\x20)\x20?[a-z0-9-]{1,63}+"
              r"(?:\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)\x20?[a-z0-9-]{1,63}+){1,4}+",
-    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}|[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:(?:[0-9A-Fa-f]{1,4}:){1,7}|:):[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|"
+          r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4})|[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20./-][0-9]{4}){3}|[0-9]{4}[\x20./-][0-9]{6}[\x20./-][0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9])\+?(?:[0-9]{1,3}[\x20./-]?)?\(?[0-9]{3}\)?[\x20./-][0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])\+?(?:(?:[0-9]{1,3}[\x20./-]?)?\(?[0-9]{2,5}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}|"
+             r"0[1-9](?:[\x20./-][0-9]{2}){4}|\(?0[0-9]{2,4}\)?[\x20./-][0-9]{5,8})(?![0-9])",
 }
 #: a text without these has no candidate of the kind; each is a part of every match, or wider
-CANDIDATE_GATE = {"email": r"@|(?i)[(\[]at[)\]]|(?i)\x20at\x20\x20?[a-z0-9-]{1,63}+\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{4}", "phone": "[0-9]{3}[\x20./-][0-9]{4}"}
+CANDIDATE_GATE = {"email": r"@|(?i)[(\[]at[)\]]|(?i)\x20at\x20\x20?[a-z0-9-]{1,63}+\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|::[0-9A-Fa-f]|[0-9A-Fa-f]::", "card": "[0-9]{4}", "phone": "[0-9]\\)?[\x20./-][0-9]{2}"}
 CUES = {"email": "mail|contact|write|@", "ip": r"\bip\b|host|address|server|login", "card": "card|visa|master|credit|payment|pay", "phone": "tel|phone|call|mobile|fax|contact|whatsapp"}
 #: characters of context a feature may look at on either side
 CONTEXT = 32
 #: the features and how many values each can take (their product bounds the table that trees are fitted to)
 FEATURES = {"kind_no": 4, "valid": 2, "glued": 2, "quoted": 2, "cue": 2, "separators": 4, "digits": 5, "varied": 2, "overlaps": 2}
+#: eight groups, or fewer around one '::'
+IPV6 = r"^(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=.*::)(?!.*::.*::)(?!(?:[0-9A-Fa-f]*:){9})[0-9A-Fa-f:]+)$"
 SPAN = "array<struct<kind_no:int,start:bigint,end:bigint>>"
 
 
@@ -118,7 +122,7 @@ def candidates(text: Column, base: Column) -> Column:
             near, after = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
             spoken = F.regexp_replace(F.regexp_replace(m, r"(?i)\x20?(?:[\[(]at[\])]|\x20at\x20)\x20?", "@"), r"(?i)\x20?(?:[\[(]dot[\])]|\x20dot\x20)\x20?", ".")
             valid = spoken.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$") if kind == "email" \
-                else (_valid(kind, m) | m.contains(":")) if kind == "ip" else _valid(kind, m)
+                else (_valid(kind, m) | m.rlike(IPV6)) if kind == "ip" else _valid(kind, m)
             return F.struct(
                 F.lit(k).alias("kind_no"), s.alias("start"), e.alias("end"), F.coalesce(valid, F.lit(False)).cast("int").alias("valid"),
                 (near.rlike(r"[\p{L}\p{N}_#$]$") | after.rlike(r"^[\p{L}\p{N}_#$]")).cast("int").alias("glued"),

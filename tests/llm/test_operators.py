@@ -84,6 +84,8 @@ def test_op2_adds_what_the_base_cannot_see(spark):
 
 @pytest.mark.parametrize("kind, forms", [
     ("email", [f"jane{at}example{dot}org" for at in ("@", " @ ", "[at]", "(AT)", " [at] ", " at ", " At  ") for dot in (".", " . ", "[dot]", "(dot)", " (DOT) ", " dot ")]),
+    ("ip", ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:0:0::1", "::1", "2001:db8::", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "10.1.2.3"]),
+    ("phone", ["555-010-9999", "1 (555) 010-9999", "020 7946 0958", "(0171) 123-4567", "01 23 45 67 89", "030 12345678", "030/1234567"]),
 ])
 def test_op2_gates_let_every_generated_form_through(spark, kind, forms):
     df = spark.createDataFrame([(f"so {x} it is",) for x in forms], "text string")
