@@ -6,11 +6,14 @@
    sign in the usual groupings, IPv6 addresses, also compressed) with format and context features.
 3. Weak labels come from all rows: a candidate that overlaps a base span of its
    kind is personal data; one that fails its kind's check, or is glued to
-   letters, is not; the rest is unlabelled. All candidates are aggregated to
-   distinct feature rows (at most the product of the features' values) and
-   boosted trees are fitted to their weighted counts.
+   letters, is not; of the rest, mail addresses, IP addresses and phone numbers
+   without a cue nearby are not either (no check digit vouches for them). Base
+   spans stand a second time as if written in a form that only the generators
+   propose. All are aggregated to distinct feature rows (at most the product of
+   the features' values) and boosted trees are fitted to their weighted counts.
 4. On held-out documents each kind gets the lowest threshold that keeps the
-   wanted precision; the trees compile to one SQL expression, and candidates
+   wanted precision among the candidates that can be added: rewritten base spans
+   against look-alikes; the trees compile to one SQL expression, and candidates
    above their kind's threshold that overlap no base span are added.
 
 Both passes over the texts are row-local; only feature counts are shuffled.
@@ -151,6 +154,7 @@ class Model:
 
     trees: list = field(default_factory=list)
     thresholds: dict[int, float] = field(default_factory=dict)
+    measured: dict[int, tuple[int, int]] = field(default_factory=dict)  # held-out rows over the threshold: right ones, all
 
     def score(self, x: Column | None = None) -> Column:
         """Probability as one expression over a struct's fields (or plain columns)."""
@@ -188,6 +192,21 @@ def _tree(node) -> tuple | float:
     return s.featureIndex(), s.threshold(), _tree(node.leftChild()), _tree(node.rightChild())
 
 
+def labelled(found: DataFrame, folds: int, cand_col: str) -> DataFrame:
+    """(held, addable, the features, label, count): candidates by their weak labels,
+    and valid base spans once more in a form that can be added."""
+    x = F.col("x")
+    bare = (x["kind_no"] != KINDS.index("card")) & (x["cue"] == 0) & (x["overlaps"] == 0)
+    label = F.coalesce(x["label"], F.when(bare, F.lit(0)))
+    # '@' and '.' spelled out are three separators and more, a phone number loses its plus sign
+    form = F.when(x["kind_no"] == KINDS.index("email"), 3).when(x["kind_no"] == KINDS.index("phone"), F.greatest(x["separators"] - 1, F.lit(2))).otherwise(x["separators"])
+    row = lambda addable, separators, y: F.struct(addable.alias("addable"), *[(separators if f == "separators" else x[f]).cast("int").alias(f) for f in FEATURES], y.cast("int").alias("label"))
+    own = F.when(label.isNotNull(), row((label == 0) & (x["overlaps"] == 0), x["separators"], label))
+    again = F.when((x["label"] == 1) & (x["valid"] == 1) & (x["glued"] == 0), row(F.lit(True), form, F.lit(1)))
+    each = found.select((crc_fold(F.col("doc_id"), folds) == 0).alias("held"), F.explode(cand_col).alias("x"))
+    return each.select("held", F.inline(F.array_compact(F.array(own, again)))).groupBy("held", "addable", *FEATURES, "label").count()
+
+
 def fit(found: DataFrame, precision: float = 0.97, rounds: int = 8, depth: int = 3, folds: int = 5,
         base_col: str = "base", cand_col: str = "candidates") -> Model:
     """Fit on all candidates of ``found`` (doc_id, candidates): documents of fold 0 calibrate, the others train.
@@ -195,9 +214,7 @@ def fit(found: DataFrame, precision: float = 0.97, rounds: int = 8, depth: int =
     Only the counts of distinct feature rows leave the executors; their number
     is bounded by the product of FEATURES, whatever the input's size.
     """
-    rows = (found.select((crc_fold(F.col("doc_id"), folds) == 0).alias("held"), F.explode(cand_col).alias("x")).select("held", "x.*")
-            .where("label is not null").groupBy("held", *FEATURES, "label").count())
-    table = written(rows.coalesce(1), "pii-features")
+    table = written(labelled(found, folds, cand_col).coalesce(1), "pii-features")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         table.withColumn("weight", F.col("count").cast("double")).withColumn("y", F.col("label").cast("double")))
     # one pseudo-count of either label where it is missing keeps the fit defined on any data
@@ -207,7 +224,7 @@ def fit(found: DataFrame, precision: float = 0.97, rounds: int = 8, depth: int =
     model = GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxBins=8).fit(assembled.where("not held"))
     trees = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
     out = Model(trees)
-    scored = table.where("held").select("kind_no", "label", "count", F.round(out.score(), 4).alias("p")).groupBy("kind_no", "p").agg(
+    scored = table.where("held and addable").select("kind_no", "label", "count", F.round(out.score(), 4).alias("p")).groupBy("kind_no", "p").agg(
         F.sum("count").alias("n"), F.sum(F.col("count") * F.col("label")).alias("good")).collect()
     for k in range(len(KINDS)):
         good = n = 0
@@ -215,7 +232,7 @@ def fit(found: DataFrame, precision: float = 0.97, rounds: int = 8, depth: int =
             good, n = good + r["good"], n + r["n"]
             # precision with one more wrong one than seen, so that few rows do not convince
             if r["p"] > 0.5 and good / (n + 1) >= precision:
-                out.thresholds[k] = r["p"] - 5e-5
+                out.thresholds[k], out.measured[k] = r["p"] - 5e-5, (good, n)
     return out
 
 

@@ -94,6 +94,21 @@ def test_op2_gates_let_every_generated_form_through(spark, kind, forms):
     assert [r["m"] for r in rows] == forms
 
 
+def test_op2_calibrates_on_what_can_be_added(spark):
+    # base phone numbers beside a cue, and many more reference numbers of a phone's form without one
+    phones = [(i, f"call +1 {200 + i % 700} {300 + i % 600} {1000 + i} today") for i in range(400)]
+    others = [(1000 + i, f"order {200 + i % 700}-{300 + i % 600}-{1000 + i} was sent") for i in range(800)]
+    glued = [(3000 + i, f"call x{200 + i % 700}-{300 + i % 600}-{1000 + i}y of it") for i in range(200)]
+    asked = [(5000, "please call 212-555-0187 today")]
+    df = spark.createDataFrame(phones + others + glued + asked, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.contract(df).collect()}
+    assert not any(got[i] for i, _ in others)
+    assert got[5000] == "phone:12:24"
+    model = pii.fit(pii.find(df).select("doc_id", "base", "candidates"))
+    good, n = model.measured[pii.KINDS.index("phone")]
+    assert n >= 33 and good / n >= 0.97
+
+
 def test_op2_redaction(docs, rows):
     got = bag(pii.redact(docs), "doc_id", "text")
     want = Counter()
