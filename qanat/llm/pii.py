@@ -217,22 +217,39 @@ def fit(found: DataFrame, precision: float = 0.97, rounds: int = 8, depth: int =
     table = written(labelled(found, folds, cand_col).coalesce(1), "pii-features")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         table.withColumn("weight", F.col("count").cast("double")).withColumn("y", F.col("label").cast("double")))
-    # one pseudo-count of either label where it is missing keeps the fit defined on any data
+    # one pseudo-count of the label that is missing keeps the fit defined on any data
     seen = {r["label"] for r in table.where("not held").select("label").distinct().collect()}
-    if seen != {0, 1}:
+    if not seen:
         return Model()
+    for y in {0, 1} - seen:
+        typical = {f: 0 for f in FEATURES} | {"kind_no": KINDS.index("card"), "valid": y, "glued": 1 - y, "digits": 4, "varied": 1}
+        row = table.sparkSession.createDataFrame([(False, y == 0, *typical.values(), y, 1)], table.schema)
+        assembled = assembled.unionByName(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
+            row.withColumn("weight", F.lit(1.0)).withColumn("y", F.lit(float(y)))))
     model = GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxBins=8).fit(assembled.where("not held"))
     trees = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
     out = Model(trees)
     scored = table.where("held and addable").select("kind_no", "label", "count", F.round(out.score(), 4).alias("p")).groupBy("kind_no", "p").agg(
         F.sum("count").alias("n"), F.sum(F.col("count") * F.col("label")).alias("good")).collect()
-    for k in range(len(KINDS)):
-        good = n = 0
-        for r in sorted((r for r in scored if r["kind_no"] == k), key=lambda r: -r["p"]):
-            good, n = good + r["good"], n + r["n"]
+    def lowest(kinds) -> tuple[float, int, int] | None:
+        best, good, n, by_p = None, 0, 0, {}
+        for r in scored:
+            if r["kind_no"] in kinds:
+                was = by_p.get(r["p"], (0, 0))
+                by_p[r["p"]] = was[0] + r["good"], was[1] + r["n"]
+        for p in sorted(by_p, reverse=True):
+            good, n = good + by_p[p][0], n + by_p[p][1]
             # precision with one more wrong one than seen, so that few rows do not convince
-            if r["p"] > 0.5 and good / (n + 1) >= precision:
-                out.thresholds[k], out.measured[k] = r["p"] - 5e-5, (good, n)
+            if p > 0.5 and good / (n + 1) >= precision:
+                best = p - 5e-5, good, n
+        return best
+
+    pooled = lowest(range(len(KINDS)))
+    for k in range(len(KINDS)):
+        n = sum(r["n"] for r in scored if r["kind_no"] == k)
+        # a kind with too few rows to reach the precision even without an error takes the threshold of all kinds
+        if got := lowest([k]) if n / (n + 1) >= precision else pooled:
+            out.thresholds[k], out.measured[k] = got[0], got[1:]
     return out
 
 

@@ -109,6 +109,15 @@ def test_op2_calibrates_on_what_can_be_added(spark):
     assert n >= 33 and good / n >= 0.97
 
 
+def test_op2_rare_kinds_and_one_label_still_add(spark):
+    # one label only among the candidates, and two mail addresses in all
+    phones = [(i, f"call +1 {200 + i % 700} {300 + i % 600} {1000 + i} today") for i in range(400)]
+    mails = [(1000 + i, f"write to mail jane{i}@example.org now") for i in range(2)]
+    df = spark.createDataFrame(phones + mails + [(5000, "my mail is joe at example dot org thanks")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.contract(df).collect()}
+    assert got[5000] == "email:11:33"
+
+
 def test_op2_redaction(docs, rows):
     got = bag(pii.redact(docs), "doc_id", "text")
     want = Counter()
