@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, byte_bpe, decontaminate, flat_ids, language, pii, quality_model, quality_rules, simhash, token_count
+from . import bloom_lm, byte_bpe, decontaminate, flat_ids, hadamard, language, pii, quality_model, quality_rules, sharding, simhash, token_count, whitening
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,47 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.contract(read(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Full search in SQL: each round assigns by min(distance * k + number) and takes exact floored means."""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)""", f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k, x
+  FROM v QUALIFY k < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT v.rid, CAST(min(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) * {k} + c.k) AS BIGINT) AS m
+  FROM v CROSS JOIN c{r} c GROUP BY v.rid)""")
+        if r < rounds:
+            parts.append(f"""u{r} AS MATERIALIZED (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT a.m % {k} AS k, i, CAST(sum(v.x[i]) AS BIGINT) AS s, count(*) AS n
+    FROM a{r} a JOIN v USING (rid) CROSS JOIN range(1, 65) t(i) GROUP BY ALL) GROUP BY k)""")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(u.x, c.x) AS x FROM c{r} c LEFT JOIN u{r} u USING (k))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, CAST(a.m % {k} AS INTEGER) AS cluster, a.m // {k} AS distance,
+  CAST(sum(a.m // {k}) OVER (PARTITION BY a.m % {k}) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.k = a.m % {k}"""
+
+
+@query
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard.contract(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_clusters"] = _clustering_sql()
+
+
+@query
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.contract(read(spark, sf_dir, "documents"))

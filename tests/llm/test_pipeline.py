@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k.split("_")[0][2:]) for k in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(k.split("_")[0][2:]) for k in catalog.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "PII", "byte-level BPE"]
 
 
