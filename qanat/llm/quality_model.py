@@ -160,20 +160,33 @@ def features(texts: list[str], m: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 300, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels (classes weighted alike) by accelerated gradient steps; the last weight is the intercept."""
-    w = np.zeros(x.shape[1] + 1, np.float32)
-    if not len(x):
+def fit_scorer(at: np.ndarray, value: np.ndarray, lengths: np.ndarray, p: np.ndarray, width: int = WIDTH,
+               rounds: int = 300, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
+    """Logistic regression on soft labels (classes weighted alike) by accelerated gradient steps; the last
+    weight is the intercept. The rows are sparse: ``lengths[i]`` features each, at ``at`` with ``value``; none is
+    empty. They are held by row and by feature, so memory follows the features that are there."""
+    w = np.zeros(width + 1, np.float32)
+    n = len(lengths)
+    if not n:
         w[-1] = 10.0
         return w
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(at, kind="stable")
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)[order]
+    by_feature = value[order]
+    used, first = np.unique(at[order], return_index=True)
+    del order
     good = float(np.clip(p.mean(), 0.02, 0.98))
     weight = (p / good + (1 - p) / (1 - good)) / 2
     speed = np.zeros_like(w)
     for _ in range(rounds):
         ahead = w + 0.9 * speed
-        err = weight * (1 / (1 + np.exp(-np.clip(x @ ahead[:-1] + ahead[-1], -40, 40))) - p) / len(x)
-        grad = np.append(x.T @ err.astype(np.float32), err.sum()).astype(np.float32)
-        speed = 0.9 * speed - rate * (grad + decay * np.append(ahead[:-1], 0).astype(np.float32))
+        margin = np.add.reduceat(value * ahead[at], starts) + ahead[-1]
+        err = (weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - p) / n).astype(np.float32)
+        grad = decay * ahead
+        grad[-1] = err.sum()
+        grad[used] += np.add.reduceat(by_feature * err[row], first)
+        speed = 0.9 * speed - rate * grad
         w = w + speed
     return w
 
@@ -198,7 +211,8 @@ def fit(docs: DataFrame, train: int = TRAIN, id_col: str = "doc_id", text_col: s
     labels = fit_labels(np.array([r["code"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.int64))
     total = sum(r["n"] for r in seen)
     share = min(1.0, train / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("k1"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * train)
+    mark = F.xxhash64("k1")
+    sample = rows.where(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30))).select(mark.alias("mark"), "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -207,17 +221,16 @@ def fit(docs: DataFrame, train: int = TRAIN, id_col: str = "doc_id", text_col: s
             x = features(texts, m)
             at = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a.astype(np.int16) for a in at], pa.list_(pa.int16())),
+                [b.column(0), pa.array([a.astype(np.int16) for a in at], pa.list_(pa.int16())),
                  pa.array([r[a] for r, a in zip(x, at)], pa.list_(pa.float32())),
-                 pa.array(labels.posterior(votes(m)))], ["at", "value", "p"])
-
-    got = sample.mapInArrow(learn, "at array<smallint>, value array<float>, p double").toArrow()
-    x = np.zeros((got.num_rows, WIDTH), np.float32)
-    at, value = got.column("at").combine_chunks(), got.column("value").combine_chunks()
-    if got.num_rows:
-        x[np.repeat(np.arange(got.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = value.flatten().to_numpy()
-    p = got.column("p").to_numpy()
-    return Model(labels, fit_scorer(x, p))
+                 pa.array(labels.posterior(votes(m)))], ["mark", "at", "value", "p"])
+
+    # by hash, so that neither the partitions nor a repeated row decide which rows are cut where the sample exceeds its share
+    got = sample.mapInArrow(learn, "mark long, at array<smallint>, value array<float>, p double").orderBy("mark", "p").limit(2 * train).toArrow()
+    at, value, p = got.column("at").combine_chunks(), got.column("value").combine_chunks(), got.column("p").to_numpy()
+    if not got.num_rows:
+        return Model(labels, fit_scorer(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), p))
+    return Model(labels, fit_scorer(at.flatten().to_numpy(), value.flatten().to_numpy(), at.value_lengths().to_numpy(), p))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
