@@ -11,11 +11,12 @@ live in the shared folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
 from ..operators import answers as A
@@ -146,58 +147,127 @@ def stream_ask_events(spark: SparkSession, questions_dir: str, questions_schema:
 
 # ------------------------------------------- T2: stateful chunk assembly --
 
-def _emit(key, held: dict[int, str], complete: bool) -> pd.DataFrame:
-    return pd.DataFrame({"question_id": [key[0]], "answer": ["".join(held[s] for s in sorted(held))],
-                         "chunks": [len(held)], "complete": [complete]})
-
-
-def _assembler(abandon_after_ms: int | None):
-    def fn(key, pdfs, state):
-        return _assemble(key, pdfs, state, abandon_after_ms)
-    return fn
-
-
-def _assemble(key, pdfs: Iterator[pd.DataFrame], state: GroupState, abandon_after_ms: int | None
-              ) -> Iterator[pd.DataFrame]:
-    seqs, chunks, total = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], None)
-    held = dict(zip(seqs, chunks))  # a chunk that arrives twice counts once
-    if state.hasTimedOut:
-        # abandoned answer: no event for abandon_after_ms -> emit what arrived
-        state.remove()
-        yield _emit(key, held, False)
-        return
-    for pdf in pdfs:
-        for s, t, c, n in zip(pdf["seq"], pdf["type"], pdf["chunk"], pdf["total"]):
-            if t == "done":
-                total = 0 if pd.isna(n) else int(n)
-            elif t == "answer-chunk":
-                held[int(s)] = "" if c is None else c
-    if total is not None and len(held) >= total:
-        state.remove()
-        yield _emit(key, held, True)
-    else:
-        state.update((list(held), list(held.values()), total))
-        if abandon_after_ms:
-            state.setTimeoutDuration(abandon_after_ms)
+EVENT_SCHEMA = "question_id long, seq long, type string, chunk string, total long"
+ANSWER_SCHEMA = "question_id long, answer string, chunks long, complete boolean"
+#: how long a finished question is remembered, so that its late or repeated events yield nothing
+FINISHED_MS = 24 * 3600 * 1000
+
+
+class AnswerAssembler(StatefulProcessor):
+    """One answer per question, exactly once, from events in any order.
+
+    State per question: a map position -> chunk (null for other events), the end once
+    'done' has told it, and a mark that the answer is finished. 'done' stands at
+    position ``seq``; with a ``total`` the answer is the ``total`` positions before it,
+    all of which must be chunks; without one every position from 0 must have been seen.
+    The first 'done' counts (of one batch, the least). An 'error' event ends the
+    question without an answer. When the question is finished, map and end are dropped;
+    the mark alone stays and expires by itself, and while it is there, whatever else
+    arrives for the question yields nothing and stores nothing. A question that is
+    silent for ``abandon_after_ms`` is emitted as incomplete and finished."""
+
+    def __init__(self, finished_ms: int = FINISHED_MS, abandon_after_ms: int | None = None):
+        self.finished_ms, self.abandon_after_ms = finished_ms, abandon_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "seq long", "chunk string")
+        self.end = handle.getValueState("end", "seq long, total long")
+        self.finished = handle.getValueState("finished", "at long", ttlDurationMs=self.finished_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.finished.exists():
+            for _ in rows:
+                pass
+            return
+        ends, failed = [], False
+        for pdf in rows:
+            failed |= bool((pdf["type"] == "error").any())
+            for seq, kind, chunk, total in zip(pdf["seq"], pdf["type"], pdf["chunk"], pdf["total"]):
+                if kind == "done":
+                    ends.append((int(seq), None if pd.isna(total) else int(total)))
+                else:
+                    self.held.updateValue((int(seq),), ((chunk or "") if kind == "answer-chunk" else None,))
+        if ends and not self.end.exists():
+            self.end.update(min(ends, key=lambda e: (e[0], e[1] is None, e[1] or 0)))
+        if failed:
+            self._finish(timerValues)
+            return
+        if self.end.exists():
+            seq, total = self.end.get()
+            held = {k[0]: v[0] for k, v in self.held.iterator()}
+            wanted = range(int(seq)) if total is None else range(int(seq) - int(total), int(seq))
+            if all(i in held and (total is None or held[i] is not None) for i in wanted):
+                self._finish(timerValues)
+                yield self._answer(key, [held[i] for i in wanted], True)
+                return
+        if self.abandon_after_ms:
+            self._drop_timers()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.abandon_after_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.finished.exists():
+            return
+        held = {k[0]: v[0] for k, v in self.held.iterator()}
+        self._finish(timerValues)
+        yield self._answer(key, [held[i] for i in sorted(held)], False)
+
+    def close(self) -> None:
+        pass
+
+    def _finish(self, timerValues) -> None:
+        self._drop_timers()
+        self.held.clear()
+        self.end.clear()
+        self.finished.update((int(timerValues.getCurrentProcessingTimeInMs()),))
+
+    def _drop_timers(self) -> None:
+        if self.abandon_after_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+
+    @staticmethod
+    def _answer(key, chunks: list[str | None], complete: bool) -> pd.DataFrame:
+        chunks = [c for c in chunks if c is not None]
+        return pd.DataFrame({"question_id": [key[0]], "answer": ["".join(chunks)], "chunks": [len(chunks)], "complete": [complete]})
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession):
+    """Settings of a query started inside: the state store that maps, timers and expiry need,
+    and no batches without data. With timers on processing time Spark would run such
+    batches for ever, so a run to completion would not end; timers fire and marks
+    expire with the next batch that has data."""
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def assembled(events: DataFrame, finished_ms: int = FINISHED_MS, abandon_after_ms: int | None = None) -> DataFrame:
+    """The streaming answers of a stream of chunk events (``AnswerAssembler``)."""
+    return events.groupBy("question_id").transformWithStateInPandas(
+        AnswerAssembler(finished_ms, abandon_after_ms), ANSWER_SCHEMA, "append", "processingTime")
 
 
 def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpoint: str,
-                    abandon_after_ms: int | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """Chunk events keyed by question are kept in state until 'done' has told how
-    many there are (``total``) and all have arrived, in whatever order; then the
-    answer is emitted once (complete) and the state dropped. A 'done' without a
-    total closes what is there. With ``abandon_after_ms`` (continuous triggers) a
-    question silent that long is emitted as incomplete; run-to-completion
-    triggers use no timeout."""
-    src = _files(spark, events_dir, "question_id long, seq long, type string, chunk string, total long", files_per_trigger)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if abandon_after_ms else GroupStateTimeout.NoTimeout
-    out = src.groupBy("question_id").applyInPandasWithState(
-        _assembler(abandon_after_ms), "question_id long, answer string, chunks long, complete boolean",
-        "seqs array<long>, chunks array<string>, total long", "append", timeout)
-    q = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(sink_dir)
+                    abandon_after_ms: int | None = None, files_per_trigger: int | None = None,
+                    finished_ms: int = FINISHED_MS) -> DataFrame:
+    """Chunk events to complete answers, each emitted once however often and in whatever
+    order its events arrive, over any number of batches and restarts from ``checkpoint``
+    (the file sink's log drops what a repeated batch writes again)."""
+    src = _files(spark, events_dir, EVENT_SCHEMA, files_per_trigger)
+    with _keyed_state(spark):
+        q = (assembled(src, finished_ms, abandon_after_ms).writeStream.format("parquet").option("path", sink_dir)
+             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(ANSWER_SCHEMA).parquet(sink_dir)
 
 
 # ------------------------------------------- T3: save answers on arrival --

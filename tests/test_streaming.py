@@ -54,15 +54,83 @@ def test_index_stream_replay_keeps_its_rows(spark):
     assert sorted(r["id"] for r in go()) == list(range(5))
 
 
+def _assemble_batches(spark, name, *parts, **how):
+    """Each part is landed and run as a stream of its own from one checkpoint; the answers after each."""
+    run, seen = scratch_path(spark, name), []
+    for part in parts:
+        if part:
+            spark.createDataFrame(part, SJ.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{run}/in")
+        out = SJ.stream_assemble(spark, f"{run}/in", f"{run}/out", f"{run}/ck", **how)
+        seen.append(sorted(tuple(r) for r in out.collect()))
+    return run, seen
+
+
 def test_late_chunk_completes_the_answer(spark):
-    run = scratch_path(spark, "t-stream-late")
-    schema = "question_id long, seq long, type string, chunk string, total long"
-    for part in ([(1, 2, "answer-chunk", "A", None), (1, 4, "done", None, 2), (2, 0, "answer-chunk", "x", None)],
-                 [(1, 3, "answer-chunk", "B", None), (1, 2, "answer-chunk", "A", None)], [(2, 1, "done", None, 1)]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{run}/in")
-    for per in (1, None):
-        out = SJ.stream_assemble(spark, f"{run}/in", f"{run}/out{per}", f"{run}/ck{per}", files_per_trigger=per)
-        assert sorted(tuple(r) for r in out.collect()) == [(1, "AB", 2, True), (2, "x", 1, True)]
+    parts = ([(1, 2, "answer-chunk", "A", None), (1, 4, "done", None, 2), (2, 0, "answer-chunk", "x", None)],
+             [(1, 3, "answer-chunk", "B", None), (1, 2, "answer-chunk", "A", None)], [(2, 1, "done", None, 1)])
+    _, seen = _assemble_batches(spark, "t-stream-late", *parts)
+    assert seen == [[], [(1, "AB", 2, True)], [(1, "AB", 2, True), (2, "x", 1, True)]]
+    _, seen = _assemble_batches(spark, "t-stream-one", [r for p in parts for r in p])
+    assert seen == [[(1, "AB", 2, True), (2, "x", 1, True)]]
+
+
+def test_repeated_events_yield_nothing_and_leave_no_state(spark):
+    first = [(1, 0, "answer-chunk", "A", None), (1, 1, "done", None, 1), (1, 1, "done", None, None)]
+    again = [(1, 1, "done", None, None), (1, 1, "done", None, 1), (1, 0, "answer-chunk", "A", None), (1, 7, "answer-chunk", "Z", None)]
+    run, seen = _assemble_batches(spark, "t-stream-repeat", first, again, again)
+    assert seen == [[(1, "A", 1, True)]] * 3
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{run}/ck").count()
+    assert (state("held"), state("end"), state("finished")) == (0, 0, 1)
+
+
+def test_finished_mark_expires(spark):
+    """After its time a question id may be asked anew (the next batch drops the mark)."""
+    import time
+    first = [(1, 0, "answer-chunk", "A", None), (1, 1, "done", None, 1)]
+    run = scratch_path(spark, "t-stream-ttl")
+    for wait in (0, 3):
+        time.sleep(wait)
+        spark.createDataFrame(first, SJ.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{run}/in")
+        out = SJ.stream_assemble(spark, f"{run}/in", f"{run}/out", f"{run}/ck", finished_ms=1000)
+    assert out.count() == 2
+
+
+def test_gaps_and_ends_without_a_total(spark):
+    gap = [(1, 0, "answer-chunk", "A", None), (1, 5, "answer-chunk", "Z", None), (1, 2, "done", None, 2)]  # position 1 is missing
+    whole = [(2, 0, "thinking", None, None), (2, 1, "sources", None, None), (2, 2, "answer-chunk", "a", None), (2, 4, "done", None, None)]
+    failed = [(3, 0, "answer-chunk", "x", None), (3, 1, "error", None, None), (4, 0, "done", None, 0), (5, 0, "thinking", None, None), (5, 1, "done", None, None)]
+    late = [(2, 3, "answer-chunk", "b", None), (3, 2, "done", None, 1)]
+    _, seen = _assemble_batches(spark, "t-stream-gap", gap + whole + failed, late, [(1, 1, "answer-chunk", "B", None)])
+    assert seen[0] == [(4, "", 0, True), (5, "", 0, True)]
+    assert seen[1] == [(2, "ab", 2, True), *seen[0]]
+    assert seen[2] == [(1, "AB", 2, True), *seen[1]]
+
+
+def test_replayed_batch_emits_once(spark):
+    """The batch whose commit was lost runs again with the state it had at first."""
+    import glob
+    import os
+    events = [(1, 0, "answer-chunk", "A", None), (1, 1, "done", None, 1)]
+    run, _ = _assemble_batches(spark, "t-stream-replay", events)
+    local = run.removeprefix("file://").removeprefix("file:")
+    for f in glob.glob(f"{local}/ck/commits/0") + glob.glob(f"{local}/ck/commits/.0.crc"):
+        os.remove(f)
+    out = SJ.stream_assemble(spark, f"{run}/in", f"{run}/out", f"{run}/ck")
+    assert [tuple(r) for r in out.collect()] == [(1, "A", 1, True)]
+
+
+def test_silent_question_is_given_up(spark):
+    import time
+    run = scratch_path(spark, "t-stream-silent")
+    land = lambda rows: spark.createDataFrame(rows, SJ.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{run}/in")
+    go = lambda: SJ.stream_assemble(spark, f"{run}/in", f"{run}/out", f"{run}/ck", abandon_after_ms=1000)
+    land([(1, 0, "answer-chunk", "A", None)])
+    assert go().count() == 0
+    time.sleep(2)
+    land([(2, 0, "answer-chunk", "B", None)])  # any later batch lets the timer fire
+    assert [tuple(r) for r in go().collect()] == [(1, "A", 1, False)]
+    land([(1, 1, "done", None, 1)])
+    assert [r for r in go().collect() if r["question_id"] == 1 and r["complete"]] == []
 
 
 def test_null_blank_and_empty_answers_have_events(spark):
