@@ -21,6 +21,23 @@ HASH_DIM = 64
 # -----------------------------------------------------------------------------
 
 
+_registered: dict[str, int] = {f"hash-{HASH_DIM}": HASH_DIM}
+
+
+def register_model(model: str, dimension: int) -> None:
+    """Name a further model's dimension (on the driver, where plans are made)."""
+    _registered[model] = dimension
+
+
+def known_models() -> dict[str, int]:
+    return MODEL_DIMENSIONS | _registered
+
+
+def dimension_of(model: str, provider: str = "local") -> int:
+    """The registered dimension of a model; of an unknown one, its provider's default."""
+    return known_models().get(model) or DEFAULT_DIMENSION_BY_PROVIDER[provider]
+
+
 def as_double_vector(c: Column) -> Column:
     return c.cast("array<double>")
 
@@ -35,11 +52,6 @@ def l2_normalize(v: Column) -> Column:
     return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"),
-                       lambda acc, x: acc + x)
-
-
 # leading-number grammar of JavaScript's parseFloat
 _PARSE_FLOAT = r"^\s*([+-]?(?:Infinity|[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?))"
 
@@ -107,55 +119,9 @@ def hash_embed_expr(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_D
             .select(id_col, l2_normalize(F.col("__raw")).alias(out_col)))
 
 
-_TOKEN_CACHE_MAX = 1_000_000
-
-
-def _hash_embed_batches(id_col: str, text_col: str, out_col: str, dim: int, keep: tuple = ()):
-    import hashlib
-
-    import numpy as np
-    import pandas as pd
-
-    from .text import JS_WHITESPACE_CHARS
-    table = {ord(ch): " " for ch in JS_WHITESPACE_CHARS}
-
-    def fn(batches):
-        cache: dict[str, tuple[int, int]] = {}
-        for pdf in batches:
-            out = []
-            for text in pdf[text_col]:
-                vec = np.zeros(dim, dtype=np.float64)
-                if text is not None:
-                    for tok in text.lower().translate(table).split(" "):
-                        if not tok:
-                            continue
-                        bs = cache.get(tok)
-                        if bs is None:
-                            if len(cache) >= _TOKEN_CACHE_MAX:
-                                cache.clear()             # bounded memory per task
-                            h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                            bs = (int(h[:8], 16) % dim, 1 if int(h[8], 16) % 2 == 0 else -1)
-                            cache[tok] = bs
-                        vec[bs[0]] += bs[1]
-                n = float(np.sqrt((vec * vec).sum()))
-                out.append(vec / n if n != 0 else vec)
-            res = pd.DataFrame({id_col: pdf[id_col], out_col: out})
-            for c in keep:
-                res[c] = pdf[c].values
-            yield res
-    return fn
-
-
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = HASH_DIM,
                out_col: str = "embedding", keep: list[str] | tuple = ()) -> DataFrame:
-    """Same embedding as ``hash_embed_expr`` computed row-locally in Arrow
-    batches (``mapInPandas``): each document is embedded where it lies, so
-    no token rows are shuffled; md5 runs once per distinct token per task.
-    ``keep`` columns ride along (no join back to the input)."""
-    from ..session import spread
-    keep = tuple(c for c in keep if c not in (id_col, out_col))
-    fields = [f"{id_col} {df.schema[id_col].dataType.simpleString()}", f"{out_col} array<double>"]
-    fields += [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep]
-    cols = list(dict.fromkeys([id_col, text_col, *keep]))
-    return spread(df.select(*cols)).mapInPandas(
-        _hash_embed_batches(id_col, text_col, out_col, dim, keep), ", ".join(fields))
+    """Same embedding as ``hash_embed_expr``, computed row-locally in Arrow batches: no token
+    rows are shuffled. ``keep`` columns ride along (no join back to the input)."""
+    from ..operators.embedding import HashEmbedder, embed
+    return embed(df, id_col, text_col, HashEmbedder(dim), out_col, keep)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
+from . import embedding as E
 from . import merge as M
 from . import topk as K
 
@@ -42,26 +42,32 @@ PROMPT_HEAD_STREAM = _PROMPT_HEAD.replace("{kinds}", "Tasir")
 # -----------------------------------------------------------------------------
 
 
-def embed_questions(questions: DataFrame, id_col: str = "question_id", text_col: str = "question"
-                    ) -> DataFrame:
+DEFAULT_EMBEDDER = E.HashEmbedder()
+
+
+def embed_questions(questions: DataFrame, id_col: str = "question_id", text_col: str = "question",
+                    embedder: E.Embedder = DEFAULT_EMBEDDER) -> DataFrame:
     """Query side: clean, add the instruction prefix, embed."""
     q = questions.select(id_col, T.instruct_query(T.clean_text(F.col(text_col))).alias("__q"))
-    return V.hash_embed(q, id_col, "__q")
+    return E.embed(q, id_col, "__q", embedder)
 
 
-def index_vectors(corpus: DataFrame) -> DataFrame:
+def index_vectors(corpus: DataFrame, embedder: E.Embedder = DEFAULT_EMBEDDER) -> DataFrame:
     """Document side of the index: (id, embedding)."""
-    return V.hash_embed(corpus.select("id", "text"), "id", "text")
+    return E.embed(corpus.select("id", "text"), "id", "text", embedder)
 
 
-def retrieve(questions: DataFrame, corpus: DataFrame, k: int, doc_vectors: DataFrame | None = None
-             ) -> DataFrame:
+def retrieve(questions: DataFrame, corpus: DataFrame, k: int, doc_vectors: DataFrame | K.VectorIndex | None = None,
+             embedder: E.Embedder = DEFAULT_EMBEDDER, nprobe: int | None = None) -> DataFrame:
     """(question_id, rank, id, score, source, text, type) -- top-k documents
     per question; hits without a document row are dropped after the cut.
-    ``doc_vectors`` is a prebuilt (materialised) index; built when absent."""
-    qv = embed_questions(questions)
-    dv = doc_vectors if doc_vectors is not None else index_vectors(corpus)
-    hits = K.cosine_topk(qv, dv, k, q_id="question_id", q_vec="embedding", d_id="id", d_vec="embedding")
+    ``doc_vectors`` is a prebuilt index (or the vectors of one), made with the same
+    ``embedder``; built when absent. Exact, or among ``nprobe`` cells of the index."""
+    qv = embed_questions(questions, embedder=embedder)
+    index = doc_vectors
+    if not isinstance(index, K.VectorIndex):
+        index = K.build_index(index_vectors(corpus, embedder) if index is None else index, "id", "embedding", dim=embedder.dimension)
+    hits = K.search(qv, index, k, q_id="question_id", q_vec="embedding", nprobe=nprobe)
     meta = corpus.select("id", "source", "text", "type")
     return (hits.join(meta, hits.did == meta.id, "inner")
             .select(F.col("qid").alias("question_id"), "rank", "id", "score", "source", "text", "type"))
@@ -112,7 +118,8 @@ def build_prompt(question, contexts, stream: bool = False):
 
 
 def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | None = None, k: int = 3,
-              doc_vectors: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+              doc_vectors: DataFrame | K.VectorIndex | None = None, categories: DataFrame | None = None,
+              embedder: E.Embedder = DEFAULT_EMBEDDER) -> DataFrame:
     """Answer records for a table of questions.
 
     ``generated`` is an optional input table (slug, answer) of model output;
@@ -123,7 +130,7 @@ def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | No
     find-or-create: an existing slug keeps its stored name.
     """
     q = questions.select("question_id", "question", T.slugify(F.col("question")).alias("slug"))
-    hits = retrieve(q.select("question_id", "question"), corpus, k, doc_vectors)
+    hits = retrieve(q.select("question_id", "question"), corpus, k, doc_vectors, embedder)
     per = per_question(hits)
     if categories is not None:
         cats = categories.select(F.col("slug").alias("__cs"), F.col("name").alias("__cn"))

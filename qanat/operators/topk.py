@@ -1,193 +1,251 @@
-"""Cosine top-k similarity join (exact) and IVF approximate search.
-
-Plan (no cross join, no all-pairs output, bounded groups):
-
-  * both sides carry a ``cell`` key (one cell for the exact join; the IVF
-    coarse cell for the approximate one);
-  * per cell, the query side is split into ``sq`` salted blocks and the
-    corpus side into ``sd`` salted blocks of at most ~``block_rows`` rows;
-    each query row is replicated to the ``sd`` corpus blocks of its cell and
-    each corpus row to the ``sq`` query blocks, so a hot cell is spread over
-    ``sq * sd`` bounded groups instead of one task;
-  * ``cogroup(...).applyInPandas`` scores one (query block, corpus block)
-    pair with a single matrix product and emits only the local top-k per
-    query (ties broken by score rounded to 9 digits, then id);
-  * a final ``row_number() <= k`` per query (planned as WindowGroupLimit,
-    i.e. partial top-k before the shuffle) merges the blocks.
-
-Shuffle volume is ``|Q| * avg(sd) + |D| * avg(sq)`` vectors plus ``k`` rows
-per query and block; memory per task is two blocks and one score matrix.
+"""Cosine top-k search: one index, an exact and an approximate way to ask it.
+
+Index. ``nlist`` pivots are chosen from the vectors by a written rule (the smallest
+md5 of the id as text, so any engine can choose them again); every vector belongs to
+the cell of its nearest pivot and is stored as a unit vector in a packed block of at
+most BLOCK_ROWS, in a folder per cell. A small table holds each cell's pivot, its
+number of rows and its radius (the least cosine of a member to the pivot).
+
+Exact search. The k-th best score among the pivots, which are vectors of the corpus
+themselves, is a floor of a query's k-th best score. By the triangle inequality for
+angles no member of a cell scores above cos(max(0, angle(query, pivot) - radius)); a
+query is sent only to the cells whose bound reaches its floor, and a block returns only
+what reaches it. With pruning off every query goes to every cell; the result is equal.
+
+Approximate search. A query goes to its ``nprobe`` nearest cells, only their folders
+are read, and candidates are scored exactly.
+
+Both are one plan: queries are packed per cell, meet the cell's blocks in an equi-join
+(neither side is collected; AQE splits a hot cell), one matrix product per pair of
+packed rows keeps the local top-k, and ``row_number() <= k`` (WindowGroupLimit)
+merges. No cross join, no pair rows, and no plan that depends on sizes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCORE_DIGITS = 9
+from ..session import fs_exists, scratch_path
 
+SCORE_DIGITS = 9
+#: rows of a packed block of the index, and of packed queries
+BLOCK_ROWS, QUERY_ROWS = 1024, 512
+#: the pivots are broadcast: more than this many bytes of them are never chosen
+PIVOT_BYTES = 64 << 20
+#: bounds are compared with this much to spare for rounding
+SLACK = 1e-8
 
-def _unit_rows(vals) -> np.ndarray:
-    m = np.vstack([np.asarray(v, dtype=np.float64) for v in vals])
-    n = np.sqrt((m * m).sum(axis=1))
-    n[n == 0] = 1.0
-    return m / n[:, None]
+_BLOCKS = "ids array<long>, vectors binary, n int, closest double, cell int"
+_CELLS = "cell int, id long, pivot array<double>, n long, closest double"
 
 
-def vector_problem(vec, dim: int):
+def vector_problem(vec: Column, dim: int) -> Column:
     """Reason why a vector cannot be searched (null: it can): 'null', 'length', or
     'value' (a null, NaN or infinite component)."""
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(vec.isNull(), "null").when(F.size(vec) != dim, "length").when(bad, "value")
 
 
-def usual_length(vectors: DataFrame, vec: str) -> int:
-    """The most frequent vector length (of equally frequent ones the smallest); 1 without vectors."""
+def usual_length(vectors: DataFrame, vec: str) -> tuple[int, int]:
+    """(the most frequent vector length, of equally frequent ones the smallest, and how many
+    have it); (1, 0) without vectors."""
     row = (vectors.where(F.size(vec) > 0).groupBy(F.size(vec).alias("dim")).count()
            .orderBy(F.desc("count"), "dim").first())
-    return row["dim"] if row else 1
-
-
-def _block_topk(k: int):
-    def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(dpdf) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                                 "did": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        qids = qpdf["qid"].to_numpy(dtype=np.int64)
-        dids = dpdf["did"].to_numpy(dtype=np.int64)
-        qm = _unit_rows(qpdf["qvec"].to_numpy())
-        dm = _unit_rows(dpdf["dvec"].to_numpy())
-        s = dm @ qm.T                       # (nd, nq)
-        r = np.round(s, SCORE_DIGITS)
-        nd = s.shape[0]
-        if nd > k:
-            kth = np.partition(r, nd - k, axis=0)[nd - k]   # k-th largest per query
-            rows, cols = np.nonzero(r >= kth[None, :])      # ties kept, cut below
+    return (row["dim"], row["count"]) if row else (1, 0)
+
+
+def rejected_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
+    """(id, reason) of the vectors that a search leaves out."""
+    dim = usual_length(vectors, vec_col)[0] if dim is None else dim
+    v = vectors.select(F.col(id_col).alias("id"), vector_problem(F.col(vec_col).cast("array<double>"), dim).alias("reason"))
+    return v.where(F.col("reason").isNotNull())
+
+
+def _usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """(id, v) of the rows that have an id and a vector that can be searched."""
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return v.where(F.col("id").isNotNull() & vector_problem(F.col("v"), dim).isNull())
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of unit length; a zero row stays zero (its cosine with anything is 0)."""
+    n = np.sqrt((m * m).sum(axis=1))
+    n[n == 0] = 1.0
+    return m / n[:, None]
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return unit_rows(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim))
+
+
+# ------------------------------------------------------------------- index --
+
+@dataclass
+class VectorIndex:
+    """Blocks (``ids``, ``vectors``: unit rows as bytes, by ``cell``) and the table of cells."""
+
+    blocks: DataFrame
+    cells: DataFrame
+    dim: int
+
+    def directory(self) -> Directory:
+        rows = self.cells.orderBy("cell").collect()  # one a cell: at most PIVOT_BYTES
+        pivots = np.array([r["pivot"] for r in rows], np.float64).reshape(len(rows), self.dim)
+        return Directory(pivots, np.array([r["n"] for r in rows], np.int64), np.array([r["closest"] for r in rows], np.float64))
+
+
+@dataclass
+class Directory:
+    """The cells as arrays, as they are broadcast."""
+
+    pivots: np.ndarray  # unit rows
+    n: np.ndarray
+    closest: np.ndarray  # cosine of the radius
+
+    def targets(self, q: np.ndarray, k: int, nprobe: int | None, prune: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(which cells each query is sent to, the score that a hit must reach)."""
+        s = q @ self.pivots.T
+        floor = np.full(len(q), -np.inf)
+        if nprobe is not None:
+            near = np.argsort(-np.round(s, SCORE_DIGITS), axis=1, kind="stable")[:, :nprobe]
+            sent = np.zeros(s.shape, bool)
+            np.put_along_axis(sent, near, True, axis=1)
+        elif prune and s.shape[1] >= k:
+            floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - SLACK
+            gap = np.arccos(np.clip(s, -1, 1)) - np.arccos(np.clip(self.closest, -1, 1))
+            sent = np.cos(np.maximum(gap, 0)) >= floor[:, None]
         else:
-            rows, cols = np.nonzero(np.ones_like(r, dtype=bool))
-        order = np.lexsort((dids[rows], -r[rows, cols], cols))
-        rows, cols = rows[order], cols[order]
-        starts = np.searchsorted(cols, np.arange(len(qids)))
-        pos = np.arange(len(cols)) - starts[cols]
-        keep = pos < k
-        rows, cols = rows[keep], cols[keep]
-        return pd.DataFrame({"qid": qids[cols], "did": dids[rows], "score": s[rows, cols]})
-    return kernel
-
-
-def _salt(queries: DataFrame, corpus: DataFrame, sq, sd) -> tuple[DataFrame, DataFrame]:
-    q = (queries.withColumn("qs", F.pmod(F.xxhash64("qid"), sq).cast("int"))
-         .withColumn("ds", F.explode(F.sequence(F.lit(0), sd - 1)))
-         .select("cell", "qs", "ds", "qid", "qvec"))
-    d = (corpus.withColumn("ds", F.pmod(F.xxhash64("did"), sd).cast("int"))
-         .withColumn("qs", F.explode(F.sequence(F.lit(0), sq - 1)))
-         .select("cell", "qs", "ds", "did", "dvec"))
-    return q, d
-
-
-def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 2048,
-                 single_cell: bool = False) -> DataFrame:
-    """queries(qid, qvec, cell), corpus(did, dvec, cell) -> (qid, did, score)
-    with at most k rows per qid (exact within the shared cells)."""
-    if single_cell:
-        # block counts from two scalar counts: no join at all
-        sq = max(1, math.ceil(queries.count() / block_rows))
-        sd = max(1, math.ceil(corpus.count() / block_rows))
-        q, d = _salt(queries, corpus, F.lit(sq), F.lit(sd))
+            sent = np.ones(s.shape, bool)
+        return sent & (self.n > 0), floor
+
+
+def choose_pivots(vectors: DataFrame, nlist: int) -> list[tuple[int, list[float]]]:
+    """(id, unit vector) of the ``nlist`` rows (id, v) with the smallest md5 of the id as text; cell numbers follow this order."""
+    got = vectors.select(F.md5(F.col("id").cast("string")).alias("h"), "id", "v").orderBy("h", "id", "v").limit(nlist).collect()
+    return [(r["id"], unit_rows(np.array([r["v"]], np.float64))[0].tolist()) for r in got]
+
+
+def _assign(shared, dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _matrix(b.column(1), dim)
+            s = m @ shared.value.T
+            cell = np.round(s, SCORE_DIGITS).argmax(axis=1)  # of equals the smaller
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell, pa.int32()), b.column(0), pa.array(s[np.arange(len(m)), cell]), pa.array([r.tobytes() for r in m], pa.binary())],
+                ["cell", "id", "cosine", "v"])
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list] = {}
+
+    def block(cell: int, rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([b"".join(r[2] for r in rows)], pa.binary()),
+             pa.array([len(rows)], pa.int32()), pa.array([min(r[1] for r in rows)]), pa.array([cell], pa.int32())],
+            ["ids", "vectors", "n", "closest", "cell"])
+
+    for b in batches:
+        for cell, *row in zip(*(c.to_pylist() for c in b.columns)):
+            own = held.setdefault(cell, [])
+            own.append(row)
+            if len(own) == BLOCK_ROWS:
+                yield block(cell, held.pop(cell))
+    for cell, own in held.items():
+        yield block(cell, own)
+
+
+def build_index(vectors: DataFrame, id_col: str, vec_col: str, root: str | None = None, nlist: int | None = None,
+                dim: int | None = None) -> VectorIndex:
+    """Index of the vectors, written under ``root`` (default: a new folder in the shared one).
+
+    ``nlist`` defaults to the rounded-up square root of their number. Vectors that have a
+    ``vector_problem`` or no id are left out (``rejected_vectors``). Rows with one id are
+    rows like any other."""
+    spark = vectors.sparkSession
+    root = root or scratch_path(spark, "vector-index")
+    if dim is None:
+        dim, n = usual_length(vectors, vec_col)
     else:
-        qc = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
-        dc = corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("nd"))
-        # one row per cell: bounded by the number of cells (the nlist parameter)
-        cells = F.broadcast(qc.join(dc, "cell").select(
-            "cell", F.ceil(F.col("nq") / F.lit(block_rows)).cast("int").alias("sq"),
-            F.ceil(F.col("nd") / F.lit(block_rows)).cast("int").alias("sd")))
-        q, d = _salt(queries.join(cells, "cell"), corpus.join(cells, "cell"), F.col("sq"), F.col("sd"))
-    return (q.groupBy("cell", "qs", "ds")
-            .cogroup(d.groupBy("cell", "qs", "ds"))
-            .applyInPandas(_block_topk(k), "qid long, did long, score double"))
-
-
-# Query matrices up to this many bytes are broadcast (size checked with a
-# count before anything is collected); larger query sets use the salted
-# block join, which never materialises either side in one place.
-BROADCAST_QUERY_BYTES = 64 << 20      # one copy per Python worker
-QUERY_CHUNK = 2048
-
-
-def _merge_topk(best_r, best_s, best_id, r, s, ids, k):
-    """Merge two (nq, k) candidate sets per query row: order by rounded
-    score desc, then id asc; keep k."""
-    R = np.concatenate([best_r, r], axis=1)
-    Sv = np.concatenate([best_s, s], axis=1)
-    I = np.concatenate([best_id, ids], axis=1)
-    order = np.lexsort((I, -R), axis=-1)[:, :k]
-    return (np.take_along_axis(R, order, 1), np.take_along_axis(Sv, order, 1),
-            np.take_along_axis(I, order, 1))
-
-
-def _scan_topk(bq, k: int):
-    """mapInPandas over corpus partitions against broadcast queries: one
-    matrix product per (Arrow batch, query chunk), running top-k per query,
-    emitted once per task (nq * k rows at most)."""
-    def fn(it):
-        qids, qm = bq.value
-        nq = len(qids)
-        best_r = np.full((nq, k), -np.inf)
-        best_s = np.full((nq, k), -np.inf)
-        best_id = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
-        seen = 0
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            dids = pdf["did"].to_numpy(dtype=np.int64)
-            dm = _unit_rows(pdf["dvec"].to_numpy())
-            seen += len(dids)
-            nd = len(dids)
-            kk = min(k, nd)
-            for q0 in range(0, nq, QUERY_CHUNK):
-                q1 = min(nq, q0 + QUERY_CHUNK)
-                sc = qm[q0:q1] @ dm.T                      # (qc, nd)
-                rc = np.round(sc, SCORE_DIGITS)
-                if nd > kk:
-                    kth = np.partition(rc, nd - kk, axis=1)[:, nd - kk]
-                    rows, cols = np.nonzero(rc >= kth[:, None])   # ties kept
-                else:
-                    rows, cols = np.nonzero(np.ones_like(rc, dtype=bool))
-                order = np.lexsort((dids[cols], -rc[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                starts = np.searchsorted(rows, np.arange(q1 - q0))
-                keep = (np.arange(len(rows)) - starts[rows]) < kk
-                rows, cols = rows[keep], cols[keep]
-                shape = (q1 - q0, kk)
-                cand_r = rc[rows, cols].reshape(shape)
-                cand_s = sc[rows, cols].reshape(shape)
-                cand_i = dids[cols].reshape(shape)
-                br, bs, bi = _merge_topk(best_r[q0:q1], best_s[q0:q1], best_id[q0:q1],
-                                         cand_r, cand_s, cand_i, k)
-                best_r[q0:q1], best_s[q0:q1], best_id[q0:q1] = br, bs, bi
-        if seen == 0:
-            return
-        valid = np.isfinite(best_r)
-        qq = np.repeat(qids[:, None], k, axis=1)
-        yield pd.DataFrame({"qid": qq[valid], "did": best_id[valid], "score": best_s[valid]})
-    return fn
-
-
-def broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int, rows=None) -> DataFrame:
-    """Exact top-k with the (size-checked) query matrix broadcast: the corpus
-    is scanned in place and never shuffled; only k candidates per query and
-    task reach the final merge."""
-    if rows is None:
-        rows = queries.select("qid", "qvec").collect()
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    qm = _unit_rows([r[1] for r in rows]) if rows else np.zeros((0, 1))
-    bq = queries.sparkSession.sparkContext.broadcast((qids, qm))
-    return corpus.select("did", "dvec").mapInPandas(_scan_topk(bq, k), "qid long, did long, score double")
+        n = vectors.where(F.size(vec_col) == dim).count() if nlist is None else 0
+    v = _usable(vectors, id_col, vec_col, dim)
+    pivots = choose_pivots(v, max(1, min(nlist or math.ceil(math.sqrt(n)), PIVOT_BYTES // (8 * dim))))
+    shared = spark.sparkContext.broadcast(np.array([p for _, p in pivots], np.float64).reshape(-1, dim))
+    tagged = v.mapInArrow(_assign(shared, dim), "cell int, id long, cosine double, v binary")
+    # rebalanced by size: a hot cell is several tasks, small cells share one
+    packed = tagged.hint("rebalance", "cell").mapInArrow(_pack, _BLOCKS)
+    packed.write.partitionBy("cell").mode("overwrite").parquet(f"{root}/blocks")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{root}/blocks")
+    own = blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.min("closest").alias("closest"))
+    table = spark.createDataFrame([(k, i, p) for k, (i, p) in enumerate(pivots)], "cell int, id long, pivot array<double>")
+    cells = table.join(own, "cell", "left").select("cell", "id", "pivot", F.coalesce("n", F.lit(0)).alias("n"),
+                                                   F.coalesce("closest", F.lit(1.0)).alias("closest"))
+    cells.coalesce(1).write.mode("overwrite").parquet(f"{root}/cells")  # written last: it commits the index
+    return VectorIndex(blocks, spark.read.schema(_CELLS).parquet(f"{root}/cells"), dim)
+
+
+def open_index(spark: SparkSession, root: str) -> VectorIndex | None:
+    """The index written under ``root``; None where there is none or its writing did not end."""
+    if not fs_exists(spark, f"{root}/cells/_SUCCESS"):
+        return None
+    cells = spark.read.schema(_CELLS).parquet(f"{root}/cells")
+    first = cells.select(F.size("pivot").alias("dim")).first()
+    return VectorIndex(spark.read.schema(_BLOCKS).parquet(f"{root}/blocks"), cells, first["dim"] if first else 1)
+
+
+# ------------------------------------------------------------------ search --
+
+def _send(shared, dim: int, k: int, nprobe: int | None, prune: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, m = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+            sent, floor = shared.value.targets(m, k, nprobe, prune)
+            out = []
+            for cell in np.flatnonzero(sent.any(axis=0)):
+                rows = np.flatnonzero(sent[:, cell])
+                out += [(cell, rows[at:at + QUERY_ROWS]) for at in range(0, len(rows), QUERY_ROWS)]
+            for at in range(0, len(out), 64):
+                part = out[at:at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c for c, _ in part], pa.int32()), pa.array([ids[r] for _, r in part], pa.list_(pa.int64())),
+                     pa.array([m[r].tobytes() for _, r in part], pa.binary()), pa.array([floor[r] for _, r in part], pa.list_(pa.float64()))],
+                    ["cell", "qids", "queries", "floors"])
+    return run
+
+
+def best_of_each(scores: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of at most k entries of each row that reach its floor, best first (rounded score, then id)."""
+    r = np.round(scores, SCORE_DIGITS)
+    keep = r >= floor[:, None]
+    if r.shape[1] > k:
+        keep &= r >= np.partition(r, r.shape[1] - k, axis=1)[:, r.shape[1] - k, None]  # ties are cut below
+    rows, cols = np.nonzero(keep)
+    order = np.lexsort((ids[cols], -r[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
+def _meet(dim: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for qids, queries, floors, ids, vectors in zip(*(b.column(i) for i in range(5))):
+                qids, ids = qids.values.to_numpy(), ids.values.to_numpy()
+                s = np.frombuffer(queries.as_buffer()).reshape(-1, dim) @ np.frombuffer(vectors.as_buffer()).reshape(-1, dim).T
+                rows, cols = best_of_each(s, ids, floors.values.to_numpy(), k)
+                out.append((qids[rows], ids[cols], s[rows, cols]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["qid", "did", "score"])
+    return run
 
 
 def final_topk(cands: DataFrame, k: int) -> DataFrame:
@@ -197,123 +255,39 @@ def final_topk(cands: DataFrame, k: int) -> DataFrame:
             .where(F.col("rank") <= k))
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5,
-                q_id: str = "qid", q_vec: str = "qvec", d_id: str = "did", d_vec: str = "dvec",
-                block_rows: int = 2048, strategy: str = "auto") -> DataFrame:
-    """Exact cosine top-k of every query against the whole corpus.
-
-    strategy: ``broadcast`` (query matrix broadcast, corpus scanned in
-    place), ``blocked`` (salted block cogroup, both sides shuffled), or
-    ``auto`` = broadcast when nq * dim * 8 <= BROADCAST_QUERY_BYTES.
-    Returns (qid, rank, did, score); fewer than k rows only when the corpus
-    has fewer than k vectors. Vectors with a ``vector_problem`` (null, another
-    length than the corpus usually has, NaN or infinite components) are neither
-    asked nor found; ``rejected_vectors`` lists them.
-    """
-    q = queries.select(F.col(q_id).cast("long").alias("qid"),
-                       F.col(q_vec).cast("array<double>").alias("qvec"), F.lit(0).alias("cell"))
-    d = corpus.select(F.col(d_id).cast("long").alias("did"),
-                      F.col(d_vec).cast("array<double>").alias("dvec"), F.lit(0).alias("cell"))
-    rows = None
-    dim = usual_length(d, "dvec")
-    q = q.where(vector_problem(F.col("qvec"), dim).isNull())
-    d = d.where(vector_problem(F.col("dvec"), dim).isNull())
-    if strategy == "auto":
-        # a bounded collect: at most budget/(dim*8) + 1 query rows ever reach
-        # the driver; one row more than the budget switches to the block join
-        cap = max(1, BROADCAST_QUERY_BYTES // (dim * 8))
-        rows = q.select("qid", "qvec").limit(cap + 1).collect()
-        strategy = "broadcast" if len(rows) <= cap else "blocked"
-    if strategy == "broadcast":
-        from ..session import spread
-        cands = broadcast_topk(q, spread(d), k, rows)
-    else:
-        cands = blocked_topk(q, d, k, block_rows, single_cell=True)
-    return final_topk(cands, k).select("qid", "rank", "did", "score")
-
-
-def rejected_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
-    """(id, reason) of the vectors that a search leaves out."""
-    dim = usual_length(vectors, vec_col) if dim is None else dim
-    v = vectors.select(F.col(id_col).alias("id"), vector_problem(F.col(vec_col).cast("array<double>"), dim).alias("reason"))
-    return v.where(F.col("reason").isNotNull())
-
-
-# --- approximate search: IVF ------------------------------------------------
-
-def train_centroids(corpus: DataFrame, d_vec: str, nlist: int, seed: int = 7,
-                    max_iter: int = 20) -> np.ndarray:
-    """Coarse quantiser: pyspark.ml KMeans on unit vectors.
-
-    Trained on all rows. Returns an (nlist, dim) array of unit
-    centroids -- size bounded by the nlist parameter, not by the data.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    if nlist <= 1:
-        # a single cell: every vector belongs to it (exact search)
-        dim = corpus.select(F.size(d_vec)).first()[0]
-        return np.ones((1, dim), dtype=np.float64) / np.sqrt(dim)
-    n = corpus.count()
-    train = corpus.select(array_to_vector(F.col(d_vec).cast("array<double>")).alias("features"))
-    model = KMeans(k=max(2, min(nlist, n)), seed=seed, maxIter=max_iter,
-                   initMode="k-means||").fit(train)
-    c = np.vstack([np.asarray(x, dtype=np.float64) for x in model.clusterCenters()])
-    nrm = np.sqrt((c * c).sum(axis=1))
-    nrm[nrm == 0] = 1.0
-    return c / nrm[:, None]
-
-
-def _assign(centroids: np.ndarray, id_col: str, vec_col: str, nprobe: int):
-    def fn(it):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            m = _unit_rows(pdf[vec_col].to_numpy())
-            s = m @ centroids.T
-            p = min(nprobe, centroids.shape[0])
-            top = np.argpartition(-s, p - 1, axis=1)[:, :p]
-            yield pd.DataFrame({
-                id_col: np.repeat(pdf[id_col].to_numpy(dtype=np.int64), p),
-                vec_col: np.repeat(pdf[vec_col].to_numpy(), p),
-                "cell": top.reshape(-1).astype(np.int32),
-            })
-    return fn
-
-
-def build_ivf(corpus: DataFrame, nlist: int = 16, d_id: str = "did", d_vec: str = "dvec",
-              seed: int = 7) -> tuple[np.ndarray, DataFrame]:
-    """IVF index: (unit centroids, corpus rows tagged with their nearest
-    cell). Callers write the tagged table once (see ``plans``) and search it
-    many times, like the reference builds its index once and loads it."""
-    d = corpus.select(F.col(d_id).cast("long").alias("did"),
-                      F.col(d_vec).cast("array<double>").alias("dvec"))
-    d = d.where(vector_problem(F.col("dvec"), usual_length(d, "dvec")).isNull())
-    cent = train_centroids(d, "dvec", nlist, seed=seed)
-    tagged = d.mapInPandas(_assign(cent, "did", "dvec", 1), "did long, dvec array<double>, cell int")
-    return cent, tagged
-
-
-def ann_search(queries: DataFrame, centroids: np.ndarray, index: DataFrame, k: int = 5, nprobe: int = 4,
-               q_id: str = "qid", q_vec: str = "qvec", block_rows: int = 2048) -> DataFrame:
-    """Each query probes its ``nprobe`` nearest cells; candidates in those
-    cells are scored exactly by the salted block kernel (a hot cell is split
-    into bounded block pairs) and merged to the top k."""
-    q = queries.select(F.col(q_id).cast("long").alias("qid"),
-                       F.col(q_vec).cast("array<double>").alias("qvec"))
-    q = q.where(vector_problem(F.col("qvec"), centroids.shape[1]).isNull())
-    qa = q.mapInPandas(_assign(centroids, "qid", "qvec", nprobe), "qid long, qvec array<double>, cell int")
-    return final_topk(blocked_topk(qa, index.select("did", "dvec", "cell"), k, block_rows), k).select(
-        "qid", "rank", "did", "score")
-
-
-def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, nlist: int = 16,
-             nprobe: int = 4, q_id: str = "qid", q_vec: str = "qvec", d_id: str = "did",
-             d_vec: str = "dvec", block_rows: int = 2048, seed: int = 7) -> DataFrame:
-    """IVF search in one call (index built on the fly)."""
-    cent, tagged = build_ivf(corpus, nlist, d_id, d_vec, seed)
-    return ann_search(queries, cent, tagged, k, nprobe, q_id, q_vec, block_rows)
+def search(queries: DataFrame, index: VectorIndex, k: int, q_id: str = "qid", q_vec: str = "qvec", nprobe: int | None = None,
+           prune: bool = True) -> DataFrame:
+    """(qid, rank, did, score): the top k of every query, exact, or among its ``nprobe`` nearest cells."""
+    sc = queries.sparkSession.sparkContext
+    shared = sc.broadcast(index.directory())
+    q = _usable(queries, q_id, q_vec, index.dim)
+    sent = q.mapInArrow(_send(shared, index.dim, k, nprobe, prune), "cell int, qids array<long>, queries binary, floors array<double>")
+    blocks = index.blocks
+    if nprobe is not None:  # read the folders of probed cells only; one row a cell comes back
+        blocks = blocks.where(F.col("cell").isin([r["cell"] for r in sent.select("cell").distinct().collect()]))
+    # a merge join: Spark's estimate of the packed queries is that of the queries, too low to choose a broadcast by
+    met = sent.hint("merge").join(blocks.select("cell", "ids", "vectors"), "cell").select("qids", "queries", "floors", "ids", "vectors")
+    found = met.mapInArrow(_meet(index.dim, k), "qid long, did long, score double")
+    return final_topk(found, k).select("qid", "rank", "did", "score")
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame | VectorIndex, k: int = 5, q_id: str = "qid", q_vec: str = "qvec",
+                d_id: str = "did", d_vec: str = "dvec", dim: int | None = None, nlist: int | None = None, prune: bool = True) -> DataFrame:
+    """Exact cosine top-k of every query against the whole corpus: (qid, rank, did, score).
+
+    ``corpus`` is an index, or a table of vectors, of which one is written first. Fewer
+    than k rows per query only where the corpus has fewer vectors. Vectors with a
+    ``vector_problem`` (null, another length than ``dim`` or the usual one, NaN or infinite
+    components) or without id are neither asked nor found; ``rejected_vectors`` lists them."""
+    index = corpus if isinstance(corpus, VectorIndex) else build_index(corpus, d_id, d_vec, nlist=nlist, dim=dim)
+    return search(queries, index, k, q_id, q_vec, prune=prune)
+
+
+def ann_topk(queries: DataFrame, corpus: DataFrame | VectorIndex, k: int = 5, nprobe: int = 4, q_id: str = "qid", q_vec: str = "qvec",
+             d_id: str = "did", d_vec: str = "dvec", dim: int | None = None, nlist: int | None = None) -> DataFrame:
+    """Approximate top-k: as ``cosine_topk``, among the ``nprobe`` cells nearest to each query."""
+    index = corpus if isinstance(corpus, VectorIndex) else build_index(corpus, d_id, d_vec, nlist=nlist, dim=dim)
+    return search(queries, index, k, q_id, q_vec, nprobe=nprobe)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers as A
-from ..operators import topk as K
 from ..session import input_tag
 from ..sources.tables import table
 from . import fixtures as X
+from . import q_vectors as QV
 from . import sqlfrag as S
 from .registry import register
 
@@ -20,10 +20,10 @@ _tag = input_tag
 
 
 def doc_index(spark, sf):
-    """Document vectors of the index: built once per input and written to the
-    shared folder (load once, reuse), then read by every ask job."""
-    from ..sources import nested as N
-    return N.materialize(spark, f"doc-index-{_tag(sf)}", lambda: A.index_vectors(X.doc_corpus(spark, sf)))
+    """Index of the documents' vectors: built once per input and written to the
+    shared folder (load once, reuse), then opened by every ask job."""
+    return QV.stored_index(spark, f"doc-index-{_tag(sf)}", lambda: A.index_vectors(X.doc_corpus(spark, sf)), "id", "embedding")
+
 
 def retrieve_sql(k):
     return f"""{X.QUESTIONS_SQL.strip()}, {X.DOC_CORPUS_SQL.strip()},
@@ -110,7 +110,7 @@ SELECT v.vec_id AS question_id, p.src IS NOT NULL AS has_context,
 FROM v LEFT JOIN per p ON v.vec_id = p.qid""")
 def q_no_context_answers(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    hits = K.cosine_topk(e, e, K_BATCH, q_id="vec_id", q_vec="embedding", d_id="vec_id", d_vec="embedding")
+    hits = QV.embedding_topk(spark, sf, K_BATCH)
     c = X.doc_corpus(spark, sf)
     h = hits.join(c, hits.did == c.id).groupBy("qid").agg(F.min_by("source", "rank").alias("src"))
     j = e.select(F.col("vec_id").alias("question_id")).join(h, F.col("question_id") == F.col("qid"), "left")

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import routing as R
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import answers as A
 from ..operators import joins as J
 from ..operators import merge as M
 from ..operators import ranking as W
-from ..operators import topk as K
 from ..session import input_tag
 from ..sources import nested as N
 from ..sources.tables import TABLES, table
 from . import fixtures as X
 from . import q_corpus as C
+from . import q_vectors as QV
 from . import sqlfrag as S
 from .registry import register
 
@@ -410,15 +411,7 @@ hits AS (SELECT r.qid, r.rank, split_part(c.source, ' ', 1) AS name
 cnt AS (SELECT qid, name, count(*) AS n, min(rank) AS first_rank FROM hits GROUP BY qid, name)
 SELECT qid, arg_max(name, (n, first_rank)) AS category FROM cnt GROUP BY qid""")
 def q_majority_category(spark, sf):
-    e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    hits = K.cosine_topk(e, e, 3, q_id="vec_id", q_vec="embedding", d_id="vec_id", d_vec="embedding")
+    hits = QV.embedding_topk(spark, sf, 3)
     c = X.doc_corpus(spark, sf)
-    h = hits.join(c, hits.did == c.id).select("qid", "rank", T.first_token(F.col("source")).alias("name"))
-    return majority_category(h)
-
-
-def majority_category(hits):
-    """Most frequent first token; ties go to the key that appeared last in
-    first-appearance order (strict '>' reduce seeded with Uncategorized)."""
-    cnt = hits.groupBy("qid", "name").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank"))
-    return cnt.groupBy("qid").agg(F.max_by("name", F.struct("n", "first_rank")).alias("category"))
+    h = hits.join(c, hits.did == c.id).select("qid", "rank", "source")
+    return A.majority_category(h, "qid")

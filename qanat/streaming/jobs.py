@@ -20,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
 from ..operators import answers as A
+from ..operators import embedding as E
+from ..operators import topk as K
 from ..session import fs_exists, shared_root
 
 STREAM_K = 10
@@ -81,8 +83,8 @@ def _run_available_now(stream_df: DataFrame, fn, checkpoint: str) -> None:
 
 # ------------------------------------------------------- T1: ask events --
 
-def question_events(questions: DataFrame, corpus: DataFrame, doc_vectors: DataFrame, k: int = STREAM_K,
-                    generated: DataFrame | None = None) -> DataFrame:
+def question_events(questions: DataFrame, corpus: DataFrame, doc_vectors: DataFrame | K.VectorIndex, k: int = STREAM_K,
+                    generated: DataFrame | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER) -> DataFrame:
     """Event rows (question_id, seq, type, data) for a batch of questions:
     thinking, then sources, answer-chunk*, done -- or done straight away when
     there is no context; a question that fails validation yields an error
@@ -91,7 +93,7 @@ def question_events(questions: DataFrame, corpus: DataFrame, doc_vectors: DataFr
     ok = F.coalesce(T.js_trim(F.col("question")) != "", F.lit(False))  # null is blank too
     valid = q.where(ok)
     bad = q.where(~ok)
-    hits = A.retrieve(valid.select("question_id", "question"), corpus, k, doc_vectors)
+    hits = A.retrieve(valid.select("question_id", "question"), corpus, k, doc_vectors, embedder)
     per = A.per_question(hits)
     j = valid.join(per, "question_id", "left")
     if generated is not None:
@@ -131,14 +133,14 @@ def question_events(questions: DataFrame, corpus: DataFrame, doc_vectors: DataFr
 
 
 def stream_ask_events(spark: SparkSession, questions_dir: str, questions_schema: str, corpus: DataFrame,
-                      doc_vectors: DataFrame, sink_dir: str, checkpoint: str, k: int = STREAM_K,
-                      files_per_trigger: int | None = None) -> DataFrame:
+                      doc_vectors: DataFrame | K.VectorIndex, sink_dir: str, checkpoint: str, k: int = STREAM_K,
+                      files_per_trigger: int | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER) -> DataFrame:
     """readStream questions -> per micro-batch retrieval against the stored
     index (a stream-static join) -> event rows appended per batch."""
     src = _files(spark, questions_dir, questions_schema, files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        question_events(batch, corpus, doc_vectors, k).write.mode("overwrite").parquet(
+        question_events(batch, corpus, doc_vectors, k, embedder=embedder).write.mode("overwrite").parquet(
             f"{sink_dir}/batch={batch_id}")
 
     _run_available_now(src, sink, checkpoint)
@@ -273,9 +275,9 @@ def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpo
 # ------------------------------------------- T3: save answers on arrival --
 
 def stream_upsert_answers(spark: SparkSession, questions_dir: str, questions_schema: str,
-                          corpus: DataFrame, doc_vectors: DataFrame, existing: DataFrame,
+                          corpus: DataFrame, doc_vectors: DataFrame | K.VectorIndex, existing: DataFrame,
                           table_root: str, checkpoint: str, as_of, k: int = 3,
-                          files_per_trigger: int | None = None) -> DataFrame:
+                          files_per_trigger: int | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER) -> DataFrame:
     """Each micro-batch answers its questions and appends them as a delta;
     the answers table is the fold: last (batch, question id) per slug wins,
     timestamps come from the first version (never touched by updates)."""
@@ -285,7 +287,7 @@ def stream_upsert_answers(spark: SparkSession, questions_dir: str, questions_sch
     ts = F.lit(as_of).cast("timestamp_ntz")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        asked = A.batch_ask(batch, corpus, k=k, doc_vectors=doc_vectors)
+        asked = A.batch_ask(batch, corpus, k=k, doc_vectors=doc_vectors, embedder=embedder)
         table.append(asked.select("slug", "question", "answer", "answer_snippet", "source", "category",
                                   F.to_json("sources").alias("sources_json"), ts.alias("created_at"),
                                   ts.alias("updated_at"), F.col("question_id").alias("seq")), batch_id)
@@ -321,7 +323,7 @@ def stream_favorites(spark: SparkSession, events_dir: str, events_schema: str, t
 
 def stream_index(spark: SparkSession, docs_dir: str, docs_schema: str, existing: DataFrame,
                  table_root: str, checkpoint: str, as_of, payload: list[str], route,
-                 files_per_trigger: int | None = None) -> DataFrame:
+                 files_per_trigger: int | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER) -> DataFrame:
     """New document files -> skip ids already stored (reads the id column of
     base + deltas only) -> embed -> normalise -> route -> append as a delta;
     the table is the fold of base and deltas by id."""
@@ -336,7 +338,7 @@ def stream_index(spark: SparkSession, docs_dir: str, docs_schema: str, existing:
     def sink(batch: DataFrame, batch_id: int) -> None:
         known = table.before(batch_id).select("id")
         todo = J.incremental_anti(batch, known, ["id"])
-        emb = V.hash_embed(todo, "id", "text", keep=["text", "type", "source"])
+        emb = E.embed(todo, "id", "text", embedder, keep=["text", "type", "source"])
         rows = emb.select("id", route(F.col("id")).alias("shard_id"), "type", "source", "text",
                           V.l2_normalize(F.col("embedding")).alias("embedding"),
                           ts.alias("created_at"), ts.alias("updated_at"))

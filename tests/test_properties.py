@@ -1,7 +1,9 @@
-"""Properties: exactness of the blocked top-k under heavy salting, IVF
-recall, embedder parity, dense ids under repartitioning, sampling, upsert
+"""Properties: exactness of the pruned top-k, recall of the probing one,
+embedder parity, dense ids under repartitioning, sampling, upsert
 idempotence."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from qanat.operators import ranking as W
 from qanat.operators import topk as K
 from qanat.plans import q_corpus as C
 from qanat.sources.tables import table
-from qanat.plans.q_vectors import ANN_NLIST, ANN_NPROBE
+from qanat.plans.q_vectors import ANN_SHARE
 from tests.conftest import SF_MID, SF_SMALL
 
 
 def brute_topk(ids, mat, k):
-    m = mat / np.linalg.norm(mat, axis=1, keepdims=True)
+    norm = np.linalg.norm(mat, axis=1, keepdims=True)
+    m = mat / np.where(norm == 0, 1, norm)
     s = np.round(m @ m.T, 9)
     out = set()
     for qi, q in enumerate(ids):
@@ -25,31 +28,55 @@ def brute_topk(ids, mat, k):
     return out
 
 
-def test_blocked_topk_exact_under_salting(spark):
+def test_exact_search_prunes_and_equals_the_full_one(spark):
+    """Tight clusters: most cells are pruned, and nothing changes. The fixture's loose vectors: nothing can be pruned."""
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((12, 16))
+    mat = np.repeat(centres, 40, axis=0) + 0.05 * rng.standard_normal((480, 16))
+    mat[7] = 0  # a zero vector has cosine 0 with everything
+    mat[9], mat[11] = mat[8], 3 * mat[8]  # equal scores go by id
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(mat)], "id long, v array<double>").repartition(3)
+    index = K.build_index(v, "id", "v")
+    assert index.cells.agg(F.sum("n")).first()[0] == 480 and index.cells.count() == 22
+    sent, _ = index.directory().targets(K.unit_rows(mat), 4, None, True)
+    assert sent.mean() < 0.5
+    want = brute_topk(np.arange(480), mat, 4)
+    for prune in (True, False):
+        got = K.cosine_topk(v, index, 4, "id", "v", prune=prune)
+        assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == want
     e = table(spark, SF_SMALL, "embeddings", "vec_id", "embedding")
     rows = e.orderBy("vec_id").collect()
-    ids = np.array([r[0] for r in rows])
-    mat = np.array([r[1] for r in rows], dtype=np.float64)
-    want = brute_topk(ids, mat, 4)
-    # block_rows=64 splits the single cell into 8 x 8 salted groups
-    got = K.cosine_topk(e, e, 4, "vec_id", "embedding", "vec_id", "embedding", block_rows=64,
-                        strategy="blocked")
-    assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == want
+    want = brute_topk(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64), 3)
+    for nlist in (1, 5, None):
+        got = K.cosine_topk(e, e, 3, "vec_id", "embedding", "vec_id", "embedding", nlist=nlist)
+        assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == want
 
 
-def test_ivf_single_cell_equals_exact(spark):
+def test_probing_every_cell_equals_exact_and_few_read_few_folders(spark):
     e = table(spark, SF_SMALL, "embeddings", "vec_id", "embedding")
-    a = K.ann_topk(e, e, 5, nlist=1, nprobe=1, q_id="vec_id", q_vec="embedding", d_id="vec_id", d_vec="embedding")
-    x = K.cosine_topk(e, e, 5, "vec_id", "embedding", "vec_id", "embedding")
-    assert {tuple(r) for r in a.select("qid", "did", "rank").collect()} == \
-           {tuple(r) for r in x.select("qid", "did", "rank").collect()}
+    index = K.build_index(e, "vec_id", "embedding", nlist=8)
+    rows = lambda df: {tuple(r) for r in df.select("qid", "did", "rank").collect()}
+    assert rows(K.ann_topk(e, index, 5, 8, "vec_id", "embedding")) == rows(K.cosine_topk(e, index, 5, "vec_id", "embedding"))
+    one = K.ann_topk(e.where("vec_id = 3"), index, 5, 2, "vec_id", "embedding")
+    scan = next(x for x in one._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x and "blocks" in x)
+    assert "PartitionFilters: [" in scan and "cell" in scan.split("PartitionFilters")[1]
+    assert one.count() == 5
 
 
-def test_ivf_recall(spark):
+def test_ann_recall(spark):
     e = table(spark, SF_MID, "embeddings", "vec_id", "embedding")
-    a = K.ann_topk(e, e, 5, nlist=ANN_NLIST, nprobe=ANN_NPROBE, q_id="vec_id", q_vec="embedding", d_id="vec_id", d_vec="embedding")
-    x = K.cosine_topk(e, e, 5, "vec_id", "embedding", "vec_id", "embedding")
-    assert K.recall_at_k(a, x, 5).first()["recall_at_k"] >= 0.9
+    index = K.build_index(e, "vec_id", "embedding")
+    a = K.ann_topk(e, index, 5, math.ceil(ANN_SHARE * index.cells.count()), "vec_id", "embedding")
+    assert K.recall_at_k(a, K.cosine_topk(e, index, 5, "vec_id", "embedding"), 5).first()["recall_at_k"] >= 0.9
+
+
+def test_index_that_was_not_committed_is_no_index(spark, tmp_path):
+    v = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    assert K.open_index(spark, f"{tmp_path}/i") is None
+    K.build_index(v, "id", "v", f"{tmp_path}/i")
+    assert K.open_index(spark, f"{tmp_path}/i").dim == 2
+    empty = K.build_index(v.limit(0), "id", "v", f"{tmp_path}/none")
+    assert K.cosine_topk(v, empty, 3, "id", "v").count() == 0
 
 
 def test_hash_embed_paths_agree(spark):
@@ -95,15 +122,6 @@ def test_upsert_idempotent(spark):
     assert key(once) == key(twice)
 
 
-def test_broadcast_and_blocked_strategies_agree(spark):
-    e = table(spark, SF_SMALL, "embeddings", "vec_id", "embedding")
-    rows = e.orderBy("vec_id").collect()
-    want = brute_topk(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64), 3)
-    for strategy in ("broadcast", "blocked"):
-        got = K.cosine_topk(e, e, 3, "vec_id", "embedding", "vec_id", "embedding", strategy=strategy)
-        assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == want, strategy
-
-
 def test_pages_partition_the_full_list(spark):
     fav = spark.createDataFrame([(f"u{u}", f"s{i}", i) for u in range(3) for i in range(u * 7 + 3)],
                                 "user_id string, answer_slug string, t long")
@@ -115,21 +133,14 @@ def test_pages_partition_the_full_list(spark):
     assert len(got) == len(set(got)) and set(got) == whole
 
 
-def test_hot_cell_is_split_into_bounded_groups(spark):
-    # one cell holds a third of all corpus rows: the salted layout spreads it
-    # over sq x sd groups of at most ~block_rows rows per side
-    n, block = 3000, 256
-    corpus = spark.range(n).select(F.col("id").alias("did"), F.array(F.lit(1.0)).alias("dvec"),
-                                   F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50 + 1).alias("cell"))
-    queries = spark.range(600).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("qvec"),
-                                      F.lit(0).alias("cell"))
-    hot_d = corpus.where("cell = 0").count()
-    sq, sd = -(-600 // block), -(-hot_d // block)
-    q, d = K._salt(queries, corpus.where("cell = 0"), F.lit(sq), F.lit(sd))
-    sizes = d.groupBy("qs", "ds").count().collect()
-    assert len(sizes) == sq * sd
-    assert max(r["count"] for r in sizes) <= 1.5 * block
-    assert q.count() == 600 * sd and d.count() == hot_d * sq
+def test_hot_cell_is_many_bounded_blocks(spark):
+    """Two thirds of the vectors are one; its cell is stored in blocks and all of it is found."""
+    v = spark.range(3000).selectExpr("id", "if(id % 3 < 2, array(1D, 0D), array(0D, 1D + id)) v")
+    index = K.build_index(v, "id", "v", nlist=4)
+    assert index.blocks.agg(F.max("n")).first()[0] <= K.BLOCK_ROWS
+    assert index.cells.agg(F.sum("n"), F.max("n")).first() == (3000, 2000)
+    got = K.cosine_topk(spark.createDataFrame([(1, [2.0, 0.0])], "id long, v array<double>"), index, 5, "id", "v")
+    assert sorted(r["did"] for r in got.collect()) == [0, 1, 3, 4, 6]
 
 
 def test_bad_vectors_do_not_fail_a_search(spark):
@@ -138,8 +149,8 @@ def test_bad_vectors_do_not_fail_a_search(spark):
     nan = float("nan")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [nan, 1.0]), (5, [1.0]), (6, [1.0, None]), (7, [0.6, 0.8])],
                               "id long, v array<double>")
-    for strategy in ("auto", "broadcast", "blocked"):
-        got = K.cosine_topk(v, v, 1, "id", "v", "id", "v", strategy=strategy).collect()
+    for nlist in (1, 2, None):
+        got = K.cosine_topk(v, v, 1, "id", "v", "id", "v", nlist=nlist).collect()
         assert sorted((r["qid"], r["did"]) for r in got) == [(1, 1), (2, 2), (7, 7)]
     assert sorted(tuple(r) for r in K.rejected_vectors(v, "id", "v").collect()) == [(3, "null"), (4, "value"), (5, "length"), (6, "value")]
 
