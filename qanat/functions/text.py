@@ -105,6 +105,28 @@ def map_lookup(c: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*kv), c), c)
 
 
+def cite_verse(surah_name: Column, surah: Column, verse: Column) -> Column:
+    return F.concat(F.lit("Quran "), surah_name, F.lit(" "), surah.cast("string"), F.lit(":"), verse.cast("string"))
+
+
+def cite_book(book: Column) -> Column:
+    return F.concat(F.lit("Hadith ("), book, F.lit(")"))
+
+
+def cite_commentary(name: Column, surah: Column, ayah: Column) -> Column:
+    return F.concat(F.lit("Tafsir "), name, F.lit(" - Surah "), surah.cast("string"), F.lit(":"), ayah.cast("string"))
+
+
+def cite_numbered(title: Column, number: Column) -> Column:
+    """Title and number, trimmed where there is no number."""
+    return js_trim(F.concat(title, F.lit(" "), F.coalesce(number, F.lit(""))))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def context_line(source: Column, text: Column) -> Column:
     return F.concat(F.lit("[Source: "), source, F.lit("] "), text)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 from . import embedding as E
 from . import merge as M
 from . import topk as K
@@ -154,6 +155,23 @@ def batch_ask(questions: DataFrame, corpus: DataFrame, generated: DataFrame | No
         F.coalesce(F.col("sources"), empty_sources).alias("sources"))
 
 
+def ask_and_save(questions: DataFrame, corpus: DataFrame, answers: DataFrame, categories: DataFrame, as_of,
+                 generated: DataFrame | None = None, k: int = 3, doc_vectors: DataFrame | K.VectorIndex | None = None,
+                 embedder: E.Embedder = DEFAULT_EMBEDDER) -> tuple[DataFrame, DataFrame]:
+    """(answers, categories) after a batch: each answer's category is found by its slug, whose
+    stored name stands, or created under the name of the first question that needs it;
+    then the answers are upserted by slug. Questions without context create no category.
+    Answered once: both results read the checkpointed batch."""
+    asked = cut_lineage(batch_ask(questions, corpus, generated, k, doc_vectors, embedder=embedder))
+    wanted = asked.where(F.col("source") != SYSTEM_SOURCE).select(
+        T.slugify(F.col("category")).alias("slug"), F.col("category").alias("name"), F.col("question_id").alias("seq"))
+    stored = M.find_or_create(categories, wanted, "slug", "name", "seq")
+    names = stored.select(F.col("slug").alias("__s"), F.col("name").alias("__n"))
+    named = (asked.withColumn("__s", F.when(F.col("source") != SYSTEM_SOURCE, T.slugify(F.col("category")))).join(names, "__s", "left")
+             .withColumn("category", F.coalesce("__n", "category")).drop("__s", "__n"))
+    return save_answers(answers, named, as_of), stored
+
+
 def save_answers(existing: DataFrame, asked: DataFrame, as_of) -> DataFrame:
     """Answer upsert on slug: the last question per slug wins; timestamps
     of an existing answer are never touched."""

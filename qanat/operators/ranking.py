@@ -21,7 +21,7 @@ def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id",
        upper bits, local position in the lower 33 bits);
     2. reliable ``checkpoint`` so both passes see the same partitioning;
     3. per-partition counts (one row per partition) -> running offsets;
-    4. id = offset[partition] + local position (a narrow projection).
+    4. id = offset[partition] + local position, the offsets joined by partition.
     """
     spark = df.sparkSession
     shared_root(spark)
@@ -30,15 +30,13 @@ def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id",
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    counts = sorted((r["__pid"], r["n"]) for r in
-                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, run = [], 0
-    for pid, cnt in counts:
-        offsets += [F.lit(pid), F.lit(run)]
-        run += cnt
-    off = F.element_at(F.create_map(*offsets), F.col("__pid")) if offsets else F.lit(0)
+    # one row a partition, so both the window over all of them and the broadcast are bounded
+    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    running = Window.partitionBy(F.lit(0)).orderBy("__pid")
+    offsets = counts.select("__pid", (F.sum("__n").over(running) - F.col("__n")).alias("__off"))
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return ranged.withColumn(id_col, (off + local).cast("long")).drop("__pid", "__mid")
+    return (ranged.join(F.broadcast(offsets), "__pid").withColumn(id_col, (F.col("__off") + local).cast("long"))
+            .select(*[c for c in df.columns if c != id_col], id_col))
 
 
 def proportional_quota(counts: DataFrame, max_documents: int | None, key: str = "type",

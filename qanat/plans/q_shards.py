@@ -10,6 +10,7 @@ from ..functions import routing as R
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import answers as A
+from ..operators import corpus as CO
 from ..operators import joins as J
 from ..operators import merge as M
 from ..operators import ranking as W
@@ -70,7 +71,7 @@ merged AS (
          CASE WHEN i.id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE x.created_at END AS updated_at
   FROM existing x FULL OUTER JOIN incoming i ON x.id = i.id)"""
 
-PAYLOAD = ["shard_id", "type", "source", "text", "embedding"]
+PAYLOAD = CO.PAYLOAD
 
 
 def existing_rows(spark, sf):
@@ -80,7 +81,7 @@ def existing_rows(spark, sf):
 def incoming_rows(spark, sf):
     t = emb_table(spark, sf)
     return t.where((F.col("label") % 2 == 1) | (F.col("id") % 3 == 0)).select(
-        "id", "shard_id", "type", "source", F.lit("v2").alias("text"), F.reverse("embedding").alias("embedding"))
+        "id", "shard_id", "type", "source", F.lit("v2").alias("text"), "metadata", F.reverse("embedding").alias("embedding"))
 
 
 def merged(spark, sf):
@@ -155,8 +156,7 @@ def q_sharded_write(spark, sf):
     loc = scratch_path(spark, name)
     M.ensure_embedding_table(spark, name, loc)
     M.ensure_embedding_table(spark, name, loc)      # create-if-absent is idempotent
-    rows = merged(spark, sf).withColumn("metadata", F.to_json(F.struct("id", "type", "source")))
-    M.write_shards(rows, name)
+    M.write_shards(merged(spark, sf), name)
     return spark.table(name).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -297,6 +297,7 @@ def migrate_backup(spark, backup, target):
         T.falsy_default(F.col("m.type"), "unknown").alias("type"),
         T.falsy_default(F.col("m.source"), F.concat(F.lit("Unknown-"), F.col("id").cast("string"))).alias("source"),
         "text", V.decode_vector_text(F.col("embedding")).alias("embedding"))
+    rows = rows.withColumn("metadata", CO.metadata_json(rows.columns))
     return M.upsert(target, rows, ["id"], PAYLOAD, AS_OF)
 
 
@@ -315,7 +316,7 @@ m AS (
   FROM existing x FULL OUTER JOIN rows r ON x.id = r.id)
 SELECT id, shard_id, type, source, round(embedding[1], 6) AS v0, round(embedding[64], 6) AS v63, created_at FROM m""")
 def q_migrate_backup(spark, sf):
-    target = existing_rows(spark, sf).drop("label", "metadata")
+    target = existing_rows(spark, sf).drop("label")
     m = migrate_backup(spark, backup_rows(spark, sf), target)
     return m.select("id", "shard_id", "type", "source", F.round(F.element_at("embedding", 1), 6).alias("v0"),
                     F.round(F.element_at("embedding", 64), 6).alias("v63"), "created_at")
@@ -333,15 +334,19 @@ def q_hash_embed(spark, sf):
 
 
 @register("load_index", f"""
-WITH {EMB_SQL}
-SELECT id, type, round(sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS norm_in,
-       round(list_sum(list_transform(embedding, lambda x: x * x)) / list_sum(list_transform(embedding, lambda x: x * x)), 6) AS norm_out
-FROM merged""")
+WITH {EMB_SQL},
+unit AS (SELECT m.id, m.type, list_transform(m.embedding, lambda x: x / sqrt(list_sum(list_transform(m.embedding, lambda y: y * y)))) AS v,
+                sqrt(list_sum(list_transform(m.embedding, lambda x: x * x))) AS norm, e.type AS meta_type, e.source AS meta_source
+         FROM merged m JOIN emb e ON e.id = m.id)
+SELECT id, type, round(norm, 6) AS norm_in, round(v[1], 6) AS v0, round(v[64], 6) AS v63,
+       json_object('id', id, 'type', meta_type, 'source', meta_source)::VARCHAR AS metadata, (SELECT max(id) FROM unit) AS max_id
+FROM unit""")
 def q_load_index(spark, sf):
-    snap = sharded_snapshot(spark, sf).where(F.col("shard_id").isin(*R.WRITE_SHARDS))
-    unit = V.l2_normalize(F.col("embedding"))
-    return snap.select("id", "type", F.round(V.l2_norm(F.col("embedding")), 6).alias("norm_in"),
-                       F.round(V.l2_norm(unit), 6).alias("norm_out"))
+    snap = sharded_snapshot(spark, sf)
+    rows, top = CO.load_index(snap)
+    norms = snap.select("id", F.round(V.l2_norm(F.col("embedding")), 6).alias("norm_in"))
+    return rows.join(norms, "id").select("id", "type", "norm_in", F.round(F.element_at("v", 1), 6).alias("v0"),
+                                         F.round(F.element_at("v", 64), 6).alias("v63"), "metadata", F.lit(top).cast("long").alias("max_id"))
 
 
 def _sampled_documents(spark, sf, max_documents):
@@ -361,28 +366,23 @@ def _sampled_documents(spark, sf, max_documents):
             .withColumn("id", (F.col("off") + F.col("i")).cast("long")).drop("off", "i"))
 
 
-def build_index(spark, sf, max_documents=None):
+def build_index(spark, sf, max_documents=None, embedder=None):
     """(quota -> strided sample, only when ``max_documents`` is given) ->
-    union -> dense ids -> skip stored ids -> clean + embed -> normalise -> route
-    -> upsert into the stored table."""
+    union -> dense ids -> skip what is stored with the same text -> embed -> normalise
+    -> route -> upsert into the stored table."""
     if max_documents is None:
         texts = C.corpus_union(spark, sf).select("ord", "okey", "type", "text", "source")
         docs = W.global_index(texts, ["ord", "okey"], "id")
     else:
         docs = _sampled_documents(spark, sf, max_documents)
-    stored = existing_rows(spark, sf).drop("label", "metadata")
-    todo = J.incremental_anti(docs, stored, ["id"])
-    emb = V.hash_embed(todo, "id", "text", keep=["text", "type", "source"])
-    rows = emb.select(
-        "id", R.shard_route(F.col("id")).alias("shard_id"), "type", "source", "text",
-        V.l2_normalize(F.col("embedding")).alias("embedding"))
-    return M.upsert(stored, rows, ["id"], PAYLOAD, AS_OF, incoming_keys=todo)
+    docs = docs.select("id", "type", "source", "text").withColumn("metadata", CO.metadata_json(docs.columns))
+    return CO.index_documents(docs, existing_rows(spark, sf).drop("label"), AS_OF, embedder)
 
 
 @register("build_index", f"""
 WITH {C.CORPUS_SQL}, {EMB_SQL},
 sdocs AS (SELECT row_number() OVER (ORDER BY ord, okey) - 1 AS id, type, source, text FROM corpus),
-todo AS (SELECT * FROM sdocs WHERE id NOT IN (SELECT id FROM existing)),
+todo AS (SELECT * FROM sdocs s WHERE NOT EXISTS (SELECT 1 FROM existing x WHERE x.id = s.id AND x.text = s.text)),
 {S.hash_embed_ctes('todo', 'id', 'text', 'he')},
 rows AS (SELECT t.id, {S.shard_route('t.id')} AS shard_id, t.type, t.source, h.embedding
          FROM todo t JOIN he h ON t.id = h.id),

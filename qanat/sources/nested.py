@@ -50,6 +50,16 @@ HADITH_PAGE = T.StructType([
             T.StructField("grade", T.StringType()),
             T.StructField("book", T.StructType([T.StructField("bookName", T.StringType())]))])))]))])
 
+#: one line (or file) of a collection: two sibling arrays, chapters looked up by hadiths
+COLLECTION_FILE = T.StructType([
+    T.StructField("metadata", T.StructType([T.StructField("english", T.StructType([T.StructField("title", T.StringType())]))])),
+    T.StructField("chapters", T.ArrayType(T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("english", T.StringType()), T.StructField("arabic", T.StringType())]))),
+    T.StructField("hadiths", T.ArrayType(T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("idInBook", T.LongType()), T.StructField("chapterId", T.LongType()),
+        T.StructField("arabic", T.StringType()), T.StructField("grading", T.StringType()),
+        T.StructField("english", T.StructType([T.StructField("text", T.StringType()), T.StructField("narrator", T.StringType())]))])))])
+
 TAFSIR_AYAH = T.StructType([T.StructField("ayah", T.LongType()),
                             T.StructField("surah", T.LongType()),
                             T.StructField("text", T.StringType())])
@@ -170,6 +180,36 @@ def edition_union(spark: SparkSession, root: str, editions=R.EDITIONS) -> DataFr
                       "editionId", R.edition_language(F.col("editionId")).alias("language"))
 
 
+def collection_hadiths(raw: DataFrame, collection: str = "collection") -> DataFrame:
+    """The hadiths of collections, each with its chapter by a lookup inside its own file.
+
+    ``raw`` has the columns of COLLECTION_FILE and the collection's name. Of chapters with one
+    id the last wins; a hadith whose chapter is missing has empty chapter names; a file
+    without hadiths has no rows. No join: the file's chapters become a map (sorted by id
+    and place, the last of each id kept), built once and looked up inside the array.
+    Result: file, pos (place in the file) and the ten hadith columns."""
+    name = F.col(collection)
+    no_chapters = F.array().cast(COLLECTION_FILE["chapters"].dataType)
+    placed = F.array_sort(F.transform(F.filter(F.coalesce("chapters", no_chapters), lambda c: c["id"].isNotNull()),
+                                      lambda c, i: F.struct(c["id"].alias("id"), i.alias("at"), c["english"].alias("english"), c["arabic"].alias("arabic"))))
+    chapters = X.let(placed, lambda s: F.map_from_entries(F.transform(
+        F.filter(s, lambda c, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["id"] != c["id"])),
+        lambda c: F.struct(c["id"].alias("id"), F.struct(c["english"].alias("english"), c["arabic"].alias("arabic")).alias("names")))))
+    # a null chapter id finds no chapter; element_at of a null key is null
+    joined = X.let(chapters, lambda m: F.transform("hadiths", lambda h: F.struct(h.alias("h"), F.element_at(m, h["chapterId"]).alias("c"))))
+    rows = raw.select(name.alias("file"), F.col("metadata.english.title").alias("title"), F.posexplode(joined).alias("pos", "j"))
+    h, c, book = F.col("j.h"), F.col("j.c"), X.capitalize(F.col("file"))
+    empty = lambda x: X.falsy_default(x, "")
+    number = X.falsy_number_default(h["idInBook"], F.nullif(h["id"], F.lit(0))).cast("string")
+    return rows.select(
+        "file", "pos", empty(h["english"]["text"]).alias("hadith_english"), empty(h["arabic"]).alias("hadith_arabic"), book.alias("book"),
+        empty(c["english"]).alias("chapter_english"), empty(c["arabic"]).alias("chapter_arabic"),
+        F.coalesce(h["idInBook"].cast("string"), h["id"].cast("string"), F.lit("")).alias("hadith_number"),
+        empty(h["grading"]).alias("grading"), X.falsy_default(F.col("title"), book).alias("collection"),
+        empty(h["english"]["narrator"]).alias("narrator"),
+        X.cite_numbered(X.falsy_default(F.col("title"), F.col("file")), number).alias("reference"))
+
+
 def paged_ingest(pages: DataFrame) -> DataFrame:
     """S3: pages are kept in order up to (excluding) the first failed page;
     fields renamed with the falsy-default rule."""
@@ -200,8 +240,7 @@ def grid_ingest(spark: SparkSession, root: str, surahs: DataFrame, editions=R.SU
     name = X.map_lookup(F.col("tafsirType"), R.TAFSIR_NAMES)
     docs = raw.select(
         "text",
-        F.concat(F.lit("Tafsir "), name, F.lit(" - Surah "), F.col("surah").cast("string"), F.lit(":"),
-                 F.col("ayah").cast("string")).alias("source"),
+        X.cite_commentary(name, F.col("surah"), F.col("ayah")).alias("source"),
         "surah", "ayah", "tafsirType")
     ed = F.array(*[F.lit(e) for e in editions])
     expected = surahs.select(F.col("surah").cast("long").alias("surah"), F.explode(ed).alias("tafsirType"))
