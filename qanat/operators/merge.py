@@ -9,12 +9,11 @@ the directory being read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_root
+from ..functions.routing import shard_route
+from ..functions.text import falsy_default
 
 
 def _ts(as_of) -> Column:
@@ -23,13 +22,13 @@ def _ts(as_of) -> Column:
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], payload: list[str],
            as_of, created: str = "created_at", updated: str = "updated_at",
-           seq: str | None = None, touch_updated: bool = True,
+           seq: str | None = None, touch_updated: bool = True, touch_created: bool = False,
            incoming_keys: DataFrame | None = None) -> DataFrame:
     """Keyed upsert into a table that is unique by ``keys``.
 
     insert: created = updated = as_of. update: payload replaced by the
-    incoming row, created kept; updated = as_of when ``touch_updated`` else
-    kept. Of several incoming rows of one key the last ``seq`` wins, equal or
+    incoming row, created kept unless ``touch_created``; updated = as_of when
+    ``touch_updated`` else kept. Of several incoming rows of one key the last ``seq`` wins, equal or
     absent ``seq`` are told apart by a hash of the payload.
 
     Stored rows whose key is not incoming pass an anti join and nothing else:
@@ -49,7 +48,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], payload: l
     stored = existing.select(*named, F.col(created).alias("__c"), F.col(updated).alias("__u"), F.lit(True).alias("__old"))
     old = F.coalesce(F.col("__old"), F.lit(False))
     fresh = i.join(stored, same, "left").select(
-        *keys, *payload, F.when(old, F.col("__c")).otherwise(t).alias(created),
+        *keys, *payload, (t if touch_created else F.when(old, F.col("__c")).otherwise(t)).alias(created),
         (t if touch_updated else F.when(old, F.col("__u")).otherwise(t)).alias(updated))
     kept = existing.join((incoming if incoming_keys is None else incoming_keys).select(*named), same, "left_anti")
     return kept.select(*keys, *payload, created, updated).unionByName(fresh)
@@ -93,22 +92,31 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> Data
     return j.withColumn("status", F.when(rejected, "rejected").otherwise("inserted")).drop("__dup", "__exists")
 
 
-def write_snapshot(df: DataFrame, table: str, partition_by: list[str] | None = None,
-                   salt_col: str | None = None, salts: int = 16) -> str:
-    """Write a new snapshot directory of ``table`` under the shared folder.
-
-    When partitioning by a low-cardinality column (two shards), a salt keeps
-    write parallelism from collapsing to one task per shard."""
-    path = f"{shared_root(df.sparkSession)}/tables/{table}/v-{uuid.uuid4().hex[:12]}"
-    out = df
-    if partition_by:
-        salt = F.pmod(F.xxhash64(F.col(salt_col)) if salt_col else F.rand(7) * 1e9, F.lit(salts))
-        out = out.repartition(*[F.col(c) for c in partition_by], salt)
-    w = out.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
+def identity_link(users: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M8: sign-ins (email, name, google_id, seq) against users (email, name, google_id).
+
+    In the order of ``seq``, an event of an unknown email inserts the user (an empty name
+    is null), of a user without a google id links it and takes the event's name if that
+    is not empty, and of a linked user changes nothing. So only the first event of an email
+    can do anything: it is found by an aggregate, and later ones of the batch are
+    'unchanged'. Events without email or google id are 'rejected'. Returns (outcome per event:
+    email, seq, google_id, name as they are afterwards, action; the users after the batch)."""
+    usable = (F.coalesce("email", F.lit("")) != "") & (F.coalesce("google_id", F.lit("")) != "")
+    good = events.where(usable)
+    first = good.groupBy("email").agg(F.min_by(F.struct("name", "google_id"), "seq").alias("e"), F.min("seq").alias("first"))
+    known = users.select("email", F.struct("name", "google_id").alias("u"))
+    both = first.join(known, "email", "full")
+    fresh, link = F.col("u").isNull(), F.coalesce(F.col("u.google_id"), F.lit("")) == ""
+    touched = F.col("e").isNotNull() & (fresh | link)
+    after = both.select(
+        "email", "first", F.when(touched, F.col("e.google_id")).otherwise(F.col("u.google_id")).alias("google_id"),
+        F.when(F.col("e").isNull() | ~(fresh | link), F.col("u.name")).when(fresh, F.nullif(F.col("e.name"), F.lit("")))
+        .otherwise(falsy_default(F.col("e.name"), F.col("u.name"))).alias("name"),
+        F.when(~touched, "unchanged").when(fresh, "inserted").otherwise("linked").alias("did"))
+    outcome = good.select("email", "seq").join(after.where(F.col("first").isNotNull()), "email").select(
+        "email", "seq", "google_id", "name", F.when(F.col("seq") == F.col("first"), F.col("did")).otherwise("unchanged").alias("action"))
+    refused = events.where(~usable).select("email", "seq", "google_id", "name", F.lit("rejected").alias("action"))
+    return outcome.unionByName(refused), after.select("email", "name", "google_id")
 
 
 # Declared schema of the sharded embedding table (S14); shard_id last, as
@@ -126,10 +134,50 @@ def ensure_embedding_table(spark, name: str, location: str) -> None:
               f"PARTITIONED BY (shard_id) LOCATION '{location}'")
 
 
-def write_shards(df: DataFrame, name: str, salts: int = 16) -> None:
-    """Rows grouped by shard and written in parallel; dynamic partition
-    overwrite replaces only the shards present in ``df``. A salt keeps the
-    write from collapsing to one task per shard."""
+#: bytes that a written file should have, and what a byte of a row's values becomes in it
+FILE_BYTES, FILE_RATIO = 128 << 20, 0.7
+
+
+def value_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: texts as they are, eight for a number, arrays by their length."""
+    def one(f) -> Column:
+        kind = f.dataType.typeName()
+        size = F.octet_length(f.name) if kind in ("string", "binary") else F.size(f.name) * 8 if kind == "array" else F.lit(8)
+        return F.coalesce(size, F.lit(0)).cast("long")
+    return sum((one(f) for f in df.schema.fields), F.lit(0).cast("long"))
+
+
+def sized(df: DataFrame, by: str, key: str, file_bytes: int = FILE_BYTES, ratio: float = FILE_RATIO) -> DataFrame:
+    """Deal the rows out so that a write partitioned by ``by`` gives every value of it files of
+    about ``file_bytes``: the rows of each value are counted in bytes (one row a value comes
+    back, so ``by`` must have few), and the value gets as many partitions as its bytes ask
+    for, each with an equal share by a hash of ``key``. A large value is many tasks, a small
+    one a single file. ``df`` is read twice: write it first where that is dear."""
+    sizes = sorted(df.groupBy(by).agg(F.sum(value_bytes(df)).alias("b")).collect(), key=lambda r: (r[by] is not None, r[by]))
+    files = [max(1, round(r["b"] * ratio / file_bytes)) for r in sizes]
+    place, start = F.lit(0).cast("int"), 0
+    for r, n in zip(sizes, files):
+        place = F.when(F.col(by).eqNullSafe(F.lit(r[by])), F.lit(start) + F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).otherwise(place)
+        start += n
+    return df.repartitionById(max(1, start), place)
+
+
+def write_shards(df: DataFrame, name: str, file_bytes: int = FILE_BYTES, ratio: float = FILE_RATIO) -> None:
+    """Rows grouped by shard and written in parallel, in files of about ``file_bytes``;
+    dynamic partition overwrite replaces only the shards present in ``df``."""
     cols = [c for c, _ in EMBEDDING_TABLE_COLUMNS]
-    out = df.select(*cols).repartition(F.col("shard_id"), F.pmod(F.xxhash64("id"), F.lit(salts)))
+    out = sized(df.select(*cols), "shard_id", "id", file_bytes, ratio)
     out.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+
+
+def reshard(table: DataFrame, shards, moved_root: str, file_bytes: int = FILE_BYTES, ratio: float = FILE_RATIO) -> DataFrame:
+    """The table routed to another list of shards, of which only the moved rows are written.
+
+    A row stays when its stored shard is the one that its id is routed to now; that is a
+    function of the row, so the files of the old table need no rewriting and no list of
+    what has left them. The others go to ``moved_root``, partitioned by their new shard."""
+    route = shard_route(F.col("id"), shards)
+    sized(table.where(F.col("shard_id") != route).withColumn("shard_id", route), "shard_id", "id", file_bytes, ratio).write.mode(
+        "overwrite").partitionBy("shard_id").parquet(moved_root)
+    moved = table.sparkSession.read.schema(table.schema).parquet(moved_root)
+    return table.where(F.col("shard_id") == route).unionByName(moved.select(*table.columns))

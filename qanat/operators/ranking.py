@@ -30,10 +30,13 @@ def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id",
               .withColumn("__pid", F.spark_partition_id())
               .withColumn("__mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    # one row a partition, so both the window over all of them and the broadcast are bounded
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.partitionBy(F.lit(0)).orderBy("__pid")
-    offsets = counts.select("__pid", (F.sum("__n").over(running) - F.col("__n")).alias("__off"))
+    counts = sorted((r["__pid"], r["n"]) for r in
+                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, run = [], 0
+    for pid, cnt in counts:
+        offsets.append((pid, run))
+        run += cnt
+    offsets = spark.createDataFrame(offsets, "__pid int, __off long")  # one row a partition
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
     return (ranged.join(F.broadcast(offsets), "__pid").withColumn(id_col, (F.col("__off") + local).cast("long"))
             .select(*[c for c in df.columns if c != id_col], id_col))

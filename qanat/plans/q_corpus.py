@@ -159,6 +159,20 @@ def q_fallback_rows(spark, sf):
     return N.fallback_rows(N.flatten_duas(duas_files(spark, sf)), FALLBACK_DUA)
 
 
+@register("fallback_rows_empty", """
+SELECT 'Morning & Evening' AS category,
+       'أَعُوذُ بِاللَّهِ مِنَ الشَّيطَانِ الرَّجِيمِ ﴿اللَّهُ لاَ إِلَهَ إِلاَّ هُوَ الْحَيُّ الْقَيُّومُ﴾...' AS arabic,
+       'A''udhu billahi min ash-shaytan ir-rajim. Allahu la ilaha illa huwa al-hayyu al-qayyum...' AS transliteration,
+       'I seek refuge in Allah from Satan the accursed. Allah - there is no deity except Him, the Ever-Living, the Sustainer of existence...' AS english,
+       'Al-Baqarah 2:255' AS reference, 'Ayat al-Kursi - Recite morning and evening' AS note
+WHERE (SELECT count(*) FROM part WHERE p_size < 0) = 0""")
+def q_fallback_rows_empty(spark, sf):
+    """The source that failed: its categories have items, but none survives."""
+    items = duas_files(spark, sf).select(F.transform("English", lambda c: F.struct(
+        c["TITLE"].alias("TITLE"), F.filter(c["TEXT"], lambda t: t["REPEAT"] < 0).alias("TEXT"))).alias("English"))
+    return N.fallback_rows(N.flatten_duas(items), FALLBACK_DUA)
+
+
 @register("edition_union", f"""
 SELECT n_chars % 114 + 1 AS surah, doc_id AS ayah, text,
   CASE lang WHEN 'en' THEN 'Sahih International' WHEN 'fr' THEN 'Yusuf Ali'
@@ -168,7 +182,7 @@ SELECT n_chars % 114 + 1 AS surah, doc_id AS ayah, text,
   CASE WHEN lang = 'es' THEN 'arabic' ELSE 'english' END AS language
 FROM documents""")
 def q_edition_union(spark, sf):
-    return N.edition_union(spark, editions_root(spark, sf))
+    return N.edition_union(spark, editions_root(spark, sf))[0]
 
 
 @register("paged_ingest", f"""
@@ -238,8 +252,7 @@ SELECT text, 'Tafsir ' || {S.map_lookup('tafsirType', R.TAFSIR_NAMES)} || ' - Su
 FROM grid""")
 def q_grid_ingest(spark, sf):
     nations = table(spark, sf, "nation", "n_nationkey").select(F.col("n_nationkey").alias("surah"))
-    docs, _ = N.grid_ingest(spark, tafsir_grid_root(spark, sf), nations)
-    return docs
+    return N.grid_ingest(spark, tafsir_grid_root(spark, sf), nations)[0]
 
 
 @register("grid_missing", f"""
@@ -249,23 +262,40 @@ SELECT surah, tafsirType FROM expected
 EXCEPT SELECT DISTINCT surah, tafsirType FROM grid""")
 def q_grid_missing(spark, sf):
     nations = table(spark, sf, "nation", "n_nationkey").select(F.col("n_nationkey").alias("surah"))
-    _, missing = N.grid_ingest(spark, tafsir_grid_root(spark, sf), nations)
-    return missing
+    return N.grid_ingest(spark, tafsir_grid_root(spark, sf), nations)[1]
+
+
+def tafsir_table(spark, sf):
+    """The commentary documents as a snapshot partitioned by surah, sorted by ayah in its files: a surah is a
+    folder, and an ayah is found by the statistics of the row groups."""
+    return N.materialize(spark, f"tafsir-{_tag(sf)}", lambda: q_grid_ingest(spark, sf).hint("rebalance", "surah").sortWithinPartitions("surah", "ayah"),
+                         partition_by=["surah"])
+
+
+def by_surah(tafsir, surah):
+    return tafsir.where(F.col("surah") == surah)
+
+
+def by_surah_and_ayah(tafsir, surah, ayah):
+    return by_surah(tafsir, surah).where(F.col("ayah") == ayah)
+
+
+_CELL = ["text", "surah", "ayah", "tafsirType"]
 
 
 @register("filter_eq", f"""
 WITH {_GRID_SQL}
 SELECT text, surah, ayah, tafsirType FROM grid WHERE surah = 3""")
 def q_filter_eq(spark, sf):
-    return q_grid_ingest(spark, sf).where(F.col("surah") == 3).select("text", "surah", "ayah", "tafsirType")
+    return by_surah(tafsir_table(spark, sf), 3).select(*_CELL).withColumn("surah", F.col("surah").cast("long"))
 
 
 @register("filter_eq2", f"""
 WITH {_GRID_SQL}
-SELECT text, surah, ayah, tafsirType FROM grid WHERE surah = 3 AND ayah % 2 = 1""")
+SELECT text, surah, ayah, tafsirType FROM grid WHERE surah = 3 AND ayah = (SELECT max(c_custkey) FROM customer WHERE c_nationkey = 3)""")
 def q_filter_eq2(spark, sf):
-    g = q_grid_ingest(spark, sf)
-    return g.where((F.col("surah") == 3) & (F.col("ayah") % 2 == 1)).select("text", "surah", "ayah", "tafsirType")
+    last = table(spark, sf, "customer", "c_custkey", "c_nationkey").where("c_nationkey = 3").agg(F.max("c_custkey")).first()[0]
+    return by_surah_and_ayah(tafsir_table(spark, sf), 3, last or 0).select(*_CELL).withColumn("surah", F.col("surah").cast("long"))
 
 
 @register("chunk_text", f"""

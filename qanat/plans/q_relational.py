@@ -177,10 +177,7 @@ def q_upsert_favorites(spark, sf):
         F.col("user_id").cast("string").alias("user_id"),
         F.concat(F.lit("a-"), F.get_json_object("props", "$.k")).alias("answer_slug"))
     # re-favoriting refreshes created_at: both insert and update stamp as_of
-    m = M.upsert(existing, clicks, ["user_id", "answer_slug"], [], AS_OF, updated="updated_at")
-    return m.select("user_id", "answer_slug",
-                    F.when(F.col("updated_at") == F.lit(AS_OF).cast("timestamp_ntz"), F.col("updated_at"))
-                    .otherwise(F.col("created_at")).alias("created_at"))
+    return M.upsert(existing, clicks, ["user_id", "answer_slug"], [], AS_OF, touch_created=True).drop("updated_at")
 
 
 @register("delete_favorites", f"""
@@ -241,32 +238,45 @@ def q_insert_if_absent(spark, sf):
     return M.insert_if_absent(_users(spark, sf), inc, "email").select("email", "name", "seq", "status")
 
 
+# every customer signs in once, a third of them again later under another id, one in ten without an id
+_SIGN_INS_SQL = """ids AS (
+  SELECT lower(c_name) || '@x' AS email, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE upper(c_name) END AS name,
+         CASE WHEN c_custkey % 10 <> 7 THEN 'g-' || CAST(c_custkey AS VARCHAR) END AS google_id, c_custkey AS seq FROM customer
+  UNION ALL SELECT lower(c_name) || '@x', 'Again', 'h-' || CAST(c_custkey AS VARCHAR), c_custkey + 1000000000 FROM customer WHERE c_custkey % 3 = 0),
+good AS (SELECT * FROM ids WHERE google_id IS NOT NULL),
+f AS (SELECT email, min(seq) AS seq, arg_min(name, seq) AS name, arg_min(google_id, seq) AS google_id FROM good GROUP BY email),
+after AS (
+  SELECT f.email, f.seq AS first, CASE WHEN u.google_id IS NULL THEN f.google_id ELSE u.google_id END AS google_id,
+         CASE WHEN u.email IS NULL THEN nullif(f.name, '') WHEN u.google_id IS NULL THEN coalesce(nullif(f.name, ''), u.name) ELSE u.name END AS name,
+         CASE WHEN u.email IS NULL THEN 'inserted' WHEN u.google_id IS NULL THEN 'linked' ELSE 'unchanged' END AS did
+  FROM f LEFT JOIN users u ON f.email = u.email)"""
+
+
+def _sign_ins(spark, sf):
+    c = table(spark, sf, "customer", "c_custkey", "c_name")
+    email, key = F.concat(F.lower("c_name"), F.lit("@x")).alias("email"), F.col("c_custkey")
+    first = c.select(email, F.when(key % 4 == 0, F.lit("")).otherwise(F.upper("c_name")).alias("name"),
+                     F.when(key % 10 != 7, F.concat(F.lit("g-"), key.cast("string"))).alias("google_id"), key.alias("seq"))
+    again = c.where(key % 3 == 0).select(email, F.lit("Again").alias("name"), F.concat(F.lit("h-"), key.cast("string")).alias("google_id"),
+                                         (key + 1000000000).alias("seq"))
+    return first.unionByName(again)
+
+
 @register("identity_link", f"""
-WITH {_USERS_SQL},
-ids AS (SELECT lower(c_name) || '@x' AS email, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE upper(c_name) END AS name,
-               'g-' || CAST(c_custkey AS VARCHAR) AS google_id FROM customer)
-SELECT i.email,
-  CASE WHEN u.email IS NULL THEN i.google_id WHEN u.google_id IS NULL THEN i.google_id ELSE u.google_id END AS google_id,
-  CASE WHEN u.email IS NULL THEN nullif(i.name, '')
-       WHEN u.google_id IS NULL THEN coalesce(nullif(i.name, ''), u.name) ELSE u.name END AS name,
-  CASE WHEN u.email IS NULL THEN 'inserted' WHEN u.google_id IS NULL THEN 'linked' ELSE 'unchanged' END AS action
-FROM ids i LEFT JOIN users u ON i.email = u.email""")
+WITH {_USERS_SQL}, {_SIGN_INS_SQL}
+SELECT g.email, g.seq, a.google_id, a.name, CASE WHEN g.seq = a.first THEN a.did ELSE 'unchanged' END AS action
+FROM good g JOIN after a ON g.email = a.email
+UNION ALL SELECT email, seq, google_id, name, 'rejected' FROM ids WHERE google_id IS NULL""")
 def q_identity_link(spark, sf):
-    c = table(spark, sf, "customer", "c_custkey", "c_name")
-    ids = c.select(F.concat(F.lower("c_name"), F.lit("@x")).alias("email"),
-                   F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(F.upper("c_name")).alias("name"),
-                   F.concat(F.lit("g-"), F.col("c_custkey").cast("string")).alias("google_id"))
-    u = _users(spark, sf).select("email", F.col("name").alias("u_name"), F.col("google_id").alias("u_gid"),
-                                 F.lit(True).alias("u_exists"))
-    j = ids.join(u, "email", "left")
-    found = F.coalesce("u_exists", F.lit(False))
-    linked = found & F.col("u_gid").isNull()
-    return j.select(
-        "email",
-        F.when(~found | linked, F.col("google_id")).otherwise(F.col("u_gid")).alias("google_id"),
-        F.when(~found, F.nullif(F.col("name"), F.lit("")))
-        .when(linked, T.falsy_default(F.col("name"), F.col("u_name"))).otherwise(F.col("u_name")).alias("name"),
-        F.when(~found, "inserted").when(linked, "linked").otherwise("unchanged").alias("action"))
+    return M.identity_link(_users(spark, sf), _sign_ins(spark, sf))[0]
+
+
+@register("linked_users", f"""
+WITH {_USERS_SQL}, {_SIGN_INS_SQL}
+SELECT email, name, google_id FROM after
+UNION ALL SELECT email, name, google_id FROM users WHERE email NOT IN (SELECT email FROM after)""")
+def q_linked_users(spark, sf):
+    return M.identity_link(_users(spark, sf), _sign_ins(spark, sf))[1]
 
 
 @register("dedup_last_wins", """

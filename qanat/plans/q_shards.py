@@ -14,8 +14,9 @@ from ..operators import corpus as CO
 from ..operators import joins as J
 from ..operators import merge as M
 from ..operators import ranking as W
-from ..session import input_tag
+from ..session import cut_lineage, input_tag, scratch_path
 from ..sources import nested as N
+from ..sources import profile as PF
 from ..sources.tables import TABLES, table
 from . import fixtures as X
 from . import q_corpus as C
@@ -29,6 +30,19 @@ NEW_SHARDS = (1, 2, 3)
 SHARD_MAX_BYTES = {1: 400_000}
 DEFAULT_MAX_BYTES = 50_000_000
 USAGE_THRESHOLD = 0.8
+# the configured shards with their roles; shard 3 was added last and has no rows and no queries
+CONFIGURED = {0: "primary", 1: "secondary", 2: "secondary", 3: "secondary"}
+_SPINE_SQL = """configured(shard_id, role) AS (VALUES (0, 'primary'), (1, 'secondary'), (2, 'secondary'), (3, 'secondary'))"""
+
+
+def configured(spark):
+    """One row a configured shard: the left side of every report on shards."""
+    return spark.createDataFrame(list(CONFIGURED.items()), "shard_id int, role string")
+
+
+def storing(spark):
+    """The configured shards that store embeddings (the primary does not)."""
+    return configured(spark).where(F.col("role") == "secondary")
 
 
 _tag = input_tag
@@ -92,9 +106,7 @@ def sharded_snapshot(spark, sf):
     """The merged table written once per input as a shard-partitioned
     Parquet snapshot in the shared folder (S13/S14)."""
     return N.materialize(spark, f"emb-sharded-{_tag(sf)}",
-                         lambda: merged(spark, sf).repartition(F.col("shard_id"),
-                                                               F.pmod(F.xxhash64("id"), F.lit(8))),
-                         partition_by=["shard_id"])
+                         lambda: M.sized(cut_lineage(merged(spark, sf)), "shard_id", "id"), partition_by=["shard_id"])
 
 
 @register("upsert_embeddings", f"""
@@ -112,12 +124,21 @@ def q_incremental_anti(spark, sf):
     return J.incremental_anti(emb_table(spark, sf).select("id"), existing_rows(spark, sf), ["id"])
 
 
+def merged_keys(spark, sf):
+    """(id, shard_id) of the merged table, from the keys of both sides alone: no text or vector is read."""
+    t = table(spark, sf, "embeddings", "vec_id", "label").where(
+        (F.col("label") % 2 == 0) | (F.col("label") % 2 == 1) | (F.col("vec_id") % 3 == 0))
+    return t.select(F.col("vec_id").alias("id"), R.shard_route(F.col("vec_id")).alias("shard_id")).distinct()
+
+
 @register("shard_counts", f"""
-WITH {EMB_SQL}
-SELECT CAST(shard_id AS VARCHAR) AS shard, count(*) AS n_rows FROM merged GROUP BY shard_id
+WITH {EMB_SQL}, {_SPINE_SQL}
+SELECT CAST(c.shard_id AS VARCHAR) AS shard, count(m.id) AS n_rows
+FROM configured c LEFT JOIN merged m ON m.shard_id = c.shard_id WHERE c.role = 'secondary' GROUP BY c.shard_id
 UNION ALL SELECT 'total', count(*) FROM merged""")
 def q_shard_counts(spark, sf):
-    g = merged(spark, sf).rollup("shard_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    n = merged_keys(spark, sf).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
+    g = storing(spark).join(n, "shard_id", "left").rollup("shard_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_rows"))
     return g.select(F.coalesce(F.col("shard_id").cast("string"), F.lit("total")).alias("shard"), "n_rows")
 
 
@@ -125,7 +146,7 @@ def q_shard_counts(spark, sf):
 WITH {EMB_SQL}
 SELECT greatest(coalesce(max(id), 0), 0) AS max_id FROM merged""")
 def q_max_id(spark, sf):
-    return merged(spark, sf).agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(0)).cast("long").alias("max_id"))
+    return merged_keys(spark, sf).agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(0)).cast("long").alias("max_id"))
 
 
 @register("batch_plan", f"""
@@ -151,7 +172,6 @@ SELECT shard_id, count(*) AS n_rows FROM merged GROUP BY shard_id""")
 def q_sharded_write(spark, sf):
     import uuid
 
-    from ..session import scratch_path
     name = f"document_embeddings_{uuid.uuid4().hex[:8]}"
     loc = scratch_path(spark, name)
     M.ensure_embedding_table(spark, name, loc)
@@ -164,10 +184,13 @@ def q_sharded_write(spark, sf):
 WITH {EMB_SQL}
 SELECT id, shard_id, type FROM merged WHERE shard_id IN (1, 2)""")
 def q_shard_scan(spark, sf):
-    # partition pruning on shard_id; a global orderBy(id) is only added when
-    # a caller asks for ordered output
-    snap = sharded_snapshot(spark, sf)
-    return snap.where(F.col("shard_id").isin(*R.WRITE_SHARDS)).select("id", "shard_id", "type").orderBy("id")
+    return shard_scan(sharded_snapshot(spark, sf)).select("id", "shard_id", "type")
+
+
+def shard_scan(snap, shards=R.WRITE_SHARDS, ordered=False):
+    """Rows of the shards (partition pruning on shard_id); sorted by id, a global range shuffle, where asked for."""
+    rows = snap.where(F.col("shard_id").isin(*shards))
+    return rows.orderBy("id") if ordered else rows
 
 
 def _payload_bytes():
@@ -175,17 +198,21 @@ def _payload_bytes():
             + F.size("embedding") * 8 + 12)
 
 
-@register("shard_storage_alert", f"""
-WITH {EMB_SQL},
+_STORAGE_SQL = f"""{_SPINE_SQL},
 s AS (SELECT shard_id, CAST(sum(strlen(text) + strlen(source) + strlen(type) + len(embedding) * 8 + 12) AS BIGINT) AS size_bytes
       FROM merged GROUP BY shard_id),
-c AS (SELECT s.*, CASE {' '.join(f'WHEN shard_id = {k} THEN {v}' for k, v in SHARD_MAX_BYTES.items())}
-                   ELSE {DEFAULT_MAX_BYTES} END AS max_bytes FROM s)
+sc AS (SELECT k.shard_id, coalesce(s.size_bytes, 0) AS size_bytes, CASE k.shard_id WHEN 1 THEN 400000 ELSE 50000000 END AS max_bytes
+      FROM configured k LEFT JOIN s ON s.shard_id = k.shard_id WHERE k.role = 'secondary')"""
+
+
+@register("shard_storage_alert", f"""
+WITH {EMB_SQL}, {_STORAGE_SQL}
 SELECT shard_id, size_bytes, round(size_bytes / 1048576.0, 2) AS size_mb,
-       round(size_bytes / max_bytes * 100, 1) AS usage_pct, size_bytes / max_bytes >= {USAGE_THRESHOLD} AS alert
-FROM c""")
+       round(size_bytes / max_bytes * 100, 1) AS usage_pct, size_bytes / max_bytes >= 0.8 AS alert
+FROM sc""")
 def q_shard_storage_alert(spark, sf):
     s = merged(spark, sf).groupBy("shard_id").agg(F.sum(_payload_bytes()).alias("size_bytes"))
+    s = storing(spark).join(s, "shard_id", "left").select("shard_id", F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"))
     cap = F.element_at(F.create_map(*[x for k, v in SHARD_MAX_BYTES.items() for x in (F.lit(k), F.lit(v))]),
                        F.col("shard_id"))
     mx = F.coalesce(cap, F.lit(DEFAULT_MAX_BYTES))
@@ -201,11 +228,12 @@ cut AS (SELECT shard_id, min(ts) AS cut_ts FROM query_log
         WHERE {' OR '.join(f"contains(error, {S.lit(p)})" for p in R.CONNECTION_ERROR_PATTERNS)} GROUP BY shard_id),
 kept AS (SELECT q.* FROM query_log q LEFT JOIN cut c ON q.shard_id = c.shard_id
          WHERE c.cut_ts IS NULL OR q.ts <= c.cut_ts),
+{_SPINE_SQL},
 health AS (
-  SELECT k.shard_id, count(*) AS total_queries, round(coalesce(avg(latency_ms), 0), 6) AS avg_query_ms,
+  SELECT s.shard_id, s.role, count(k.event_id) AS total_queries, round(coalesce(avg(latency_ms), 0), 6) AS avg_query_ms,
          max(ts) AS last_query_at, nullif(arg_max(coalesce(error, ''), ts), '') AS last_error,
          max(c.cut_ts) IS NULL AS active
-  FROM kept k LEFT JOIN cut c ON k.shard_id = c.shard_id GROUP BY k.shard_id)"""
+  FROM configured s LEFT JOIN kept k ON s.shard_id = k.shard_id LEFT JOIN cut c ON k.shard_id = c.shard_id GROUP BY s.shard_id, s.role)"""
 
 
 def shard_health(spark, sf):
@@ -213,29 +241,28 @@ def shard_health(spark, sf):
     cut = log.where("conn").groupBy("shard_id").agg(F.min("ts").alias("cut_ts"))
     # one row per shard: bounded by the shard count
     j = log.join(F.broadcast(cut), "shard_id", "left").where(F.col("cut_ts").isNull() | (F.col("ts") <= F.col("cut_ts")))
-    return (j.groupBy("shard_id")
-            .agg(F.count(F.lit(1)).alias("total_queries"),
-                 F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 6).alias("avg_query_ms"),
-                 F.max("ts").alias("last_query_at"),
-                 F.max_by("error", "ts").alias("last_error"),
-                 F.max("cut_ts").isNull().alias("active")))
+    seen = j.groupBy("shard_id").agg(
+        F.count(F.lit(1)).alias("total_queries"), F.avg("latency_ms").alias("avg"), F.max("ts").alias("last_query_at"),
+        F.max_by("error", "ts").alias("last_error"), F.max("cut_ts").isNull().alias("active"))
+    # a configured shard that no query has reached is active, with zeros
+    return configured(spark).join(seen, "shard_id", "left").select(
+        "shard_id", "role", F.coalesce("total_queries", F.lit(0)).cast("long").alias("total_queries"),
+        F.round(F.coalesce("avg", F.lit(0.0)), 6).alias("avg_query_ms"), "last_query_at", "last_error",
+        F.coalesce("active", F.lit(True)).alias("active"))
 
 
 @register("shard_health", f"""
 WITH {_HEALTH_SQL}
 SELECT * FROM health""")
 def q_shard_health(spark, sf):
-    # ordered by shard id like the reference's health report (3 rows)
-    return shard_health(spark, sf).select("shard_id", "total_queries", "avg_query_ms", "last_query_at",
+    # ordered by shard id (one row a configured shard)
+    return shard_health(spark, sf).select("shard_id", "role", "total_queries", "avg_query_ms", "last_query_at",
                                           "last_error", "active").orderBy("shard_id")
 
 
 @register("overall_status", f"""
-WITH {EMB_SQL}, {_HEALTH_SQL.replace('query_log AS', 'query_log AS', 1)},
-s AS (SELECT shard_id, CAST(sum(strlen(text) + strlen(source) + strlen(type) + len(embedding) * 8 + 12) AS BIGINT) AS size_bytes
-      FROM merged GROUP BY shard_id),
-a AS (SELECT count(*) FILTER (WHERE size_bytes / CASE {' '.join(f'WHEN shard_id = {k} THEN {v}' for k, v in SHARD_MAX_BYTES.items())}
-                   ELSE {DEFAULT_MAX_BYTES} END >= {USAGE_THRESHOLD}) AS alerts FROM s),
+WITH {EMB_SQL}, {_STORAGE_SQL}, {_HEALTH_SQL.replace(_SPINE_SQL + ",", "")},
+a AS (SELECT count(*) FILTER (WHERE size_bytes / max_bytes >= 0.8) AS alerts FROM sc),
 h AS (SELECT count(*) FILTER (WHERE NOT active) AS inactive FROM health)
 SELECT CASE WHEN a.alerts > 0 OR h.inactive > 0 THEN 'failed' ELSE 'ok' END AS status, a.alerts, h.inactive
 FROM a, h""")
@@ -247,19 +274,20 @@ def q_overall_status(spark, sf):
                     "alerts", "inactive")
 
 
+_DUCK_TYPE = ("CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+              "WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(column_type) END")
+
+
 @register("table_profile", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, "
-    f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns" for t in TABLES))
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, count(*) AS n_columns, "
+    f"string_agg(column_name || ' ' || {_DUCK_TYPE}, ', ' ORDER BY column_name) AS columns FROM (DESCRIBE {t})" for t in TABLES))
 def q_table_profile(spark, sf):
-    parts = []
-    for t in TABLES:
-        df = table(spark, sf, t)
-        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(t).alias("table_name"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return PF.profile(spark, {t: f"{sf}/{t}.parquet" for t in TABLES}).select("table_name", "n_rows", "n_columns", "columns")
+
+
+@register("table_sizes")
+def q_table_sizes(spark, sf):
+    return PF.profile(spark, {t: f"{sf}/{t}.parquet" for t in TABLES}).select("table_name", "n_files", "size_bytes", "size_rank")
 
 
 @register("reshard_report", f"""
@@ -268,12 +296,20 @@ SELECT shard_id AS old_shard, {S.shard_route('id', NEW_SHARDS)} AS new_shard, co
        shard_id <> {S.shard_route('id', NEW_SHARDS)} AS moved
 FROM merged GROUP BY 1, 2""")
 def q_reshard_report(spark, sf):
-    m = merged(spark, sf).select(F.col("shard_id").alias("old_shard"),
-                                 R.shard_route(F.col("id"), NEW_SHARDS).alias("new_shard"))
+    m = merged_keys(spark, sf).select(F.col("shard_id").alias("old_shard"),
+                                      R.shard_route(F.col("id"), NEW_SHARDS).alias("new_shard"))
     return (m.groupBy("old_shard", "new_shard").agg(F.count(F.lit(1)).alias("n_rows"))
             .withColumn("moved", F.col("old_shard") != F.col("new_shard")))
 
 
+@register("reshard", f"""
+WITH {EMB_SQL}
+SELECT id, {S.shard_route('id', NEW_SHARDS)} AS shard_id, type, text, round(embedding[1], 6) AS v0, created_at FROM merged""")
+def q_reshard(spark, sf):
+    t = M.reshard(sharded_snapshot(spark, sf), NEW_SHARDS, scratch_path(spark, "resharded"))
+    return t.select("id", "shard_id", "type", "text", F.round(F.element_at("embedding", 1), 6).alias("v0"), "created_at")
+
+
 # ---------------------------------------------------------------- backup --
 
 def backup_rows(spark, sf):

@@ -35,8 +35,13 @@ def _questions_by_arrival(spark, sf):
     return q.withColumn("part", part)
 
 
+# every thirteenth question arrives blank (T4: an error event, and the others go on)
+_ASKED = QA.retrieve_sql(SJ.STREAM_K).replace("WHERE role = 'user'", "WHERE role = 'user' AND (conv_id * 1000 + turn) % 13 <> 0", 1)
+
+
 @register("stream_ask_events", f"""
-WITH {QA.retrieve_sql(SJ.STREAM_K)},
+WITH {_ASKED},
+blank AS (SELECT conv_id * 1000 + turn AS question_id FROM conversations WHERE role = 'user' AND (conv_id * 1000 + turn) % 13 = 0),
 srcs AS (SELECT question_id, count(*) AS n,
            to_json(list(struct_pack(citation := source, type := {S.classify_source('source')}, text := text,
              url := '#', arabic := '', transliteration := '', audioUrl := '#') ORDER BY rank))::VARCHAR AS sj
@@ -54,10 +59,15 @@ SELECT question_id, 2 + (length(answer) + {SJ.CHUNK_CHARS - 1}) // {SJ.CHUNK_CHA
        json_object('slug', slug, 'question', question, 'saved', true)::VARCHAR FROM ans WHERE source <> 'System'
 UNION ALL
 SELECT question_id, 1, 'done', json_object('message', {S.lit(A.NO_CONTEXT_STREAM_MESSAGE)}, 'slug', slug)::VARCHAR
-FROM ans WHERE source = 'System'""")
+FROM ans WHERE source = 'System'
+UNION ALL
+SELECT question_id, 0, 'thinking', {S.lit('{"message":"' + A.THINKING_MESSAGE + '"}')} FROM blank
+UNION ALL
+SELECT question_id, 1, 'error', '{{"message":"Failed to process question","error":"Error: question is blank"}}' FROM blank""")
 def q_stream_ask_events(spark, sf):
     run = scratch_path(spark, "stream-ask")
-    qdir = SJ.land_files(_questions_by_arrival(spark, sf), f"{run}/in", "part", PARTS)
+    q = _questions_by_arrival(spark, sf).withColumn("question", F.when(F.col("question_id") % 13 == 0, F.lit(" \t ")).otherwise(F.col("question")))
+    qdir = SJ.land_files(q, f"{run}/in", "part", PARTS)
     return SJ.stream_ask_events(spark, qdir, "question_id long, question string", X.doc_corpus(spark, sf),
                                 doc_index(spark, sf), f"{run}/out", f"{run}/ckpt")
 
@@ -140,6 +150,6 @@ def q_stream_index(spark, sf):
     ddir = SJ.land_files(docs, f"{run}/in", "part", PARTS)
     existing = QS.existing_rows(spark, sf).drop("label", "metadata")
     out = SJ.stream_index(spark, ddir, "id long, text string, source string, type string", existing,
-                          f"{run}/table", f"{run}/ckpt", QS.AS_OF, QS.PAYLOAD, R.shard_route)
+                          f"{run}/table", f"{run}/ckpt", QS.AS_OF, [c for c in QS.PAYLOAD if c != "metadata"], R.shard_route)
     return out.select("id", "shard_id", "type", F.round(F.element_at("embedding", 1), 6).alias("v0"),
                       "created_at", "updated_at")

@@ -129,6 +129,26 @@ def fs_list_dirs(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
 
 
+def fs_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(number, bytes) of the data files of a file or folder, at any depth; names that begin with _ or . are no data."""
+    fs, p = _fs(spark, path)
+    n = size = 0
+    if fs.getFileStatus(p).isFile():
+        return 1, fs.getFileStatus(p).getLen()
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        if st.getPath().getName()[0] not in "_.":
+            n, size = n + 1, size + st.getLen()
+    return n, size
+
+
+def fs_delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def input_tag(sf_dir: str) -> str:
     """Short digest of a folder of tables: its path and, for every table in it, bytes,
     number of files and time of change. Snapshots named by it are built anew when

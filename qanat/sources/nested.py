@@ -164,20 +164,20 @@ def fallback_rows(primary: DataFrame, fallback_row: dict) -> DataFrame:
     return primary.unionByName(fb)
 
 
-def edition_union(spark: SparkSession, root: str, editions=R.EDITIONS) -> DataFrame:
+def edition_union(spark: SparkSession, root: str, editions=R.EDITIONS) -> tuple[DataFrame, DataFrame]:
     """All edition files in one scan; the edition id comes from the file
     path, name from the (constant) edition list; missing editions are
-    skipped, malformed lines left out (``json_lines`` returns them)."""
+    skipped. Returns (rows, malformed lines as of ``json_lines``)."""
     dirs = set(fs_list_dirs(spark, root))
     present = [eid for eid, _ in editions if f"editionId={eid}" in dirs]
     if not present:
-        return spark.createDataFrame([], "surah long, ayah long, text string, edition string, "
-                                         "editionId string, language string")
-    rows, _ = json_lines(spark, EDITION_VERSE, [f"{root}/editionId={e}" for e in present])
+        return (spark.createDataFrame([], "surah long, ayah long, text string, edition string, editionId string, language string"),
+                spark.createDataFrame([], "file_path string, line string"))
+    rows, rejects = json_lines(spark, EDITION_VERSE, [f"{root}/editionId={e}" for e in present])
     raw = rows.withColumn("editionId", F.regexp_extract("file_path", r"editionId=([^/]+)", 1))
     names = F.create_map(*[x for eid, name in editions for x in (F.lit(eid), F.lit(name))])
     return raw.select("surah", "ayah", "text", F.element_at(names, F.col("editionId")).alias("edition"),
-                      "editionId", R.edition_language(F.col("editionId")).alias("language"))
+                      "editionId", R.edition_language(F.col("editionId")).alias("language")), rejects
 
 
 def collection_hadiths(raw: DataFrame, collection: str = "collection") -> DataFrame:
@@ -211,11 +211,10 @@ def collection_hadiths(raw: DataFrame, collection: str = "collection") -> DataFr
 
 
 def paged_ingest(pages: DataFrame) -> DataFrame:
-    """S3: pages are kept in order up to (excluding) the first failed page;
-    fields renamed with the falsy-default rule."""
-    failed = pages.where(F.col("status") != "ok").agg(F.min("page").alias("m")).first()["m"]
-    ok = pages if failed is None else pages.where(F.col("page") < F.lit(failed))
-    h = ok.select("page", F.posexplode("hadiths.data").alias("pos", "h"))
+    """S3: pages are kept in order up to (excluding) the first failed page (a scalar
+    subquery of the plan); fields renamed with the falsy-default rule."""
+    failed = pages.where(F.col("status") != "ok").agg(F.min("page")).scalar()
+    h = pages.where(F.col("page") < F.coalesce(failed.cast("long"), F.lit((1 << 63) - 1))).select("page", F.posexplode("hadiths.data").alias("pos", "h"))
     num = F.col("h.hadithNumber")
     book = F.col("h.book.bookName")
     num_s = X.falsy_default(F.when(num != 0, num.cast("string")), "")
@@ -229,11 +228,11 @@ def paged_ingest(pages: DataFrame) -> DataFrame:
 
 
 def grid_ingest(spark: SparkSession, root: str, surahs: DataFrame, editions=R.SUPPORTED_TAFSIRS
-                ) -> tuple[DataFrame, DataFrame]:
+                ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One scan over the (edition, surah) grid of files; the cell comes
-    from the path. Returns (documents, missing cells); the expected grid is
+    from the path. Returns (documents, missing cells, malformed lines); the expected grid is
     surahs x editions, the missing report is a left-anti join."""
-    rows, _ = json_lines(spark, TAFSIR_AYAH, root)
+    rows, rejects = json_lines(spark, TAFSIR_AYAH, root)
     raw = (rows.withColumn("tafsirType", F.regexp_extract("file_path", r"edition=([^/]+)", 1))
            .withColumn("cell_surah", F.regexp_extract("file_path", r"surah_part=(\d+)", 1)
                        .cast("long")))
@@ -246,7 +245,7 @@ def grid_ingest(spark: SparkSession, root: str, surahs: DataFrame, editions=R.SU
     expected = surahs.select(F.col("surah").cast("long").alias("surah"), F.explode(ed).alias("tafsirType"))
     present = raw.select(F.col("cell_surah").alias("surah"), "tafsirType").distinct()
     missing = expected.join(present, ["surah", "tafsirType"], "left_anti")
-    return docs, missing
+    return docs, missing, rejects
 
 
 def chunk_text(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:

@@ -22,7 +22,7 @@ from ..functions import text as T
 from ..operators import answers as A
 from ..operators import embedding as E
 from ..operators import topk as K
-from ..session import fs_exists, shared_root
+from ..session import fs_delete, fs_exists, fs_list_dirs, shared_root
 
 STREAM_K = 10
 CHUNK_CHARS = 500
@@ -31,40 +31,86 @@ CHUNK_CHARS = 500
 # ------------------------------------------------------- merge-on-read --
 
 class LogTable:
-    """A keyed table kept as a base snapshot plus one delta directory per
-    micro-batch (``batch=<id>``); readers fold base and deltas by key.
+    """A keyed table kept as a base and one delta folder per micro-batch; readers fold both by key.
 
-    A micro-batch writes only its own rows (cost O(batch), not O(table)),
-    a re-run of the same batch id overwrites its own directory (idempotent),
-    and compaction is writing a fold as the base of a new root."""
+    A micro-batch writes only its own rows (cost O(batch), not O(table)) into ``batch=<id + 1>``,
+    and a re-run of it overwrites that folder. With ``compact_every``, a batch that finds
+    more than so many deltas first folds those of the batches before it, all of them
+    committed, into a new base ``base=<last delta in it>``. A reader takes the newest base
+    that is complete and the deltas after it. What the new base replaces stays for the
+    readers that are at it, until the next compaction: there are never more than two
+    bases and 2 * (compact_every + 1) deltas.
 
-    def __init__(self, spark: SparkSession, root: str):
+    The latest version of a key is the one of the greatest (batch, *order), or of the
+    greatest ``order`` alone where ``by_batch`` is off; ``first_cols`` come from the earliest."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str] = (), order: list[str] = (), first_cols: list[str] = (),
+                 by_batch: bool = True, compact_every: int | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.keys, self.order, self.first_cols, self.by_batch, self.compact_every = list(keys), list(order), list(first_cols), by_batch, compact_every
+
+    def _folders(self, kind: str) -> list[int]:
+        return sorted(int(d.split("=")[1]) for d in fs_list_dirs(self.spark, self.root) if d.startswith(f"{kind}="))
+
+    def _bases(self) -> list[int]:
+        return [b for b in self._folders("base") if fs_exists(self.spark, f"{self.root}/base={b}/_SUCCESS")]
 
     def write_base(self, df: DataFrame) -> None:
-        if not fs_exists(self.spark, f"{self.root}/batch=0/_SUCCESS"):
-            df.write.mode("overwrite").parquet(f"{self.root}/batch=0")
+        if not self._bases():
+            df.write.mode("overwrite").parquet(f"{self.root}/base=0")
 
     def append(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id + 1}")
 
+    def begin(self, batch_id: int) -> None:
+        """What a micro-batch calls first: the batches before it are committed, so their deltas may be folded."""
+        if self.compact_every is not None:
+            since = max([0, *self._bases()])
+            if sum(since < b <= batch_id for b in self._folders("batch")) > self.compact_every:
+                self.compact(batch_id)
+
+    def compact(self, upto: int) -> None:
+        """Fold the base and the deltas up to ``batch=<upto>`` into ``base=<upto>``; drop what the base before that replaced."""
+        bases = self._bases()
+        if bases and bases[-1] >= upto:
+            return
+        self._fold(self._versions(upto)).write.mode("overwrite").parquet(f"{self.root}/base={upto}")
+        for b in bases[:-1]:
+            fs_delete(self.spark, f"{self.root}/base={b}")
+        for b in self._folders("batch"):
+            if bases and b <= bases[-1]:
+                fs_delete(self.spark, f"{self.root}/batch={b}")
+
+    def _versions(self, upto: int | None = None) -> DataFrame:
+        base = max((b for b in self._bases() if upto is None or b <= upto), default=None)
+        deltas = [b for b in self._folders("batch") if b > (base or 0) and (upto is None or b <= upto)]
+        parts = []
+        if base is not None:
+            parts.append(self.spark.read.parquet(f"{self.root}/base={base}").withColumn("batch", F.lit(0)))
+        if deltas or not parts:
+            read = self.spark.read.option("basePath", self.root)
+            parts.append(read.parquet(*[f"{self.root}/batch={b}" for b in deltas] or [self.root]))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
     def scan(self) -> DataFrame:
-        """All versions, with the ``batch`` partition column (0 = base)."""
-        return self.spark.read.parquet(self.root)
+        """All versions that are not folded yet, with the ``batch`` column (0 = base)."""
+        return self._versions()
 
     def before(self, batch_id: int) -> DataFrame:
         """What was stored ahead of a micro-batch: the base and earlier deltas, never
-        the batch's own directory, so a replayed batch sees what it saw at first."""
-        return self.scan().where(F.col("batch") < batch_id + 1)
+        the batch's own folder, so a replayed batch sees what it saw at first."""
+        return self._versions(batch_id)
+
+    def fold(self) -> DataFrame:
+        """The current row of every key."""
+        return self._fold(self.scan())
 
-    def fold(self, keys: list[str], order: list[str], first_cols: list[str] = ()) -> DataFrame:
-        """Latest version per key by (batch, *order); ``first_cols`` are taken
-        from the earliest version (e.g. created_at)."""
-        v = self.scan()
-        rest = [c for c in v.columns if c not in keys and c != "batch" and c not in first_cols]
-        aggs = [F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("__w")]
-        aggs += [F.min_by(c, F.struct("batch", *order)).alias(c) for c in first_cols]
-        return v.groupBy(*keys).agg(*aggs).select(*keys, "__w.*", *first_cols)
+    def _fold(self, v: DataFrame) -> DataFrame:
+        rest = [c for c in v.columns if c not in self.keys and c != "batch" and c not in self.first_cols]
+        place = F.struct(*(["batch"] if self.by_batch else []), *self.order)
+        aggs = [F.max_by(F.struct(*rest), place).alias("__w")]
+        aggs += [F.min_by(c, place).alias(c) for c in self.first_cols]
+        return v.groupBy(*self.keys).agg(*aggs).select(*self.keys, "__w.*", *self.first_cols)
 
 
 def _files(spark: SparkSession, path: str, schema: str, per_trigger: int | None):
@@ -277,75 +323,79 @@ def stream_assemble(spark: SparkSession, events_dir: str, sink_dir: str, checkpo
 def stream_upsert_answers(spark: SparkSession, questions_dir: str, questions_schema: str,
                           corpus: DataFrame, doc_vectors: DataFrame | K.VectorIndex, existing: DataFrame,
                           table_root: str, checkpoint: str, as_of, k: int = 3,
-                          files_per_trigger: int | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER) -> DataFrame:
+                          files_per_trigger: int | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER,
+                          compact_every: int | None = None) -> DataFrame:
     """Each micro-batch answers its questions and appends them as a delta;
     the answers table is the fold: last (batch, question id) per slug wins,
     timestamps come from the first version (never touched by updates)."""
-    table = LogTable(spark, table_root)
+    table = LogTable(spark, table_root, ["slug"], ["seq"], ["created_at", "updated_at"], compact_every=compact_every)
     table.write_base(existing.withColumn("seq", F.lit(-1).cast("long")))
     src = _files(spark, questions_dir, questions_schema, files_per_trigger)
     ts = F.lit(as_of).cast("timestamp_ntz")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        table.begin(batch_id)
         asked = A.batch_ask(batch, corpus, k=k, doc_vectors=doc_vectors, embedder=embedder)
         table.append(asked.select("slug", "question", "answer", "answer_snippet", "source", "category",
                                   F.to_json("sources").alias("sources_json"), ts.alias("created_at"),
                                   ts.alias("updated_at"), F.col("question_id").alias("seq")), batch_id)
 
     _run_available_now(src, sink, checkpoint)
-    return table.fold(["slug"], ["seq"], first_cols=["created_at", "updated_at"]).drop("seq")
+    return table.fold().drop("seq")
 
 
 # -------------------------------------------- T5: favorites from events --
 
 def stream_favorites(spark: SparkSession, events_dir: str, events_schema: str, table_root: str,
-                     checkpoint: str, files_per_trigger: int | None = None) -> DataFrame:
+                     checkpoint: str, files_per_trigger: int | None = None, compact_every: int | None = None) -> DataFrame:
     """Add/remove events: each micro-batch appends its latest event per key;
     the current favorites are the fold by (ts, event_id) over all deltas, so
     late and out-of-order events land correctly and removals are kept as
     tombstones until folded."""
-    table = LogTable(spark, table_root)
+    table = LogTable(spark, table_root, ["user_id", "answer_slug"], ["ts", "event_id"], by_batch=False, compact_every=compact_every)
     src = _files(spark, events_dir, events_schema, files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        table.begin(batch_id)
         last = batch.groupBy("user_id", "answer_slug").agg(
             F.max_by(F.struct("action", "ts", "event_id"), F.struct("ts", "event_id")).alias("l"))
         table.append(last.select("user_id", "answer_slug", "l.action", "l.ts", "l.event_id"), batch_id)
 
     _run_available_now(src, sink, checkpoint)
-    v = table.scan()
-    cur = v.groupBy("user_id", "answer_slug").agg(
-        F.max_by(F.struct("action", "ts"), F.struct("ts", "event_id")).alias("l"))
-    return cur.where(F.col("l.action") == "add").select("user_id", "answer_slug", F.col("l.ts").alias("created_at"))
+    cur = table.fold()
+    return cur.where(F.col("action") == "add").select("user_id", "answer_slug", F.col("ts").alias("created_at"))
 
 
 # ------------------------------------------------ T6: incremental index --
 
 def stream_index(spark: SparkSession, docs_dir: str, docs_schema: str, existing: DataFrame,
                  table_root: str, checkpoint: str, as_of, payload: list[str], route,
-                 files_per_trigger: int | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER) -> DataFrame:
-    """New document files -> skip ids already stored (reads the id column of
-    base + deltas only) -> embed -> normalise -> route -> append as a delta;
-    the table is the fold of base and deltas by id."""
+                 files_per_trigger: int | None = None, embedder: E.Embedder = A.DEFAULT_EMBEDDER,
+                 compact_every: int | None = None) -> DataFrame:
+    """New document files -> skip documents whose id is stored with the same text (ids and
+    digests of the texts are read, no text and no vector) -> embed -> normalise -> route ->
+    append as a delta; the table is the fold of base and deltas by id."""
     from ..functions import vectors as V
+    from ..operators import corpus as CO
     from ..operators import joins as J
 
-    table = LogTable(spark, table_root)
-    table.write_base(existing.select("id", *payload, "created_at", "updated_at"))
+    table = LogTable(spark, table_root, ["id"], ["text_sha"], ["created_at"], compact_every=compact_every)
+    table.write_base(CO.content_key(existing.select("id", *payload, "created_at", "updated_at")))
     src = _files(spark, docs_dir, docs_schema, files_per_trigger)
     ts = F.lit(as_of).cast("timestamp_ntz")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        known = table.before(batch_id).select("id")
-        todo = J.incremental_anti(batch, known, ["id"])
-        emb = E.embed(todo, "id", "text", embedder, keep=["text", "type", "source"])
+        table.begin(batch_id)
+        known = table.before(batch_id).groupBy("id").agg(F.max_by("text_sha", F.struct("batch", "text_sha")).alias("text_sha"))
+        todo = J.incremental_anti(CO.content_key(batch), known, ["id", "text_sha"])
+        emb = E.embed(todo, "id", "text", embedder, keep=["text", "type", "source", "text_sha"])
         rows = emb.select("id", route(F.col("id")).alias("shard_id"), "type", "source", "text",
                           V.l2_normalize(F.col("embedding")).alias("embedding"),
-                          ts.alias("created_at"), ts.alias("updated_at"))
+                          ts.alias("created_at"), ts.alias("updated_at"), "text_sha")
         table.append(rows, batch_id)
 
     _run_available_now(src, sink, checkpoint)
-    return table.fold(["id"], [], first_cols=["created_at"])
+    return table.fold().drop("text_sha")
 
 
 def land_files(df: DataFrame, root: str, part_col: str, parts: int) -> str:

@@ -145,3 +145,55 @@ def test_null_blank_and_empty_answers_have_events(spark):
     assert got[1] == got[2] == ["thinking", "error"]
     assert got[3] == ["thinking", "sources", "done"]
     assert "answer-chunk" in got[4]
+
+
+def _dirs(spark, root):
+    from qanat.session import fs_list_dirs
+    return sorted(fs_list_dirs(spark, root))
+
+
+def test_compaction_keeps_the_fold_and_bounds_the_folders(spark):
+    """Favorites, one file a batch, late and removing events among them: the same fold with and without
+    compaction, and however many batches, a bounded number of folders."""
+    run = scratch_path(spark, "t-compact")
+    ev = X.favorite_events(spark, SF_SMALL).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(9)).cast("int"))
+    for p in range(9):
+        ev.where(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(f"{run}/in")
+    rows = lambda df: sorted(tuple(r) for r in df.select("user_id", "answer_slug", "created_at").collect())
+    plain = SJ.stream_favorites(spark, f"{run}/in", SCHEMA, f"{run}/plain", f"{run}/ck1", files_per_trigger=1)
+    kept = SJ.stream_favorites(spark, f"{run}/in", SCHEMA, f"{run}/kept", f"{run}/ck2", files_per_trigger=1, compact_every=2)
+    batch = M.fold_add_remove(X.favorite_events(spark, SF_SMALL), ["user_id", "answer_slug"], "ts", "event_id", "action")
+    assert rows(plain) == rows(kept) == rows(batch)
+    assert len(_dirs(spark, f"{run}/plain")) == 9
+    names = _dirs(spark, f"{run}/kept")
+    assert sum(n.startswith("base") for n in names) == 2 and sum(n.startswith("batch") for n in names) <= 6
+
+
+def test_readers_keep_the_old_base_until_the_next_compaction(spark):
+    t = SJ.LogTable(spark, scratch_path(spark, "t-compact-readers"), ["id"], ["n"], ["born"])
+    row = lambda i, n: spark.createDataFrame([(i, n, n)], "id long, n long, born long")
+    t.write_base(row(1, 0))
+    for b in range(3):
+        t.append(row(1, b + 1), b)
+    reader, want = t.fold(), [(1, 3, 0)]
+    t.compact(2)  # the batch with id 2 is not committed yet: its delta is batch=3
+    assert _dirs(spark, t.root) == ["base=0", "base=2", "batch=1", "batch=2", "batch=3"]
+    assert [tuple(r) for r in reader.collect()] == [tuple(r) for r in t.fold().collect()] == want
+    assert [r["n"] for r in t.before(2).collect()] == [2]  # a replay of it sees what it saw
+    t.append(row(1, 9), 3)
+    t.compact(4)
+    assert _dirs(spark, t.root) == ["base=2", "base=4", "batch=3", "batch=4"]
+    assert [tuple(r) for r in t.fold().collect()] == [(1, 9, 0)]
+
+
+def test_index_stream_embeds_changed_texts_again(spark):
+    from qanat.functions import routing as R
+    run = scratch_path(spark, "t-stream-changed")
+    schema, payload = "id long, text string, source string, type string", ["shard_id", "type", "source", "text", "embedding"]
+    none = spark.createDataFrame([], "id long, shard_id int, type string, source string, text string, embedding array<double>, "
+                                     "created_at timestamp_ntz, updated_at timestamp_ntz")
+    for as_of, text in (("2024-01-01", "one"), ("2024-01-02", "two"), ("2024-01-03", "two"), ("2024-01-04", "one")):
+        spark.createDataFrame([(1, text, "s", "t")], schema).coalesce(1).write.mode("append").parquet(f"{run}/in")
+        out = SJ.stream_index(spark, f"{run}/in", schema, none, f"{run}/t", f"{run}/ck", as_of, payload, R.shard_route, compact_every=1).collect()
+        seen = [(r["text"], r["created_at"].day, r["updated_at"].day) for r in out]
+        assert seen == [(text, 1, {"2024-01-03": 2}.get(as_of, int(as_of[-1])))]
