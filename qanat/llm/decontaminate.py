@@ -2,15 +2,20 @@
 
 1. Windows: every run of ``width`` words of an item (a shorter item is one
    window); equal windows are one, with all its items.
-2. Corpus frequencies of the benchmark's terms choose, per window, its two
-   rarest distinct terms with their offsets.
+2. Corpus frequencies of the benchmark's terms choose, per window, the three
+   rarest distinct terms among those that occur at all, with their offsets.
 3. The index stores the postings (document, position) of those terms, and one
-   row per document with its word count.
-4. Offset-adjusted lists intersect: a posting of the rarest term at p with
-   offset o means a start p - o; it must meet a posting of the second term with
-   the same start. Starts within ``slop`` of each other are proximity matches.
-5. Exact phrases: the documents of the surviving candidates are read again and
-   the words at the start are compared with the window's.
+   row per document with its word count. It serves the benchmark it was made for.
+4. Exact phrases: a posting of the rarest term at p with offset o means a start
+   p - o; it must meet a posting of the second term with the same start. Windows
+   with a word that occurs nowhere cannot occur and have no such lists. The
+   documents of the candidates are read again and the words at the start are
+   compared with the window's.
+5. Proximity: two of a window's three terms whose starts are within ``slop`` of each
+   other. A passage with one word replaced, however rare that word is and whether it
+   stands elsewhere or nowhere, keeps two of the three. Starts are gathered by cells of
+   ``slop`` + 1 words: two terms in one cell are near, and of neighbouring cells the last
+   start of one term and the first of another are compared.
 
 All steps are joins and aggregations. Broadcast tables hold 64-bit hashes of at
 most BLOCK terms; a larger benchmark is worked off in blocks of that size.
@@ -66,17 +71,18 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return out
 
 
-def rarest_terms(windows: DataFrame, docs: DataFrame, keep: int = 2) -> DataFrame:
-    """(window_id, n, rank, h, off): the ``keep`` rarest distinct terms of every window that can occur."""
+def rarest_terms(windows: DataFrame, docs: DataFrame, keep: int = 3) -> DataFrame:
+    """(window_id, n, rank, h, off, whole, alone): the ``keep`` rarest distinct terms of every window
+    among those that occur; ``whole``: all its words do; ``alone``: it has a single distinct word."""
     terms = (windows.select("window_id", "n", F.posexplode(F.split("phrase", " ")).alias("off", "word"))
              .groupBy("window_id", "n", F.xxhash64("word").alias("h")).agg(F.min("off").alias("off")))
     terms = written(terms, "decon-terms")
     freq = written(frequencies(docs, terms.select("h").distinct()), "decon-frequencies")
-    known = terms.join(freq, "h", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    known = terms.join(freq, "h", "left")
     per = Window.partitionBy("window_id")
-    ranked = known.withColumn("least", F.min("freq").over(per)).where("least > 0").withColumn(
-        "rank", F.row_number().over(per.orderBy("freq", "off")))
-    return written(ranked.where(F.col("rank") <= keep).select("window_id", "n", "rank", "h", "off"), "decon-rarest")
+    ranked = (known.withColumn("whole", F.count("freq").over(per) == F.count("h").over(per)).withColumn("alone", F.count("h").over(per) == 1)
+              .where(F.col("freq").isNotNull()).withColumn("rank", F.row_number().over(per.orderBy("freq", "off"))))
+    return written(ranked.where(F.col("rank") <= keep).select("window_id", "n", "rank", "h", "off", "whole", "alone"), "decon-rarest")
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -98,36 +104,58 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return written(out, "decon-index")
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 4, item_col: str = "item_id",
-            text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: documents (k1, k2, doc_id, n_words), exact matches (k1, k2,
-    start, n, item_id), proximity matches (k1, k2, item_id: the two rarest terms of
-    a window stand within ``slop`` words of their distance there)."""
-    windows, owners = windows_of(items, width, item_col, text_col)
-    rare = rarest_terms(windows, docs)
-    postings = index(docs, rare)
-    base = postings.where("h is null").select(*KEY, "doc_id", "n_words")
-    lists = postings.where("h is not null").select(*KEY, "h", "pos").distinct().join(rare, "h").select(
-        *KEY, "window_id", "n", "rank", (F.col("pos") - F.col("off")).alias("start"))
-    second = rare.where("rank = 2").select("window_id").distinct()
-    a = lists.where("rank = 1")
-    alone = a.join(second, "window_id", "left_anti")
-    a = a.join(second, "window_id", "left_semi").withColumn(
-        "cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / (slop + 1)) + d)))
-    b = lists.where("rank = 2").select(*KEY, "window_id", F.col("start").alias("other"))
-    b = b.withColumn("cell", F.floor(F.col("other") / (slop + 1)))
-    near = a.join(b, [*KEY, "window_id", "cell"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
+def exact_matches(docs: DataFrame, windows: DataFrame, lists: DataFrame) -> DataFrame:
+    """(k1, k2, window_id, n, start) of every occurrence of a window."""
     columns = [*KEY, "window_id", "n", "start"]
-    near = written(near.select(*columns, (F.col("start") == F.col("other")).alias("exact"))
-                   .unionAll(alone.select(*columns, F.lit(True).alias("exact"))), "decon-near")
-    found = near.where("exact and start >= 0").select(*columns).distinct()
+    first = lists.where("whole and rank = 1 and start >= 0").select(*columns, "alone")
+    second = lists.where("whole and rank = 2 and start >= 0").select(*KEY, "window_id", "start")
+    found = written(first.where("not alone").drop("alone").join(second, [*KEY, "window_id", "start"]).select(*columns)
+                    .unionAll(first.where("alone").select(*columns)).distinct(), "decon-found")
     suspects = keyed(docs).join(found.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
     suspects = suspects.select(*KEY, words_of(F.col("text")).alias("words"))
     phrase = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")
-    exact = suspects.join(found, KEY).select(*columns, phrase.alias("phrase")).join(windows, ["window_id", "n", "phrase"]).select(*columns)
-    exact = written(exact, "decon-exact")
+    got = suspects.join(found, KEY).select(*columns, phrase.alias("phrase")).join(windows, ["window_id", "n", "phrase"]).select(*columns)
+    return written(got, "decon-exact")
+
+
+def near_matches(lists: DataFrame, slop: int) -> DataFrame:
+    """(k1, k2, window_id) where two of the window's terms have starts within ``slop`` of each other."""
+    ranks = (1, 2, 3)
+    cell = F.floor(F.col("start") / (slop + 1))
+    at = lambda r: F.when(F.col("rank") == r, F.col("start"))
+    cells = lists.where("not alone").groupBy(*KEY, "window_id", cell.alias("cell")).agg(
+        *[f(at(r)).alias(f"{name}{r}") for r in ranks for name, f in (("lo", F.min), ("hi", F.max))])
+    line = Window.partitionBy(*KEY, "window_id").orderBy("cell")
+    cells = cells.withColumn("last", F.lag(F.struct("cell", *[f"hi{r}" for r in ranks])).over(line))
+    together = sum((F.col(f"lo{r}").isNotNull().cast("int") for r in ranks), F.lit(0)) >= 2
+    across = F.lit(False)
+    for a in ranks:
+        for b in ranks:
+            if a != b:
+                across = across | F.coalesce(F.col(f"lo{b}") - F.col(f"last.hi{a}") <= slop, F.lit(False))
+    follows = F.coalesce(F.col("last.cell") == F.col("cell") - 1, F.lit(False))
+    return cells.where(together | (follows & across)).select(*KEY, "window_id").distinct()
+
+
+def posting_lists(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents (k1, k2, doc_id, n_words), offset-adjusted lists (k1, k2, window_id, n, rank, whole, alone, start))."""
+    rare = rarest_terms(windows, docs)
+    postings = index(docs, rare)
+    lists = postings.where("h is not null").select(*KEY, "h", "pos").distinct().join(rare, "h").select(
+        *KEY, "window_id", "n", "rank", "whole", "alone", (F.col("pos") - F.col("off")).alias("start"))
+    return postings.where("h is null").select(*KEY, "doc_id", "n_words"), lists
+
+
+def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 4, item_col: str = "item_id",
+            text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: documents (k1, k2, doc_id, n_words), exact matches (k1, k2,
+    start, n, item_id), proximity matches (k1, k2, item_id), which include the exact ones."""
+    windows, owners = windows_of(items, width, item_col, text_col)
+    base, lists = posting_lists(docs, windows)
+    exact = exact_matches(docs, windows, lists)
+    near = near_matches(lists, slop).unionAll(exact.select(*KEY, "window_id")).distinct()
     return (base, exact.join(owners, "window_id").select(*KEY, "start", "n", "item_id"),
-            near.select(*KEY, "window_id").distinct().join(owners, "window_id").select(*KEY, "item_id").distinct())
+            near.join(owners, "window_id").select(*KEY, "item_id").distinct())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 4, id_col: str = "doc_id",
@@ -135,7 +163,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) per row of ``docs``.
 
     ``n_hit``: words inside any occurrence of a window; ``n_items``: items with
-    such windows; ``n_near``: items with a proximity match, exact ones included.
+    such windows; ``n_near``: items with a window of which two of the three rarest
+    terms that occur stand within ``slop`` words of their distance there, or that occurs.
     Null or empty texts have no words; an item without words has no window.
     Repeated rows stay repeated, repeated items count once by their id.
     """
@@ -151,10 +180,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
                       F.col("n_hit").isNotNull().alias("contaminated"), zero("n_near"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10, item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` without any exact match, with all their columns."""
     inner = id_text(docs, id_col, text_col)
-    _, exact, _ = matches(inner, items)
-    hit = exact.select(*KEY).distinct()
+    windows, _ = windows_of(items, width, item_col, "text")
+    hit = exact_matches(inner, windows, posting_lists(inner, windows)[1]).select(*KEY).distinct()
     a, b = row_key(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
     return docs.join(hit, (a == hit.k1) & (b == hit.k2), "left_anti")
