@@ -13,6 +13,8 @@ Conventions kept by every operator here
 from __future__ import annotations
 
 import os
+import re
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -69,13 +71,39 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: written intermediate tables older than this are deleted by the next session that writes one
+RETENTION_HOURS = 72
+_NAME = re.compile(r"llm-[a-z0-9-]+-[0-9a-f]{12}")
+
+
+def sweep(spark: SparkSession, root: str, hours: float = RETENTION_HOURS) -> list[str]:
+    """Delete the intermediate tables of this subpackage under ``root`` that were last changed more than
+    ``hours`` ago, and return their names. A job that reads a table for longer than that must be given a longer
+    time. Nothing else in the folder is touched."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    gone = []
+    for st in fs.listStatus(hadoop):
+        name = st.getPath().getName()
+        if st.isDirectory() and _NAME.fullmatch(name) and time.time() - st.getModificationTime() / 1000 > hours * 3600:
+            fs.delete(st.getPath(), True)
+            gone.append(name)
+    return gone
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; without that
-    setting (tests) the folder must have been set by ``setCheckpointDir``."""
+    setting (tests) the folder must have been set by ``setCheckpointDir``. The first
+    call of a session sweeps what earlier ones have left there."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not getattr(sc, "_llm_swept", False):
+        sc._llm_swept = True
+        sweep(spark, root)
     return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -4,16 +4,20 @@
 2. High-recall generators propose further, overlapping spans (spelled-out mail
    addresses, cards glued to other numbers, telephone numbers without a plus
    sign in the usual groupings, IPv6 addresses, also compressed) with format and context features.
-3. Weak labels come from all rows: a candidate that overlaps a base span of its
-   kind is personal data; one that fails its kind's check, or is glued to
+3. Labels come from two sides. Weak ones from all rows: a candidate that overlaps a base
+   span of its kind is personal data; one that fails its kind's check, or is glued to
    letters, is not; of the rest, mail addresses, IP addresses and phone numbers
    without a cue nearby are not either (no check digit vouches for them). Base
    spans stand a second time as if written in a form that only the generators
-   propose. All are aggregated to distinct feature rows (at most the product of
-   the features' values) and boosted trees are fitted to their weighted counts.
-4. On held-out documents each kind gets the lowest threshold that keeps the
-   wanted precision among the candidates that can be added: rewritten base spans
-   against look-alikes; the trees compile to one SQL expression, and candidates
+   propose. Known ones from a seeded set of planted texts (``planted``): every kind in
+   forms that the base patterns cannot see, with and without a cue, among look-alikes.
+   All are aggregated to distinct feature rows (at most the product of the features'
+   values) and boosted trees are fitted to their weighted counts.
+4. On held-out documents and planted texts each kind gets the lowest threshold that
+   keeps the wanted precision among the candidates that can be added, that is, that
+   touch no base span. The planted ones stand for a prior: on a small table they
+   decide, with a table's own candidates growing they are outweighed, and nothing
+   switches at any size. The trees compile to one SQL expression, and candidates
    above their kind's threshold that overlap no base span are added.
 
 Both passes over the texts are row-local; only feature counts are shuffled.
@@ -21,6 +25,7 @@ Both passes over the texts are row-local; only feature counts are shuffled.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -43,8 +48,9 @@ BASE = {
 #: a text without these cannot hold the kind
 GATE = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
 CANDIDATES = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:@|[\[(]at[\])]|\x20at\x20)\x20?[a-z0-9-]{1,63}+"
-             r"(?:\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)\x20?[a-z0-9-]{1,63}+){1,4}+",
+    # a domain name has at most 127 labels
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?(?:@|[\[(]at[\])]|\x20at\x20)\x20?[a-z0-9-]++"
+             r"(?:\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)\x20?[a-z0-9-]++){1,126}+",
     "ip": r"(?<![0-9A-Za-z:.])(?:(?:(?:[0-9A-Fa-f]{1,4}:){1,7}|:):[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|"
           r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4})|[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20./-][0-9]{4}){3}|[0-9]{4}[\x20./-][0-9]{6}[\x20./-][0-9]{5})(?![0-9])",
@@ -52,12 +58,14 @@ CANDIDATES = {
              r"0[1-9](?:[\x20./-][0-9]{2}){4}|\(?0[0-9]{2,4}\)?[\x20./-][0-9]{5,8})(?![0-9])",
 }
 #: a text without these has no candidate of the kind; each is a part of every match, or wider
-CANDIDATE_GATE = {"email": r"@|(?i)[(\[]at[)\]]|(?i)\x20at\x20\x20?[a-z0-9-]{1,63}+\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|::[0-9A-Fa-f]|[0-9A-Fa-f]::", "card": "[0-9]{4}", "phone": "[0-9]\\)?[\x20./-][0-9]{2}"}
+CANDIDATE_GATE = {"email": r"@|(?i)[(\[]at[)\]]|(?i)\x20at\x20\x20?[a-z0-9-]++\x20?(?:\.|[\[(]dot[\])]|\x20dot\x20)", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|::[0-9A-Fa-f]|[0-9A-Fa-f]::", "card": "[0-9]{4}", "phone": "[0-9]\\)?[\x20./-][0-9]{2}"}
 CUES = {"email": "mail|contact|write|@", "ip": r"\bip\b|host|address|server|login", "card": "card|visa|master|credit|payment|pay", "phone": "tel|phone|call|mobile|fax|contact|whatsapp"}
 #: characters of context a feature may look at on either side
 CONTEXT = 32
 #: the features and how many values each can take (their product bounds the table that trees are fitted to)
-FEATURES = {"kind_no": 4, "valid": 2, "glued": 2, "quoted": 2, "cue": 2, "separators": 4, "digits": 5, "varied": 2, "overlaps": 2}
+FEATURES = {"kind_no": 4, "valid": 2, "glued": 2, "quoted": 2, "cue": 2, "separators": 4, "digits": 5, "varied": 2, "form": 3, "overlaps": 2}
+#: texts of each kind in the planted set, and the share of all training weight that they have at least
+PLANTED, PLANTED_SHARE = 600, 0.1
 #: eight groups, or fewer around one '::'
 IPV6 = r"^(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=.*::)(?!.*::.*::)(?!(?:[0-9A-Fa-f]*:){9})[0-9A-Fa-f:]+)$"
 SPAN = "array<struct<kind_no:int,start:bigint,end:bigint>>"
@@ -82,6 +90,18 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _form(kind: str, m: Column) -> Column:
+    """How a candidate is written: mail with a sign, brackets or words; IP of either version, compressed; cards
+    in one piece, by blanks or otherwise; phones with a plus sign, a trunk zero or neither."""
+    if kind == "email":
+        return F.when(m.contains("@"), 0).when(m.rlike(r"(?i)[\[(]at[\])]"), 1).otherwise(2)
+    if kind == "ip":
+        return F.when(~m.contains(":"), 0).when(m.contains("::"), 2).otherwise(1)
+    if kind == "card":
+        return F.when(~m.rlike("[^0-9]"), 0).when(~m.rlike(r"[^0-9\x20-]"), 1).otherwise(2)
+    return F.when(m.startswith("+"), 0).when(m.rlike(r"^\(?0"), 1).otherwise(2)
+
+
 def _matches(text: Column, pattern: str, gate: str, row) -> Column:
     """``row(match, start, end, left, right)`` of every match, in order; positions are
     code points. The text between two matches is the context on their sides."""
@@ -132,7 +152,7 @@ def candidates(text: Column, base: Column) -> Column:
                 (near.rlike(r"[\"'=/]\x20?$") | after.rlike(r"^[\"'=/]")).cast("int").alias("quoted"),
                 F.lower(near).rlike(CUES[kind]).cast("int").alias("cue"), F.least(seps, F.lit(3)).alias("separators"),
                 (F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).otherwise(4)).alias("digits"),
-                (F.size(F.array_distinct(F.regexp_extract_all(digits, F.lit("[0-9]"), 0))) > 3).cast("int").alias("varied"))
+                (F.size(F.array_distinct(F.regexp_extract_all(digits, F.lit("[0-9]"), 0))) > 3).cast("int").alias("varied"), _form(kind, m).alias("form"))
         out.append(F.coalesce(_matches(text, CANDIDATES[kind], CANDIDATE_GATE[kind], row), F.array()))
     both = let(F.concat(*out), lambda c: F.transform(c, lambda x: F.struct(
         x.getField("kind_no").alias("kind_no"), x["start"].alias("start"), x["end"].alias("end"),
@@ -155,6 +175,7 @@ class Model:
     trees: list = field(default_factory=list)
     thresholds: dict[int, float] = field(default_factory=dict)
     measured: dict[int, tuple[int, int]] = field(default_factory=dict)  # held-out rows over the threshold: right ones, all
+    planted: dict[int, tuple[int, int, int]] = field(default_factory=dict)  # held-out planted spans: right ones added, all added, all there are
 
     def score(self, x: Column | None = None) -> Column:
         """Probability as one expression over a struct's fields (or plain columns)."""
@@ -173,16 +194,25 @@ class Model:
         return 1 / (1 + F.exp(-2 * margin))
 
     def additions(self, cands: Column, base: Column) -> Column:
-        """Candidates over their kind's threshold that touch no base span; of those that
-        touch each other the first by start, then the longest."""
+        """Candidates over their kind's threshold that touch no base span. In order of their starts,
+        one that touches the one kept before it replaces it where its score is greater, or
+        equal and it is longer."""
         if not self.thresholds:
             return F.array().cast(SPAN)
         cut = lambda x: F.element_at(F.lit([self.thresholds.get(k, 2.0) for k in range(len(KINDS))]), x["kind_no"] + 1)
         chosen = F.filter(cands, lambda x: (self.score(x) >= cut(x)) & ~_overlap(x, base, False))
-        ordered = F.sort_array(F.transform(chosen, lambda x: F.struct(x["start"], (-x["end"]).alias("neg_end"), x["kind_no"])))
-        span = lambda x: F.struct(x["kind_no"].alias("kind_no"), x["start"].alias("start"), (-x["neg_end"]).alias("end"))
-        keep = lambda a, x: F.when(x["start"] >= F.coalesce(F.get(a, F.size(a) - 1)["end"], F.lit(-1)), F.concat(a, F.array(span(x)))).otherwise(a)
-        return F.aggregate(ordered, F.array().cast(SPAN), keep)
+        ordered = F.sort_array(F.transform(chosen, lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["kind_no"].alias("kind_no"), F.round(self.score(x), 6).alias("score"))))
+        kept = "array<struct<start:bigint,end:bigint,kind_no:int,score:double>>"
+
+        def step(a, x):
+            last = F.get(a, F.size(a) - 1)
+            apart = F.coalesce(x["start"] >= last["end"], F.lit(True))
+            better = (x["score"] > last["score"]) | ((x["score"] == last["score"]) & (x["end"] - x["start"] > last["end"] - last["start"]))
+            return F.when(apart, F.concat(a, F.array(x))).when(better, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))).otherwise(a)
+
+        best = F.aggregate(ordered, F.array().cast(kept), step)
+        return F.transform(best, lambda x: F.struct(x["kind_no"].alias("kind_no"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def _tree(node) -> tuple | float:
@@ -200,56 +230,116 @@ def labelled(found: DataFrame, folds: int, cand_col: str) -> DataFrame:
     label = F.coalesce(x["label"], F.when(bare, F.lit(0)))
     # '@' and '.' spelled out are three separators and more, a phone number loses its plus sign
     form = F.when(x["kind_no"] == KINDS.index("email"), 3).when(x["kind_no"] == KINDS.index("phone"), F.greatest(x["separators"] - 1, F.lit(2))).otherwise(x["separators"])
-    row = lambda addable, separators, y: F.struct(addable.alias("addable"), *[(separators if f == "separators" else x[f]).cast("int").alias(f) for f in FEATURES], y.cast("int").alias("label"))
-    own = F.when(label.isNotNull(), row((label == 0) & (x["overlaps"] == 0), x["separators"], label))
-    again = F.when((x["label"] == 1) & (x["valid"] == 1) & (x["glued"] == 0), row(F.lit(True), form, F.lit(1)))
+    # a mail address is rewritten with brackets
+    style = F.when(x["kind_no"] == KINDS.index("email"), 1).when((x["kind_no"] == KINDS.index("phone")) & (x["form"] == 0), 2).otherwise(x["form"])
+    other = {"separators": form, "form": style}
+    row = lambda addable, changed, y: F.struct(addable.alias("addable"), *[changed.get(f, x[f]).cast("int").alias(f) for f in FEATURES], y.cast("int").alias("label"))
+    own = F.when(label.isNotNull(), row((label == 0) & (x["overlaps"] == 0), {}, label))
+    # a card or an IPv4 address has no such other form
+    again = F.when((x["label"] == 1) & (x["valid"] == 1) & (x["glued"] == 0) & x["kind_no"].isin(KINDS.index("email"), KINDS.index("phone")), row(F.lit(True), other, F.lit(1)))
     each = found.select((crc_fold(F.col("doc_id"), folds) == 0).alias("held"), F.explode(cand_col).alias("x"))
     return each.select("held", F.inline(F.array_compact(F.array(own, again)))).groupBy("held", "addable", *FEATURES, "label").count()
 
 
-def fit(found: DataFrame, precision: float = 0.97, rounds: int = 8, depth: int = 3, folds: int = 5,
+def planted(n: int = PLANTED, seed: int = 11) -> list[tuple[int, str, int, int, int]]:
+    """(id, text, kind number, start, end) of a seeded set of texts: per kind ``n`` texts, half with personal
+    data in a form that the base patterns cannot see, half with a look-alike (start = end = -1)."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    digits = lambda k, first="0123456789": pick(first) + "".join(pick("0123456789") for _ in range(k - 1))
+    word = lambda: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    group = lambda: f"{rng.randrange(1, 1 << 16):x}"
+
+    def number(n: int, ok: bool, first: str = "0123456789") -> str:
+        """``n`` digits that pass Luhn's check or do not."""
+        body = digits(n - 1, first)
+        good = (10 - sum(d - 9 if d > 9 else d for d in (int(c) * (1 + i % 2) for i, c in enumerate(body[::-1], 1))) % 10) % 10
+        return body + str(good if ok else (good + rng.randint(1, 9)) % 10)
+
+    def card(ok: bool) -> str:
+        return number(16, ok, "45")
+
+    def cut(number: str, sep: str) -> str:
+        return sep.join(number[i:i + 4] for i in range(0, 16, 4))
+
+    def email() -> str:
+        at, dot = pick([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" @ ", " . "), (" (at) ", " (dot) ")])
+        return word() + at + dot.join([word() for _ in range(pick([1, 1, 1, 2, 3, 5]))] + [pick(["com", "org", "net", "de", "fr"])])
+
+    def ip() -> str:
+        full = [group() for _ in range(8)]
+        keep = rng.randint(1, 4)
+        return pick([":".join(full), ":".join(full[:keep]) + "::" + ":".join(full[8 - rng.randint(1, 6 - keep):]), "fe80::" + ":".join(full[4:])])
+
+    def phone() -> str:
+        return pick([f"({digits(3, '23456789')}) {digits(3)}-{digits(4)}", f"{digits(3, '23456789')}-{digits(3)}-{digits(4)}", f"0{digits(3, '123456789')} {digits(7)}",
+                     "0" + digits(1, "12345679") + "".join(f" {digits(2)}" for _ in range(4)), f"0{digits(2, '23456789')}/{digits(8)}"])
+
+    cue = {"email": ["mail me: ", "contact ", "please write to ", "e-mail "], "ip": ["server ", "host is ", "ip address ", "login from "],
+           "card": ["card ", "visa ", "payment by ", "credit card no "], "phone": ["call ", "phone ", "tel. ", "mobile "]}
+    found = {"email": email, "ip": ip, "card": lambda: pick([cut(card(True), pick(["/", "."])), card(True) + " " + card(True)]), "phone": phone}
+    like = {
+        "email": lambda: pick([f"look at the dot {word()} age", f"stay at home.{word()}", f"it ends at {word()} dot {word()}", f"met {word()} at {word()}.{word()}"]),
+        "ip": lambda: pick([f"{rng.randint(0, 23)}:{digits(2)}:{digits(2)}:{digits(2)}", f"a::{word()[:1]}", f"{digits(3, '3456789')}.{digits(3)}.{digits(2)}.{digits(3)}", f"std::{word()}"]),
+        "card": lambda: pick([cut(card(False), pick(["/", "."])), card(False) + " " + card(False), number(17, False) + " " + number(18, False)]),
+        "phone": lambda: pick([f"{digits(3, '23456789')}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(2)}/{digits(3)}-{digits(4)}", f"0{digits(3)}-{digits(6)}"])}
+    calm = ["order ", "see ", "then ", "number ", "the part ", "so "]
+    out = []
+    for k, kind in enumerate(KINDS):
+        for i in range(n):
+            real = i % 2 == 0
+            what = found[kind]() if real else like[kind]()
+            # mail in brackets and cards speak for themselves; the other forms need a cue
+            plain = real and (kind == "card" or kind == "ip" or kind == "email" and ("[" in what or "(" in what)) and i % 4 == 0
+            lead = pick([word() + " ", "", f"{word()} {word()} "]) + (pick(calm) if plain or not real else pick(cue[kind]))
+            text = lead + what + pick(["", " " + word(), ", " + word(), "."])
+            out.append((len(out), text, k, len(lead) if real else -1, len(lead) + len(what) if real else -1))
+    return out
+
+
+def planted_rows(spark, folds: int) -> DataFrame:
+    """The planted candidates that touch no base span as ``labelled`` rows, and how many planted spans of a kind and fold there are
+    (label 2, one row each kind and fold)."""
+    schema = "doc_id long, text string, kind_no int, start long, end long"
+    texts = find(spark.createDataFrame(planted(), schema).coalesce(1))
+    held = (crc_fold(F.col("doc_id"), folds) == 0).alias("held")
+    each = texts.select(held, "kind_no", "start", "end", F.explode("candidates").alias("x")).where(F.col("x.overlaps") == 0).where(F.col("x.label").isNull() | (F.col("x.label") == 0))
+    right = (F.col("x.kind_no") == F.col("kind_no")) & (F.col("x.start") < F.col("end")) & (F.col("start") < F.col("x.end"))
+    rows = each.select("held", F.lit(True).alias("addable"), *[F.col(f"x.{f}").cast("int").alias(f) for f in FEATURES], right.cast("int").alias("label"))
+    total = texts.where("start >= 0").select(held, F.lit(True).alias("addable"), *[(F.col("kind_no") if f == "kind_no" else F.lit(0)).alias(f) for f in FEATURES], F.lit(2).alias("label"))
+    return rows.unionAll(total).groupBy("held", "addable", *FEATURES, "label").count()
+
+
+def fit(found: DataFrame, precision: float = 0.97, rounds: int = 8, depth: int = 4, folds: int = 5,
         base_col: str = "base", cand_col: str = "candidates") -> Model:
-    """Fit on all candidates of ``found`` (doc_id, candidates): documents of fold 0 calibrate, the others train.
+    """Fit on all candidates of ``found`` (doc_id, candidates) and the planted set: documents
+    and texts of fold 0 calibrate, the others train.
 
     Only the counts of distinct feature rows leave the executors; their number
     is bounded by the product of FEATURES, whatever the input's size.
     """
-    table = written(labelled(found, folds, cand_col).coalesce(1), "pii-features")
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-        table.withColumn("weight", F.col("count").cast("double")).withColumn("y", F.col("label").cast("double")))
-    # one pseudo-count of the label that is missing keeps the fit defined on any data
-    seen = {r["label"] for r in table.where("not held").select("label").distinct().collect()}
-    if not seen:
-        return Model()
-    for y in {0, 1} - seen:
-        typical = {f: 0 for f in FEATURES} | {"kind_no": KINDS.index("card"), "valid": y, "glued": 1 - y, "digits": 4, "varied": 1}
-        row = table.sparkSession.createDataFrame([(False, y == 0, *typical.values(), y, 1)], table.schema)
-        assembled = assembled.unionByName(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-            row.withColumn("weight", F.lit(1.0)).withColumn("y", F.lit(float(y)))))
-    model = GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxBins=8).fit(assembled.where("not held"))
-    trees = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
-    out = Model(trees)
-    scored = table.where("held and addable").select("kind_no", "label", "count", F.round(out.score(), 4).alias("p")).groupBy("kind_no", "p").agg(
-        F.sum("count").alias("n"), F.sum(F.col("count") * F.col("label")).alias("good")).collect()
-    def lowest(kinds) -> tuple[float, int, int] | None:
-        best, good, n, by_p = None, 0, 0, {}
-        for r in scored:
-            if r["kind_no"] in kinds:
-                was = by_p.get(r["p"], (0, 0))
-                by_p[r["p"]] = was[0] + r["good"], was[1] + r["n"]
-        for p in sorted(by_p, reverse=True):
-            good, n = good + by_p[p][0], n + by_p[p][1]
-            # precision with one more wrong one than seen, so that few rows do not convince
-            if p > 0.5 and good / (n + 1) >= precision:
-                best = p - 5e-5, good, n
-        return best
-
-    pooled = lowest(range(len(KINDS)))
+    own = labelled(found, folds, cand_col).withColumn("own", F.lit(True))
+    both = own.unionAll(planted_rows(found.sparkSession, folds).withColumn("own", F.lit(False)))
+    table = written(both.coalesce(1), "pii-features")
+    train = {r["own"]: r["n"] for r in table.where("not held and label < 2").groupBy("own").agg(F.sum("count").alias("n")).collect()}
+    boost = max(1.0, PLANTED_SHARE / (1 - PLANTED_SHARE) * train.get(True, 0) / train[False])
+    weighted = table.where("not held and label < 2").withColumn("weight", F.col("count") * F.when(F.col("own"), 1.0).otherwise(boost)).withColumn("y", F.col("label").cast("double"))
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(weighted)
+    model = GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, maxBins=8).fit(data)
+    out = Model([(w, _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)])
+    scored = table.where("held and addable").select("own", "kind_no", "label", "count", F.when(F.col("label") < 2, F.round(out.score(), 4)).alias("p")).groupBy("own", "kind_no", "p").agg(
+        F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("label") == 1).cast("int")).alias("good")).collect()
     for k in range(len(KINDS)):
-        n = sum(r["n"] for r in scored if r["kind_no"] == k)
-        # a kind with too few rows to reach the precision even without an error takes the threshold of all kinds
-        if got := lowest([k]) if n / (n + 1) >= precision else pooled:
-            out.thresholds[k], out.measured[k] = got[0], got[1:]
+        rows = [r for r in scored if r["kind_no"] == k and r["p"] is not None]
+        good = n = 0
+        for p in sorted({r["p"] for r in rows if r["p"] > 0.5}, reverse=True):
+            good, n = (x + sum(r[c] for r in rows if r["p"] == p) for x, c in ((good, "good"), (n, "n")))
+            # precision with one more wrong one than seen
+            if good / (n + 1) >= precision:
+                out.thresholds[k], out.measured[k] = p - 5e-5, (good, n)
+        cut = out.thresholds.get(k, 2.0)
+        added = [r for r in rows if not r["own"] and r["p"] >= cut]
+        out.planted[k] = (sum(r["good"] for r in added), sum(r["n"] for r in added), sum(r["n"] for r in scored if r["kind_no"] == k and r["p"] is None))
     return out
 
 

@@ -44,6 +44,16 @@ def pii(text):
     return out
 
 
+def redacted(text, spans):
+    """The text with its (start, end, kind) spans replaced; overlapping ones are one, named after the first."""
+    at, out = 0, ""
+    for a, b, k in sorted(spans, key=lambda x: (x[0], x[1], list(PII).index(x[2]))):
+        if a >= at:
+            out += text[at:a] + f"[{k.upper()}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
 def quality(text):
     text = text or ""
     w = SPACE_WORD.findall(text)

@@ -120,20 +120,45 @@ def test_op2_rare_kinds_and_one_label_still_add(spark):
 
 def test_op2_redaction(docs, rows):
     got = bag(pii.redact(docs), "doc_id", "text")
+    spans = {(r["doc_id"], r["base_sha256"]): r["spans"] for r in pii.contract(docs).collect()}
     want = Counter()
     for d, t in rows:
         if t is not None:
-            at, out = 0, ""
-            for a, b, k in sorted((a, b, k) for k, a, b in brute.pii(t)):
-                if a >= at:
-                    out += t[at:a] + f"[{k.upper()}]"
-                at = max(at, b)
-            t = out + t[at:]
+            own = brute.pii(t)
+            found = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in spans[d, brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in own))].split(",") if x)]
+            assert {(a, b, k) for k, a, b in own} <= set(found)
+            t = brute.redacted(t, found)
         want[(d, t)] += 1
     assert got == want
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_op2_planted_precision_and_recall(spark, docs, empty):
+    """Held-out planted texts: what is added is right, and most of what is there is added, whatever the table."""
+    for df in (docs, empty):
+        model = pii.fit(pii.find(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "base", "candidates"))
+        for k, kind in enumerate(pii.KINDS):
+            right, added, there = model.planted[k]
+            assert there >= 40 and added >= 33 and right / added >= 0.97 and right / there >= 0.85, (kind, model.planted[k])
+
+
+def test_op2_spelled_out_names_of_many_labels(spark):
+    name = "jane (at) a (dot) b (dot) c (dot) d (dot) e (dot) example (dot) org"
+    long = "x" * 80 + " [at] mail [dot] example [dot] org"
+    rows = [(1, f"please write to {name} soon"), (2, f"contact {long} now"), (3, "we met at the dot com fair at noon")]
+    got = {r["doc_id"]: r["spans"] for r in pii.contract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"email:16:{16 + len(name)}", 2: f"email:8:{8 + len(long)}", 3: ""}
+
+
+def test_op2_overlapping_additions_go_by_score(spark):
+    base = F.array().cast(pii.SPAN)
+    row = lambda k, a, b, valid: F.struct(F.lit(k).alias("kind_no"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"),
+                                          *[F.lit(valid if f == "valid" else 0).alias(f) for f in pii.FEATURES if f != "kind_no"])
+    model = pii.Model([(1.0, (1, 0.5, 0.2, 0.9))], {k: 0.5 for k in range(4)})  # valid candidates score higher
+    got = spark.range(1).select(model.additions(F.array(row(0, 0, 9, 0), row(1, 5, 8, 1), row(2, 7, 30, 0), row(3, 40, 50, 0), row(0, 45, 60, 0)), base).alias("a")).first()["a"]
+    assert [(x["kind_no"], x["start"], x["end"]) for x in got] == [(1, 5, 8), (0, 45, 60)]
+
+
 def test_op3_language(spark, docs, empty):
     parts = {"en": "the house and the garden with many trees that were old", "de": "das Haus und der Garten mit vielen alten Bäumen die waren",
              "fr": "la maison et le jardin avec beaucoup de vieux arbres qui étaient"}
@@ -236,7 +261,26 @@ def test_op6_full_filters_lose_nothing(spark):
         assert got.keys() == want.keys()
         for d, r in got.items():
             assert tuple(r)[1:5] == want[d][:4] and r["base_score"] == pytest.approx(want[d][4])
-            assert r["score"] == pytest.approx(roomy[d]["score"], rel=0.03) and r["score"] == pytest.approx(want[d][5], rel=0.15)
+            assert r["score"] == pytest.approx(want[d][5], rel=0.15)
+        # a filter errs on one unseen pair in forty (8 bits a key, 4 probes), which moves the score of a few texts
+        off = np.array([abs(r["score"] / roomy[d]["score"] - 1) for d, r in got.items()])
+        assert off.mean() < 0.004 and (off > 0.03).mean() <= 0.01
+
+
+def test_op6_hashes_travel_whole():
+    rng = np.random.default_rng(0)
+    for bits in (0, 6, 16):
+        for pair in (False, True):
+            h = rng.integers(0, 1 << 64, 5000, dtype=np.uint64) >> np.uint64(bits)
+            if pair:
+                low = np.uint64(max(64 - bits - bloom_lm.PAIR_ID_BITS, 0))
+                h = h >> low << low
+            bucket = (1 << bits) - 1
+            h = np.unique(h) | (np.uint64(bucket << 64 - bits) if bits else np.uint64(0))
+            sent = bloom_lm.shrunk(h, bits, pair)
+            assert (bloom_lm.grown(sent, bucket, bits, pair) == h).all() and len(sent) < (0.75 if pair else 1) * h.nbytes
+    for x in ([], [0], [0, 0, 0], [1, 300, 1 << 40]):
+        assert bloom_lm.unsqueezed(bloom_lm.squeezed(np.array(x, np.uint64))).tolist() == x
 
 
 BENCHMARK = [(1, PASSAGE), (2, PASSAGE), (3, None), (4, " ,;"), (5, "seven eight"), (6, "the " * 12), (7, "never seen words here at all in any of these texts"), (1, PASSAGE)]
