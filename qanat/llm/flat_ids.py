@@ -18,6 +18,7 @@ each row with the bytes of the end id, which closes a chunk's last document.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,23 @@ END_ID = 2
 NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r -~\xa0-įı-ɏ]|<\\|")
 
 
+# fixed values: the steps before the model that ``WordEncoder.cut`` stands for
+CUT_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_as_here(tokenizer: dict) -> bool:
+    """Whether a tokenizer file's normaliser, pre-tokeniser and post-processor are those of ``WordEncoder.cut``."""
+    norm, pre = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}
+    steps, parts = norm.get("normalizers") or [], pre.get("pretokenizers") or []
+    if [s.get("type") for s in steps] != CUT_NORMALIZERS or [s.get("type") for s in parts] != ["Split", "ByteLevel"] or tokenizer.get("post_processor"):
+        return False
+    blank, split, bytes_ = steps[1], parts[0], parts[1]
+    return (blank.get("pattern") == {"Regex": "\\s+"} and blank.get("content") == " " and split.get("pattern") == {"Regex": CUT_PATTERN}
+            and (split.get("behavior"), split.get("invert")) == ("Removed", True) and not bytes_.get("add_prefix_space") and not bytes_.get("use_regex")
+            and (tokenizer.get("model") or {}).get("type") == "BPE" and not tokenizer["model"].get("dropout"))
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     same = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,12 +71,14 @@ def _byte_letters() -> dict[int, str]:
 
 class WordEncoder:
     """The tokenizers library over distinct pre-tokens: texts are lower-cased and
-    cut in numpy, the library's BPE model merges each distinct pre-token once."""
+    cut in numpy, the library's BPE model merges each distinct pre-token once. With a
+    file whose steps are others (``cuts_as_here``) every text goes through the library whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.known = cuts_as_here(json.loads(self.tokenizer.to_str()))
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -97,7 +117,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens, as bytes of ``dtype``."""
         out: list = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if t and not NOT_PLAIN.search(t)]
+        plain = [k for k, t in enumerate(texts) if t and self.known and not NOT_PLAIN.search(t)]
         for k in set(range(len(texts))).difference(plain):
             out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.dtype).tobytes() if texts[k] else b""
         if not plain:
@@ -137,11 +157,15 @@ def read_index(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
           chunk_ids: int = CHUNK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text and write ids and offsets in ascending doc_id order
-    (null ids first; equal ids by their text). One shuffle, by ranges of doc_id."""
+    """Encode every whole text and write ids and offsets in ascending doc_id order (null ids
+    first). One shuffle, by ranges of doc_id and, so that many rows of one id (or without
+    one) are many tasks, a hash of the text. Each byte of ``end_id`` must be below 128,
+    since Spark's text writer ends the rows with it."""
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     wide = encoder(tokenizer).wide
     end = int(end_id).to_bytes(4 if wide else 2, "little")
+    if max(end) > 127:
+        raise ValueError(f"end_id {end_id} has the byte {max(end)}, which the text writer would not keep")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, chunk = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -165,7 +189,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         if ids:
             yield out()
 
-    ordered = id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = ["doc_id", F.xxhash64("text")]
+    ordered = id_text(docs, id_col, text_col).repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
     packed = ordered.mapInArrow(pack, "kind string, part int, chunk int, value binary")
     (packed.withColumn("value", F.col("value").cast("string")).write.partitionBy("kind", "part", "chunk")
      .option("lineSep", end.decode("latin-1")).option("compression", "none").text(path))
