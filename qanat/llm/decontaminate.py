@@ -6,16 +6,16 @@
    rarest distinct terms among those that occur at all, with their offsets.
 3. The index stores the postings (document, position) of those terms, and one
    row per document with its word count. It serves the benchmark it was made for.
-4. Exact phrases: a posting of the rarest term at p with offset o means a start
-   p - o; it must meet a posting of the second term with the same start. Windows
-   with a word that occurs nowhere cannot occur and have no such lists. The
-   documents of the candidates are read again and the words at the start are
+4. Offset-adjusted lists intersect: two of a window's three terms at a distance d are
+   a pair, and windows that overlap share most of theirs. A posting of the pair's rarer
+   term at p asks for the other one at p + d; sorted by position inside the document
+   and term, the nearest posting on either side answers.
+5. Exact phrases: where the pair of the two rarest terms of a window whose words all occur
+   is met at that very place, the document is read again and the words at the start are
    compared with the window's.
-5. Proximity: two of a window's three terms whose starts are within ``slop`` of each
-   other. A passage with one word replaced, however rare that word is and whether it
-   stands elsewhere or nowhere, keeps two of the three. Starts are gathered by cells of
-   ``slop`` + 1 words: two terms in one cell are near, and of neighbouring cells the last
-   start of one term and the first of another are compared.
+6. Proximity: a pair met within ``slop`` words of its place. A passage with one word
+   replaced, however rare that word is and whether it stands elsewhere or nowhere, keeps
+   two of its three terms.
 
 All steps are joins and aggregations. Broadcast tables hold 64-bit hashes of at
 most BLOCK terms; a larger benchmark is worked off in blocks of that size.
@@ -104,13 +104,37 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return written(out, "decon-index")
 
 
-def exact_matches(docs: DataFrame, windows: DataFrame, lists: DataFrame) -> DataFrame:
+def pairs_of(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pair_id, near_h, far_h, delta) of the distinct pairs of terms, the rarer first, and their uses
+    (pair_id, window_id, n, far_off, exact: the two rarest terms of a window whose words all occur)."""
+    a = rare.select("window_id", "n", "whole", F.col("rank").alias("ra"), F.col("h").alias("near_h"), F.col("off").alias("oa"))
+    b = rare.select("window_id", F.col("rank").alias("rb"), F.col("h").alias("far_h"), F.col("off").alias("far_off"))
+    each = written(a.join(b, "window_id").where("ra < rb").withColumn("delta", F.col("far_off") - F.col("oa"))
+                   .withColumn("exact", F.col("whole") & (F.col("rb") == 2)), "decon-pairs")
+    key = ["near_h", "far_h", "delta"]
+    distinct = written(each.select(*key).distinct().withColumn("pair_id", F.monotonically_increasing_id()), "decon-distinct")
+    return distinct, each.join(distinct, key).select("pair_id", "window_id", "n", "far_off", "exact")
+
+
+def meetings(postings: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
+    """(k1, k2, pair_id, at, exact) wherever the far term of a pair stands within ``slop`` words of ``at``, the place
+    that a posting of the near one gives it; ``exact``: at that place."""
+    asks = postings.join(pairs, F.col("h") == F.col("near_h")).select(*KEY, F.col("far_h").alias("h"), (F.col("pos") + F.col("delta")).alias("at"), "pair_id")
+    line = postings.select(*KEY, "h", F.col("pos").alias("at"), F.lit(None).cast("long").alias("pair_id")).unionAll(asks)
+    per, until = Window.partitionBy(*KEY, "h"), (Window.unboundedPreceding, Window.currentRow)
+    stands = F.when(F.col("pair_id").isNull(), F.col("at"))  # at one place the posting sorts first
+    line = line.withColumn("before", F.last(stands, True).over(per.orderBy("at", F.asc_nulls_first("pair_id")).rowsBetween(*until)))
+    line = line.withColumn("after", F.last(stands, True).over(per.orderBy(F.desc("at"), F.asc_nulls_first("pair_id")).rowsBetween(*until)))
+    close = F.coalesce(F.col("at") - F.col("before") <= slop, F.lit(False)) | F.coalesce(F.col("after") - F.col("at") <= slop, F.lit(False))
+    return line.where(F.col("pair_id").isNotNull() & close).select(*KEY, "pair_id", "at", F.coalesce(F.col("before") == F.col("at"), F.lit(False)).alias("exact"))
+
+
+def exact_matches(docs: DataFrame, windows: DataFrame, met: DataFrame, uses: DataFrame, postings: DataFrame, rare: DataFrame) -> DataFrame:
     """(k1, k2, window_id, n, start) of every occurrence of a window."""
     columns = [*KEY, "window_id", "n", "start"]
-    first = lists.where("whole and rank = 1 and start >= 0").select(*columns, "alone")
-    second = lists.where("whole and rank = 2 and start >= 0").select(*KEY, "window_id", "start")
-    found = written(first.where("not alone").drop("alone").join(second, [*KEY, "window_id", "start"]).select(*columns)
-                    .unionAll(first.where("alone").select(*columns)).distinct(), "decon-found")
+    several = met.where("exact").join(uses.where("exact"), "pair_id").select(*KEY, "window_id", "n", (F.col("at") - F.col("far_off")).alias("start"))
+    single = postings.join(rare.where("alone").select("h", "window_id", "n"), "h").select(*KEY, "window_id", "n", F.col("pos").alias("start"))
+    found = written(several.unionAll(single).where("start >= 0").distinct(), "decon-found")
     suspects = keyed(docs).join(found.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
     suspects = suspects.select(*KEY, words_of(F.col("text")).alias("words"))
     phrase = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")
@@ -118,44 +142,20 @@ def exact_matches(docs: DataFrame, windows: DataFrame, lists: DataFrame) -> Data
     return written(got, "decon-exact")
 
 
-def near_matches(lists: DataFrame, slop: int) -> DataFrame:
-    """(k1, k2, window_id) where two of the window's terms have starts within ``slop`` of each other."""
-    ranks = (1, 2, 3)
-    cell = F.floor(F.col("start") / (slop + 1))
-    at = lambda r: F.when(F.col("rank") == r, F.col("start"))
-    cells = lists.where("not alone").groupBy(*KEY, "window_id", cell.alias("cell")).agg(
-        *[f(at(r)).alias(f"{name}{r}") for r in ranks for name, f in (("lo", F.min), ("hi", F.max))])
-    line = Window.partitionBy(*KEY, "window_id").orderBy("cell")
-    cells = cells.withColumn("last", F.lag(F.struct("cell", *[f"hi{r}" for r in ranks])).over(line))
-    together = sum((F.col(f"lo{r}").isNotNull().cast("int") for r in ranks), F.lit(0)) >= 2
-    across = F.lit(False)
-    for a in ranks:
-        for b in ranks:
-            if a != b:
-                across = across | F.coalesce(F.col(f"lo{b}") - F.col(f"last.hi{a}") <= slop, F.lit(False))
-    follows = F.coalesce(F.col("last.cell") == F.col("cell") - 1, F.lit(False))
-    return cells.where(together | (follows & across)).select(*KEY, "window_id").distinct()
-
-
-def posting_lists(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents (k1, k2, doc_id, n_words), offset-adjusted lists (k1, k2, window_id, n, rank, whole, alone, start))."""
-    rare = rarest_terms(windows, docs)
-    postings = index(docs, rare)
-    lists = postings.where("h is not null").select(*KEY, "h", "pos").distinct().join(rare, "h").select(
-        *KEY, "window_id", "n", "rank", "whole", "alone", (F.col("pos") - F.col("off")).alias("start"))
-    return postings.where("h is null").select(*KEY, "doc_id", "n_words"), lists
-
-
 def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 4, item_col: str = "item_id",
             text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: documents (k1, k2, doc_id, n_words), exact matches (k1, k2,
     start, n, item_id), proximity matches (k1, k2, item_id), which include the exact ones."""
     windows, owners = windows_of(items, width, item_col, text_col)
-    base, lists = posting_lists(docs, windows)
-    exact = exact_matches(docs, windows, lists)
-    near = near_matches(lists, slop).unionAll(exact.select(*KEY, "window_id")).distinct()
-    return (base, exact.join(owners, "window_id").select(*KEY, "start", "n", "item_id"),
-            near.join(owners, "window_id").select(*KEY, "item_id").distinct())
+    rare = rarest_terms(windows, docs)
+    stored = index(docs, rare)
+    postings = stored.where("h is not null").select(*KEY, "h", "pos").distinct()
+    pairs, uses = pairs_of(rare)
+    met = written(meetings(postings, pairs, slop), "decon-met")
+    exact = exact_matches(docs, windows, met, uses, postings, rare).join(owners, "window_id").select(*KEY, "start", "n", "item_id")
+    near = met.select(*KEY, "pair_id").distinct().join(uses.join(owners, "window_id").select("pair_id", "item_id").distinct(), "pair_id")
+    return (stored.where("h is null").select(*KEY, "doc_id", "n_words"), exact,
+            near.select(*KEY, "item_id").unionAll(exact.select(*KEY, "item_id")).distinct())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 4, id_col: str = "doc_id",
@@ -184,6 +184,9 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` without any exact match, with all their columns."""
     inner = id_text(docs, id_col, text_col)
     windows, _ = windows_of(items, width, item_col, "text")
-    hit = exact_matches(inner, windows, posting_lists(inner, windows)[1]).select(*KEY).distinct()
+    rare = rarest_terms(windows, inner, keep=2).where("whole")  # no other window can occur
+    postings = index(inner, rare).where("h is not null").select(*KEY, "h", "pos").distinct()
+    pairs, uses = pairs_of(rare)
+    hit = exact_matches(inner, windows, meetings(postings, pairs, 0), uses, postings, rare).select(*KEY).distinct()
     a, b = row_key(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
     return docs.join(hit, (a == hit.k1) & (b == hit.k2), "left_anti")
