@@ -15,7 +15,9 @@ The most frequent words' exact counts (a table of at most FREQUENT) are broadcas
 Texts are worked on in batches: a batch sends each word outside that table, and
 each pair that its bucket may hold outside the broadcast segment, once to their
 buckets; the answers meet the batch again. So no n-gram is lost at any size.
-Words are named by 64-bit hashes.
+Words are named by 64-bit hashes, pairs by the leading PAIR_ID_BITS bits after those of
+their bucket (the buckets grow with the input, so two pairs share a name far more seldom
+than the filter errs). Ascending hashes travel as compressed differences.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ U = np.uint64
 PAIR_BITS, WORD_BITS = 27, 25  # bits of the two filters, as powers of two
 PROBES, BITS_PER_KEY = 4, 8
 FREQUENT = 1 << 18
+#: bits that name a pair inside its bucket
+PAIR_ID_BITS = 33
 #: tokens a task counts before it sends what it has
 FLUSH = 4_000_000
 #: text bytes of one batch that asks the buckets (one longer text is its own batch)
@@ -92,8 +96,39 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tok, before, owner
 
 
-def pairs(before: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    return mixed(before * U(0xD6E8FEB86659FD93) + (tok ^ (tok >> U(32))))
+def pairs(before: np.ndarray, tok: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """Names of the pairs: hashes whose last bits are cut to zero."""
+    low = U(max(64 - bucket_bits - PAIR_ID_BITS, 0))
+    return mixed(before * U(0xD6E8FEB86659FD93) + (tok ^ (tok >> U(32)))) >> low << low
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as byte planes (as many as the greatest needs), compressed."""
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    head = np.array([len(x), width], "<u4").tobytes()
+    return head + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unsqueezed(b: bytes) -> np.ndarray:
+    n, width = np.frombuffer(b, "<u4", 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n * width:
+        out[:, :width] = np.frombuffer(pa.decompress(b[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8").astype(U)
+
+
+def shrunk(h: np.ndarray, bucket_bits: int, pair: bool) -> bytes:
+    """Ascending hashes of one bucket as differences, without the bits that all share."""
+    low = U(max(64 - bucket_bits - PAIR_ID_BITS, 0) if pair else 0)
+    inside = (h << U(bucket_bits) >> U(bucket_bits)) >> low
+    return squeezed(np.diff(inside, prepend=U(0)))
+
+
+def grown(b: bytes, bucket: int, bucket_bits: int, pair: bool) -> np.ndarray:
+    low = U(max(64 - bucket_bits - PAIR_ID_BITS, 0) if pair else 0)
+    top = U(bucket << 64 - bucket_bits) if bucket_bits else U(0)
+    return (np.cumsum(unsqueezed(b), dtype=U) << low) | top
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -197,7 +232,7 @@ def _packed(kind: int, h: np.ndarray, n: np.ndarray, bucket_bits: int) -> pa.Rec
     for k, (a, b) in enumerate(zip(np.split(h, cuts), np.split(n, cuts))):
         if len(a):
             once = b == 1
-            rows.append((kind, k, a[once].tobytes(), a[~once].tobytes(), b[~once].astype("<u4").tobytes()))
+            rows.append((kind, k, shrunk(a[once], bucket_bits, kind == 2), shrunk(a[~once], bucket_bits, kind == 2), squeezed(b[~once].astype(U))))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                                       ["kind", "bucket", "once", "more", "n"])
 
@@ -218,7 +253,7 @@ def count(texts: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_b
         for b in slices(batches, 0):
             tok, before, _ = tokens(b.column(0).to_pylist())
             held[0].append(tok)
-            held[1].append(pairs(before, tok))
+            held[1].append(pairs(before, tok, bucket_bits))
             size += len(tok)
             if size >= FLUSH:
                 yield from out()
@@ -227,9 +262,10 @@ def count(texts: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_b
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
         kind, bucket = (k.as_py() for k in key)
-        read = lambda c, t: np.frombuffer(b"".join(group.column(c).to_pylist()), t)
-        once, more = read("once", U), read("more", U)
-        h, n = _sums(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), read("n", "<u4").astype(np.int64)]))
+        read = lambda c: np.concatenate([grown(x, bucket, bucket_bits, kind == 2) for x in group.column(c).to_pylist()])
+        once, more = read("once"), read("more")
+        n = np.concatenate([unsqueezed(x) for x in group.column("n").to_pylist()]).astype(np.int64)
+        h, n = _sums(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), n]))
         size = (1 << (word_bits if kind == 1 else pair_bits)) >> bucket_bits
         bits = segment(h, n, size)
         if kind == 1:
@@ -347,7 +383,7 @@ def _batch(packed: bytes, m: Model) -> Batch:
     words, word = np.unique(tok, return_inverse=True)
     at = np.minimum(np.searchsorted(m.frequent, words), max(len(m.frequent) - 1, 0))
     counts = np.where(m.frequent[at] == words, m.counts[at], -1) if len(m.frequent) else np.full(len(words), -1)
-    both, pair = np.unique(pairs(before, tok), return_inverse=True)
+    both, pair = np.unique(pairs(before, tok, m.bucket_bits), return_inverse=True)
     levels = m.pairs.levels(both)
     bucket = (both >> U(64 - m.bucket_bits)).astype(np.int64) if m.bucket_bits else np.zeros(len(both), np.int64)
     levels[(levels == 0) & m.more[bucket]] = -1
@@ -362,7 +398,7 @@ def requests(batches: DataFrame, shared) -> DataFrame:
         for b in rows:
             for number, packed in zip(b.column(0).to_pylist(), b.column(1)):
                 x = _batch(packed.as_buffer(), m)
-                out = [(kind, k, number, some.tobytes()) for kind, h in ((1, x.words[x.counts < 0]), (2, x.pairs[x.levels < 0]))
+                out = [(kind, k, number, shrunk(some, m.bucket_bits, kind == 2)) for kind, h in ((1, x.words[x.counts < 0]), (2, x.pairs[x.levels < 0]))
                        for k, some in enumerate(np.split(h, np.searchsorted(h, cut))) if len(some)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
                                                  ["kind", "bucket", "batch", "hashes"])
@@ -370,9 +406,9 @@ def requests(batches: DataFrame, shared) -> DataFrame:
     return batches.mapInArrow(run, "kind int, bucket int, batch long, hashes binary")
 
 
-def settle(asked: DataFrame, table: DataFrame) -> DataFrame:
+def settle(asked: DataFrame, table: DataFrame, bucket_bits: int) -> DataFrame:
     """(batch, kind, bucket, found): for every hash asked for, in order, a word's exact
-    count (8 bytes) or a pair's level (1 byte), from the bucket that has them."""
+    count or a pair's level, squeezed, from the bucket that has them."""
     def answer(key: tuple, group: pa.Table) -> pa.Table:
         kind, bucket = (k.as_py() for k in key)
         known_h, known_n, rest, out = np.zeros(0, U), np.zeros(0, np.int64), Filter(np.zeros(0, np.uint8), 0), []
@@ -382,13 +418,13 @@ def settle(asked: DataFrame, table: DataFrame) -> DataFrame:
                 known_h, known_n, rest = np.frombuffer(h, U), np.frombuffer(n, "<i8"), Filter(np.frombuffer(bits, np.uint8), 0)
         for batch, h, _, _ in rows:
             if batch is not None:
-                h = np.frombuffer(h, U)
+                h = grown(h, bucket, bucket_bits, kind == 2)
                 if kind == 2:
-                    found = rest.levels(h).astype(np.uint8)
+                    found = rest.levels(h)
                 else:
                     at = np.minimum(np.searchsorted(known_h, h), max(len(known_h) - 1, 0))
-                    found = (np.where(known_h[at] == h, known_n[at], 0) if len(known_h) else np.zeros(len(h), np.int64)).astype("<i8")
-                out.append((batch, kind, bucket, found.tobytes()))
+                    found = np.where(known_h[at] == h, known_n[at], 0) if len(known_h) else np.zeros(len(h), np.int64)
+                out.append((batch, kind, bucket, squeezed(found.astype(U))))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
                         ["batch", "kind", "bucket", "found"])
 
@@ -406,8 +442,9 @@ def score(batches: DataFrame, answers: DataFrame, shared) -> DataFrame:
         found = sorted(zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "found"))))
         x = _batch(rows.column("packed")[0].as_buffer(), m)
         asked = x.counts < 0
-        x.counts[asked] = np.frombuffer(b"".join(f for kind, _, f in found if kind == 1), "<i8")
-        x.levels[x.levels < 0] = np.frombuffer(b"".join(f for kind, _, f in found if kind == 2), np.uint8)
+        told = lambda kind: np.concatenate([np.zeros(0, np.int64), *(unsqueezed(f).astype(np.int64) for k, _, f in found if k == kind)])
+        x.counts[asked] = told(1)
+        x.levels[x.levels < 0] = told(2)
         # the broadcast filter speaks for the frequent words that it holds, the exact count for all others
         q = np.where(asked, 0, m.words.levels(x.words))
         one = value(np.where(q > 0, q, level(x.counts)))[x.word]
@@ -442,6 +479,6 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, bucket_bits: int |
     model = fit(table, bits, pair_bits, word_bits, frequent)
     batches = written(batched(rows), "lm-batches")
     shared = spark.sparkContext.broadcast(model)
-    scored = score(batches, settle(requests(batches, shared), table), shared)
+    scored = score(batches, settle(requests(batches, shared), table, bits), shared)
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known",
                          F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
