@@ -10,6 +10,7 @@ from ..session import input_tag
 from ..sources.tables import table
 from . import fixtures as X
 from . import q_vectors as QV
+from . import oracle_values as O
 from . import sqlfrag as S
 from .registry import register
 
@@ -27,7 +28,7 @@ def doc_index(spark, sf):
 
 def retrieve_sql(k):
     return f"""{X.QUESTIONS_SQL.strip()}, {X.DOC_CORPUS_SQL.strip()},
-qsrc AS (SELECT question_id, {S.lit(T.QUERY_INSTRUCTION)} || {S.clean_text('question')} AS q FROM questions),
+qsrc AS (SELECT question_id, {S.lit(O.QUERY_INSTRUCTION)} || {S.clean_text('question')} AS q FROM questions),
 {S.hash_embed_ctes('qsrc', 'question_id', 'q', 'qe')},
 {S.hash_embed_ctes('doc_corpus', 'id', 'text', 'de')},
 scored AS (SELECT qe.id AS qid, de.id AS did, list_cosine_similarity(qe.embedding, de.embedding) AS c FROM qe, de),
@@ -41,7 +42,7 @@ per AS (SELECT question_id, arg_min(source, rank) AS primary_source, arg_min(tex
                count(*) AS n_sources FROM hits GROUP BY 1),
 asked AS (
   SELECT q.question_id, {S.slugify('q.question')} AS slug,
-    CASE WHEN p.primary_source IS NULL THEN {S.lit(A.NO_CONTEXT_ANSWER)} ELSE '<p>' || p.best_text || '</p>' END AS answer,
+    CASE WHEN p.primary_source IS NULL THEN {S.lit(O.NO_CONTEXT_ANSWER)} ELSE '<p>' || p.best_text || '</p>' END AS answer,
     coalesce(p.primary_source, 'System') AS source, coalesce(c.category, 'Uncategorized') AS category,
     coalesce(p.n_sources, 0) AS n_sources
   FROM questions q LEFT JOIN per p ON q.question_id = p.question_id LEFT JOIN cat c ON q.question_id = c.question_id)"""
@@ -58,7 +59,7 @@ def _asked(spark, sf):
 @register("batch_ask", f"""
 WITH {_RETRIEVE_SQL}
 SELECT question_id, slug, answer,
-       CASE WHEN source = 'System' THEN {S.lit(A.NO_CONTEXT_SNIPPET)} ELSE {S.snippet('answer')} END AS answer_snippet,
+       CASE WHEN source = 'System' THEN {S.lit(O.NO_CONTEXT_SNIPPET)} ELSE {S.snippet('answer')} END AS answer_snippet,
        source, category, n_sources
 FROM asked""")
 def q_batch_ask(spark, sf):
@@ -84,7 +85,7 @@ ctx AS (SELECT question_id, string_agg('[Source: ' || source || '] ' || text, ch
                           chr(10) || chr(10) ORDER BY rank) AS numbered
         FROM hits GROUP BY question_id)
 SELECT q.question_id,
-  {S.lit(A.PROMPT_HEAD_BATCH)} || c.joined || chr(10) || chr(10) || '    Question: ' || q.question
+  {S.lit(O.PROMPT_HEAD)} || c.joined || chr(10) || chr(10) || '    Question: ' || q.question
   || chr(10) || chr(10) || 'Here are the sources:' || chr(10) || chr(10) || c.numbered
   || chr(10) || chr(10) || chr(10) || 'Question: ' || q.question AS prompt
 FROM questions q JOIN ctx c ON q.question_id = c.question_id""")
@@ -106,7 +107,7 @@ per AS (SELECT qid, arg_min(source, rank) AS src FROM hits GROUP BY qid)
 SELECT v.vec_id AS question_id, p.src IS NOT NULL AS has_context,
        coalesce(p.src, 'System') AS source,
        CASE WHEN p.src IS NULL THEN 'Uncategorized' END AS fixed_category,
-       CASE WHEN p.src IS NULL THEN {S.lit(A.NO_CONTEXT_ANSWER)} END AS fixed_answer
+       CASE WHEN p.src IS NULL THEN {S.lit(O.NO_CONTEXT_ANSWER)} END AS fixed_answer
 FROM v LEFT JOIN per p ON v.vec_id = p.qid""")
 def q_no_context_answers(spark, sf):
     e = table(spark, sf, "embeddings", "vec_id", "embedding")

@@ -22,6 +22,7 @@ from . import q_ask as QA
 from . import q_corpus as C
 from . import q_relational as QR
 from . import q_shards as QS
+from . import oracle_values as O
 from . import sqlfrag as S
 from .registry import register
 
@@ -131,7 +132,7 @@ placed AS (
                      'hadithNumber', hadith_number, 'grading', grading, 'collection', collection, 'narrator', narrator, 'reference', reference)::VARCHAR
   FROM hadiths
   UNION ALL SELECT 2, tafsirType, surah, ayah, 'tafsir', text, src, json_object('tafsirSource', src)::VARCHAR
-  FROM (SELECT *, 'Tafsir ' || {S.map_lookup('tafsirType', C.R.TAFSIR_NAMES)} || ' - Surah ' || CAST(surah AS VARCHAR) || ':' || CAST(ayah AS VARCHAR) AS src FROM grid)
+  FROM (SELECT *, 'Tafsir ' || {S.map_lookup('tafsirType', O.TAFSIR_NAMES)} || ' - Surah ' || CAST(surah AS VARCHAR) || ':' || CAST(ayah AS VARCHAR) AS src FROM grid)
   UNION ALL SELECT 3, category || chr(1) || english || chr(1) || arabic || chr(1) || note, 0, 0, 'dua', english, note,
          json_object('category', category, 'transliteration', transliteration, 'arabic', arabic, 'duaReference', reference)::VARCHAR FROM duas
   UNION ALL SELECT 4, topic || chr(1) || content || chr(1) || source, 0, 0, 'seerah', content, source, json_object('topic', topic)::VARCHAR

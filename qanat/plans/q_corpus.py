@@ -14,6 +14,7 @@ from ..session import input_tag
 from ..sources import nested as N
 from ..sources.tables import table
 from . import fixtures as X
+from . import oracle_values as O
 from . import sqlfrag as S
 from .registry import register
 
@@ -237,17 +238,17 @@ def q_dimension_lookup(spark, sf):
                     T.js_trim(F.concat(title, F.lit(" "), num)).alias("reference"))
 
 
-_TAFSIR_EDS = "[" + ", ".join(S.lit(e) for e in R.SUPPORTED_TAFSIRS) + "]"
+_TAFSIR_EDS = "[" + ", ".join(S.lit(e) for e in O.TAFSIRS) + "]"
 _GRID_SQL = f"""grid AS (
   SELECT c_name AS text, CAST(c_nationkey AS BIGINT) AS surah, c_custkey AS ayah, e.i, e.ed AS tafsirType
-  FROM customer, (SELECT unnest(range({len(R.SUPPORTED_TAFSIRS)})) AS i,
+  FROM customer, (SELECT unnest(range({len(O.TAFSIRS)})) AS i,
                          unnest({_TAFSIR_EDS}) AS ed) e
   WHERE (c_nationkey + e.i) % 4 <> 0)"""
 
 
 @register("grid_ingest", f"""
 WITH {_GRID_SQL}
-SELECT text, 'Tafsir ' || {S.map_lookup('tafsirType', R.TAFSIR_NAMES)} || ' - Surah ' || CAST(surah AS VARCHAR)
+SELECT text, 'Tafsir ' || {S.map_lookup('tafsirType', O.TAFSIR_NAMES)} || ' - Surah ' || CAST(surah AS VARCHAR)
        || ':' || CAST(ayah AS VARCHAR) AS source, surah, ayah, tafsirType
 FROM grid""")
 def q_grid_ingest(spark, sf):

@@ -8,6 +8,7 @@ from ..functions import routing as R
 from ..functions import text as T
 from ..sources.tables import table
 from . import fixtures as X
+from . import oracle_values as O
 from . import sqlfrag as S
 from .registry import register
 
@@ -28,7 +29,7 @@ def q_clean_text(spark, sf):
 
 @register("instruct_query", f"""
 WITH {X.QUESTIONS_SQL.strip()}
-SELECT question_id, {S.lit(T.QUERY_INSTRUCTION)} || {S.clean_text('question')} AS instructed
+SELECT question_id, {S.lit(O.QUERY_INSTRUCTION)} || {S.clean_text('question')} AS instructed
 FROM questions""")
 def q_instruct_query(spark, sf):
     q = X.questions(spark, sf)
@@ -81,7 +82,7 @@ _EDITION_IDS = list(R.SUPPORTED_TAFSIRS) + [k for k in R.TAFSIR_NAMES if k not i
 
 @register("map_lookup", f"""
 SELECT doc_id, [{', '.join(S.lit(x) for x in _EDITION_IDS)}][doc_id % {len(_EDITION_IDS)} + 1] AS edition_id,
-  {S.map_lookup(f"[{', '.join(S.lit(x) for x in _EDITION_IDS)}][doc_id % {len(_EDITION_IDS)} + 1]", R.TAFSIR_NAMES)} AS display_name
+  {S.map_lookup(f"[{', '.join(S.lit(x) for x in _EDITION_IDS)}][doc_id % {len(_EDITION_IDS)} + 1]", O.TAFSIR_NAMES)} AS display_name
 FROM documents""")
 def q_map_lookup(spark, sf):
     d = table(spark, sf, "documents", "doc_id")
@@ -116,9 +117,9 @@ def q_shard_route(spark, sf):
 
 
 def _classify_sql(e: str) -> str:
-    conn = " OR ".join(f"contains({e}, {S.lit(p)})" for p in R.CONNECTION_ERROR_PATTERNS)
+    conn = " OR ".join(f"contains({e}, {S.lit(p)})" for p in O.CONNECTION_ERRORS)
     out = f"CASE WHEN {e} IS NULL THEN NULL WHEN {conn} THEN 'connection' "
-    for fam, pats in R.ERROR_FAMILIES:
+    for fam, pats in O.ERROR_FAMILIES:
         out += "WHEN " + " OR ".join(f"contains({e}, {S.lit(p)})" for p in pats) + f" THEN '{fam}' "
     return out + "ELSE 'other' END"
 
@@ -133,7 +134,9 @@ def q_classify_error(spark, sf):
 
 
 @register("validate_questions", f"""
-WITH {X.QUESTIONS_SQL.strip()}
+WITH asked AS (SELECT conv_id * 1000 + turn AS question_id, text FROM conversations WHERE role = 'user'),
+questions AS (SELECT question_id, CASE WHEN question_id % 17 = 0 THEN '' WHEN question_id % 19 = 0 THEN ' ' || chr(9) WHEN question_id % 23 = 0 THEN NULL
+                                       ELSE text END AS question FROM asked)
 SELECT question_id,
   CASE WHEN question IS NULL OR question = '' THEN 'rejected'
        WHEN {S.js_trim('question')} = '' THEN 'skipped' ELSE 'valid' END AS status,
@@ -141,7 +144,9 @@ SELECT question_id,
        WHEN {S.js_trim('question')} = '' THEN 'blank' END AS reason
 FROM questions""")
 def q_validate_questions(spark, sf):
-    q = X.questions(spark, sf)
+    # some questions arrive empty, blank or without text
+    k, q = F.col("question_id"), X.questions(spark, sf)
+    q = q.withColumn("question", F.when(k % 17 == 0, F.lit("")).when(k % 19 == 0, F.lit(" \t")).when(k % 23 == 0, F.lit(None)).otherwise(F.col("question")))
     req = F.col("question").isNull() | (F.col("question") == "")
     blank = T.js_trim(F.col("question")) == ""
     return q.select("question_id",

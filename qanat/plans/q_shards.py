@@ -21,6 +21,7 @@ from ..sources.tables import TABLES, table
 from . import fixtures as X
 from . import q_corpus as C
 from . import q_vectors as QV
+from . import oracle_values as O
 from . import sqlfrag as S
 from .registry import register
 
@@ -225,7 +226,7 @@ def q_shard_storage_alert(spark, sf):
 
 _HEALTH_SQL = X.QUERY_LOG_SQL + f""",
 cut AS (SELECT shard_id, min(ts) AS cut_ts FROM query_log
-        WHERE {' OR '.join(f"contains(error, {S.lit(p)})" for p in R.CONNECTION_ERROR_PATTERNS)} GROUP BY shard_id),
+        WHERE {' OR '.join(f"contains(error, {S.lit(p)})" for p in O.CONNECTION_ERRORS)} GROUP BY shard_id),
 kept AS (SELECT q.* FROM query_log q LEFT JOIN cut c ON q.shard_id = c.shard_id
          WHERE c.cut_ts IS NULL OR q.ts <= c.cut_ts),
 {_SPINE_SQL},

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import routing as R
 from ..functions import text as T
-from ..operators import answers as A
 from ..session import input_tag, scratch_path
-from ..sources import nested as N
 from ..streaming import jobs as SJ
 from . import fixtures as X
 from . import q_ask as QA
 from . import q_relational as QR
 from . import q_shards as QS
+from . import oracle_values as O
 from . import sqlfrag as S
 from .registry import register
 
@@ -47,7 +46,7 @@ srcs AS (SELECT question_id, count(*) AS n,
              url := '#', arabic := '', transliteration := '', audioUrl := '#') ORDER BY rank))::VARCHAR AS sj
          FROM hits GROUP BY question_id),
 ans AS (SELECT a.question_id, a.slug, q.question, a.answer, a.source FROM asked a JOIN questions q USING (question_id))
-SELECT question_id, 0 AS seq, 'thinking' AS type, {S.lit('{"message":"' + A.THINKING_MESSAGE + '"}')} AS data FROM ans
+SELECT question_id, 0 AS seq, 'thinking' AS type, {S.lit('{"message":"' + O.THINKING_MESSAGE + '"}')} AS data FROM ans
 UNION ALL
 SELECT s.question_id, 1, 'sources', '{{"sources":' || s.sj || ',"count":' || CAST(s.n AS VARCHAR) || '}}' FROM srcs s
 UNION ALL
@@ -58,10 +57,10 @@ UNION ALL
 SELECT question_id, 2 + (length(answer) + {SJ.CHUNK_CHARS - 1}) // {SJ.CHUNK_CHARS}, 'done',
        json_object('slug', slug, 'question', question, 'saved', true)::VARCHAR FROM ans WHERE source <> 'System'
 UNION ALL
-SELECT question_id, 1, 'done', json_object('message', {S.lit(A.NO_CONTEXT_STREAM_MESSAGE)}, 'slug', slug)::VARCHAR
+SELECT question_id, 1, 'done', json_object('message', {S.lit(O.NO_CONTEXT_STREAM_MESSAGE)}, 'slug', slug)::VARCHAR
 FROM ans WHERE source = 'System'
 UNION ALL
-SELECT question_id, 0, 'thinking', {S.lit('{"message":"' + A.THINKING_MESSAGE + '"}')} FROM blank
+SELECT question_id, 0, 'thinking', {S.lit('{"message":"' + O.THINKING_MESSAGE + '"}')} FROM blank
 UNION ALL
 SELECT question_id, 1, 'error', '{{"message":"Failed to process question","error":"Error: question is blank"}}' FROM blank""")
 def q_stream_ask_events(spark, sf):
