@@ -471,6 +471,9 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, bucket_bits: int |
     Trained on rows whose fold (crc32 of the id) is not ``held``; a null id is in
     fold 0. A null or empty text has one token, the end. Repeated rows are
     repeated and count again in training. Without training texts every count is 0.
+    ``score`` is the model's and follows its filters: with 8 bits a key and 4 probes about
+    one pair in forty that was never seen counts as seen, which also hides what its
+    bucket says. All other columns are exact.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
