@@ -18,7 +18,7 @@
    two of its three terms.
 
 All steps are joins and aggregations. Broadcast tables hold 64-bit hashes of at
-most BLOCK terms; a larger benchmark is worked off in blocks of that size.
+most BLOCK terms or pairs; a larger benchmark is worked off in blocks of that size.
 Documents are known by 128 hashed bits of (doc_id, text), so repeated rows share
 their matches and null ids need no special case.
 """
@@ -56,10 +56,19 @@ def windows_of(items: DataFrame, width: int, item_col: str, text_col: str) -> tu
     return distinct, each.join(distinct, ["phrase", "n"]).select("window_id", "item_id").distinct()
 
 
-def _blocks(terms: DataFrame) -> list[DataFrame]:
-    """``terms`` (h, ...) in parts of about BLOCK rows at most, each small enough to broadcast."""
+def _blocks(terms: DataFrame, key: str = "h") -> list[DataFrame]:
+    """``terms`` (a hash ``key`` and a few numbers) in parts of about BLOCK rows at most, each small enough to broadcast."""
     n = -(-terms.count() // (BLOCK // 2)) or 1
-    return [F.broadcast(terms.where(F.pmod("h", F.lit(n)) == i)) if n > 1 else F.broadcast(terms) for i in range(n)]
+    return [F.broadcast(terms.where(F.pmod(key, F.lit(n)) == i)) if n > 1 else F.broadcast(terms) for i in range(n)]
+
+
+def _met(postings: DataFrame, terms: DataFrame, key: str = "h") -> DataFrame:
+    """``postings`` joined to ``terms`` by hash, in place, block by block."""
+    out = None
+    for block in _blocks(terms.withColumnRenamed(key, "wanted"), "wanted"):
+        got = postings.join(block, F.col("h") == F.col("wanted"))
+        out = got if out is None else out.unionAll(got)
+    return out
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -119,7 +128,7 @@ def pairs_of(rare: DataFrame) -> tuple[DataFrame, DataFrame]:
 def meetings(postings: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
     """(k1, k2, pair_id, at, exact) wherever the far term of a pair stands within ``slop`` words of ``at``, the place
     that a posting of the near one gives it; ``exact``: at that place."""
-    asks = postings.join(pairs, F.col("h") == F.col("near_h")).select(*KEY, F.col("far_h").alias("h"), (F.col("pos") + F.col("delta")).alias("at"), "pair_id")
+    asks = _met(postings, pairs, "near_h").select(*KEY, F.col("far_h").alias("h"), (F.col("pos") + F.col("delta")).alias("at"), "pair_id")
     line = postings.select(*KEY, "h", F.col("pos").alias("at"), F.lit(None).cast("long").alias("pair_id")).unionAll(asks)
     per, until = Window.partitionBy(*KEY, "h"), (Window.unboundedPreceding, Window.currentRow)
     stands = F.when(F.col("pair_id").isNull(), F.col("at"))  # at one place the posting sorts first
@@ -133,7 +142,7 @@ def exact_matches(docs: DataFrame, windows: DataFrame, met: DataFrame, uses: Dat
     """(k1, k2, window_id, n, start) of every occurrence of a window."""
     columns = [*KEY, "window_id", "n", "start"]
     several = met.where("exact").join(uses.where("exact"), "pair_id").select(*KEY, "window_id", "n", (F.col("at") - F.col("far_off")).alias("start"))
-    single = postings.join(rare.where("alone").select("h", "window_id", "n"), "h").select(*KEY, "window_id", "n", F.col("pos").alias("start"))
+    single = _met(postings, rare.where("alone").select("h", "window_id", "n")).select(*KEY, "window_id", "n", F.col("pos").alias("start"))
     found = written(several.unionAll(single).where("start >= 0").distinct(), "decon-found")
     suspects = keyed(docs).join(found.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
     suspects = suspects.select(*KEY, words_of(F.col("text")).alias("words"))
