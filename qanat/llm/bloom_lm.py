@@ -38,7 +38,7 @@ PAIR_BITS, WORD_BITS = 27, 25  # bits of the two filters, as powers of two
 PROBES, BITS_PER_KEY = 4, 8
 FREQUENT = 1 << 18
 #: bits that name a pair inside its bucket
-PAIR_ID_BITS = 33
+PAIR_ID_BITS = 30
 #: tokens a task counts before it sends what it has
 FLUSH = 4_000_000
 #: text bytes of one batch that asks the buckets (one longer text is its own batch)
