@@ -153,7 +153,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def contract(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, languages): learned from fold 1 to 4 of 5, applied to all rows."""
+    """(doc_id, held_out, lang_pred, score, languages): learned from fold 1 to 4 of 5, applied to all rows.
+
+    Rows without text or language are not learned from; a null id counts as the
+    empty string and falls in fold 0. Ties between languages go to the first by name. Without anything to learn from every
+    row is ``und``. Repeated rows stay repeated and are learned from again."""
     fold = crc_fold(F.col("doc_id"))
     got = predict(docs, fit(docs, fold != 0))
     return got.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "languages")
