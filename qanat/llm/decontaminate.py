@@ -138,13 +138,24 @@ def meetings(postings: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
     return line.where(F.col("pair_id").isNotNull() & close).select(*KEY, "pair_id", "at", F.coalesce(F.col("before") == F.col("at"), F.lit(False)).alias("exact"))
 
 
+def narrowed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose (k1, k2) is not among ``keys``, so that few texts are shuffled to meet
+    them: a bitmap of k1 with 64 * BLOCK bits, at most BLOCK broadcast rows of 64 each whatever the number of keys.
+    Rows of the keys are never lost; with very many keys fewer others are dropped."""
+    bits = f"pmod(k1, {64 * BLOCK}L)"
+    cell, bit = f"{bits} div 64", f"shiftleft(1L, int({bits} % 64))"
+    marks = keys.select(F.expr(cell).alias("cell"), F.expr(bit).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("marks"))
+    return rows.join(F.broadcast(marks), F.expr(cell) == F.col("cell")).where(F.expr(f"(marks & {bit}) <> 0")).drop("cell", "marks")
+
+
 def exact_matches(docs: DataFrame, windows: DataFrame, met: DataFrame, uses: DataFrame, postings: DataFrame, rare: DataFrame) -> DataFrame:
     """(k1, k2, window_id, n, start) of every occurrence of a window."""
     columns = [*KEY, "window_id", "n", "start"]
     several = met.where("exact").join(uses.where("exact"), "pair_id").select(*KEY, "window_id", "n", (F.col("at") - F.col("far_off")).alias("start"))
     single = _met(postings, rare.where("alone").select("h", "window_id", "n")).select(*KEY, "window_id", "n", F.col("pos").alias("start"))
     found = written(several.unionAll(single).where("start >= 0").distinct(), "decon-found")
-    suspects = keyed(docs).join(found.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    keys = found.select(*KEY).distinct()
+    suspects = narrowed(keyed(docs), keys).join(keys, KEY, "left_semi").dropDuplicates(KEY)
     suspects = suspects.select(*KEY, words_of(F.col("text")).alias("words"))
     phrase = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")
     got = suspects.join(found, KEY).select(*columns, phrase.alias("phrase")).join(windows, ["window_id", "n", "phrase"]).select(*columns)

@@ -276,3 +276,13 @@ def test_op7_one_replaced_word_stays_near(spark):
     items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["nowhere", *words[1:]]))], "item_id long, text string")
     got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert all(got[k] == (0, 2) for k in range(20)) and got[20] == got[21] == (0, 0)
+
+
+def test_op7_narrowing_keeps_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 64)
+    rows = spark.range(20_000).selectExpr("xxhash64(id) k1", "id k2")
+    keys = rows.where("k2 % 100 = 7")
+    kept = decontaminate.narrowed(rows, keys)
+    assert kept.columns == rows.columns and kept.count() < 2_000
+    assert keys.join(kept, ["k1", "k2"], "left_anti").count() == 0
+    assert decontaminate.narrowed(rows, keys.limit(0)).count() == 0
