@@ -155,7 +155,8 @@ def exact_matches(docs: DataFrame, windows: DataFrame, met: DataFrame, uses: Dat
     single = _met(postings, rare.where("alone").select("h", "window_id", "n")).select(*KEY, "window_id", "n", F.col("pos").alias("start"))
     found = written(several.unionAll(single).where("start >= 0").distinct(), "decon-found")
     keys = found.select(*KEY).distinct()
-    suspects = narrowed(keyed(docs), keys).join(keys, KEY, "left_semi").dropDuplicates(KEY)
+    # an inner join, since a semi join would be moved below the narrowing
+    suspects = narrowed(keyed(docs), keys).join(keys, KEY).dropDuplicates(KEY)
     suspects = suspects.select(*KEY, words_of(F.col("text")).alias("words"))
     phrase = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ")
     got = suspects.join(found, KEY).select(*columns, phrase.alias("phrase")).join(windows, ["window_id", "n", "phrase"]).select(*columns)
@@ -169,7 +170,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 4, i
     windows, owners = windows_of(items, width, item_col, text_col)
     rare = rarest_terms(windows, docs)
     stored = index(docs, rare)
-    postings = stored.where("h is not null").select(*KEY, "h", "pos").distinct()
+    postings = written(stored.where("h is not null").select(*KEY, "h", "pos").distinct(), "decon-postings")  # read twice
     pairs, uses = pairs_of(rare)
     met = written(meetings(postings, pairs, slop), "decon-met")
     exact = exact_matches(docs, windows, met, uses, postings, rare).join(owners, "window_id").select(*KEY, "start", "n", "item_id")
@@ -205,7 +206,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     inner = id_text(docs, id_col, text_col)
     windows, _ = windows_of(items, width, item_col, "text")
     rare = rarest_terms(windows, inner, keep=2).where("whole")  # no other window can occur
-    postings = index(inner, rare).where("h is not null").select(*KEY, "h", "pos").distinct()
+    postings = written(index(inner, rare).where("h is not null").select(*KEY, "h", "pos").distinct(), "decon-postings")
     pairs, uses = pairs_of(rare)
     hit = exact_matches(inner, windows, meetings(postings, pairs, 0), uses, postings, rare).select(*KEY).distinct()
     a, b = row_key(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
