@@ -13,7 +13,7 @@ query is sent only to the cells whose bound reaches its floor, and a block retur
 what reaches it. With pruning off every query goes to every cell; the result is equal.
 
 Approximate search. A query goes to its ``nprobe`` nearest cells, only their folders
-are read, and candidates are scored exactly.
+are read (unless it probes half of them or more), and candidates are scored exactly.
 
 Both are one plan: queries are packed per cell, meet the cell's blocks in an equi-join
 (neither side is collected; AQE splits a hot cell), one matrix product per pair of
@@ -117,6 +117,10 @@ class Directory:
             near = np.argsort(-np.round(s, SCORE_DIGITS), axis=1, kind="stable")[:, :nprobe]
             sent = np.zeros(s.shape, bool)
             np.put_along_axis(sent, near, True, axis=1)
+            if k <= min(nprobe, s.shape[1]):
+                # the k best pivots are members of probed cells (but a zero one, which lies anywhere)
+                own = np.where(np.abs(self.pivots).max(axis=1) > 0, s, -np.inf)
+                floor = np.partition(own, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - SLACK
         elif prune and s.shape[1] >= k:
             floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - SLACK
             gap = np.arccos(np.clip(s, -1, 1)) - np.arccos(np.clip(self.closest, -1, 1))
@@ -259,11 +263,12 @@ def search(queries: DataFrame, index: VectorIndex, k: int, q_id: str = "qid", q_
            prune: bool = True) -> DataFrame:
     """(qid, rank, did, score): the top k of every query, exact, or among its ``nprobe`` nearest cells."""
     sc = queries.sparkSession.sparkContext
-    shared = sc.broadcast(index.directory())
+    directory = index.directory()
+    shared = sc.broadcast(directory)
     q = _usable(queries, q_id, q_vec, index.dim)
     sent = q.mapInArrow(_send(shared, index.dim, k, nprobe, prune), "cell int, qids array<long>, queries binary, floors array<double>")
     blocks = index.blocks
-    if nprobe is not None:  # read the folders of probed cells only; one row a cell comes back
+    if nprobe is not None and 2 * nprobe < len(directory.n):  # read the folders of probed cells only; one row a cell comes back
         blocks = blocks.where(F.col("cell").isin([r["cell"] for r in sent.select("cell").distinct().collect()]))
     # a merge join: Spark's estimate of the packed queries is that of the queries, too low to choose a broadcast by
     met = sent.hint("merge").join(blocks.select("cell", "ids", "vectors"), "cell").select("qids", "queries", "floors", "ids", "vectors")

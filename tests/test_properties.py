@@ -63,6 +63,25 @@ def test_probing_every_cell_equals_exact_and_few_read_few_folders(spark):
     assert one.count() == 5
 
 
+def test_probing_ranks_all_of_its_cells(spark):
+    """Against a plain search of the probed cells, with equal and zero vectors among the pivots."""
+    rng = np.random.default_rng(3)
+    mat = rng.standard_normal((90, 6))
+    mat[::9], mat[1::9] = 0, mat[2]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(mat)], "id long, v array<double>")
+    index = K.build_index(v, "id", "v", nlist=12)
+    pivots = index.directory().pivots
+    unit = K.unit_rows(mat)
+    near = np.argsort(-np.round(unit @ pivots.T, 9), axis=1, kind="stable")
+    score = np.round(unit @ unit.T, 9)
+    for nprobe in (2, 5, 9):
+        want = set()
+        for q in range(90):
+            among = [d for d in range(90) if near[d, 0] in near[q, :nprobe]]
+            want |= {(q, d, r + 1) for r, d in enumerate(sorted(among, key=lambda d: (-score[q, d], d))[:4])}
+        assert {(r["qid"], r["did"], r["rank"]) for r in K.ann_topk(v, index, 4, nprobe, "id", "v").collect()} == want
+
+
 def test_ann_recall(spark):
     e = table(spark, SF_MID, "embeddings", "vec_id", "embedding")
     index = K.build_index(e, "vec_id", "embedding")
