@@ -68,7 +68,7 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int, doc_vectors: DataF
     index = doc_vectors
     if not isinstance(index, K.VectorIndex):
         index = K.build_index(index_vectors(corpus, embedder) if index is None else index, "id", "embedding", dim=embedder.dimension)
-    hits = K.search(qv, index, k, q_id="question_id", q_vec="embedding", nprobe=nprobe)
+    hits = K.search(qv, index, k, q_id="question_id", q_vec="embedding", nprobe=nprobe, n_queries=questions.count())
     meta = corpus.select("id", "source", "text", "type")
     return (hits.join(meta, hits.did == meta.id, "inner")
             .select(F.col("qid").alias("question_id"), "rank", "id", "score", "source", "text", "type"))

@@ -15,10 +15,12 @@ what reaches it. With pruning off every query goes to every cell; the result is
 Approximate search. A query goes to its ``nprobe`` nearest cells, only their folders
 are read (unless it probes half of them or more), and candidates are scored exactly.
 
-Both are one plan: queries are packed per cell, meet the cell's blocks in an equi-join
-(neither side is collected; AQE splits a hot cell), one matrix product per pair of
-packed rows keeps the local top-k, and ``row_number() <= k`` (WindowGroupLimit)
-merges. No cross join, no pair rows, and no plan that depends on sizes.
+Both are one plan: queries and blocks are dealt into a few groups each, every pair of
+groups is a task, which holds its queries (at most HELD_BYTES), lets its blocks pass and
+keeps the running top-k of each query; ``row_number() <= k`` (WindowGroupLimit) merges
+the tasks. A row is moved once for every group of the other side, whose number is
+fixed, so what is moved grows with the tables and not with the pairs. No cross join, no
+pair rows, and neither side is collected.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ from ..session import fs_exists, scratch_path
 SCORE_DIGITS = 9
 #: rows of a packed block of the index, and of packed queries
 BLOCK_ROWS, QUERY_ROWS = 1024, 512
+#: groups of queries and of blocks at most, rows for which a group of its own is made, and
+#: bytes of queries that a task holds
+TILES, TILE_ROWS, HELD_BYTES = 8, 512, 64 << 20
+#: queries that are multiplied with a block at once, and pairs scored at once
+TILE_STEP, SCORE_STEP = 2048, 1 << 16
 #: the pivots are broadcast: more than this many bytes of them are never chosen
 PIVOT_BYTES = 64 << 20
 #: bounds are compared with this much to spare for rounding
@@ -207,48 +214,139 @@ def open_index(spark: SparkSession, root: str) -> VectorIndex | None:
 
 # ------------------------------------------------------------------ search --
 
-def _send(shared, dim: int, k: int, nprobe: int | None, prune: bool):
+def tiles(n_queries: int, n_rows: int, dim: int) -> tuple[int, int]:
+    """(groups of queries, groups of blocks): at most TILES each, so what is moved grows with the
+    tables alone; more groups of queries only where one would not fit into HELD_BYTES."""
+    few = lambda n: max(1, min(TILES, math.ceil(n / TILE_ROWS)))
+    return max(few(n_queries), math.ceil(n_queries * dim * 8 / HELD_BYTES)), few(n_rows)
+
+
+def _probed(shared, dim: int, k: int, nprobe: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sent, _ = shared.value.targets(_matrix(b.column(1), dim), k, nprobe, False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sent.any(axis=0)), pa.int32())], ["cell"])
+    return run
+
+
+def _send(shared, dim: int, k: int, nprobe: int | None, prune: bool, groups: int):
+    """Queries in packs of a group each, with the score to reach and a bit for every cell that they are sent to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, m = b.column(0).to_numpy(), _matrix(b.column(1), dim)
             sent, floor = shared.value.targets(m, k, nprobe, prune)
-            out = []
-            for cell in np.flatnonzero(sent.any(axis=0)):
-                rows = np.flatnonzero(sent[:, cell])
-                out += [(cell, rows[at:at + QUERY_ROWS]) for at in range(0, len(rows), QUERY_ROWS)]
-            for at in range(0, len(out), 64):
-                part = out[at:at + 64]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in part], pa.int32()), pa.array([ids[r] for _, r in part], pa.list_(pa.int64())),
-                     pa.array([m[r].tobytes() for _, r in part], pa.binary()), pa.array([floor[r] for _, r in part], pa.list_(pa.float64()))],
-                    ["cell", "qids", "queries", "floors"])
+            bits = np.packbits(sent, axis=1)
+            # a function of the row: a task that is run again deals them out alike
+            mixed = (ids.astype(np.uint64) ^ np.ascontiguousarray(m).view(np.uint64)[:, 0]) * np.uint64(0x9E3779B97F4A7C15)
+            group = (mixed >> np.uint64(33)) % np.uint64(groups)
+            for g in range(groups):
+                rows = np.flatnonzero((group == g) & sent.any(axis=1))
+                for at in range(0, len(rows), QUERY_ROWS):
+                    r = rows[at:at + QUERY_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g], pa.int32()), pa.array([ids[r]], pa.list_(pa.int64())), pa.array([m[r].tobytes()], pa.binary()),
+                         pa.array([floor[r]], pa.list_(pa.float64())), pa.array([bits[r].tobytes()], pa.binary())],
+                        ["qg", "ids", "vectors", "floors", "bits"])
     return run
 
 
-def best_of_each(scores: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of at most k entries of each row that reach its floor, best first (rounded score, then id)."""
-    r = np.round(scores, SCORE_DIGITS)
-    keep = r >= floor[:, None]
-    if r.shape[1] > k:
-        keep &= r >= np.partition(r, r.shape[1] - k, axis=1)[:, r.shape[1] - k, None]  # ties are cut below
-    rows, cols = np.nonzero(keep)
-    order = np.lexsort((ids[cols], -r[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    return rows[place < k], cols[place < k]
+def best_of_each(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of at most k entries of each row, by row, best first (rounded score, then id)."""
+    order = np.lexsort((ids, -np.round(scores, SCORE_DIGITS), rows))
+    own = rows[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
+
+
+class _Tile:
+    """A group of queries, which are held, against blocks as they come: the running top k of each query."""
+
+    def __init__(self, dim: int, k: int):
+        self.dim, self.k = dim, k
+        self.packs: list[tuple] = []
+        self.best: tuple | None = None
+        self.found: list[tuple] = []
+
+    def add_queries(self, ids, vectors, floors, bits) -> None:
+        n = len(ids)
+        self.packs.append((ids, np.frombuffer(vectors).reshape(n, self.dim), floors, np.frombuffer(bits, np.uint8).reshape(n, -1)))
+
+    def _ready(self) -> None:
+        self.ids, self.q, self.floor, bits = (np.concatenate(c) for c in zip(*self.packs))
+        self.packs = []
+        self.q32, self.cells = self.q.astype(np.float32), np.ascontiguousarray(bits.T)
+        # single precision chooses, with its rounding to spare; double precision scores what it has chosen
+        self.spare = (self.dim + 4) * 2.0 ** -23
+        none = np.zeros(0, np.int64)
+        self.best = (none, none, np.zeros(0))
+
+    def add_block(self, cell: int, ids, vectors) -> None:
+        if self.best is None:
+            if not self.packs:
+                return
+            self._ready()
+        rows = np.flatnonzero((self.cells[cell >> 3] >> (7 - (cell & 7))) & 1)
+        block = np.frombuffer(vectors).reshape(len(ids), self.dim)
+        turned = block.astype(np.float32).T
+        for at in range(0, len(rows), TILE_STEP):
+            r = rows[at:at + TILE_STEP]
+            whole = slice(r[0], r[0] + len(r)) if r[-1] - r[0] + 1 == len(r) else r
+            low = (self.floor[whole] - self.spare).astype(np.float32)
+            hit = np.flatnonzero(self.q32[whole] @ turned >= low[:, None])
+            if len(hit):
+                self._keep(r, *np.divmod(hit, len(ids)), ids, block)
+        if sum(len(f[0]) for f in self.found) > max(len(self.ids) * self.k, TILE_STEP):
+            self._merge()
+
+    def _keep(self, r, own, col, ids, block) -> None:
+        score = np.empty(len(own))
+        for at in range(0, len(own), SCORE_STEP):
+            s = slice(at, at + SCORE_STEP)
+            score[s] = np.einsum("ij,ij->i", self.q[r[own[s]]], block[col[s]])
+        row = r[own]
+        good = np.round(score, SCORE_DIGITS) >= self.floor[row]
+        row, did, score = row[good], ids[col[good]], score[good]
+        if len(row) > 4 * self.k * len(r):  # a floor that holds nothing back yet
+            best = best_of_each(row, did, score, self.k)
+            row, did, score = row[best], did[best], score[best]
+            self._raise(row, score)
+        self.found.append((row, did, score))
+
+    def _raise(self, row, score) -> None:
+        """The floors of the rows that have k entries; entries are by row, best first."""
+        last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == self.k - 1)
+        self.floor[row[last]] = np.maximum(self.floor[row[last]], np.round(score[last], SCORE_DIGITS))
+
+    def _merge(self) -> None:
+        row, did, score = (np.concatenate(c) for c in zip(self.best, *self.found))
+        best = best_of_each(row, did, score, self.k)
+        self.best, self.found = (row[best], did[best], score[best]), []
+        self._raise(self.best[0], self.best[2])
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.best is None:
+            return
+        self._merge()
+        row, did, score = self.best
+        for at in range(0, len(row), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[row[s]]), pa.array(did[s]), pa.array(score[s])], ["qid", "did", "score"])
 
 
 def _meet(dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, at = None, None
         for b in batches:
-            out = []
-            for qids, queries, floors, ids, vectors in zip(*(b.column(i) for i in range(5))):
-                qids, ids = qids.values.to_numpy(), ids.values.to_numpy()
-                s = np.frombuffer(queries.as_buffer()).reshape(-1, dim) @ np.frombuffer(vectors.as_buffer()).reshape(-1, dim).T
-                rows, cols = best_of_each(s, ids, floors.values.to_numpy(), k)
-                out.append((qids[rows], ids[cols], s[rows, cols]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["qid", "did", "score"])
+            for number, ids, vectors, floors, bits, cell in zip(*(b.column(i) for i in (0, 2, 3, 4, 5, 6))):
+                if number.as_py() != at:
+                    if tile:
+                        yield from tile.result()
+                    tile, at = _Tile(dim, k), number.as_py()
+                if cell.is_valid:
+                    tile.add_block(cell.as_py(), ids.values.to_numpy(), vectors.as_buffer())
+                else:  # held beyond their batch
+                    tile.add_queries(ids.values.to_numpy().copy(), vectors.as_py(), floors.values.to_numpy().copy(), bits.as_py())
+        if tile:
+            yield from tile.result()
     return run
 
 
@@ -260,18 +358,27 @@ def final_topk(cands: DataFrame, k: int) -> DataFrame:
 
 
 def search(queries: DataFrame, index: VectorIndex, k: int, q_id: str = "qid", q_vec: str = "qvec", nprobe: int | None = None,
-           prune: bool = True) -> DataFrame:
-    """(qid, rank, did, score): the top k of every query, exact, or among its ``nprobe`` nearest cells."""
+           prune: bool = True, n_queries: int | None = None) -> DataFrame:
+    """(qid, rank, did, score): the top k of every query, exact, or among its ``nprobe`` nearest cells.
+    ``n_queries`` is about their number, where counting them here would be dear."""
     sc = queries.sparkSession.sparkContext
     directory = index.directory()
     shared = sc.broadcast(directory)
     q = _usable(queries, q_id, q_vec, index.dim)
-    sent = q.mapInArrow(_send(shared, index.dim, k, nprobe, prune), "cell int, qids array<long>, queries binary, floors array<double>")
     blocks = index.blocks
     if nprobe is not None and 2 * nprobe < len(directory.n):  # read the folders of probed cells only; one row a cell comes back
-        blocks = blocks.where(F.col("cell").isin([r["cell"] for r in sent.select("cell").distinct().collect()]))
-    # a merge join: Spark's estimate of the packed queries is that of the queries, too low to choose a broadcast by
-    met = sent.hint("merge").join(blocks.select("cell", "ids", "vectors"), "cell").select("qids", "queries", "floors", "ids", "vectors")
+        probed = q.mapInArrow(_probed(shared, index.dim, k, nprobe), "cell int").distinct()
+        blocks = blocks.where(F.col("cell").isin([r["cell"] for r in probed.collect()]))
+    a, b = tiles(queries.count() if n_queries is None else n_queries, int(directory.n.sum()), index.dim)
+    sent = q.mapInArrow(_send(shared, index.dim, k, nprobe, prune, a),
+                        "qg int, ids array<long>, vectors binary, floors array<double>, bits binary")
+    place = (F.col("qg") * b + F.col("bg")).alias("tile")
+    asked = sent.select("*", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("bg")).select(
+        place, F.lit(0).alias("side"), "ids", "vectors", "floors", "bits", F.lit(None).cast("int").alias("cell"))
+    # blocks are dealt by what they hold, so a hot cell is spread over all groups
+    stored = blocks.select("*", F.pmod(F.xxhash64("cell", "ids"), F.lit(b)).cast("int").alias("bg"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("qg")).select(
+        place, F.lit(1).alias("side"), "ids", "vectors", F.lit(None).cast("array<double>").alias("floors"), F.lit(None).cast("binary").alias("bits"), "cell")
+    met = asked.unionByName(stored).repartitionById(a * b, "tile").sortWithinPartitions("tile", "side")
     found = met.mapInArrow(_meet(index.dim, k), "qid long, did long, score double")
     return final_topk(found, k).select("qid", "rank", "did", "score")
 

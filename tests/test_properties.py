@@ -183,3 +183,36 @@ def test_snapshot_key_follows_its_input(spark, tmp_path):
     assert input_tag(str(tmp_path)) == first
     df.write.mode("append").parquet(f"{tmp_path}/t.parquet")
     assert input_tag(str(tmp_path)) != first
+
+
+def test_what_a_search_moves_grows_with_the_tables(spark):
+    """A row is copied once for each group of the other side, of which there are at most TILES at any size
+    (a copy for each probed cell grew with the root of the table); nothing joins queries to blocks."""
+    assert [K.tiles(n, n, 64) for n in (100, 2_000, 100_000, 1_000_000)] == [(1, 1), (4, 4), (8, 8), (8, 8)]
+    assert K.tiles(8_000_000, 10, 64) == (62, 1)  # queries of a task stay within HELD_BYTES
+    rng = np.random.default_rng(5)
+    mat = rng.standard_normal((1500, 8))
+    mat[::50] = mat[1]  # copies: ties go by id, across groups
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(mat)], "id long, v array<double>")
+    index = K.build_index(v, "id", "v")
+    got = K.search(v, index, 4, "id", "v")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["qid"], r["did"], r["rank"]) for r in got.collect()} == brute_topk(np.arange(1500), mat, 4)
+
+
+def test_tile_keeps_the_best_of_every_query(monkeypatch):
+    """Small steps, floors that hold nothing back, cells that are not asked for, and more ties than places."""
+    monkeypatch.setattr(K, "TILE_STEP", 7)
+    monkeypatch.setattr(K, "SCORE_STEP", 5)
+    rng = np.random.default_rng(6)
+    q, d = K.unit_rows(rng.standard_normal((40, 6))), K.unit_rows(rng.integers(-1, 2, (300, 6)).astype(float))
+    sent = rng.random((40, 10)) < 0.6
+    t = K._Tile(6, 3)
+    for at in range(0, 40, 16):
+        s = slice(at, at + 16)
+        t.add_queries(np.arange(40)[s], q[s].tobytes(), np.full(len(q[s]), -np.inf), np.packbits(sent[s], axis=1).tobytes())
+    for cell in rng.permutation(10):
+        t.add_block(int(cell), np.arange(300)[cell::10], d[cell::10].tobytes())
+    score = np.round(q @ d.T, 9)
+    want = {(i, j) for i in range(40) for j in sorted((j for j in range(300) if sent[i, j % 10]), key=lambda j: (-score[i, j], j))[:3]}
+    assert {(r["qid"], r["did"]) for b in t.result() for r in b.to_pylist()} == want
