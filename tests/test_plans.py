@@ -134,3 +134,11 @@ def test_identity_links_fold_the_events_of_one_email(spark):
         1: ("linked", "g1", "Ann"), 2: ("unchanged", "g1", "Ann"), 3: ("unchanged", "g-b", "Ben"), 4: ("inserted", "g6", "Early"),
         5: ("unchanged", "g6", "Early"), 6: ("unchanged", "g6", "Early"), 7: ("rejected", "g7", "n"), 8: ("rejected", None, "n")}
     assert sorted(tuple(r) for r in after.collect()) == [("a", "Ann", "g1"), ("b", "Ben", "g-b"), ("c", "Early", "g6")]
+
+
+def test_the_pair_filter_keeps_every_odd_ayah_of_its_surah(spark):
+    c = table(spark, SF_SMALL, "customer", "c_custkey", "c_nationkey").where("c_nationkey = 3 AND c_custkey % 2 = 1")
+    got = QUERIES["filter_eq2"](spark, SF_SMALL)
+    assert {r["ayah"] for r in got.collect()} == {r["c_custkey"] for r in c.collect()}
+    p = plan(got)
+    assert "surah" in p.split("PartitionFilters: [")[1].split("]")[0]
