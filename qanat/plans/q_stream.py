@@ -34,13 +34,9 @@ def _questions_by_arrival(spark, sf):
     return q.withColumn("part", part)
 
 
-# every thirteenth question arrives blank (T4: an error event, and the others go on)
-_ASKED = QA.retrieve_sql(SJ.STREAM_K).replace("WHERE role = 'user'", "WHERE role = 'user' AND (conv_id * 1000 + turn) % 13 <> 0", 1)
-
-
 @register("stream_ask_events", f"""
-WITH {_ASKED},
-blank AS (SELECT conv_id * 1000 + turn AS question_id FROM conversations WHERE role = 'user' AND (conv_id * 1000 + turn) % 13 = 0),
+WITH {QA.retrieve_sql(SJ.STREAM_K)},
+blank AS (SELECT -1 - question_id AS question_id FROM questions WHERE question_id % 13 = 0),
 srcs AS (SELECT question_id, count(*) AS n,
            to_json(list(struct_pack(citation := source, type := {S.classify_source('source')}, text := text,
              url := '#', arabic := '', transliteration := '', audioUrl := '#') ORDER BY rank))::VARCHAR AS sj
@@ -64,8 +60,12 @@ SELECT question_id, 0, 'thinking', {S.lit('{"message":"' + O.THINKING_MESSAGE +
 UNION ALL
 SELECT question_id, 1, 'error', '{{"message":"Failed to process question","error":"Error: question is blank"}}' FROM blank""")
 def q_stream_ask_events(spark, sf):
+    """Every question is asked. Beside each thirteenth a blank one arrives, under an id of its own (T4: an
+    error event, and the others go on)."""
     run = scratch_path(spark, "stream-ask")
-    q = _questions_by_arrival(spark, sf).withColumn("question", F.when(F.col("question_id") % 13 == 0, F.lit(" \t ")).otherwise(F.col("question")))
+    q = _questions_by_arrival(spark, sf)
+    blank = q.where(F.col("question_id") % 13 == 0).select((-1 - F.col("question_id")).alias("question_id"), F.lit(" \t ").alias("question"), "part")
+    q = q.unionByName(blank)
     qdir = SJ.land_files(q, f"{run}/in", "part", PARTS)
     return SJ.stream_ask_events(spark, qdir, "question_id long, question string", X.doc_corpus(spark, sf),
                                 doc_index(spark, sf), f"{run}/out", f"{run}/ckpt")

@@ -197,3 +197,13 @@ def test_index_stream_embeds_changed_texts_again(spark):
         out = SJ.stream_index(spark, f"{run}/in", schema, none, f"{run}/t", f"{run}/ck", as_of, payload, R.shard_route, compact_every=1).collect()
         seen = [(r["text"], r["created_at"].day, r["updated_at"].day) for r in out]
         assert seen == [(text, 1, {"2024-01-03": 2}.get(as_of, int(as_of[-1])))]
+
+
+def test_stream_asks_every_question(spark):
+    from qanat.plans import fixtures as X
+    from qanat.plans.catalog import QUERIES
+    from tests.conftest import SF_SMALL
+    asked = {r["question_id"] for r in X.questions(spark, SF_SMALL).collect()}
+    ev = QUERIES["stream_ask_events"](spark, SF_SMALL).select("question_id", "type").collect()
+    assert {r["question_id"] for r in ev if r["type"] == "done"} == asked
+    assert {r["question_id"] for r in ev if r["type"] == "error"} == {-1 - i for i in asked if i % 13 == 0} != set()
