@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import cut_lineage, fs_delete, scratch_path
 from . import embedding as E
 from . import merge as M
 from . import topk as K
@@ -58,6 +58,17 @@ def index_vectors(corpus: DataFrame, embedder: E.Embedder = DEFAULT_EMBEDDER) ->
     return E.embed(corpus.select("id", "text"), "id", "text", embedder)
 
 
+def index_corpus(corpus: DataFrame, embedder: E.Embedder = DEFAULT_EMBEDDER, root: str | None = None) -> K.VectorIndex:
+    """The index of the documents. Their vectors are written first: a build reads them several times, and
+    each text is to be embedded once."""
+    spark = corpus.sparkSession
+    path = scratch_path(spark, "index-vectors")
+    index_vectors(corpus, embedder).write.parquet(path)
+    index = K.build_index(spark.read.schema("id long, embedding array<double>").parquet(path), "id", "embedding", root, dim=embedder.dimension)
+    fs_delete(spark, path)
+    return index
+
+
 def retrieve(questions: DataFrame, corpus: DataFrame, k: int, doc_vectors: DataFrame | K.VectorIndex | None = None,
              embedder: E.Embedder = DEFAULT_EMBEDDER, nprobe: int | None = None) -> DataFrame:
     """(question_id, rank, id, score, source, text, type) -- top-k documents
@@ -67,7 +78,7 @@ def retrieve(questions: DataFrame, corpus: DataFrame, k: int, doc_vectors: DataF
     qv = embed_questions(questions, embedder=embedder)
     index = doc_vectors
     if not isinstance(index, K.VectorIndex):
-        index = K.build_index(index_vectors(corpus, embedder) if index is None else index, "id", "embedding", dim=embedder.dimension)
+        index = index_corpus(corpus, embedder) if index is None else K.build_index(index, "id", "embedding", dim=embedder.dimension)
     hits = K.search(qv, index, k, q_id="question_id", q_vec="embedding", nprobe=nprobe, n_queries=questions.count())
     meta = corpus.select("id", "source", "text", "type")
     return (hits.join(meta, hits.did == meta.id, "inner")

@@ -23,7 +23,7 @@ _tag = input_tag
 def doc_index(spark, sf):
     """Index of the documents' vectors: built once per input and written to the
     shared folder (load once, reuse), then opened by every ask job."""
-    return QV.stored_index(spark, f"doc-index-{_tag(sf)}", lambda: A.index_vectors(X.doc_corpus(spark, sf)), "id", "embedding")
+    return QV.stored_index(spark, f"doc-index-{_tag(sf)}", lambda root: A.index_corpus(X.doc_corpus(spark, sf), root=root))
 
 
 def retrieve_sql(k):

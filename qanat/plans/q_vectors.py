@@ -32,14 +32,14 @@ ranked AS (
 def vector_index(spark, sf):
     """The index of the embeddings: built once per input, then opened (load once, reuse)."""
     e = table(spark, sf, "embeddings", "vec_id", "embedding")
-    return stored_index(spark, f"vector-index-{input_tag(sf)}", lambda: e, "vec_id", "embedding")
+    return stored_index(spark, f"vector-index-{input_tag(sf)}", lambda root: K.build_index(e, "vec_id", "embedding", root))
 
 
-def stored_index(spark, name, vectors, id_col, vec_col):
-    """The index committed under ``name`` in the shared folder, built from ``vectors()`` where there is none."""
+def stored_index(spark, name, build):
+    """The index committed under ``name`` in the shared folder, made by ``build(root)`` where there is none."""
     from ..sources import nested as N
     root = N.materialized_path(spark, name)
-    return K.open_index(spark, root) or K.build_index(vectors(), id_col, vec_col, root)
+    return K.open_index(spark, root) or build(root)
 
 
 def embedding_topk(spark, sf, k=TOPK):

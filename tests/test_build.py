@@ -156,3 +156,25 @@ def test_categories_are_found_or_created_and_answers_saved_twice_are_one(spark):
     assert rows(a1) == rows(a2)
     assert {r["slug"]: r["name"] for r in c1.collect()}["quran"] == "The Book" and not c2.where("created").count()
     assert "Quran" not in {r["category"] for r in a1.collect()}
+
+
+def test_an_index_build_embeds_each_document_once(spark, tmp_path):
+    from qanat.operators import answers as A
+    from qanat.operators import embedding as E
+
+    class Counting(E.HashEmbedder):
+        def open(self):
+            inner = super().open()
+
+            def run(texts):
+                import uuid
+                with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+                    f.write("\n".join(texts))
+                return inner(texts)
+            return run
+
+    docs = spark.createDataFrame([(i, f"text {i} of {i % 7}", "s", "t") for i in range(50)], "id long, text string, source string, type string")
+    index = A.index_corpus(docs, Counting())
+    assert index.cells.agg(F.sum("n")).first()[0] == 50
+    seen = [x for f in tmp_path.iterdir() for x in f.read_text().split("\n")]
+    assert sorted(seen) == sorted(f"text {i} of {i % 7}" for i in range(50))
