@@ -8,38 +8,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_root
-
 
 def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id",
                  num_partitions: int | None = None) -> DataFrame:
     """Dense 0-based position of every row in the total order ``order_cols``
-    (which must be unique), computed without a single-task window:
-
-    1. range-partition + sort within partitions, tag each row with its
-       partition id and ``monotonically_increasing_id`` (partition id in the
-       upper bits, local position in the lower 33 bits);
-    2. reliable ``checkpoint`` so both passes see the same partitioning;
-    3. per-partition counts (one row per partition) -> running offsets;
-    4. id = offset[partition] + local position, the offsets joined by partition.
+    (which must be unique; rows that are equal in them go by a hash of the row),
+    computed without a single-task window and with one shuffle of the rows:
+
+    1. range-partition the order columns alone and count each range: its least key
+       and the number of rows come back (one row a range);
+    2. send every row to the range that its key lies in, sort within the range;
+    3. id = rows of the ranges before + local position (``monotonically_increasing_id``
+       without the partition id in its upper bits).
+
+    The ranges are fixed values by then, so nothing has to be checkpointed.
     """
     spark = df.sparkSession
-    shared_root(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    counts = sorted((r["__pid"], r["n"]) for r in
-                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, run = [], 0
-    for pid, cnt in counts:
-        offsets.append((pid, run))
-        run += cnt
-    offsets = spark.createDataFrame(offsets, "__pid int, __off long")  # one row a partition
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return (ranged.join(F.broadcast(offsets), "__pid").withColumn(id_col, (F.col("__off") + local).cast("long"))
-            .select(*[c for c in df.columns if c != id_col], id_col))
+    key = F.struct(*order_cols)
+    ranges = sorted(((r["__pid"], r["k"], r["n"]) for r in df.select(key.alias("__k")).repartitionByRange(n, "__k")
+                     .withColumn("__pid", F.spark_partition_id()).groupBy("__pid")
+                     .agg(F.min("__k").alias("k"), F.count(F.lit(1)).alias("n")).collect()), key=lambda r: r[0])
+    names = [c for c in df.columns if c != id_col]
+    if not ranges:
+        return df.select(*names, F.lit(0).cast("long").alias(id_col))
+    kind = {c: df.schema[c].dataType for c in order_cols}
+    starts = F.array(*[F.struct(*[F.lit(k[c]).cast(kind[c]).alias(c) for c in order_cols]) for _, k, _ in ranges])
+    before = F.array(*[F.lit(sum(r[2] for r in ranges[:i])).cast("long") for i in range(len(ranges))])
+    # a key below the least one cannot be: the first range takes what there is
+    place = F.greatest(F.size(F.filter(starts, lambda s: s <= key)) - 1, F.lit(0))
+    dealt = df.withColumn("__pid", place).repartitionById(len(ranges), "__pid").sortWithinPartitions(*order_cols, F.xxhash64(*df.columns))
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn(id_col, F.element_at(before, F.col("__pid") + 1) + local).select(*names, id_col)
 
 
 def proportional_quota(counts: DataFrame, max_documents: int | None, key: str = "type",

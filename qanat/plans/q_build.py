@@ -54,7 +54,7 @@ def collection_files(spark, sf):
         return volumes.select(F.concat("lang", F.lit("-"), F.col("volume").cast("string")).alias("collection"),
                               F.struct(F.struct(title.alias("title")).alias("english")).alias("metadata"), listed.alias("chapters"), "hadiths")
     name = f"fx-collections-{input_tag(sf)}"
-    N.materialize(spark, name, build, fmt="json")
+    N.materialize(spark, name, build, fmt="json", codec="gzip")
     schema = StructType([StructField("collection", StringType()), *N.COLLECTION_FILE.fields])
     return N.json_lines(spark, schema, N.materialized_path(spark, name))
 
@@ -98,7 +98,7 @@ def verse_files(spark, sf):
                          F.concat(F.lit("Surah"), k).alias("englishName"), F.lit("").alias("englishNameTranslation"), "ayahs")
         return g.select(F.struct(F.array(surah).alias("surahs")).alias("data"))
     name = f"fx-surahs-{input_tag(sf)}"
-    N.materialize(spark, name, build, fmt="json")
+    N.materialize(spark, name, build, fmt="json", codec="gzip")
     return N.json_lines(spark, N.VERSES_FILE, N.materialized_path(spark, name))[0]
 
 
@@ -115,7 +115,7 @@ def source_documents(spark, sf):
 
 def corpus_documents(spark, sf):
     """(id, type, source, text, metadata), written once per input."""
-    return N.materialize(spark, f"corpus-documents-{input_tag(sf)}", lambda: CO.numbered(source_documents(spark, sf)))
+    return N.materialize(spark, f"corpus-documents-{input_tag(sf)}", lambda: CO.numbered(source_documents(spark, sf)), codec="zstd")
 
 
 DOCUMENTS_SQL = f"""{HADITH_SQL}, {C._GRID_SQL},
@@ -188,7 +188,8 @@ def q_build_corpus_index(spark, sf):
 WITH {_BUILT_SQL}
 SELECT id, type, metadata, round(v0, 6) AS v0, round(v1, 6) AS v1, (SELECT max(id) FROM built) AS max_id FROM built""")
 def q_load_corpus_index(spark, sf):
-    t = N.materialize(spark, f"corpus-index-{input_tag(sf)}", lambda: built(spark, sf).hint("rebalance", "shard_id"), partition_by=["shard_id"])
+    # written where the rows lie after the upsert: every task has its part of each of the two shards
+    t = N.materialize(spark, f"corpus-index-{input_tag(sf)}", lambda: built(spark, sf), partition_by=["shard_id"], codec="zstd")
     rows, top = CO.load_index(t)
     return rows.select("id", "type", "metadata", F.round(F.element_at("v", 1), 6).alias("v0"), F.round(F.element_at("v", 2), 6).alias("v1"),
                        F.lit(top).cast("long").alias("max_id"))

@@ -142,3 +142,15 @@ def test_the_pair_filter_keeps_every_odd_ayah_of_its_surah(spark):
     assert {r["ayah"] for r in got.collect()} == {r["c_custkey"] for r in c.collect()}
     p = plan(got)
     assert "surah" in p.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_dense_ids_shuffle_the_rows_once_and_store_none(spark, tmp_path):
+    """No checkpoint of the rows; equal, null and missing keys; the same ids when asked again."""
+    rows = spark.range(500).selectExpr("if(id % 9 = 0, null, id % 7) k", "cast(id % 5 as string) s", "id v").repartition(4)
+    ids = W.global_index(rows, ["k", "s"], num_partitions=3)
+    p = plan(ids)
+    assert "Scan ExistingRDD" not in p and p.count("Exchange") == 2  # the input's own, and one
+    got = sorted((r["id"], r["k"] if r["k"] is not None else -1, r["s"], r["v"]) for r in ids.collect())
+    assert [r[0] for r in got] == list(range(500)) and [r[1:3] for r in got] == sorted(r[1:3] for r in got)
+    assert got == sorted((r["id"], r["k"] if r["k"] is not None else -1, r["s"], r["v"]) for r in ids.collect())
+    assert W.global_index(rows.limit(0), ["k"]).collect() == []
