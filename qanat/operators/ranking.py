@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id",
                  num_partitions: int | None = None) -> DataFrame:
     """Dense 0-based position of every row in the total order ``order_cols``
-    (which must be unique; rows that are equal in them go by a hash of the row),
-    computed without a single-task window and with one shuffle of the rows:
+    (which must be unique; rows that are equal in them go as they come), computed
+    without a single-task window and with one shuffle of the rows:
 
     1. range-partition the order columns alone and count each range: its least key
        and the number of rows come back (one row a range);
@@ -37,7 +37,8 @@ def global_index(df: DataFrame, order_cols: list[str], id_col: str = "id",
     before = F.array(*[F.lit(sum(r[2] for r in ranges[:i])).cast("long") for i in range(len(ranges))])
     # a key below the least one cannot be: the first range takes what there is
     place = F.greatest(F.size(F.filter(starts, lambda s: s <= key)) - 1, F.lit(0))
-    dealt = df.withColumn("__pid", place).repartitionById(len(ranges), "__pid").sortWithinPartitions(*order_cols, F.xxhash64(*df.columns))
+    dealt = (df.withColumn("__pid", place).withColumn("__at", F.monotonically_increasing_id())
+             .repartitionById(len(ranges), "__pid").sortWithinPartitions(*order_cols, "__at"))
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return dealt.withColumn(id_col, F.element_at(before, F.col("__pid") + 1) + local).select(*names, id_col)
 

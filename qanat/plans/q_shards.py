@@ -409,7 +409,7 @@ def build_index(spark, sf, max_documents=None, embedder=None):
     -> route -> upsert into the stored table."""
     if max_documents is None:
         texts = C.corpus_union(spark, sf).select("ord", "okey", "type", "text", "source")
-        docs = W.global_index(texts, ["ord", "okey"], "id")
+        docs = cut_lineage(W.global_index(texts, ["ord", "okey"], "id"))  # read twice below
     else:
         docs = _sampled_documents(spark, sf, max_documents)
     docs = docs.select("id", "type", "source", "text").withColumn("metadata", CO.metadata_json(docs.columns))
