@@ -1,20 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts the words (with one end token a text) and word pairs of all
-training texts: tasks combine what they have read and send, per bucket of the
-hash space, packed arrays of hashes and counts; a bucket's reducer adds them up.
-It then writes, for words, the exact counts, and for both a segment of a Bloom
-filter that holds an n-gram of quantised count q under the keys (n-gram, 1) ...
-(n-gram, q). A segment has a fixed number of bits: where its n-grams would
-overfill it, it holds those of the highest counts, and the bucket keeps all others
-in a filter of its own, whose size follows their number. The segments, together
-of a fixed size, are broadcast; a count comes back by probing level after level
-until one is missing, and smoothed probabilities interpolate pair and word estimates.
-
-The most frequent words' exact counts (a table of at most FREQUENT) are broadcast.
-Texts are worked on in batches: a batch sends each word outside that table, and
-each pair that its bucket may hold outside the broadcast segment, once to their
-buckets; the answers meet the batch again. So no n-gram is lost at any size.
+Texts are packed into batches. A batch sends, once, its distinct words (with one end
+token a text) and word pairs to the buckets of their hash space, as packed arrays of
+hashes and of counts in training texts. A bucket adds the counts up: exact counts for
+words, and for both a segment of a Bloom filter that holds an n-gram of quantised count q
+under the keys (n-gram, 1) ... (n-gram, q). A segment has a fixed number of bits: where
+its n-grams would overfill it, it holds those of the highest counts, and the bucket keeps
+all other pairs in a filter of its own, whose size follows their number. A count comes
+back by probing level after level until one is missing, and smoothed probabilities
+interpolate pair and word estimates.
+
+The bucket answers the batches that have sent to it: exact counts and filter levels of
+words, filter levels of pairs, in the order of their hashes. The answers meet the batch
+again. So an n-gram's name crosses a shuffle once for each batch that it is in, whether it
+is learned from or looked up, and none is lost at any size; the filters stay in their
+buckets, and only totals come to the driver.
 Words are named by 64-bit hashes, pairs by the leading PAIR_ID_BITS bits after those of
 their bucket (the buckets grow with the input, so two pairs share a name far more seldom
 than the filter errs). Ascending hashes travel as compressed differences.
@@ -39,9 +39,7 @@ PROBES, BITS_PER_KEY = 4, 8
 FREQUENT = 1 << 18
 #: bits that name a pair inside its bucket
 PAIR_ID_BITS = 30
-#: tokens a task counts before it sends what it has
-FLUSH = 4_000_000
-#: text bytes of one batch that asks the buckets (one longer text is its own batch)
+#: text bytes of one batch (one longer text is its own batch)
 BATCH_BYTES = 8 << 20
 #: weight of the pair estimate where the first word is known
 LAMBDA = 0.4
@@ -204,135 +202,14 @@ class Filter:
         return out
 
 
-@dataclass
-class Model:
-    pairs: Filter
-    words: Filter
-    frequent: np.ndarray  # sorted hashes
-    counts: np.ndarray
-    n: int  # training tokens
-    v: int  # distinct ones
-    texts: int
-    bucket_bits: int
-    more: np.ndarray  # per bucket: whether it holds pairs that the broadcast segment has not
-
-
-def _sums(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, ascending, and the sums of their counts."""
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-    return h[first], np.add.reduceat(n, first) if len(h) else n
-
-
-def _packed(kind: int, h: np.ndarray, n: np.ndarray, bucket_bits: int) -> pa.RecordBatch:
-    """A row per bucket: hashes met once, then the others with their counts."""
-    cuts = np.searchsorted(h, np.arange(1, 1 << bucket_bits, dtype=U) << U(64 - bucket_bits)) if bucket_bits else []
-    rows = []
-    for k, (a, b) in enumerate(zip(np.split(h, cuts), np.split(n, cuts))):
-        if len(a):
-            once = b == 1
-            rows.append((kind, k, shrunk(a[once], bucket_bits, kind == 2), shrunk(a[~once], bucket_bits, kind == 2), squeezed(b[~once].astype(U))))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                                      ["kind", "bucket", "once", "more", "n"])
-
-
-def count(texts: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_bits: int = WORD_BITS) -> DataFrame:
-    """(kind 1 word or 2 pair, bucket, hashes, counts, levels: n-grams by quantised count,
-    bits: filter segment, rest: filter of all that the segment has not); hashes and
-    counts are kept for words only, which need no rest."""
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for kind, parts in enumerate(held, 1):
-                if parts:
-                    yield _packed(kind, *np.unique(np.concatenate(parts), return_counts=True), bucket_bits)
-
-        for b in slices(batches, 0):
-            tok, before, _ = tokens(b.column(0).to_pylist())
-            held[0].append(tok)
-            held[1].append(pairs(before, tok, bucket_bits))
-            size += len(tok)
-            if size >= FLUSH:
-                yield from out()
-                held, size = [[], []], 0
-        yield from out()
-
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        kind, bucket = (k.as_py() for k in key)
-        read = lambda c: np.concatenate([grown(x, bucket, bucket_bits, kind == 2) for x in group.column(c).to_pylist()])
-        once, more = read("once"), read("more")
-        n = np.concatenate([unsqueezed(x) for x in group.column("n").to_pylist()]).astype(np.int64)
-        h, n = _sums(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), n]))
-        size = (1 << (word_bits if kind == 1 else pair_bits)) >> bucket_bits
-        bits = segment(h, n, size)
-        if kind == 1:
-            h, exact, rest = h.tobytes(), n.astype("<i8").tobytes(), b""
-        else:
-            h, exact, rest = b"", b"", remainder(h, n, size)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "hashes": pa.array([h], pa.binary()),
-                         "counts": pa.array([exact], pa.binary()), "levels": pa.array([np.bincount(level(n), minlength=2).tolist()], pa.list_(pa.int64())),
-                         "total": pa.array([int(n.sum())], pa.int64()), "bits": pa.array([bits], pa.binary()), "rest": pa.array([rest], pa.binary())})
-
-    sent = texts.select("text").mapInArrow(send, "kind int, bucket int, once binary, more binary, n binary")
-    return sent.groupBy("kind", "bucket").applyInArrow(
-        add, "kind int, bucket int, hashes binary, counts binary, levels array<long>, total long, bits binary, rest binary")
-
-
 def bucket_bits_for(spark: SparkSession) -> int:
     """Buckets follow the session's shuffle partitions (so they grow with the input), 64 to 65,536."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return min(max((2 * n - 1).bit_length(), 6), 16)
 
 
-def fit(table: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_bits: int = WORD_BITS, frequent: int = FREQUENT) -> Model:
-    """Gather the model from the written table of ``count``. To the driver come the
-    filters (2^pair_bits + 2^word_bits bits), histograms, and at most ``frequent`` words."""
-    def filled(kind: int, bits: int) -> Filter:
-        data = np.zeros((1 << bucket_bits, (1 << bits) >> bucket_bits + 3), np.uint8)
-        got = table.where(F.col("kind") == kind).select("bucket", "bits").toArrow()
-        for b, x in zip(got.column(0).to_pylist(), got.column(1)):
-            data[b] = np.frombuffer(x.as_buffer(), np.uint8)
-        return Filter(data.reshape(-1), bucket_bits)
-
-    words = table.where("kind = 1")
-    by_level = np.zeros(64, np.int64)
-    for r in words.select(F.posexplode("levels").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect():
-        by_level[r["q"]] = r["n"]
-    upwards = np.cumsum(by_level[::-1])[::-1]
-    least = max(int(np.argmax(upwards <= frequent)), 1)
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, y in zip(b.column(0), b.column(1)):
-                h, n = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), "<i8")
-                on = level(n) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(n[on])], ["h", "n"])
-
-    got = words.select("hashes", "counts").mapInArrow(often, "h long, n long").toArrow()
-    h, n = got.column("h").to_numpy().view(U), got.column("n").to_numpy()
-    order = np.argsort(h)
-    total = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
-    ends = np.frombuffer(END.tobytes(), U)
-    end_bucket = int(END) >> 64 - bucket_bits if bucket_bits else 0
-    row = words.where(F.col("bucket") == end_bucket).select("hashes", "counts").first()
-    texts = 0
-    if row is not None:
-        at = np.searchsorted(np.frombuffer(row["hashes"], U), ends)[0]
-        texts = int(np.frombuffer(row["counts"], "<i8")[at])
-    more = np.zeros(1 << bucket_bits, bool)
-    more[[r["bucket"] for r in table.where("kind = 2 and length(rest) > 0").select("bucket").collect()]] = True
-    return Model(filled(2, pair_bits), filled(1, word_bits), h[order], n[order], int(total), int(by_level.sum()), texts, bucket_bits, more)
-
-
-def _grouped(b: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owner, b, n)
-
-
 def batched(docs: DataFrame) -> DataFrame:
-    """(batch, packed: a compressed Arrow stream of its ``id_text`` rows)."""
+    """(batch, packed: a compressed Arrow stream of its rows: doc_id, text, held_out)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 40, [], 0
 
@@ -358,21 +235,19 @@ def batched(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Batch:
-    """What a batch knows without the buckets. Words and pairs are distinct and
-    ascending; ``word`` and ``pair`` are each token's place among them."""
+    """Words and pairs are distinct and ascending; ``word`` and ``pair`` are each token's place among them."""
 
     ids: pa.Array
+    held: pa.Array  # by text
     owner: np.ndarray
     first: np.ndarray  # whether a token begins a text
     words: np.ndarray
     word: np.ndarray
-    counts: np.ndarray  # exact, -1: ask
     pairs: np.ndarray
     pair: np.ndarray
-    levels: np.ndarray  # -1: ask
 
 
-def _batch(packed: bytes, m: Model) -> Batch:
+def _batch(packed: bytes, bucket_bits: int) -> Batch:
     rows = pa.ipc.open_stream(packed).read_all()
     tok, before, owner, at = [], [], [], 0
     for b in rows.to_batches():
@@ -381,87 +256,108 @@ def _batch(packed: bytes, m: Model) -> Batch:
         at += b.num_rows
     tok, before = np.concatenate(tok), np.concatenate(before)
     words, word = np.unique(tok, return_inverse=True)
-    at = np.minimum(np.searchsorted(m.frequent, words), max(len(m.frequent) - 1, 0))
-    counts = np.where(m.frequent[at] == words, m.counts[at], -1) if len(m.frequent) else np.full(len(words), -1)
-    both, pair = np.unique(pairs(before, tok, m.bucket_bits), return_inverse=True)
-    levels = m.pairs.levels(both)
-    bucket = (both >> U(64 - m.bucket_bits)).astype(np.int64) if m.bucket_bits else np.zeros(len(both), np.int64)
-    levels[(levels == 0) & m.more[bucket]] = -1
-    return Batch(rows.column(0).combine_chunks(), np.concatenate(owner), before == BEGIN, words, word, counts, both, pair, levels)
+    both, pair = np.unique(pairs(before, tok, bucket_bits), return_inverse=True)
+    return Batch(rows.column(0).combine_chunks(), rows.column(2).combine_chunks(), np.concatenate(owner), before == BEGIN, words, word, both, pair)
 
 
-def requests(batches: DataFrame, shared) -> DataFrame:
-    """(kind, bucket, batch, hashes) of the words and pairs that a batch has to ask for, ascending."""
+def requests(batches: DataFrame, bucket_bits: int) -> DataFrame:
+    """(bucket, batch, words, word_n, pairs, pair_n): a batch's hashes in a bucket,
+    ascending, and how often its training texts have each."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        cut = np.arange(1, 1 << m.bucket_bits, dtype=U) << U(64 - m.bucket_bits) if m.bucket_bits else np.zeros(0, U)
+        cut = np.arange(1, 1 << bucket_bits, dtype=U) << U(64 - bucket_bits) if bucket_bits else np.zeros(0, U)
         for b in rows:
             for number, packed in zip(b.column(0).to_pylist(), b.column(1)):
-                x = _batch(packed.as_buffer(), m)
-                out = [(kind, k, number, shrunk(some, m.bucket_bits, kind == 2)) for kind, h in ((1, x.words[x.counts < 0]), (2, x.pairs[x.levels < 0]))
-                       for k, some in enumerate(np.split(h, np.searchsorted(h, cut))) if len(some)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
-                                                 ["kind", "bucket", "batch", "hashes"])
+                x = _batch(packed.as_buffer(), bucket_bits)
+                learned = ~x.held.to_numpy(zero_copy_only=False)[x.owner]
+                parts = []
+                for h, at in ((x.words, x.word), (x.pairs, x.pair)):
+                    n, ends = np.bincount(at[learned], minlength=len(h)).astype(U), np.searchsorted(h, cut)
+                    parts += [np.split(h, ends), np.split(n, ends)]
+                out = [(k, number, shrunk(w, bucket_bits, False), squeezed(wn), shrunk(p, bucket_bits, True), squeezed(pn))
+                       for k, (w, wn, p, pn) in enumerate(zip(*parts)) if len(w) or len(p)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 4))],
+                                                 ["bucket", "batch", "words", "word_n", "pairs", "pair_n"])
+
+    return batches.mapInArrow(run, "bucket int, batch long, words binary, word_n binary, pairs binary, pair_n binary")
+
+
+def settle(asked: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_bits: int = WORD_BITS) -> DataFrame:
+    """(bucket, batch, counts, marks, levels, words, total, texts): for every hash that a
+    batch has sent, in order, a word's exact training count, its filter level (as the bits
+    that differ from the count's level) and a pair's filter level, squeezed. A row without
+    batch has the bucket's training words by quantised count, their sum and that of ends."""
+    def read(group: pa.Table, bucket: int, kind: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distinct hashes, ascending, the sums of their counts, and the places of each batch's hashes."""
+        sent = [grown(x.as_buffer(), bucket, bucket_bits, kind == 2) for x in group.column("words" if kind == 1 else "pairs")]
+        n = np.concatenate([unsqueezed(x.as_buffer()) for x in group.column("word_n" if kind == 1 else "pair_n")])
+        h, at = np.unique(np.concatenate(sent), return_inverse=True)
+        return h, np.bincount(at, n.astype(float), len(h)).astype(np.int64), np.split(at, np.cumsum([len(x) for x in sent])[:-1])
+
+    def probed(bits: bytes, h: np.ndarray) -> np.ndarray:
+        return Filter(np.frombuffer(bits, np.uint8), 0).levels(h)
 
-    return batches.mapInArrow(run, "kind int, bucket int, batch long, hashes binary")
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        h, n, words = read(group, bucket, 1)
+        on, exact = n > 0, level(n)
+        marks = probed(segment(h[on], n[on], (1 << word_bits) >> bucket_bits), h) ^ exact
+        total = (bucket, None, None, None, None, np.bincount(exact[on], minlength=64).tolist(), int(n.sum()), int(n[h == END].sum()))
+        g, m, both = read(group, bucket, 2)
+        on, size = m > 0, (1 << pair_bits) >> bucket_bits
+        levels = probed(segment(g[on], m[on], size), g)
+        levels[levels == 0] = probed(remainder(g[on], m[on], size), g[levels == 0])
+        put = lambda v, at: squeezed(v[at].astype(U))
+        out = [(bucket, batch, put(n, w), put(marks, w), put(levels, p), None, None, None)
+               for batch, w, p in zip(group.column("batch").to_pylist(), words, both)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(total, *out), (pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.int64(), pa.int64()))],
+                        ["bucket", "batch", "counts", "marks", "levels", "words", "total", "texts"])
+
+    return asked.groupBy("bucket").applyInArrow(
+        answer, "bucket int, batch long, counts binary, marks binary, levels binary, words array<long>, total long, texts long")
 
 
-def settle(asked: DataFrame, table: DataFrame, bucket_bits: int) -> DataFrame:
-    """(batch, kind, bucket, found): for every hash asked for, in order, a word's exact
-    count or a pair's level, squeezed, from the bucket that has them."""
-    def answer(key: tuple, group: pa.Table) -> pa.Table:
-        kind, bucket = (k.as_py() for k in key)
-        known_h, known_n, rest, out = np.zeros(0, U), np.zeros(0, np.int64), Filter(np.zeros(0, np.uint8), 0), []
-        rows = list(zip(*(group.column(c).to_pylist() for c in ("batch", "hashes", "counts", "rest"))))
-        for batch, h, n, bits in rows:
-            if batch is None:
-                known_h, known_n, rest = np.frombuffer(h, U), np.frombuffer(n, "<i8"), Filter(np.frombuffer(bits, np.uint8), 0)
-        for batch, h, _, _ in rows:
-            if batch is not None:
-                h = grown(h, bucket, bucket_bits, kind == 2)
-                if kind == 2:
-                    found = rest.levels(h)
-                else:
-                    at = np.minimum(np.searchsorted(known_h, h), max(len(known_h) - 1, 0))
-                    found = np.where(known_h[at] == h, known_n[at], 0) if len(known_h) else np.zeros(len(h), np.int64)
-                out.append((batch, kind, bucket, squeezed(found.astype(U))))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                        ["batch", "kind", "bucket", "found"])
-
-    none = F.lit(None).cast("binary")
-    held = table.select("kind", "bucket", F.lit(None).cast("long").alias("batch"), "hashes", "counts", "rest").where("kind = 1 or length(rest) > 0")
-    both = asked.withColumns({"counts": none, "rest": none}).unionAll(held)
-    return both.groupBy("kind", "bucket").applyInArrow(answer, "batch long, kind int, bucket int, found binary")
-
-
-def score(batches: DataFrame, answers: DataFrame, shared) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) per row of the batches."""
+@dataclass
+class Totals:
+    n: int  # training tokens
+    v: int  # distinct ones
+    texts: int
+    least: int  # lowest level of the frequent words
+
+
+def totals(answers: DataFrame, frequent: int = FREQUENT) -> Totals:
+    """Sums over all buckets, from the written table of ``settle``; words of level ``least`` and above are at most ``frequent``."""
+    summed = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    *by_level, n, texts = answers.where("batch is null").agg(*[summed(F.col("words")[q]) for q in range(64)], summed("total"), summed("texts")).first()
+    upwards = np.cumsum(by_level[::-1])[::-1]
+    return Totals(n, sum(by_level), texts, max(int(np.argmax(upwards <= frequent)), 1))
+
+
+def score(batches: DataFrame, answers: DataFrame, m: Totals, bucket_bits: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) per row of the batches."""
     def run(key: tuple, got: pa.Table, rows: pa.Table) -> pa.Table:
-        m = shared.value
         z = m.n + 0.5 * (m.v + 1)
-        found = sorted(zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "found"))))
-        x = _batch(rows.column("packed")[0].as_buffer(), m)
-        asked = x.counts < 0
-        told = lambda kind: np.concatenate([np.zeros(0, np.int64), *(unsqueezed(f).astype(np.int64) for k, _, f in found if k == kind)])
-        x.counts[asked] = told(1)
-        x.levels[x.levels < 0] = told(2)
-        # the broadcast filter speaks for the frequent words that it holds, the exact count for all others
-        q = np.where(asked, 0, m.words.levels(x.words))
-        one = value(np.where(q > 0, q, level(x.counts)))[x.word]
+        x = _batch(rows.column("packed")[0].as_buffer(), bucket_bits)
+        got = got.sort_by("bucket")
+        told = lambda c: np.concatenate([unsqueezed(v.as_buffer()).astype(np.int64) for v in got.column(c)])
+        counts, levels = told("counts"), told("levels")
+        # the filter speaks for the frequent words that it holds, the exact count for all others
+        exact = level(counts)
+        q = np.where(exact >= m.least, told("marks") ^ exact, 0)
+        one = value(np.where(q > 0, q, exact))[x.word]
         again = np.full(len(one), float(m.texts))
         inner = ~x.first
         again[inner] = one[np.flatnonzero(inner) - 1]
-        two = np.minimum(value(x.levels)[x.pair], np.minimum(again, np.maximum(one, 1)))
+        two = np.minimum(value(levels)[x.pair], np.minimum(again, np.maximum(one, 1)))
         weight = np.where(again > 0, LAMBDA, 0.0)
         p = weight * two / np.maximum(again, 1) + (1 - weight) * (one + 0.5) / z
         k = len(x.ids)
         sums = lambda v: np.bincount(x.owner, v, k)
-        return pa.table({"doc_id": x.ids, "n_tokens": pa.array(np.bincount(x.owner, minlength=k)),
-                         "n_known": pa.array(sums((x.counts > 0)[x.word].astype(float)).astype(np.int64)),
-                         "base_score": pa.array(sums(np.log10((x.counts + 0.5) / z)[x.word])), "score": pa.array(sums(np.log10(p)))})
+        return pa.table({"doc_id": x.ids, "held_out": x.held, "n_tokens": pa.array(np.bincount(x.owner, minlength=k)),
+                         "n_known": pa.array(sums((counts > 0)[x.word].astype(float)).astype(np.int64)),
+                         "base_score": pa.array(sums(np.log10((counts + 0.5) / z)[x.word])), "score": pa.array(sums(np.log10(p)))})
 
-    return answers.groupBy("batch").cogroup(batches.groupBy("batch")).applyInArrow(
-        run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return answers.where("batch is not null").select("bucket", "batch", "counts", "marks", "levels").groupBy("batch").cogroup(batches.groupBy("batch")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, bucket_bits: int | None = None, pair_bits: int = PAIR_BITS,
@@ -475,13 +371,10 @@ def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, bucket_bits: int |
     one pair in forty that was never seen counts as seen, which also hides what its
     bucket says. All other columns are exact.
     """
-    spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col)
-    bits = bucket_bits_for(spark) if bucket_bits is None else bucket_bits
-    table = written(count(rows.where(crc_fold(F.col("doc_id"), folds) != held), bits, pair_bits, word_bits), "lm-counts")
-    model = fit(table, bits, pair_bits, word_bits, frequent)
+    rows = id_text(docs, id_col, text_col).withColumn("held_out", crc_fold(F.col("doc_id"), folds) == held)
+    bits = bucket_bits_for(docs.sparkSession) if bucket_bits is None else bucket_bits
     batches = written(batched(rows), "lm-batches")
-    shared = spark.sparkContext.broadcast(model)
-    scored = score(batches, settle(requests(batches, shared), table, bits), shared)
-    return scored.select("doc_id", (crc_fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known",
-                         F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    answers = written(settle(requests(batches, bits), bits, pair_bits, word_bits), "lm-answers")
+    model = totals(answers, frequent)
+    return score(batches, answers, model, bits).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

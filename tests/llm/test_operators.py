@@ -283,6 +283,29 @@ def test_op6_hashes_travel_whole():
         assert bloom_lm.unsqueezed(bloom_lm.squeezed(np.array(x, np.uint64))).tolist() == x
 
 
+@pytest.mark.parametrize("pair_bits", [bloom_lm.PAIR_BITS, 12])
+def test_op6_names_are_sent_once(spark, pair_bits):
+    # also where the filters are full, a batch sends each word and pair once, learned from or not, and is told of each
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(40)), i % 5 == 1) for i in range(300)]
+    batches = bloom_lm.batched(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1))
+    sent = bloom_lm.requests(batches, 6).collect()
+    lists = [(t.split() + [None], held) for _, t, held in rows]
+    words = Counter(w for x, held in lists for w in x if not held)
+    pairs = Counter(p for x, held in lists for p in zip([""] + x, x) if not held)
+    all_pairs = {p for x, _ in lists for p in zip([""] + x, x)}
+    assert len(sent) == len({(r["bucket"], r["batch"]) for r in sent}) <= 64
+    for column, number, total, distinct in (("words", "word_n", words.total(), len({w for x, _ in lists for w in x})), ("pairs", "pair_n", pairs.total(), len(all_pairs))):
+        assert sum(len(bloom_lm.unsqueezed(r[column])) for r in sent) == distinct
+        assert sum(int(bloom_lm.unsqueezed(r[number]).sum()) for r in sent) == total
+    answers = bloom_lm.settle(bloom_lm.requests(batches, 6), 6, pair_bits).collect()
+    told = lambda c: np.concatenate([bloom_lm.unsqueezed(r[c]) for r in answers if r["batch"] is not None]).astype(int)
+    assert Counter(told("counts")[told("counts") > 0].tolist()) == Counter(words.values())
+    levels = told("levels")
+    assert len(levels) == len(all_pairs) and (levels > 0).sum() >= len(pairs) and (levels == 0).sum() >= 0.9 * (len(all_pairs) - len(pairs))
+    assert sum(r["total"] for r in answers if r["batch"] is None) == words.total() and sum(r["texts"] or 0 for r in answers) == sum(not held for _, held in lists)
+
+
 BENCHMARK = [(1, PASSAGE), (2, PASSAGE), (3, None), (4, " ,;"), (5, "seven eight"), (6, "the " * 12), (7, "never seen words here at all in any of these texts"), (1, PASSAGE)]
 
 
