@@ -17,7 +17,8 @@ is learned from or looked up, and none is lost at any size; the filters stay in
 buckets, and only totals come to the driver.
 Words are named by 64-bit hashes, pairs by the leading PAIR_ID_BITS bits after those of
 their bucket (the buckets grow with the input, so two pairs share a name far more seldom
-than the filter errs). Ascending hashes travel as compressed differences.
+than the filter errs). Ascending hashes travel as compressed differences, those of a few
+neighbouring buckets together, as a parcel.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ FREQUENT = 1 << 18
 PAIR_ID_BITS = 30
 #: text bytes of one batch (one longer text is its own batch)
 BATCH_BYTES = 8 << 20
+#: neighbouring buckets, as a power of two, that travel as one parcel (from 2^LEAST_BITS parcels on)
+PARCEL, LEAST_BITS = 2, 6
 #: weight of the pair estimate where the first word is known
 LAMBDA = 0.4
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -116,17 +119,28 @@ def unsqueezed(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(U)
 
 
-def shrunk(h: np.ndarray, bucket_bits: int, pair: bool) -> bytes:
-    """Ascending hashes of one bucket as differences, without the bits that all share."""
+def shrunk(h: np.ndarray, bucket_bits: int, pair: bool, shared: int | None = None) -> bytes:
+    """Ascending hashes as differences, without the bits that all share (those of one
+    bucket, or the first ``shared``). The low bits of differences are as good as random and stay as they are."""
     low = U(max(64 - bucket_bits - PAIR_ID_BITS, 0) if pair else 0)
-    inside = (h << U(bucket_bits) >> U(bucket_bits)) >> low
-    return squeezed(np.diff(inside, prepend=U(0)))
+    top = U(bucket_bits if shared is None else shared)
+    gaps = np.diff((h << top >> top) >> low, prepend=U(0))
+    k = max(int(gaps.mean()).bit_length() - 1, 0) if len(gaps) else 0
+    bits = np.unpackbits(gaps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, count=k, bitorder="little")
+    return bytes([k]) + squeezed(gaps >> U(k)) + np.packbits(bits).tobytes()
 
 
-def grown(b: bytes, bucket: int, bucket_bits: int, pair: bool) -> np.ndarray:
+def grown(b: bytes, bucket: int, bucket_bits: int, pair: bool, shared: int | None = None) -> np.ndarray:
     low = U(max(64 - bucket_bits - PAIR_ID_BITS, 0) if pair else 0)
-    top = U(bucket << 64 - bucket_bits) if bucket_bits else U(0)
-    return (np.cumsum(unsqueezed(b), dtype=U) << low) | top
+    shared = bucket_bits if shared is None else shared
+    top = U(bucket << 64 - shared) if shared else U(0)
+    b = memoryview(b)
+    k, n = b[0], int(np.frombuffer(b, "<u4", 1, 1)[0])
+    end = len(b) - (n * k + 7) // 8
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :k] = np.unpackbits(np.frombuffer(b[end:], np.uint8), count=n * k).reshape(n, k)
+    gaps = (unsqueezed(b[1:end]) << U(k)) | np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u8")
+    return (np.cumsum(gaps, dtype=U) << low) | top
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -205,7 +219,11 @@ class Filter:
 def bucket_bits_for(spark: SparkSession) -> int:
     """Buckets follow the session's shuffle partitions (so they grow with the input), 64 to 65,536."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(max((2 * n - 1).bit_length(), 6), 16)
+    return min(max((2 * n - 1).bit_length(), LEAST_BITS), 16)
+
+
+def parcel_bits_for(bucket_bits: int) -> int:
+    return max(bucket_bits - PARCEL, min(bucket_bits, LEAST_BITS))
 
 
 def batched(docs: DataFrame) -> DataFrame:
@@ -261,10 +279,12 @@ def _batch(packed: bytes, bucket_bits: int) -> Batch:
 
 
 def requests(batches: DataFrame, bucket_bits: int) -> DataFrame:
-    """(bucket, batch, words, word_n, pairs, pair_n): a batch's hashes in a bucket,
-    ascending, and how often its training texts have each."""
+    """(parcel, batch, words, word_n, pairs, pair_n): a batch's hashes in the buckets of
+    a parcel, ascending, and how often its training texts have each."""
+    top = parcel_bits_for(bucket_bits)
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = np.arange(1, 1 << bucket_bits, dtype=U) << U(64 - bucket_bits) if bucket_bits else np.zeros(0, U)
+        cut = np.arange(1, 1 << top, dtype=U) << U(64 - top) if top else np.zeros(0, U)
         for b in rows:
             for number, packed in zip(b.column(0).to_pylist(), b.column(1)):
                 x = _batch(packed.as_buffer(), bucket_bits)
@@ -273,22 +293,24 @@ def requests(batches: DataFrame, bucket_bits: int) -> DataFrame:
                 for h, at in ((x.words, x.word), (x.pairs, x.pair)):
                     n, ends = np.bincount(at[learned], minlength=len(h)).astype(U), np.searchsorted(h, cut)
                     parts += [np.split(h, ends), np.split(n, ends)]
-                out = [(k, number, shrunk(w, bucket_bits, False), squeezed(wn), shrunk(p, bucket_bits, True), squeezed(pn))
+                out = [(k, number, shrunk(w, bucket_bits, False, top), squeezed(wn), shrunk(p, bucket_bits, True, top), squeezed(pn))
                        for k, (w, wn, p, pn) in enumerate(zip(*parts)) if len(w) or len(p)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), *[pa.binary()] * 4))],
-                                                 ["bucket", "batch", "words", "word_n", "pairs", "pair_n"])
+                                                 ["parcel", "batch", "words", "word_n", "pairs", "pair_n"])
 
-    return batches.mapInArrow(run, "bucket int, batch long, words binary, word_n binary, pairs binary, pair_n binary")
+    return batches.mapInArrow(run, "parcel int, batch long, words binary, word_n binary, pairs binary, pair_n binary")
 
 
 def settle(asked: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_bits: int = WORD_BITS) -> DataFrame:
-    """(bucket, batch, counts, marks, levels, words, total, texts): for every hash that a
+    """(parcel, batch, counts, marks, levels, words, total, texts): for every hash that a
     batch has sent, in order, a word's exact training count, its filter level (as the bits
     that differ from the count's level) and a pair's filter level, squeezed. A row without
-    batch has the bucket's training words by quantised count, their sum and that of ends."""
-    def read(group: pa.Table, bucket: int, kind: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    batch has the parcel's training words by quantised count, their sum and that of ends."""
+    top = parcel_bits_for(bucket_bits)
+
+    def read(group: pa.Table, parcel: int, kind: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Distinct hashes, ascending, the sums of their counts, and the places of each batch's hashes."""
-        sent = [grown(x.as_buffer(), bucket, bucket_bits, kind == 2) for x in group.column("words" if kind == 1 else "pairs")]
+        sent = [grown(x.as_buffer(), parcel, bucket_bits, kind == 2, top) for x in group.column("words" if kind == 1 else "pairs")]
         n = np.concatenate([unsqueezed(x.as_buffer()) for x in group.column("word_n" if kind == 1 else "pair_n")])
         h, at = np.unique(np.concatenate(sent), return_inverse=True)
         return h, np.bincount(at, n.astype(float), len(h)).astype(np.int64), np.split(at, np.cumsum([len(x) for x in sent])[:-1])
@@ -296,24 +318,35 @@ def settle(asked: DataFrame, bucket_bits: int, pair_bits: int = PAIR_BITS, word_
     def probed(bits: bytes, h: np.ndarray) -> np.ndarray:
         return Filter(np.frombuffer(bits, np.uint8), 0).levels(h)
 
+    def levelled(parcel: int, h: np.ndarray, n: np.ndarray, size: int, rest: bool) -> np.ndarray:
+        """Levels as the filters of the parcel's buckets have them; ``rest``: with those of what the segments leave out."""
+        first = parcel << bucket_bits - top
+        inner = np.searchsorted(h, np.array([k << 64 - bucket_bits for k in range(first + 1, first + (1 << bucket_bits - top))], U))
+        out = []
+        for h, n in zip(np.split(h, inner), np.split(n, inner)):
+            on = n > 0
+            q = probed(segment(h[on], n[on], size), h)
+            if rest:
+                q[q == 0] = probed(remainder(h[on], n[on], size), h[q == 0])
+            out.append(q)
+        return np.concatenate(out)
+
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        h, n, words = read(group, bucket, 1)
-        on, exact = n > 0, level(n)
-        marks = probed(segment(h[on], n[on], (1 << word_bits) >> bucket_bits), h) ^ exact
-        total = (bucket, None, None, None, None, np.bincount(exact[on], minlength=64).tolist(), int(n.sum()), int(n[h == END].sum()))
-        g, m, both = read(group, bucket, 2)
-        on, size = m > 0, (1 << pair_bits) >> bucket_bits
-        levels = probed(segment(g[on], m[on], size), g)
-        levels[levels == 0] = probed(remainder(g[on], m[on], size), g[levels == 0])
+        parcel = key[0].as_py()
+        h, n, words = read(group, parcel, 1)
+        exact = level(n)
+        marks = levelled(parcel, h, n, (1 << word_bits) >> bucket_bits, False) ^ exact
+        total = (parcel, None, None, None, None, np.bincount(exact[n > 0], minlength=64).tolist(), int(n.sum()), int(n[h == END].sum()))
+        h, m, both = read(group, parcel, 2)
+        levels = levelled(parcel, h, m, (1 << pair_bits) >> bucket_bits, True)
         put = lambda v, at: squeezed(v[at].astype(U))
-        out = [(bucket, batch, put(n, w), put(marks, w), put(levels, p), None, None, None)
+        out = [(parcel, batch, put(n, w), put(marks, w), put(levels, p), None, None, None)
                for batch, w, p in zip(group.column("batch").to_pylist(), words, both)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(total, *out), (pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.int64(), pa.int64()))],
-                        ["bucket", "batch", "counts", "marks", "levels", "words", "total", "texts"])
+                        ["parcel", "batch", "counts", "marks", "levels", "words", "total", "texts"])
 
-    return asked.groupBy("bucket").applyInArrow(
-        answer, "bucket int, batch long, counts binary, marks binary, levels binary, words array<long>, total long, texts long")
+    return asked.groupBy("parcel").applyInArrow(
+        answer, "parcel int, batch long, counts binary, marks binary, levels binary, words array<long>, total long, texts long")
 
 
 @dataclass
@@ -325,7 +358,7 @@ class Totals:
 
 
 def totals(answers: DataFrame, frequent: int = FREQUENT) -> Totals:
-    """Sums over all buckets, from the written table of ``settle``; words of level ``least`` and above are at most ``frequent``."""
+    """Sums over all parcels, from the written table of ``settle``; words of level ``least`` and above are at most ``frequent``."""
     summed = lambda c: F.coalesce(F.sum(c), F.lit(0))
     *by_level, n, texts = answers.where("batch is null").agg(*[summed(F.col("words")[q]) for q in range(64)], summed("total"), summed("texts")).first()
     upwards = np.cumsum(by_level[::-1])[::-1]
@@ -337,7 +370,7 @@ def score(batches: DataFrame, answers: DataFrame, m: Totals, bucket_bits: int) -
     def run(key: tuple, got: pa.Table, rows: pa.Table) -> pa.Table:
         z = m.n + 0.5 * (m.v + 1)
         x = _batch(rows.column("packed")[0].as_buffer(), bucket_bits)
-        got = got.sort_by("bucket")
+        got = got.sort_by("parcel")
         told = lambda c: np.concatenate([unsqueezed(v.as_buffer()).astype(np.int64) for v in got.column(c)])
         counts, levels = told("counts"), told("levels")
         # the filter speaks for the frequent words that it holds, the exact count for all others
@@ -356,7 +389,7 @@ def score(batches: DataFrame, answers: DataFrame, m: Totals, bucket_bits: int) -
                          "n_known": pa.array(sums((counts > 0)[x.word].astype(float)).astype(np.int64)),
                          "base_score": pa.array(sums(np.log10((counts + 0.5) / z)[x.word])), "score": pa.array(sums(np.log10(p)))})
 
-    return answers.where("batch is not null").select("bucket", "batch", "counts", "marks", "levels").groupBy("batch").cogroup(batches.groupBy("batch")).applyInArrow(
+    return answers.where("batch is not null").select("parcel", "batch", "counts", "marks", "levels").groupBy("batch").cogroup(batches.groupBy("batch")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 

@@ -289,16 +289,17 @@ def test_op6_names_are_sent_once(spark, pair_bits):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(40)), i % 5 == 1) for i in range(300)]
     batches = bloom_lm.batched(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1))
-    sent = bloom_lm.requests(batches, 6).collect()
+    bits = 8  # buckets of 2^-8 of the hashes, four to a parcel
+    sent = bloom_lm.requests(batches, bits).collect()
     lists = [(t.split() + [None], held) for _, t, held in rows]
     words = Counter(w for x, held in lists for w in x if not held)
     pairs = Counter(p for x, held in lists for p in zip([""] + x, x) if not held)
     all_pairs = {p for x, _ in lists for p in zip([""] + x, x)}
-    assert len(sent) == len({(r["bucket"], r["batch"]) for r in sent}) <= 64
+    assert len(sent) == len({(r["parcel"], r["batch"]) for r in sent}) <= 64
     for column, number, total, distinct in (("words", "word_n", words.total(), len({w for x, _ in lists for w in x})), ("pairs", "pair_n", pairs.total(), len(all_pairs))):
-        assert sum(len(bloom_lm.unsqueezed(r[column])) for r in sent) == distinct
+        assert sum(len(bloom_lm.grown(r[column], r["parcel"], bits, column == "pairs", bloom_lm.parcel_bits_for(bits))) for r in sent) == distinct
         assert sum(int(bloom_lm.unsqueezed(r[number]).sum()) for r in sent) == total
-    answers = bloom_lm.settle(bloom_lm.requests(batches, 6), 6, pair_bits).collect()
+    answers = bloom_lm.settle(bloom_lm.requests(batches, bits), bits, pair_bits).collect()
     told = lambda c: np.concatenate([bloom_lm.unsqueezed(r[c]) for r in answers if r["batch"] is not None]).astype(int)
     assert Counter(told("counts")[told("counts") > 0].tolist()) == Counter(words.values())
     levels = told("levels")
