@@ -91,10 +91,20 @@ def metadata_json(columns: list[str]) -> Column:
     return F.to_json(F.struct("id", "text", "source", "type", *own))
 
 
+def placed(documents: DataFrame) -> DataFrame:
+    """Documents with dense ids by place, and the metadata fields as they are."""
+    order = ["ord", "o1", "o2", "o3"]
+    return W.global_index(documents, order, "id").drop(*order)
+
+
+def described(d: DataFrame) -> DataFrame:
+    """(id, type, source, text, metadata) of placed documents: metadata as JSON, which holds the text once more."""
+    return d.select("id", "type", "source", "text", metadata_json(d.columns).alias("metadata"))
+
+
 def numbered(documents: DataFrame) -> DataFrame:
     """(id, type, source, text, metadata): dense ids by place, metadata as JSON."""
-    d = W.global_index(documents, ["ord", "o1", "o2", "o3"], "id")
-    return d.select("id", "type", "source", "text", metadata_json(d.columns).alias("metadata"))
+    return described(placed(documents))
 
 
 def content_key(df: DataFrame) -> DataFrame:
@@ -109,14 +119,29 @@ def index_documents(documents: DataFrame, stored: DataFrame, as_of, embedder: E.
 
     A document is skipped when its id is stored with the same text, so a text that has
     changed (or a corpus whose ids have shifted) is embedded again and replaced; its
-    ``created_at`` stays. Embedded vectors are normalised and routed to a shard."""
+    ``created_at`` stays. Embedded vectors are normalised and routed to a shard.
+
+    Where every document has a whole number of its own as id, ids and digests alone are compared;
+    the ids to do are broadcast as bits, so that skipped documents and stored rows stay where they lie,
+    and the others move once, before they are embedded. Ids that repeat or are null, and others than
+    whole numbers, take whole rows through the joins."""
     payload = payload or PAYLOAD
-    todo = J.incremental_anti(content_key(documents), content_key(stored), ["id", "text_sha"])
     carried = [c for c in payload if c not in ("shard_id", "embedding")]
-    emb = E.embed(todo, "id", "text", embedder or E.HashEmbedder(), keep=carried)
-    rows = emb.select("id", *[R.shard_route(F.col("id"), shards).alias(c) if c == "shard_id" else
-                              V.l2_normalize(F.col("embedding")).alias(c) if c == "embedding" else F.col(c) for c in payload])
-    return M.upsert(stored, rows, ["id"], payload, as_of, incoming_keys=todo)
+
+    def embedded(todo: DataFrame, *times: str) -> DataFrame:
+        emb = E.embed(todo, "id", "text", embedder or E.HashEmbedder(), keep=[*carried, *times])
+        return emb.select("id", *[R.shard_route(F.col("id"), shards).alias(c) if c == "shard_id" else
+                                  V.l2_normalize(F.col("embedding")).alias(c) if c == "embedding" else F.col(c) for c in payload], *times)
+
+    keys = ["id", "text_sha"]
+    if not J.has_id_words(documents, stored, "id"):
+        todo = J.incremental_anti(content_key(documents), content_key(stored), keys)
+        return M.upsert(stored, embedded(todo), ["id"], payload, as_of, incoming_keys=todo)
+    own = "text_sha" not in documents.columns + stored.columns  # then it is hex, and half as long as bytes
+    pairs = [content_key(d).select("id", (F.unhex("text_sha") if own else F.col("text_sha")).alias("text_sha")) for d in (documents, stored)]
+    words = J.id_words(J.incremental_anti(*pairs, keys), "id")
+    return M.upsert(stored, J.among(content_key(documents), words, "id"), ["id"], payload, as_of, incoming_words=words,
+                    finish=lambda met: embedded(met, "created_at", "updated_at"))
 
 
 def load_index(table: DataFrame, shards=R.WRITE_SHARDS) -> tuple[DataFrame, int]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: rows of 64 ids each that are broadcast at most, about 32 bytes a row
+MAX_WORDS = 2 << 20
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
@@ -43,6 +47,34 @@ def incremental_anti(incoming: DataFrame, existing: DataFrame, keys: list[str])
     return incoming.join(existing.select(*keys), keys, "left_anti")
 
 
+def _word(key: str) -> Column:
+    return F.expr(f"shiftright(cast(`{key}` as bigint), 6)")
+
+
+def id_words(rows: DataFrame, key: str) -> DataFrame:
+    """(__word, __bits): the distinct whole numbers of ``key``, 64 of them in a row. A null is in none."""
+    bit = F.expr(f"shiftleft(1L, cast(cast(`{key}` as bigint) & 63 as int))")
+    return rows.where(F.col(key).isNotNull()).groupBy(_word(key).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def has_id_words(rows: DataFrame, other: DataFrame, key: str, max_words: int = MAX_WORDS) -> bool:
+    """Whether ``key`` gives every row a whole number of its own, in so few words that any set of them can be
+    broadcast (and the other table has whole numbers too). A job over the key column alone; one row comes back."""
+    if not all(isinstance(df.schema[key].dataType, T.IntegralType) for df in (rows, other)):
+        return False
+    bits = F.bit_count(F.bit_or(F.expr(f"shiftleft(1L, cast(cast(`{key}` as bigint) & 63 as int))")))
+    per = rows.groupBy(_word(key).alias("__word")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(bits, F.lit(0)).alias("ids"))
+    n, ids, words = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ids"), F.lit(0)), F.count(F.lit(1))).first()
+    return n == ids and words <= max_words
+
+
+def among(df: DataFrame, words: DataFrame, key: str, absent: bool = False) -> DataFrame:
+    """Rows whose ``key`` is in ``words`` (of ``id_words``), or is not: the words are broadcast, the rows stay where they lie."""
+    hit = F.coalesce(F.getbit(F.col("__bits"), F.expr(f"cast(cast(`{key}` as bigint) & 63 as int)")), F.lit(0)) == 1
+    j = df.join(F.broadcast(words), _word(key) == F.col("__word"), "left" if absent else "inner")
+    return j.where(~hit if absent else hit).select(*df.columns)
+
+
 def favorite_answers_page(favorites: DataFrame, answers: DataFrame, user_col: str, page: int,
                           limit: int) -> DataFrame:
     """Cut the favorites page first (newest first, 1-based page), then inner

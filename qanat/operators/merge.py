@@ -9,11 +9,14 @@ the directory being read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.routing import shard_route
 from ..functions.text import falsy_default
+from . import joins as J
 
 
 def _ts(as_of) -> Column:
@@ -23,7 +26,8 @@ def _ts(as_of) -> Column:
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], payload: list[str],
            as_of, created: str = "created_at", updated: str = "updated_at",
            seq: str | None = None, touch_updated: bool = True, touch_created: bool = False,
-           incoming_keys: DataFrame | None = None) -> DataFrame:
+           incoming_keys: DataFrame | None = None, incoming_words: DataFrame | None = None,
+           finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Keyed upsert into a table that is unique by ``keys``.
 
     insert: created = updated = as_of. update: payload replaced by the
@@ -35,22 +39,31 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], payload: l
     a batch small enough for a broadcast leaves them unshuffled and unsorted.
     ``incoming_keys`` names the incoming keys where they are cheaper to get
     than ``incoming`` itself (an embedder would otherwise run twice).
+
+    ``incoming_words`` says that the one key is a whole number which names every incoming row alone,
+    and holds these keys (``joins.id_words``). Then there is nothing to fold, incoming rows move once,
+    to meet the stored times, and stored rows not at all. ``finish`` adds the payload columns that
+    are dear to move, row by row, when that is done.
     """
     t = _ts(as_of)
     order = F.struct(F.col(seq).cast("long") if seq else F.lit(0).cast("long"),
                      F.xxhash64(*payload) if payload else F.lit(0).cast("long"))
     last = [F.max_by(F.struct(*payload), order).alias("__w")] if payload else [F.count(F.lit(1)).alias("__n")]
-    i = incoming.groupBy(*keys).agg(*last).select(*keys, *(["__w.*"] if payload else []))
+    i = incoming if incoming_words is not None else incoming.groupBy(*keys).agg(*last).select(*keys, *(["__w.*"] if payload else []))
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        same = same & (F.col(k) == F.col(f"__k_{k}") if incoming_words is not None else F.col(k).eqNullSafe(F.col(f"__k_{k}")))
     named = [F.col(k).alias(f"__k_{k}") for k in keys]
     stored = existing.select(*named, F.col(created).alias("__c"), F.col(updated).alias("__u"), F.lit(True).alias("__old"))
     old = F.coalesce(F.col("__old"), F.lit(False))
-    fresh = i.join(stored, same, "left").select(
-        *keys, *payload, (t if touch_created else F.when(old, F.col("__c")).otherwise(t)).alias(created),
-        (t if touch_updated else F.when(old, F.col("__u")).otherwise(t)).alias(updated))
-    kept = existing.join((incoming if incoming_keys is None else incoming_keys).select(*named), same, "left_anti")
+    met = i.join(stored, same, "left").withColumns({
+        created: t if touch_created else F.when(old, F.col("__c")).otherwise(t),
+        updated: t if touch_updated else F.when(old, F.col("__u")).otherwise(t)})
+    fresh = (finish(met) if finish else met).select(*keys, *payload, created, updated)
+    if incoming_words is not None:
+        kept = J.among(existing, incoming_words, keys[0], absent=True)
+    else:
+        kept = existing.join((incoming if incoming_keys is None else incoming_keys).select(*named), same, "left_anti")
     return kept.select(*keys, *payload, created, updated).unionByName(fresh)
 
 

@@ -114,8 +114,8 @@ def source_documents(spark, sf):
 
 
 def corpus_documents(spark, sf):
-    """(id, type, source, text, metadata), written once per input."""
-    return N.materialize(spark, f"corpus-documents-{input_tag(sf)}", lambda: CO.numbered(source_documents(spark, sf)), codec="zstd")
+    """(id, type, source, text, metadata), written once per input; the JSON is made of the stored fields as it is read."""
+    return CO.described(N.materialize(spark, f"corpus-documents-{input_tag(sf)}", lambda: CO.placed(source_documents(spark, sf)), codec="zstd"))
 
 
 DOCUMENTS_SQL = f"""{HADITH_SQL}, {C._GRID_SQL},

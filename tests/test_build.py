@@ -178,3 +178,69 @@ def test_an_index_build_embeds_each_document_once(spark, tmp_path):
     assert index.cells.agg(F.sum("n")).first()[0] == 50
     seen = [x for f in tmp_path.iterdir() for x in f.read_text().split("\n")]
     assert sorted(seen) == sorted(f"text {i} of {i % 7}" for i in range(50))
+
+
+def _indexed(spark, tmp_path, ids, lengths):
+    """Documents of these ids, a third of them stored alike, a third with another text, and two stored rows of no document."""
+    docs = spark.createDataFrame([(i, "t", "s", f"text {n}", "{}") for n, i in enumerate(ids)], "id long, type string, source string, text string, metadata string")
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    old = [(i, 1, "t", "s", f"text {n}" if n % 3 == 0 else "older", "{}", [9.0, 0.0, 0.0]) for n, i in enumerate(ids) if n % 3 < 2]
+    stored = spark.createDataFrame([*old, (None, 1, "t", "s", "nameless", "{}", [8.0, 0.0, 0.0]), (-70, 1, "t", "s", "gone", "{}", [7.0, 0.0, 0.0])],
+                                   STORED.split(", created_at")[0]).withColumns({"created_at": at, "updated_at": at})
+    docs.write.parquet(f"{tmp_path}/docs")
+    stored.write.parquet(f"{tmp_path}/stored")
+    return spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/stored")
+
+
+def test_an_index_build_moves_a_document_once_and_no_stored_row(spark, tmp_path, lengths, monkeypatch):
+    docs, stored = _indexed(spark, tmp_path, [-65, -64, -1, 0, 1, 63, 64, 127, 128, 5_000_000_000, 7, 8], lengths)
+    rows = lambda df: sorted((str(tuple(r)) for r in df.collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = CO.index_documents(docs, stored, "2024-02-01", lengths)
+        p = out._jdf.queryExecution().executedPlan().toString()
+        kept, fresh = p.split("Union")[1].split("MapInArrow")
+        assert "LeftOuter, BuildRight" in kept.split("FileScan")[0] and "Exchange hashpartitioning" not in kept.split("FileScan")[0]
+        wide = [line for line in fresh.split("\n") if "FileScan" in line and "metadata" in line]
+        assert len(wide) == 1 and "SortAggregate" not in fresh
+        got = rows(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(CO.J, "has_id_words", lambda *a: False)
+    assert got == rows(CO.index_documents(docs, stored, "2024-02-01", lengths)) and len(got) == 14
+    assert sum("2024, 2, 1" in r for r in got) == 8 and sum("nameless" in r or "gone" in r for r in got) == 2
+
+
+def test_repeated_and_null_ids_take_the_joins(spark, tmp_path, lengths):
+    docs, stored = _indexed(spark, tmp_path, [1, 2, 2, None, None, 3], lengths)
+    assert not CO.J.has_id_words(docs, stored, "id") and not CO.J.has_id_words(docs.where("id IS NULL").limit(1), stored, "id")
+    assert not CO.J.has_id_words(docs.where("id <> 2"), stored.withColumn("id", F.col("id").cast("string")), "id")
+    assert not CO.J.has_id_words(docs.where("id <> 2"), stored, "id", max_words=0) and CO.J.has_id_words(docs.where("id <> 2"), stored, "id")
+    assert CO.J.has_id_words(docs.limit(0), stored, "id")
+    out = CO.index_documents(docs, stored, "2024-02-01", lengths).collect()
+    assert {r["id"] for r in out} == {1, 2, 3, None, -70} and next(r for r in out if r["id"] == 1)["embedding"] == [9.0, 0.0, 0.0]
+
+
+def test_a_snapshot_leaves_no_shuffle_behind(spark):
+    import time
+    import uuid
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, wait = shuffles(), time.time() + 20
+    t = N.materialize(spark, f"t-shuffled-{uuid.uuid4().hex}", lambda: spark.range(1000).selectExpr("id % 10 k").groupBy("k").count())
+    while shuffles() - before and time.time() < wait:
+        time.sleep(0.2)
+    assert not shuffles() - before and t.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_the_stored_corpus_holds_a_text_once(spark):
+    from qanat.plans import q_build as B
+    docs = B.corpus_documents(spark, SF_SMALL)
+    assert docs.columns == ["id", "type", "source", "text", "metadata"]
+    stored = spark.read.parquet(N.materialized_path(spark, f"corpus-documents-{B.input_tag(SF_SMALL)}"))
+    assert "metadata" not in stored.columns and not {"ord", "o1", "o2", "o3"} & set(stored.columns)
